@@ -84,23 +84,26 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def fit(labelled: DataFrame, per_class: int = 1500, dictionary_bytes: int = 1 << 17, sample_chars: int = 1 << 14, level: int = 3, block: int = 1 << 11) -> Model:
-    """Learn from ``labelled`` (``doc_id, text, label`` with label 0 or 1; rows with another label are left out).
-
-    A bounded sample is enough here and only here: ``per_class`` rows of each
-    label, chosen by hash of doc_id, of each at most ``sample_chars``
-    characters.  The odd half of the sample builds the dictionaries, the even
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_bytes: int = 1 << 17, sample_chars: int = 1 << 14, level: int = 3, block: int = 1 << 11) -> Model:
+    """Learn from ``documents`` (``doc_id, text``) and ``labels`` (``doc_id, label``; other labels than 0 and 1 are left out).
+
+    A bounded sample is enough here and only here: ``per_class`` labels of each
+    kind, chosen by hash of doc_id, and of their texts at most ``sample_chars``
+    characters.  The ids are chosen before any text is read, so the documents
+    are filtered by a broadcast of at most ``2 * per_class`` ids and never
+    shuffled.  The odd half of the sample builds the dictionaries, the even
     half calibrates.  With a class missing every score is the other class's share.
     """
+    labels = labels.where("label in (0, 1)").select("doc_id", "label")
     order = F.xxhash64("doc_id")
-    part = [
-        labelled.where(F.col("label") == k).select(F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), "label", order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(per_class)
-        for k in (0, 1)
-    ]
-    shares = {r["label"]: r["n"] for r in labelled.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = [labels.where(F.col("label") == k).select("doc_id", "label", order.alias("h")).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1])
+    shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
-    rows = sorted(((r["label"], r["h"], r["text"]) for p in part for r in p.collect()), key=lambda r: r[:2])
-    texts = {k: [t for label, _, t in rows if label == k] for k in (0, 1)}
+    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id is one sample
+    rows = sorted(((r["label"], r["h"], r["doc_id"], r["text"]) for r in texts.collect()), key=lambda r: r[:3])
+    texts = {k: [t for label, _, _, t in rows if label == k] for k in (0, 1)}
 
     def dictionary(samples: list[str]) -> bytes:
         data = [s.encode("utf-8", "surrogatepass") for s in samples if s]
@@ -149,7 +152,7 @@ def score(model: Model, text="text"):
 def learn(documents: DataFrame, labels: DataFrame, folds: int = 5, **options) -> Model:
     """:func:`fit` on the labels outside fold 0 of ``crc32(doc_id as text) mod folds``."""
     known = labels.where(F.col("quality").isin(0, 1)).where(~held_out(folds)).select("doc_id", F.col("quality").alias("label"))
-    return fit(documents.select("doc_id", "text").join(known, "doc_id"), **options)
+    return fit(documents, known, **options)
 
 
 def held_out(folds: int = 5):
