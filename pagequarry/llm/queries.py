@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash_gray
+from . import bpe, quality, separator_scan, simhash_gray, suffix_dedup, token_files, url_filter
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Host, path and verdict of the rules that op4 applies.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_documents(files)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, eod=50256)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,5 +46,28 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_classifier, op9_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_files, op3_token_counts, op4_url_filter, op5_bpe_round_trip, op8_quality_classifier, op9_simhash_near_dedup, op10_suffix_dedup)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        p AS (
+            SELECT page_id, row_number() OVER () AS n_row,
+                translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM u),
+        r(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        f AS (
+            SELECT n_row, h || q AS rule, v, length(h || q) * 1000 + length(h) AS weight
+            FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+        SELECT p.page_id, p.host, p.path, arg_max(f.rule, f.weight) AS rule, coalesce(arg_max(f.v, f.weight), 'allow') AS verdict
+        FROM p LEFT JOIN f ON p.n_row = f.n_row GROUP BY p.n_row, p.page_id, p.host, p.path
+    """,
+}
