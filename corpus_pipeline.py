@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagequarry.llm import quality, simhash_gray
+from pagequarry.llm import bpe, decontaminate, quality, simhash_gray, suffix_dedup
 from pagequarry.llm.common import stage_table
 
 
@@ -19,9 +21,28 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash_gray.keep_one(docs)
 
 
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document has; documents left empty by it go."""
+    kept = suffix_dedup.without_repeats(docs, length=50)
+    return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the check that they decode to it."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("simhash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-level BPE", token_stage),
 ]
 
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, separator_scan, simhash_gray, suffix_dedup, token_files, url_filter
+from . import bpe, decontaminate, embedding_dups, quality, separator_scan, simhash_gray, suffix_dedup, token_files, url_filter, wrapper_extract
 
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.components(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, eod=50256)
 
@@ -37,6 +41,14 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +64,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op3_token_counts, op4_url_filter, op5_bpe_round_trip, op8_quality_classifier, op9_simhash_near_dedup, op10_suffix_dedup)
+    for f in (
+        op1_token_files,
+        op2_embedding_near_dedup,
+        op3_token_counts,
+        op4_url_filter,
+        op5_bpe_round_trip,
+        op6_decontamination,
+        op7_main_text,
+        op8_quality_classifier,
+        op9_simhash_near_dedup,
+        op10_suffix_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
