@@ -38,6 +38,8 @@ from .common import drop_stage, stage_table
 GRAM = 20
 #: Most suffixes in a run, text in a block and in a slice worked on at a time, and text behind a bucket.
 RUN, BLOCK_BYTES, SLICE_BYTES, BUCKET_BYTES = 64, 4 << 20, 1 << 20, 16 << 20
+#: Runs that are Python objects at a time.
+RUNS_AT_ONCE = 40_000
 _KEY_BITS = 48
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -248,28 +250,30 @@ def _shared_runs(blocks: DataFrame, shared: DataFrame, n_buckets: int, length: i
             ids, texts = _block(left.column("packed")[0].as_py())
             wanted = np.sort(np.concatenate([_unpack(x.as_py())[0][0] for x in right.column("packed")]))
             seen: dict[bytes, int] = {}
-            sent, spans = [], []
+            numbers, stretches, spans = [], [], []
             for base, part in _slices(texts):
                 data, keys, starts, counts, text = runs_of(part, length)
                 keys = keys.astype(np.int64)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                use = np.flatnonzero(wanted[at] == keys)
-                begins = np.concatenate(([0], np.cumsum([len(t) for t in part])))
-                for key, a, c, t in zip(keys[use].tolist(), starts[use].tolist(), counts[use].tolist(), text[use].tolist()):
-                    stretch = data[a : a + c + length - 1]
-                    place = a - int(begins[t])
-                    owner = int(ids[t + base])
-                    if seen.setdefault(stretch, owner) == owner:
-                        sent.append((key, owner, t + base, place, stretch))
-                    else:
-                        spans.append((t + base, place, place + len(stretch)))
-            if spans:
-                out.append((_SPANS, block, _pack(*np.array(spans, dtype=np.int64).T)))
-            sent.sort(key=lambda r: r[0])
-            if sent:
-                numbers = np.array([r[:4] + (len(r[4]),) for r in sent], dtype=np.int64)
-                for bucket, a, b in _by_bucket(numbers[:, 0], n_buckets):
-                    out.append((bucket, block, _pack(*numbers[a:b].T, data=b"".join(r[4] for r in sent[a:b]))))
+                use = wanted[at] == keys
+                keys, starts, stops, text = keys[use], starts[use], starts[use] + counts[use] + length - 1, text[use]
+                owners = ids[text + base]
+                # Texts come by ascending doc_id, so the first that has a stretch is the earliest.
+                first = np.array([seen.setdefault(data[a:b], o) == o for a, b, o in zip(starts.tolist(), stops.tolist(), owners.tolist())], dtype=bool)
+                places = starts - np.concatenate(([0], np.cumsum([len(t) for t in part])))[text]
+                rows = np.stack((keys, owners, text + base, places, stops - starts), axis=1) if len(keys) else np.empty((0, 5), dtype=np.int64)
+                numbers.append(rows[first])
+                stretches += [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+                late = rows[~first]
+                spans.append(np.stack((late[:, 2], late[:, 3], late[:, 3] + late[:, 4]), axis=1))
+            del seen
+            spans, numbers = np.concatenate(spans), np.concatenate(numbers)
+            if len(spans):
+                out.append((_SPANS, block, _pack(*spans.T)))
+            order = np.argsort(numbers[:, 0], kind="stable")
+            numbers = numbers[order]
+            for bucket, a, b in _by_bucket(numbers[:, 0], n_buckets) if len(numbers) else ():
+                out.append((bucket, block, _pack(*numbers[a:b].T, data=b"".join(map(stretches.__getitem__, order[a:b].tolist())))))
         columns = list(zip(*out)) if out else [[], [], []]
         return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.int32()), "packed": pa.array(columns[2], pa.binary())})
 
@@ -347,72 +351,82 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return found
 
 
+def _covered(keys: np.ndarray, ids: np.ndarray, where: np.ndarray, stretches: list[bytes], length: int) -> np.ndarray:
+    """Rows of (block, text, first, stop) that an earlier document holds, of runs at ``where`` (block, text, place)."""
+    first: dict[bytes, int] = {}  # smallest doc_id of each distinct run
+    for stretch, doc in zip(stretches, ids.tolist()):
+        if first.setdefault(stretch, doc) > doc:
+            first[stretch] = doc
+    least = np.array(list(map(first.__getitem__, stretches)), dtype=np.int64)
+    late = least < ids
+    whole = np.array([len(s) for s in stretches], dtype=np.int64)
+    found = [np.column_stack((where[late], where[late, 2] + whole[late]))]
+    # Distinct runs of keys that have several; only these need their suffixes compared.
+    number: dict[bytes, int] = {}
+    use = np.flatnonzero(~late)
+    kind = np.array([number.setdefault(stretches[k], len(number)) for k in use.tolist()], dtype=np.int64)
+    key_of = np.zeros(len(number), dtype=np.int64)
+    key_of[kind] = keys[use]
+    _, inverse, counts = np.unique(key_of, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(counts[inverse] > 1)
+    if not len(several):
+        return np.concatenate(found)
+    distinct = list(number)
+    several = several[np.argsort(inverse[several], kind="stable")]
+    sizes = np.array([len(distinct[k]) for k in several.tolist()])
+    # Settle groups of whole keys, about a slice of text at a time.
+    new_key = np.flatnonzero(np.diff(inverse[several], prepend=-1))
+    piece = (np.cumsum(sizes) - sizes)[new_key] // SLICE_BYTES
+    starts = new_key[np.flatnonzero(np.diff(piece, prepend=-1))]
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(several)).tolist()):
+        own, size = several[a:b], sizes[a:b]
+        data = np.frombuffer(b"".join(distinct[k] for k in own.tolist()), dtype=np.uint8)
+        counts = size - length + 1
+        base = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(own)), counts)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        classes = equal_suffixes(data, base[run] + inner, length)
+        doc = np.array([first[distinct[k]] for k in own.tolist()], dtype=np.int64)[run]
+        earliest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, classes, doc)
+        hit = earliest[classes] < doc
+        begin, end = hit.copy(), hit.copy()
+        begin[1:] &= ~(hit[:-1] & (run[1:] == run[:-1]))
+        end[:-1] &= ~(hit[1:] & (run[1:] == run[:-1]))
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for r, i, j in zip(own[run[begin]].tolist(), inner[begin].tolist(), inner[end].tolist()):
+            spans.setdefault(r, []).append((i, j + length))
+        at = np.isin(kind, list(spans))
+        rows = [(int(w[0]), int(w[1]), int(w[2]) + i, int(w[2]) + j) for k, w in zip(kind[at].tolist(), where[use[at]].tolist()) for i, j in spans[k]]
+        found.append(np.array(rows, dtype=np.int64).reshape(-1, 4))
+    return np.concatenate(found)
+
+
 def _covered_runs(runs: DataFrame, length: int) -> DataFrame:
     """``block, packed``: spans of a bucket's runs that an earlier document holds."""
 
     def run(group: pa.Table) -> pa.Table:
-        blocks = group.column("block").to_pylist()
-        first: dict[bytes, int] = {}  # smallest doc_id of each distinct run
-        entries = []
-        for k, x in enumerate(group.column("packed")):
-            (keys, ids, texts, places, sizes), data = _unpack(x.as_py())
-            ends = np.cumsum(sizes)
-            for key, doc, text, place, a, b in zip(keys.tolist(), ids.tolist(), texts.tolist(), places.tolist(), (ends - sizes).tolist(), ends.tolist()):
-                stretch = data[a:b]
-                if first.setdefault(stretch, doc) > doc:
-                    first[stretch] = doc
-                entries.append((k, key, doc, text, place, stretch))
-        spans = []
-        live: dict[bytes, list] = {}
-        by_key: dict[int, list[bytes]] = {}
-        for k, key, doc, text, place, stretch in entries:
-            if first[stretch] < doc:
-                spans.append((blocks[k], text, place, place + len(stretch)))
-                continue
-            if stretch not in live:
-                live[stretch] = []
-                by_key.setdefault(key, []).append(stretch)
-            live[stretch].append((blocks[k], text, place))
-        del entries
-        # One group of keys at a time, so that its suffixes stay few.
-        pending: list[list[bytes]] = []
-        size = 0
-
-        def settle():
-            stretches = [s for group in pending for s in group]
-            data = np.frombuffer(b"".join(stretches), dtype=np.uint8)
-            sizes = np.array([len(s) for s in stretches])
-            counts = sizes - length + 1
-            owner = np.repeat(np.arange(len(stretches)), counts)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(sizes) - sizes, counts)
-            kind = equal_suffixes(data, at, length)
-            doc = np.array([first[s] for s in stretches])[owner]
-            least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, doc)
-            hit = least[kind] < doc
-            inner = at - (np.cumsum(sizes) - sizes)[owner]
-            begin = hit.copy()
-            begin[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
-            end = hit.copy()
-            end[:-1] &= ~(hit[1:] & (owner[1:] == owner[:-1]))
-            for o, a, b in zip(owner[begin].tolist(), inner[begin].tolist(), inner[end].tolist()):
-                for block, text, place in live[stretches[o]]:
-                    spans.append((block, text, place + a, place + b + length))
-
-        for group in by_key.values():
-            if len(group) > 1:
-                pending.append(group)
-                size += sum(map(len, group))
-                if size >= SLICE_BYTES:
-                    settle()
-                    pending, size = [], 0
-        if pending:
-            settle()
-        found = np.array(spans, dtype=np.int64).reshape(-1, 4)
-        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        cuts = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
-        ends = np.append(cuts[1:], len(found))
-        return pa.table({"block": pa.array([int(found[a, 0]) for a in cuts], pa.int32()), "packed": pa.array([_pack(*found[a:b, 1:].T) for a, b in zip(cuts, ends)], pa.binary())})
+        blocks = np.asarray(group.column("block").to_numpy(), dtype=np.int64)
+        parts = [_unpack(x.as_py()) for x in group.column("packed")]
+        data = b"".join(d for _, d in parts)
+        keys, ids, texts, places, sizes = (np.concatenate([c[k] for c, _ in parts]) for k in range(5))
+        owner = np.repeat(blocks, [len(c[0]) for c, _ in parts])
+        del parts
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(keys, kind="stable")
+        # One group of keys at a time becomes Python objects, so that these stay few.
+        cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        cuts = cuts[np.unique(np.searchsorted(cuts, np.arange(0, len(order), RUNS_AT_ONCE)).clip(max=len(cuts) - 1))]
+        found = [np.empty((0, 4), dtype=np.int64)]
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+            at = order[a:b]
+            stretches = [data[i:j] for i, j in zip(begins[at].tolist(), (begins[at] + sizes[at]).tolist())]
+            found.append(_covered(keys[at], ids[at], np.stack((owner[at], texts[at], places[at]), axis=1), stretches, length))
+        spans = np.concatenate(found)
+        spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+        cuts = np.flatnonzero(np.diff(spans[:, 0], prepend=-1))
+        ends = np.append(cuts[1:], len(spans))
+        return pa.table({"block": pa.array([int(spans[a, 0]) for a in cuts], pa.int32()), "packed": pa.array([_pack(*spans[a:b, 1:].T) for a, b in zip(cuts, ends)], pa.binary())})
 
     return runs.where(F.col("bucket") != _SPANS).groupBy("bucket").applyInArrow(run, "block int, packed binary")
 
