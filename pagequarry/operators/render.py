@@ -162,7 +162,7 @@ def _inline(c: Column, options: Options) -> Column:
     # Blanks inside a pair go outside; pairs around nothing go.
     for _ in range(2):
         c = F.regexp_replace(c, f"([{''.join(OPEN[n] for n in _PAIRED)}]+)([ \n]+)", "$2$1")
-        c = F.regexp_replace(c, f"([ \n]+)([{''.join(CLOSE[n] for n in _PAIRED)}]+)", "$2$1")
+        c = F.regexp_replace(c, f"([ \n{BREAK}]+)([{''.join(CLOSE[n] for n in _PAIRED)}]+)", "$2$1")
         for name in (*_PAIRED, "code"):
             c = F.regexp_replace(c, OPEN[name] + "( *)" + CLOSE[name], "$1")
     if options.autolinks and not options.default_title:
@@ -214,7 +214,7 @@ def runs(nodes: DataFrame, options: Options) -> DataFrame:
     )
     out = out.select("doc_id", "run", "content", "first", F.col("f.path").alias("path"), F.coalesce("is_rule", F.lit(False)).alias("is_rule"))
     raw = F.exists("path", lambda p: p["tag"].isin("pre"))
-    content = F.when(raw, F.col("content")).otherwise(F.trim(F.regexp_replace(_inline(F.col("content"), options), "^[ \n]+|[ \n]+\\z", "")))
+    content = F.when(raw, F.col("content")).otherwise(F.regexp_replace(_inline(F.regexp_replace(F.col("content"), f"^[ \n]+|[ \n{BREAK}]+\\z", ""), options), r"^ +|[ \n]+\z", ""))
     return out.withColumn("content", content).where((F.col("content") != "") | F.col("is_rule"))
 
 

@@ -26,7 +26,9 @@ def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc
     joined = source.join(content, "doc_id", "left")
     if options.extract_metadata and options.output_format != "plain":
         joined = joined.join(extract.head_map(nodes).withColumnRenamed("meta", "_meta"), "doc_id", "left")
-        head = T.front_matter(F.coalesce("_meta", F.create_map().cast("map<string,string>")))
+        meta = F.coalesce("_meta", F.create_map().cast("map<string,string>"))
+        # A title stays HTML source in front matter.
+        head = T.front_matter(F.transform_values(meta, lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
     error = T.invalid_reason(F.col("html"))
     flat = F.rtrim(T.normalize_whitespace(T.decode_named(T.normalize_input(F.col("html")))))
     flat = F.when(F.coalesce(flat, F.lit("")) == "", F.lit("")).otherwise(F.concat(T.escape(flat, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n")))

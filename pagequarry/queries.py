@@ -286,17 +286,37 @@ def selector_exclusion(spark, d):
 # --- conversions ---------------------------------------------------------------
 
 
-@query()
+# The pages follow one template, so plain string functions can say what they become: advert, title, and paragraphs, which
+# an unclosed <b> in the first makes bold throughout.
+_CONVERTED = r"""WITH a AS (
+        SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title,
+            regexp_replace(regexp_extract(html, '(?s)<div class="ad">(.*)$', 1), '<[^>]*$', '') AS body FROM pages),
+    m AS (SELECT page_id, title, regexp_replace(replace(replace(replace(replace(replace(body, '</div>', chr(2)), '<h1>', chr(2)), '</h1>', chr(2)), '<p>', chr(2)), '<footer>', chr(2)), '<[^>]*>', '', 'g') AS s FROM a),
+    t AS (SELECT page_id, trim(replace(title, '&quot;', '"')) AS title, list_transform(string_split(s, chr(2)), lambda x: trim(regexp_replace(replace(replace(replace(replace(x,
+        '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' +', ' ', 'g'))) AS parts FROM m),
+    p AS (SELECT page_id, title, parts[1] AS ad, parts[3] AS h1, list_filter(parts[4:], lambda x: x <> '') AS paragraphs FROM t)
+    SELECT page_id, {head}coalesce(ad, '') || CASE WHEN h1 <> '' THEN E'\n\n{hashes}' || h1 ELSE '' END ||
+        array_to_string(list_transform(paragraphs, lambda x: E'\n\n{strong}' || x || '{strong}'), '') || E'\n' AS content FROM p"""
+
+
+def _converted(head: str, hashes: str, strong: str) -> str:
+    return _CONVERTED.replace("{head}", head).replace("{hashes}", hashes).replace("{strong}", strong)
+
+
+_FRONT = r"E'---\ntitle: ' || title || E'\n---\n\n' || "
+
+
+@query(_converted(_FRONT, "# ", "**"))
 def convert_markdown(spark, d):
     return convert(_pages(spark, d), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
-@query()
+@query(_converted(_FRONT, "# ", "*"))
 def convert_djot(spark, d):
     return convert(_pages(spark, d), Options(output_format="djot"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
-@query()
+@query(_converted("", "", ""))
 def convert_plain(spark, d):
     return convert(_pages(spark, d), Options(output_format="plain"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
