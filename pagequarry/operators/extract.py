@@ -85,13 +85,14 @@ def json_ld(nodes: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
     blocks = scripts.join(texts, ["doc_id", "node_id"]).where("raw_json <> ''")
     listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "raw_json"))).alias("b"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ids"))
-    kept = F.aggregate(
-        "b",
-        start,
-        lambda a, x: F.when(a["used"] + F.octet_length(x["raw_json"]) > most_bytes, a).otherwise(
-            F.struct((a["used"] + F.octet_length(x["raw_json"])).cast("long").alias("used"), F.array_append(a["ids"], x["node_id"]).alias("ids"))
-        ),
-    )["ids"]
+    def take(a: Column, x: Column) -> Column:
+        size = a["used"] + F.octet_length(x["raw_json"])
+        return F.struct(
+            F.when(size > most_bytes, a["used"]).otherwise(size).cast("long").alias("used"),
+            F.when(size > most_bytes, a["ids"]).otherwise(F.array_append(a["ids"], x["node_id"])).alias("ids"),
+        )
+
+    kept = F.aggregate("b", start, take)["ids"]
     rows = listed.select("doc_id", kept.alias("kept"), F.explode("b").alias("x")).where(F.array_contains("kept", F.col("x.node_id")))
     return rows.select("doc_id", F.col("x.node_id").alias("node_id"), F.col("x.raw_json").alias("raw_json"), T.json_ld_type(F.col("x.raw_json")).alias("schema_type"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,6 @@ def decode_bytes(data: Column, charset: str = "utf-8") -> Column:
 
 
 def _other_charset(data: Column, label: str) -> Column:
-    import codecs
-
-    import pandas as pd
-
     codecs.lookup(label)  # an unknown label fails here, not in a task
 
     @F.pandas_udf("string")
