@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.plans.options import Options
+from pagequarry.plans.options import CALLBACKS, Options
 
 # What marks navigation and noise.
 NAV_ROLES = ("navigation", "menubar", "tablist", "toolbar")
@@ -97,9 +97,12 @@ def shown(nodes: DataFrame, options: Options) -> DataFrame:
     all that lies in one.
     """
     is_tag = F.col("kind") == "tag"
-    gone = is_tag & (is_dropped(options) | selected(options.exclude_selectors) | F.map_contains_key("attrs", F.lit("hidden")) | F.col("tag").isin(*UNSEEN))
+    asked = {a: [t for c, v in options.visitor.items() if v.get("action") == a for t in CALLBACKS[c]] for a in ("skip", "custom")}
+    gone = is_tag & (is_dropped(options) | selected(options.exclude_selectors) | F.map_contains_key("attrs", F.lit("hidden")) | F.col("tag").isin(*UNSEEN, *asked["skip"]))
     order = W.partitionBy("doc_id").orderBy("id")
     until = F.max(F.when(F.coalesce(gone, F.lit(False)), F.col("last"))).over(order)
     out = nodes.withColumn("_until", until).where(F.col("_until").isNull() | (F.col("_until") < F.col("id"))).drop("_until")
     out = out.where("kind <> 'comment'")
+    if asked["custom"]:  # what such an element holds gives way to the callback's output
+        out = out.where(~F.exists("path", lambda p: p["tag"].isin(*asked["custom"])))
     return out if options.max_depth is None else out.where(F.col("depth") < options.max_depth)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators.nodes import BLOCK
-from pagequarry.plans.options import Options
+from pagequarry.plans.options import CALLBACKS, Options
 
 CUTS = tuple(sorted(BLOCK | frozenset("html body tr td th caption thead tbody tfoot br-block option optgroup legend label button textarea select iframe audio video math".split())))
 #: Block elements whose text isn't set apart by a blank line.
@@ -123,6 +123,14 @@ def events(nodes: DataFrame, options: Options) -> DataFrame:
         opening = F.when((tag == "rt"), F.lit("(")).otherwise(opening)
         closing = F.when((tag == "rt"), F.lit(")")).otherwise(closing)
 
+    for callback, v in options.visitor.items():
+        use = tag.isin(*CALLBACKS[callback])
+        if v.get("action") == "custom":
+            opening, closing = F.when(use, F.lit(v.get("output", ""))).otherwise(opening), F.when(use, F.lit("")).otherwise(closing)
+        if v.get("action") == "custom_template":
+            before, _, after = v.get("template", "{text}").partition("{text}")
+            opening, closing = F.when(use, _filled(before)).otherwise(opening), F.when(use, _filled(after)).otherwise(closing)
+
     text = F.regexp_replace(F.col("text"), ANY_MARK, "")
     raw = _on_path("pre", "textarea")
     if options.strip_newlines:
@@ -150,12 +158,52 @@ def events(nodes: DataFrame, options: Options) -> DataFrame:
             F.struct(F.col("last").alias("pos"), F.lit(1).alias("phase"), (-F.col("id")).alias("rank"), cut.cast("int").alias("cut"), closing.alias("piece")),
         )
     )
-    inner = F.when(F.col("kind") == "text", F.col("path")).otherwise(
+    # What a callback's output replaces has no markup of its own.
+    replaced = [t for c, v in options.visitor.items() if v.get("action") == "custom" for t in CALLBACKS[c]]
+    inner = F.when((F.col("kind") == "text") | tag.isin(*replaced, ""), F.col("path")).otherwise(
         F.concat("path", F.array(F.struct(F.col("id").alias("id"), F.col("tag").alias("tag"), F.col("nth").alias("nth"), F.col("attrs")["start"].alias("start"))))
     )
     return nodes.select("doc_id", "kind", "tag", inner.alias("path"), F.explode(rows).alias("e")).select("doc_id", "kind", "tag", "path", "e.*")
 
 
+def _filled(template: str) -> Column:
+    """A visitor's template with an element's values in its holes."""
+    c = F.lit(template)
+    for name in ("href", "src", "alt", "title", "id"):
+        c = F.replace(c, F.lit("{" + name + "}"), _attr(name))
+    return F.replace(c, F.lit("{level}"), F.regexp_extract("tag", "^h([1-6])$", 1))
+
+
+def with_references(content: Column) -> Column:
+    """Link targets as numbers, first seen first, and a list of them at the end."""
+    pattern = f"{HREF}([^{CLOSE['link']}]*){CLOSE['link']}"
+    targets = F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
+    numbered = F.transform(targets, lambda t, k: F.struct(t.alias("t"), (k + 1).cast("string").alias("n")))
+    body = F.aggregate(numbered, content, lambda c, x: F.replace(c, F.concat(F.lit(HREF), x["t"], F.lit(CLOSE["link"])), F.concat(F.lit("]["), x["n"], F.lit("]"))))
+    foot = F.array_join(F.transform(numbered, lambda x: F.concat(F.lit("["), x["n"], F.lit("]: "), x["t"])), "\n")
+    return F.when(F.size(targets) > 0, F.concat(body, F.lit("\n\n"), foot)).otherwise(body)
+
+
+def wrapped(content: Column, width: int) -> Column:
+    """Paragraphs broken at spaces so that lines have at most ``width`` bytes; headings, code, tables, quotes and lists stay."""
+
+    def paragraph(p: Column) -> Column:
+        words = F.filter(F.split(p, " "), lambda w: w != "")
+        start = F.struct(F.lit("").alias("done"), F.lit(0).alias("used"))
+
+        def add(a: Column, w: Column) -> Column:
+            fits = a["used"] + 1 + F.octet_length(w) <= width
+            glue = F.when(a["used"] == 0, F.lit("")).when(fits, F.lit(" ")).otherwise(F.lit("\n"))
+            used = F.when(a["used"] == 0, F.octet_length(w)).when(fits, a["used"] + 1 + F.octet_length(w)).otherwise(F.octet_length(w))
+            return F.struct(F.concat(a["done"], glue, w).alias("done"), used.cast("int").alias("used"))
+
+        return F.aggregate(words, start, add)["done"]
+
+    fixed = lambda p: p.rlike(r"(?s)^(#|```|~~~|\||>|\s*[-*+] |\s*\d+\. |    |\[[^\]]*\]\([^)]*\)$)")
+    parts = F.transform(F.split(content, "\n\n"), lambda p: F.when(fixed(p), p).otherwise(paragraph(F.replace(p, F.lit("\n"), F.lit(" ")))))
+    return F.array_join(parts, "\n\n")
+
+
 def _inline(c: Column, options: Options) -> Column:
     """Marks to markup, once a run's pieces stand together."""
     spaced, m = options.strong_em_symbol, options.output_format
@@ -187,9 +235,12 @@ def _inline(c: Column, options: Options) -> Column:
     else:
         pairs = {"strong": (spaced * 2, spaced * 2), "em": (spaced, spaced), "del": ("~~", "~~"), "mark": mark, "sub": (sub, closing(sub)), "sup": (sup, closing(sup))}
     pairs |= {"code": (fence, fence), "link": ("[", ")"), "q": ('"', '"')}
+    if options.link_style == "reference":
+        pairs["link"] = ("[", CLOSE["link"])  # numbered when the whole document stands
     for name, (a, b) in pairs.items():
         c = F.replace(F.replace(c, F.lit(OPEN[name]), F.lit(a)), F.lit(CLOSE[name]), F.lit(b))
-    c = F.replace(c, F.lit(HREF), F.lit("]("))
+    if options.link_style == "inline":
+        c = F.replace(c, F.lit(HREF), F.lit("]("))
     c = F.regexp_replace(c, "[ \n]{2,}", " ") if options.whitespace_mode == "normalized" else c
     hard = "\n" if m == "plain" else ("\\\n" if options.newline_style == "backslash" else "  \n")
     return F.regexp_replace(F.regexp_replace(c, f" *{BREAK} *", BREAK), BREAK, hard.replace("\\", "\\\\"))
@@ -387,4 +438,8 @@ def documents(nodes: DataFrame, options: Options) -> DataFrame:
     every = every.withColumn("piece", F.concat(gap, "body"))
     joined = every.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("content"))
     content = T.collapse_blank_lines(F.regexp_replace(F.col("content"), "^\n+|\\s+\\z", ""))
+    if options.link_style == "reference" and options.output_format != "plain":
+        content = with_references(content)
+    if options.wrap:
+        content = wrapped(content, options.wrap_width)
     return joined.select("doc_id", F.when(content == "", F.lit("")).otherwise(F.concat(content, F.lit("\n"))).alias("content"))

@@ -30,6 +30,38 @@ def parse_enum(option: str, name: str) -> str:
     return t if t in known else unknown
 
 
+#: The elements that each callback is asked about.
+CALLBACKS = {
+    "link": ("a",),
+    "image": ("img",),
+    "heading": ("h1", "h2", "h3", "h4", "h5", "h6"),
+    "code_block": ("pre",),
+    "code_inline": ("code",),
+    "list_item": ("li",),
+    "strong": ("strong", "b"),
+    "emphasis": ("em", "i"),
+    "strikethrough": ("del", "s"),
+    "underline": ("u",),
+    "subscript": ("sub",),
+    "superscript": ("sup",),
+    "mark": ("mark",),
+    "line_break": ("br",),
+    "horizontal_rule": ("hr",),
+    "blockquote": ("blockquote",),
+    "definition_term": ("dt",),
+    "definition_description": ("dd",),
+    "form": ("form",),
+    "input": ("input",),
+    "button": ("button",),
+    "audio": ("audio",),
+    "video": ("video",),
+    "iframe": ("iframe",),
+    "details": ("details",),
+    "summary": ("summary",),
+    "figcaption": ("figcaption",),
+}
+
+
 @dataclass(frozen=True)
 class Preprocessing:
     enabled: bool = True
@@ -77,6 +109,8 @@ class Options:
     output_format: str = "markdown"
     max_depth: int | None = None
     exclude_selectors: tuple[str, ...] = ()
+    #: Callback name -> {"action": "skip" | "custom" | "custom_template" | "continue", "output": ..., "template": ...}.
+    visitor: dict = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         for name in ENUMS:
@@ -85,6 +119,9 @@ class Options:
             object.__setattr__(self, name, tuple(getattr(self, name)))
         if isinstance(self.preprocessing, dict):
             object.__setattr__(self, "preprocessing", Preprocessing(**self.preprocessing))
+        unknown = set(self.visitor) - set(CALLBACKS)
+        if unknown:
+            raise ValueError(f"no such callbacks: {sorted(unknown)}")
         if not 1 <= len(self.bullets) <= 10:
             raise ValueError("bullets: 1 to 10 characters")
         if self.strong_em_symbol not in ("*", "_"):

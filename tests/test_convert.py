@@ -96,3 +96,17 @@ def test_enums():
     assert Options().update(wrap=True, bullets=None).wrap and Options().update(bullets=None).bullets == "-*+"
     with pytest.raises(ValueError):
         Options(strong_em_symbol="x")
+
+
+def test_reference_links_and_wrap(spark):
+    page = "<p><a href='/a'>one</a> <a href='/b' title=t>two</a> <a href='/a'>three</a></p>"
+    assert run(spark, [page], extract_metadata=False, link_style="reference") == ['[one][1] [two][2] [three][1]\n\n[1]: /a\n[2]: /b "t"\n']
+    assert run(spark, ["<p>aa bb cc dd</p><h1>a long heading</h1>"], extract_metadata=False, wrap=True, wrap_width=5) == ["aa bb\ncc dd\n\n# a long heading\n"]
+
+
+def test_declared_visitor(spark):
+    visitor = {"link": {"action": "custom_template", "template": "<{href}|{text}>"}, "image": {"action": "skip"}, "code_block": {"action": "custom", "output": "CODE"}}
+    page = "<p><a href='/a'>one <b>x</b></a><img src=i></p><pre>gone</pre>"
+    assert run(spark, [page], extract_metadata=False, visitor=visitor) == ["</a|one **x**>\n\nCODE\n"]
+    with pytest.raises(ValueError):
+        Options(visitor={"no_such": {}})

@@ -75,3 +75,25 @@ def test_strings(spark):
     ).first()
     assert row.d == "a\n\n  b\nc" and row.e == "1\\. x\\_y\\*z\\|\\\\" and row.i.format == "jpeg" and row.j.skipped == "not base64" and row.l == "http://u"
     assert row.p == "a%20b/c~d%2Ae%3Af%3Fg"
+
+
+def test_structure(spark):
+    from pagequarry.operators.structure import document_tree
+
+    page = "<p>before</p><h1>A</h1><p>x</p><h2>B</h2><ul><li>i<ol><li>j</ol></ul><h1>C</h1><img src=s><pre class=language-py>c</pre><table><tr><td><p>t</table>"
+    rows = document_tree(nodes(spark, page)).orderBy("position", "node_type").collect()
+    by_id = {r.id: r for r in rows}
+    label = lambda r: (r.node_type, r.text)
+    found = [(label(r), label(by_id[r.parent]) if r.parent else None) for r in rows]
+    A, B, C = ("group", "A"), ("group", "B"), ("group", "C")
+    assert found == [
+        (("paragraph", "before"), None), (A, None), (("heading", "A"), A), (("paragraph", "x"), A), (B, A), (("heading", "B"), B), (("list", None), B),
+        (("list_item", "ij"), ("list", None)), (("list", None), B), (("list_item", "j"), ("list", None)), (C, None), (("heading", "C"), C), (("image", None), C), (("code", "c"), C), (("table", None), C)]
+    assert [r.ordered for r in rows if r.node_type == "list"] == [False, True] and len(by_id) == len(rows)
+
+
+def test_sql_names(spark):
+    from pagequarry.sql import register
+
+    register(spark)
+    assert [r.tag for r in spark.sql("SELECT tag FROM VALUES ('<p>a<b>c') AS t(html), LATERAL html_nodes(html) WHERE kind = 'tag'").collect()] == ["p", "b"]
