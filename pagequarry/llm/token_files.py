@@ -25,6 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -48,16 +49,29 @@ _HEAD, _FOOT = struct.Struct("<6I"), struct.Struct("<5Q8s")
 # --- ids of texts -----------------------------------------------------------
 
 
+#: Characters whose class is the same in every version of Unicode: letters, digits, and signs but the apostrophe.
+_LETTER, _DIGIT, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9", "!-&(-/:-@\\[-`{-~"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: a byte's own if it prints, else from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Whole texts through a ``tokenizers`` file whose model sees no further than a space before a word.
 
     A byte-level pre-tokenizer starts a new piece at the last space before
     anything that isn't white space.  So a text's ids are those of its chunks
     cut there, and each distinct chunk goes through the library once as long as
-    it stays in the cache.
+    it stays in the cache.  A chunk of plain letters, digits and signs is cut to
+    its pieces here, and the library's model encodes each distinct piece; any
+    other chunk goes through the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 300_000, dtype: str = "<u2"):
+    def __init__(self, path: str, cached: int = 400_000, dtype: str = "<u2"):
         import os
 
         import regex
@@ -65,17 +79,39 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.cut, self.odd = regex.compile(r"(?= [^\s\x1c-\x1f])", regex.V1), regex.compile(r" (?:[\s\x1c-\x1f]|\Z)")
-        self.cached, self.dtype = cached, dtype
+        run = f"[{_LETTER}]+|[{_DIGIT}]+|[{_SIGN}]+"
+        self.plain = regex.compile(rf"(?:{run})(?:\n?(?:{run}))*")
+        self.pieces_of = regex.compile(rf"{run}|\n").findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cached, self.dtype, self.code = cached, dtype, {"<u2": "H", "<u4": "I"}[dtype]
         self.words: dict[str, bytes] = {}  # chunks without the space that they start with
         self.heads: dict[str, bytes] = {}  # chunks that start a text
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= self.cached:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            found = self.pieces[piece] = array(self.code, ids).tobytes()
+        return found
 
     def _learn(self, known: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        new = list({c for c in chunks if c not in known})
+        new = {c for c in chunks if c not in known}
         if len(known) + len(new) > self.cached:
             known.clear()
-            new = list(set(chunks))
-        for c, found in zip(new, self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)):
+            new = set(chunks)
+        whole = []
+        for c in new:
+            if self.plain.fullmatch(c) and not any(s in c for s in self.special):
+                first, *rest = self.pieces_of(c)
+                known[c] = self._piece(lead + first) + b"".join(map(self._piece, rest)) if rest else self._piece(lead + first)
+            else:
+                whole.append(c)
+        for c, found in zip(whole, self.tokenizer.encode_batch_fast([lead + c for c in whole], add_special_tokens=False) if whole else ()):
             known[c] = np.array(found.ids, dtype=self.dtype).tobytes()
 
     def _ids(self, known: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
