@@ -29,6 +29,11 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def tasks_for(files: DataFrame) -> int:
+    """Tasks to read files with: one for each, but the session's number of partitions at least."""
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.count())
+
+
 def write_flat(docs: DataFrame, path: str, pattern: str, eod: int) -> DataFrame:
     """Write the texts' ids to flat files in the shared folder, one file a partition.
 
@@ -102,7 +107,7 @@ def scan(files: DataFrame, eod: int, block: int = 1 << 20) -> DataFrame:
                 )
 
     blocks = blocks_of(files, block)
-    spread = blocks.repartition(F.col("file"), F.col("block"))
+    spread = blocks.repartition(tasks_for(files), "file", "block")
     found = spread.mapInArrow(run, "file string, block long, stop long, ends array<long>")
     order = W.partitionBy("file").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
