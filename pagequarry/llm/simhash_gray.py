@@ -169,10 +169,12 @@ def components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 4
 
     Null and empty texts have fingerprint 0 and are linked like any other.
     Repeated doc_ids give one row each; an empty table gives an empty result.
+    Rows with a null doc_id link nothing: they have the component of the documents
+    with the same fingerprint, else a null one.
     """
     own = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
     entries = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = connected_components(links(entries, radius))
+    joined = connected_components(links(entries.where("rep is not null"), radius))
     named = entries.join(joined, entries["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_stage, new_folder, stage_table
-from .separator_scan import open_folder
+from .separator_scan import open_folder, tasks_for
 
 MAGIC = b"PQRANS01"
 BLOCK, CHECKPOINT = 1 << 18, 1 << 17
@@ -440,4 +440,5 @@ def read_documents(files: TokenFiles) -> DataFrame:
                         [pa.array(ids, pa.int64()), pa.array(np.array(starts, dtype=np.int64) + base), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
-    return placed.repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number is given, as adaptive execution would merge rows as small as these to one task.
+    return placed.repartition(tasks_for(files.shards), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -76,5 +76,7 @@ def test_empty_and_repeated(spark, docs):
     assert S.components(docs([])).count() == 0
     twice = docs(["a b c d e"] * 3, ids=[5, 5, 9])
     assert sorted((r.doc_id, r.component_id) for r in S.components(twice).collect()) == [(5, 5), (5, 5), (9, 5)]
+    nulls = docs(["a b c d e", "a b c d e", "only null"], ids=[None, 4, None])
+    assert sorted(((r.doc_id, r.component_id) for r in S.components(nulls).collect()), key=str) == [(4, 4), (None, 4), (None, None)]
     kept = S.keep_one(twice)
     assert kept.columns == twice.columns and {r.doc_id for r in kept.collect()} == {5}

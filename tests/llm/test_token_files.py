@@ -64,6 +64,11 @@ def test_files(spark, docs, monkeypatch):
     assert (reader.range(4990, 5020) == whole[4990:5020]).all() and len(whole) == shard.n_ids
 
 
+def test_null_ids_come_first(spark, docs):
+    rows = T.read_documents(T.write(docs(["b", "a", "c"], ids=[2, None, None]), JSON)).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (None, 2, 2), (2, 4, 2)]
+
+
 def test_no_documents(spark, docs):
     assert T.read_documents(T.write(docs([]), JSON)).count() == 0
     assert separator_scan.token_counts(docs([]), RANKS, public_tokenizers.PATTERN, 50256).count() == 0
