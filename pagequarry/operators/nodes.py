@@ -9,7 +9,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,17 @@ from pagequarry.functions import text as T
 PATH = "array<struct<id:int,tag:string,nth:int,start:string>>"
 SCHEMA = f"doc_id long, id int, parent int, last int, depth int, nth int, kind string, tag string, attrs map<string,string>, text string, path {PATH}"
 
+_INT, _TEXT = pa.int32(), pa.string()
+_ARROW = [
+    ("doc_id", pa.int64()),
+    *((n, _INT) for n in ("id", "parent", "last", "depth", "nth")),
+    ("kind", _TEXT),
+    ("tag", _TEXT),
+    ("attrs", pa.map_(_TEXT, _TEXT)),
+    ("text", _TEXT),
+    ("path", pa.list_(pa.struct([("id", _INT), ("tag", _TEXT), ("nth", _INT), ("start", _TEXT)]))),
+]
+
 # Fixed values of HTML: elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr graphic".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -91,7 +102,7 @@ def parse(html: str, deepest: int = 400) -> list[list]:
         if len(stack) < deepest:
             stack.append(node)
             counts.append({})
-            paths.append([*paths[-1], (node[0], tag, node[4], attrs.get("start"))])
+            paths.append([*paths[-1], {"id": node[0], "tag": tag, "nth": node[4], "start": attrs.get("start")}])
 
     def pop_to(k: int, ended: str = "") -> None:
         while len(stack) > k:
@@ -177,7 +188,7 @@ def parse(html: str, deepest: int = 400) -> list[list]:
             inner = html[at : stop.start() if stop else n]
             if inner:
                 stack.append(node)
-                paths.append([*paths[-1], (node[0], tag, node[4], None)])
+                paths.append([*paths[-1], {"id": node[0], "tag": tag, "nth": node[4], "start": None}])
                 counts.append({})
                 add("text", None, None, decode(inner) if tag in ("title", "textarea") else inner)
                 pop_to(len(stack) - 1, tag)
@@ -198,22 +209,21 @@ def parse_nodes(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") ->
     """
     source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).where(F.col("html").isNotNull())
     source = source.where(T.invalid_reason(F.col("html")).isNull()).select("doc_id", T.normalize_input(F.col("html")).alias("html"))
-    columns = [f.split()[0] for f in SCHEMA.split(", ")[:11]]
-
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, page in zip(batch["doc_id"], batch["html"]):
-                rows += [(doc, *node) for node in parse(page)]
+            rows: list[tuple] = []
+            for doc, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += [(doc, *node) for node in parse(page.as_py())]
                 if len(rows) >= 20_000:
-                    yield frame(rows)
+                    yield record(rows)
                     rows = []
-            yield frame(rows)
+            if rows:
+                yield record(rows)
+
+    return source.mapInArrow(run, SCHEMA)
 
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=columns)
-        out["parent"] = out["parent"].astype("Int32")
-        out["path"] = [[dict(zip(("id", "tag", "nth", "start"), p)) for p in path] for path in out["path"]]
-        return out
 
-    return source.mapInPandas(run, SCHEMA)
+def record(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    columns[8] = [None if a is None else list(a.items()) for a in columns[8]]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, _ARROW)], names=[n for n, _ in _ARROW])

@@ -131,14 +131,17 @@ def events(nodes: DataFrame, options: Options) -> DataFrame:
             before, _, after = v.get("template", "{text}").partition("{text}")
             opening, closing = F.when(use, _filled(before)).otherwise(opening), F.when(use, _filled(after)).otherwise(closing)
 
-    text = F.regexp_replace(F.col("text"), ANY_MARK, "")
+    # Steps are columns of their own, so that what is used twice is worked out once.
+    nodes = nodes.withColumn("text", F.regexp_replace(F.col("text"), ANY_MARK, ""))
+    text = F.col("text")
     raw = _on_path("pre", "textarea")
     if options.strip_newlines:
         text = F.when(raw, text).otherwise(F.regexp_replace(text, "\n+", " "))
     soft = F.regexp_replace(F.regexp_replace(T.normalize_whitespace(text), r"^\s*\n\s*|\s*\n\s*\z", " "), " *\n *", "\n")
-    soft = F.when(F.trim(soft) == "", F.lit(" ")).otherwise(soft)
-    if options.whitespace_mode == "strict":
-        soft = text
+    nodes = nodes.withColumn("_soft", text if options.whitespace_mode == "strict" else soft)
+    soft = F.col("_soft") if options.whitespace_mode == "strict" else F.when(F.trim("_soft") == "", F.lit(" ")).otherwise(F.col("_soft"))
+    nodes = nodes.withColumn("_soft", soft)
+    soft = F.col("_soft")
     in_cell = _on_path(*CELLS)
     escaped = T.escape(soft, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii)
     if not plain:
@@ -322,8 +325,10 @@ def blocks(found: DataFrame, options: Options) -> DataFrame:
     # code blocks
     language = F.coalesce(F.nullif(F.regexp_extract(c, f"{LANG}([^{END}]*){END}", 1), F.lit("")), F.lit(options.code_language))
     code = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, f"{LANG}[^{END}]*{END}", ""), ANY_MARK, ""), "^\n|\n+\\z", "")
+    out = out.withColumn("_code", F.when(F.col("pre"), code))
+    code = F.col("_code")
     if options.whitespace_mode != "strict":
-        code = T.dedent(code)
+        out = out.withColumn("_code", T.dedent(code))
     if plain:
         fenced = code
     elif options.code_block_style == "indented":
@@ -331,7 +336,8 @@ def blocks(found: DataFrame, options: Options) -> DataFrame:
     else:
         ticks = "`" if options.code_block_style == "backticks" else "~"
         longest = F.aggregate(F.regexp_extract_all(code, F.lit(f"({ticks}+)"), 1), F.lit(2), lambda a, x: F.greatest(a, F.length(x)))
-        fence = F.repeat(F.lit(ticks), longest + 1)
+        out = out.withColumn("_fence", F.repeat(F.lit(ticks), longest + 1))
+        fence = F.col("_fence")
         fenced = F.concat(fence, language, F.lit("\n"), code, F.lit("\n"), fence)
     strong = "" if plain else ("*" if options.output_format == "djot" else options.strong_em_symbol * 2)
     em = "" if plain else ("_" if options.output_format == "djot" else options.strong_em_symbol)
@@ -343,6 +349,8 @@ def blocks(found: DataFrame, options: Options) -> DataFrame:
         .when(F.col("block").isin("figcaption"), F.concat(F.lit(em), c, F.lit(em)))
         .otherwise(c)
     )
+    out = out.withColumn("_body", body)
+    body = F.col("_body")
     # list items and quotes
     n = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce(F.col("list.start"), F.lit("1")), r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int"), F.lit(1)) + F.col("nth") - 1
     bullets = F.array(*(F.lit("-" if plain else b) for b in options.bullets))
@@ -353,6 +361,8 @@ def blocks(found: DataFrame, options: Options) -> DataFrame:
     inner = F.repeat(F.lit("    "), F.greatest(F.col("depth"), F.lit(0)))
     in_item = F.col("li").isNotNull()
     body = F.when(in_item & F.col("opens_item"), F.concat(outer, marker, _indent(body, inner))).when(in_item, F.concat(inner, _indent(body, inner))).otherwise(body)
+    out = out.withColumn("_placed", body)
+    body = F.col("_placed")
     if not plain:
         quote = F.repeat(F.lit("> "), F.col("quotes"))
         body = F.when(F.col("quotes") > 0, F.concat(quote, _indent(body, quote))).otherwise(body)
@@ -418,11 +428,14 @@ def tables(nodes: DataFrame, found: DataFrame, options: Options) -> DataFrame:
     )
 
 
-def documents(nodes: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, content`` of every document with nodes that show."""
-    found = runs(nodes, options)
-    outside = found.where(~F.exists("path", lambda p: p["tag"].isin(*CELLS)))
-    grid = tables(nodes, found, options).select("doc_id", "at", "body", F.lit(None).cast("int").alias("list_id"), F.lit(False).alias("tight"), F.lit("table").alias("kind"), F.lit(0).alias("quotes"))
+def documents(nodes: DataFrame, options: Options, with_tables: DataFrame | None = None) -> DataFrame:
+    """``doc_id, content`` of every document with nodes that show.
+
+    ``with_tables``: the nodes of the documents that may hold tables, if these are known.
+    """
+    with_tables = nodes if with_tables is None else with_tables
+    outside = runs(nodes, options).where(~F.exists("path", lambda p: p["tag"].isin(*CELLS)))
+    grid = tables(with_tables, runs(with_tables, options), options).select("doc_id", "at", "body", F.lit(None).cast("int").alias("list_id"), F.lit(False).alias("tight"), F.lit("table").alias("kind"), F.lit(0).alias("quotes"))
     caption = F.col("kind") == "caption"
     em = "" if options.output_format == "plain" else options.strong_em_symbol
     flow = blocks(outside, options).withColumn("body", F.when(caption, F.concat(F.lit(em), "body", F.lit(em))).otherwise(F.col("body")))

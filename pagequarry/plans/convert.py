@@ -17,20 +17,29 @@ def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc
     A page that is no text has a null content and says why in ``error``; null and
     empty pages have an empty content.  Pages without any ``<`` are text: their
     references are decoded and their spaces collapsed, without parsing.
+    ``doc_id`` must tell documents apart.
     """
     options = options or Options()
     source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html"))
-    nodes = parse_nodes(source.where(F.col("html").contains("<")), "doc_id", "html").repartition("doc_id")
-    content = render.documents(filters.shown(nodes, options), options)
+    # Each of the branches below parses no more than it needs: the head up to the body, tables where there are any.
+    html = F.col("html")
+    pages = source.where(html.contains("<"))
+    with_tables = pages.where(html.rlike("(?i)<(td|th|cell)[\\s/>]"))
+    nodes, cells = (filters.shown(parse_nodes(p, "doc_id", "html").repartition("doc_id"), options) for p in (pages, with_tables))
+    content = render.documents(nodes, options, cells)
+    # What needs the source itself is worked out before the joins, so that no HTML is shuffled for them.
+    flat = F.rtrim(T.normalize_whitespace(T.decode_named(T.normalize_input(html))))
+    flat = F.when(F.coalesce(flat, F.lit("")) == "", F.lit("")).otherwise(F.concat(T.escape(flat, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n")))
+    rows = source.select("doc_id", T.invalid_reason(html).alias("_error"), F.when(html.contains("<"), F.lit(None)).otherwise(flat).alias("_flat"), html.contains("<").alias("_parsed"))
     head = F.lit("")
-    joined = source.join(content, "doc_id", "left")
+    joined = rows.join(content, "doc_id", "left")
     if options.extract_metadata and options.output_format != "plain":
-        joined = joined.join(extract.head_map(nodes).withColumnRenamed("meta", "_meta"), "doc_id", "left")
+        before_body = F.when(html.rlike("(?i)<body|</head"), F.regexp_extract(html, "(?is)^(.*?)(?:<body|</head)", 1)).otherwise(html)
+        meta = extract.head_map(parse_nodes(pages.where(html.rlike("(?i)<(meta|title|link|base)")).withColumn("html", before_body), "doc_id", "html"))
+        joined = joined.join(meta.withColumnRenamed("meta", "_meta"), "doc_id", "left")
         meta = F.coalesce("_meta", F.create_map().cast("map<string,string>"))
         # A title stays HTML source in front matter.
         head = T.front_matter(F.transform_values(meta, lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
-    error = T.invalid_reason(F.col("html"))
-    flat = F.rtrim(T.normalize_whitespace(T.decode_named(T.normalize_input(F.col("html")))))
-    flat = F.when(F.coalesce(flat, F.lit("")) == "", F.lit("")).otherwise(F.concat(T.escape(flat, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n")))
-    whole = F.when(F.col("html").contains("<"), F.concat(head, F.coalesce("content", F.lit("")))).otherwise(flat)
-    return joined.select("doc_id", F.when(error.isNull(), F.coalesce(whole, F.lit(""))).alias("content"), F.when(error.isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), error.alias("message"))).alias("error"))
+    whole = F.when(F.col("_parsed"), F.concat(head, F.coalesce("content", F.lit("")))).otherwise(F.coalesce("_flat", F.lit("")))
+    error = F.col("_error")
+    return joined.select("doc_id", F.when(error.isNull(), whole).alias("content"), F.when(error.isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), error.alias("message"))).alias("error"))

@@ -47,14 +47,14 @@ def test_nodes_are_a_tree(tokens):
     found = parse("".join(tokens))
     for k, (id_, parent, last, depth, nth, kind, tag, attrs, text, path) in enumerate(found):
         assert id_ == k and last >= id_ and len(path) == depth and nth >= 1
-        assert parent == (path[-1][0] if path else None)
+        assert parent == (path[-1]["id"] if path else None)
         if parent is not None:
             assert parent < id_ and found[parent][2] >= last
         assert (kind == "tag") == (tag is not None)
 
 
 def test_open_formatting_continues():
-    path_of = {n[8]: [p[1] for p in n[9]] for n in parse("<p><b>one<p>two</b> three<p>four") if n[5] == "text"}
+    path_of = {n[8]: [p["tag"] for p in n[9]] for n in parse("<p><b>one<p>two</b> three<p>four") if n[5] == "text"}
     assert path_of == {"one": ["p", "b"], "two": ["p", "b"], " three": ["p"], "four": ["p"]}
 
 
