@@ -341,7 +341,10 @@ class ShardReader:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """``shards`` (``file, first_doc, n_docs, n_ids``) and the frequency counts that they were coded with."""
+    """``shards`` (``file, range_no, first_row, first_doc, n_docs, n_ids``) and the frequency counts that they were coded with.
+
+    ``range_no`` and ``first_row`` (the first document's place in its range) give the shards' order.
+    """
 
     shards: DataFrame
     counts: tuple[tuple[int, int], ...]
@@ -360,7 +363,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
     Texts, not ids, are dealt by range of doc_id (one shuffle); each range is
     sorted and encoded once into an interim table of 16-bit ids, the ids are
     counted (as many rows as the vocabulary has come to the driver), and each
-    range becomes one shard.  Null texts are empty; rows with the same doc_id
+    range becomes a shard, or several where its interim file is read in parts.
+    A read task may get any files in any order, so each row carries its range
+    and its place there.  Null texts are empty; rows with the same doc_id
     are documents of their own, next to each other; null doc_ids come first.
     """
     spark = docs.sparkSession
@@ -368,12 +373,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def to_ids(batches):
-        own = _chunk_encoder(tokenizer)
+        own, range_no, row = _chunk_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = pa.array([own.encode(t.as_py()) + end for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            n = batch.num_rows
+            place = pa.array(np.arange(row, row + n, dtype=np.int64))
+            row += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, range_no, dtype=np.int32)), place, batch.column(0), ids], names=["range_no", "row", "doc_id", "ids"])
 
-    ids = stage_table(ordered.mapInArrow(to_ids, "doc_id long, ids binary"), "token-ids")
+    ids = stage_table(ordered.mapInArrow(to_ids, "range_no int, row long, doc_id long, ids binary"), "token-ids")
 
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
@@ -391,31 +399,29 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
     def to_shards(batches):
         target, inside = open_folder(folder)
         target.create_dir(inside, recursive=True)
-        part, no, writer, first, last = TaskContext.get().partitionId(), 0, None, None, None
+        writer, following = None, None
         made = []
 
         def done():
             writer.close()
-            made.append((name, first, len(writer.docs), writer.n_ids))
+            made.append((name, *first, len(writer.docs), writer.n_ids))
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is not None and last is not None and (doc_id is None or doc_id < last):  # another range's file begins
+            for range_no, row, doc_id, x in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if writer is not None and (range_no, row) != following:  # another range's file, or another part of one, begins
                     done()
                     writer = None
                 if writer is None:
-                    no += 1
-                    name = f"{folder}/shard-{part:06d}-{no:04d}-{uuid.uuid4().hex}.rans"
-                    writer, first = ShardWriter(target.open_output_stream(f"{inside}/{name.rsplit('/', 1)[1]}"), table), doc_id
+                    name = f"{folder}/shard-{range_no:06d}-{row:012d}-{uuid.uuid4().hex}.rans"
+                    writer, first = ShardWriter(target.open_output_stream(f"{inside}/{name.rsplit('/', 1)[1]}"), table), (range_no, row, doc_id)
                 writer.add(doc_id, np.frombuffer(x.as_buffer(), dtype="<u2"))
-                last = doc_id
+                following = (range_no, row + 1)
         if writer is not None:
             done()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "first_doc", "n_docs", "n_ids"]
-        )
+        types = {"file": pa.string(), "range_no": pa.int32(), "first_row": pa.int64(), "first_doc": pa.int64(), "n_docs": pa.int64(), "n_ids": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 6, types.values())], names=list(types))
 
-    shards = stage_table(ids.mapInArrow(to_shards, "file string, first_doc long, n_docs long, n_ids long"), "token-shards")
+    shards = stage_table(ids.mapInArrow(to_shards, "file string, range_no int, first_row long, first_doc long, n_docs long, n_ids long"), "token-shards")
     drop_stage(ids)
     return TokenFiles(shards, counts, len(table.freq))
 
@@ -427,7 +433,7 @@ def read_documents(files: TokenFiles) -> DataFrame:
     shards (a row each), then within a shard.  Each shard is one task's stream.
     """
     table = files.table()
-    order = W.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
+    order = W.orderBy("range_no", "first_row").rowsBetween(W.unboundedPreceding, -1)
     placed = files.shards.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("file", "base")
 
     def run(batches):

@@ -64,6 +64,57 @@ def test_files(spark, docs, monkeypatch):
     assert (reader.range(4990, 5020) == whole[4990:5020]).all() and len(whole) == shard.n_ids
 
 
+@pytest.fixture
+def conf(spark):
+    """Sets configurations until the test ends."""
+    before = {}
+
+    def put(**values):
+        for k, v in values.items():
+            k = k.replace("__", ".")
+            before.setdefault(k, spark.conf.get(k, None))
+            spark.conf.set(k, v)
+
+    yield put
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _starts_follow(rows):
+    start = 0
+    for r in rows:
+        assert r.start == start, r
+        start += r.n_tokens
+
+
+def test_many_ranges_of_uneven_sizes(spark, docs, conf):
+    conf(spark__sql__shuffle__partitions="24", spark__sql__adaptive__coalescePartitions__enabled="false")
+    texts = [f"doc {k} " + "word and 7 " * (1 + (k * 7919 % 97) * (1 + k // 50 % 7)) for k in range(1200)]
+    files = T.write(docs(texts), JSON)
+    shards = files.shards.orderBy("first_doc").collect()
+    assert len(shards) > 12
+    rows = T.read_documents(files).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(1200))
+    _starts_follow(rows)
+    for s, after in zip(shards, [*shards[1:], None]):  # a shard's documents are neighbours
+        own = [d[0] for d in T.ShardReader(s.file, files.table()).documents()]
+        assert own == list(range(s.first_doc, after.first_doc if after else 1200))
+
+
+def test_one_range_read_in_parts(spark, docs, conf):
+    conf(spark__sql__shuffle__partitions="1", spark__sql__files__maxPartitionBytes="20000", spark__sql__files__openCostInBytes="1")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "20000")
+    try:
+        texts = [f"{k} {k * 7919 % 9973} " * 40 for k in range(2000)]
+        files = T.write(docs(texts, ids=[5] * 1500 + list(range(6, 506))), JSON)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    assert files.shards.count() > 1
+    rows = T.read_documents(files).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [5] * 1500 + list(range(6, 506))
+    _starts_follow(rows)
+
+
 def test_null_ids_come_first(spark, docs):
     rows = T.read_documents(T.write(docs(["b", "a", "c"], ids=[2, None, None]), JSON)).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (None, 2, 2), (2, 4, 2)]
