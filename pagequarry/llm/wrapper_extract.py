@@ -10,10 +10,13 @@ it.  As a wrapper and a page are the same kind of expression, every task folds
 its own pages of a host into one partial wrapper, and those are folded in turn,
 in two rounds, so a host with very many pages is no single task's work.
 
-From a host's wrapper follows which paths hold main text: those under
-``article`` or ``main`` if the wrapper has one, else the slots whose text varies
-between pages; never those in menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles.
+From a host's wrapper follows which paths may hold main text: those under
+``article`` or ``main``, and outside of them all slots but those whose text is
+the same on several different pages; of these, too, headings and paragraphs
+stay if texts vary beside them.  Never those in menus, headers, footers,
+sidebars, notices, adverts, forms, comments, scripts and styles.  Each page then
+decides: its text is that of its ``article`` or ``main``, if it has one that
+holds the bulk of it, else that of all its paths.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,6 +60,11 @@ BARRED = frozenset("head nav footer aside form script style title noscript templ
 BARRED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies respond disqus discussion toolbar pagination pager skip login search".split()
 )
+#: Words in the class or id of an ``article`` that is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Elements that hold running text, and those that only group them.
+BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th figcaption caption".split())
+GROUPS = frozenset("ul ol dl table thead tbody tfoot tr figure hgroup".split())
 #: Deeper elements count as part of the one at this depth.
 DEEPEST = 120
 
@@ -140,11 +150,12 @@ def events(page: str) -> Iterator[Event]:
 
 # --- expressions ------------------------------------------------------------
 #
-# An element is [key, optional, repeated, parts]; a text is [text or None, optional].
+# An element is [key, optional, repeated, parts]; a text is [text or None, optional, least, greatest],
+# the last two of the checksums of the pages that have it: they differ if it was seen on different pages.
 
 
 def _is_text(x: list) -> bool:
-    return len(x) == 2
+    return not isinstance(x[-1], list)
 
 
 def _name(x: list) -> str:
@@ -155,6 +166,7 @@ def expression(page: str) -> list:
     """A page as an element named ``""``."""
     root: list = ["", False, False, []]
     path, deep = [root], 0
+    own = zlib.crc32(page.encode("utf-8", "surrogatepass"))
     for kind, what in events(page):
         parts = path[-1][3]
         if kind == 0:
@@ -164,7 +176,7 @@ def expression(page: str) -> list:
             if parts and _is_text(parts[-1]):
                 parts[-1][0] = f"{parts[-1][0]} {text}"
             else:
-                parts.append([text, False])
+                parts.append([text, False, own, own])
         elif kind == 1:
             if len(path) >= DEEPEST:
                 deep += 1
@@ -210,7 +222,7 @@ def fold_repeats(parts: list[list], longest: int = 3) -> list[list]:
 def align(a: list, b: list) -> list:
     """The least expression here that both ``a`` and ``b`` (of equal name) fit."""
     if _is_text(a):
-        return [a[0] if a[0] == b[0] else None, a[1] or b[1]]
+        return [a[0] if a[0] == b[0] else None, a[1] or b[1], min(a[2], b[2]), max(a[3], b[3])]
     return [a[0], a[1] or b[1], a[2] or b[2], align_parts(a[3], b[3])]
 
 
@@ -239,7 +251,7 @@ def align_parts(a: list[list], b: list[list]) -> list[list]:
 
 
 def _optional(x: list) -> list:
-    return [x[0], True] if _is_text(x) else [x[0], True, *x[2:]]
+    return [x[0], True, *x[2:]]
 
 
 def to_pattern(x: list) -> str:
@@ -262,46 +274,66 @@ def _barred(key: str, inside: bool) -> bool:
     return any(w in BARRED_WORDS or any(p in BARRED_WORDS for p in _WORD.findall(w)) for w in words) and tag not in ("html", "body", "article", "main")
 
 
-def main_paths(wrapper: list) -> list[list[str]]:
-    """Paths (names from the root) whose own text is main text."""
-    found: list[tuple[list[str], bool, bool]] = []
-    todo = [(wrapper, [], False)]
+def _is_container(key: str) -> bool:
+    tag, *words = key.split(".")
+    return tag == "main" or (tag == "article" and COMMENT_WORDS.isdisjoint(words))
+
+
+def _region(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the element that holds the block at ``path`` and the blocks beside it."""
+    k = len(path)
+    while k and path[k - 1].split(".")[0] in BLOCKS | GROUPS:
+        k -= 1
+    return path[:k]
+
+
+def main_paths(wrapper: list) -> list[tuple[str, ...]]:
+    """Paths (names from the root) whose own text may be main text; :func:`extract` decides for each page."""
+    kept: set[tuple[str, ...]] = set()
+    varying: set[tuple[str, ...]] = set()
+    constant: set[tuple[str, ...]] = set()
+    todo = [(wrapper, (), False)]
     while todo:
         x, path, inside = todo.pop()
         for p in x[3]:
-            if _is_text(p):
-                found.append((path, inside, p[0] is None))
-            elif not _barred(p[0], inside):
-                todo.append((p, [*path, p[0]], inside or p[0].split(".")[0] in ("article", "main")))
-    if any(inside for _, inside, _ in found) or _has_container(wrapper):
-        keep = [path for path, inside, _ in found if inside]
-    else:
-        keep = [path for path, _, varies in found if varies] or [path for path, _, _ in found]
-    return sorted({tuple(p) for p in keep})
-
-
-def _has_container(wrapper: list) -> bool:
-    todo = [wrapper]
-    while todo:
-        x = todo.pop()
-        if x[0].split(".")[0] in ("article", "main"):
-            return True
-        todo += [p for p in x[3] if not _is_text(p)]
-    return False
+            if not _is_text(p):
+                if not _barred(p[0], inside):
+                    todo.append((p, (*path, p[0]), inside or _is_container(p[0])))
+            elif inside:
+                kept.add(path)
+            elif p[0] is None:
+                varying.add(path)
+            elif p[2] == p[3]:  # seen on one page, so nothing says that it is the template's
+                kept.add(path)
+            else:
+                constant.add(path)
+    regions = {_region(path) for path in varying}
+    beside = {path for path in constant if path and path[-1].split(".")[0] in BLOCKS and any(path[:k] in regions for k in range(len(path) + 1))}
+    outside = varying | beside
+    if not outside and not any(not any(map(_is_container, path)) for path in kept):
+        outside = constant
+    return sorted(kept | outside)
 
 
 def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
-    """The text at a page's main paths, block by block."""
-    blocks, now = [], []
+    """The text at a page's main paths, block by block.
+
+    If the page has a ``main``, or an ``article`` that isn't one of a list of
+    them, and its containers hold no less text than the blocks outside, only
+    the text in containers counts.
+    """
+    blocks: list[tuple[str, int | None, bool]] = []  # text, number of its outermost container, whether a heading, paragraph or the like
+    now: list[str] = []
     path: list[str] = []
-    deep = 0
+    boxes: list[tuple[str, ...]] = []
+    box_depth = deep = 0  # of the open container
     wanted = () in paths
 
     def end_block():
         if now:
             text = " ".join(html_lib.unescape("".join(now)).split())
             if text:
-                blocks.append(text)
+                blocks.append((text, len(boxes) if box_depth else None, bool(path) and path[-1].split(".")[0] in BLOCKS))
             now.clear()
 
     for kind, what in events(page or ""):
@@ -315,14 +347,24 @@ def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
                 deep += 1
                 continue
             path.append(what)
+            if not box_depth and _is_container(what):
+                boxes.append(tuple(path))
+                box_depth = len(path)
         elif deep:
             deep -= 1
             continue
         else:
+            if len(path) == box_depth:
+                box_depth = 0
             path.pop()
         wanted = tuple(path) in paths
     end_block()
-    return " ".join(blocks)
+    inside = [b for b in blocks if b[1] is not None]
+    filled = Counter(boxes[k - 1] for k in {b[1] for b in inside})
+    if any(n == 1 or where[-1].split(".")[0] == "main" for where, n in filled.items()):
+        if sum(len(b[0]) for b in inside) >= sum(len(b[0]) for b in blocks if b[1] is None and b[2]):
+            blocks = inside
+    return " ".join(b[0] for b in blocks)
 
 
 # --- on Spark ---------------------------------------------------------------

@@ -29,6 +29,33 @@ def test_main_text(spark):
     assert all(v[1] == len(want[k]) and v[2] == dict((r[0], r[1]) for r in rows)[k] for k, v in found.items())
 
 
+def texts(*pages):
+    """The texts of a host's pages."""
+    wrapper = X.expression(pages[0])
+    for p in pages[1:]:
+        wrapper = X.align(wrapper, X.expression(p))
+    paths = frozenset(X.main_paths(wrapper))
+    return [X.extract(p, paths) for p in pages]
+
+
+def test_each_page_decides_whether_it_has_a_container():
+    old = "<body><div class=content><h1>Old {0}</h1><p>text {0}</p><p>more {0}</p></div></body>"
+    assert texts(page("New", ["x"]), old.format(1), old.format(2)) == ["New x", "Old 1 text 1 more 1", "Old 2 text 2 more 2"]
+    # articles that are teasers or readers' comments don't replace the text beside them
+    teasers = "<div class=latest><article><p>one</p></article><article><p>two</p></article></div>"
+    comment = "<div class=thread><article class=comment><p>A reader says much more than the text does.</p></article></div>"
+    found = texts(*(f"<body><div class=content><h1>T{k}</h1><p>text {k}</p></div>{x}</body>" for k, x in enumerate([teasers, comment, "<article><p>see</p></article>"])))
+    assert all(t.startswith(f"T{k} text {k}") for k, t in enumerate(found))
+
+
+def test_constant_text_is_the_templates_only_if_pages_differ():
+    one = "<body><div class=content><h1>Title</h1><p>a</p><p>b</p><blockquote>alone</blockquote></div></body>"
+    assert texts(one) == ["Title a b alone"]
+    assert texts(one, one) == ["Title a b alone"] * 2
+    many = "<body><div class=top>My site</div><div class=content><h1>Title {0}</h1><p>the same</p></div></body>"
+    assert texts(many.format(1), many.format(2)) == ["Title 1 the same", "Title 2 the same"]
+
+
 def test_wrapper_has_slots_groups_and_options():
     pages = [page("A", ["x", "y"]), page("B", ["z"], extra="<aside>s</aside>")]
     wrapper = X.align(*(X.expression(p) for p in pages))
