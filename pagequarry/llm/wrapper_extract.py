@@ -60,8 +60,13 @@ BARRED = frozenset("head nav footer aside form script style title noscript templ
 BARRED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies respond disqus discussion toolbar pagination pager skip login search".split()
 )
+#: What may stand before or after these words in a name of several: ``site-footer``, ``comment-list``.
+BARRED_BEFORE = frozenset("site main top bottom left right primary secondary global mobile wp js the".split())
+BARRED_AFTER = frozenset("list lists section box wrapper wrap container area form bar block buttons button links link items item title thread posts articles message text".split())
 #: Words in the class or id of an ``article`` that is a reader's comment.
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Words of elements whose articles are comments or teasers, not the page's.
+LISTING_WORDS = COMMENT_WORDS | frozenset("related recommended sponsor sponsored promo".split())
 #: Elements that hold running text, and those that only group them.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th figcaption caption".split())
 GROUPS = frozenset("ul ol dl table thead tbody tfoot tr figure hgroup".split())
@@ -70,7 +75,7 @@ DEEPEST = 120
 
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD_BREAK = re.compile(r"[-_:]+")
 
 #: An event: (1, key) opens an element, (-1, key) closes it, (0, text) is text.
 Event = tuple[int, str]
@@ -267,11 +272,40 @@ def to_pattern(x: list) -> str:
 # --- what is main text ------------------------------------------------------
 
 
-def _barred(key: str, inside: bool) -> bool:
-    tag, *words = key.split(".")
-    if tag in BARRED or (tag == "header" and not inside):
+def _bars(name: str) -> bool:
+    """Whether a class or id says that an element holds no main text: by all its parts, not by one (``has-sidebar``)."""
+    if name in BARRED_WORDS:
         return True
-    return any(w in BARRED_WORDS or any(p in BARRED_WORDS for p in _WORD.findall(w)) for w in words) and tag not in ("html", "body", "article", "main")
+    parts = [p for p in _WORD_BREAK.split(name) if p]
+    while parts and parts[0] in BARRED_BEFORE:
+        del parts[0]
+    while parts and parts[-1] in BARRED_AFTER and parts[-1] not in BARRED_WORDS:
+        del parts[-1]
+    return bool(parts) and all(p in BARRED_WORDS for p in parts)
+
+
+def _barred(x: list, inside: bool) -> bool:
+    """Whether an element and all in it are no main text; never one around the page's ``main`` or ``article``."""
+    tag, *words = x[0].split(".")
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = [w for w in words if _bars(w)]
+    if not names and tag not in BARRED and (tag != "header" or inside):
+        return False
+    lists_articles = tag in ("aside", "nav", "footer") or any(not LISTING_WORDS.isdisjoint(_WORD_BREAK.split(w)) for w in names)
+    return not _holds_container(x, lists_articles)
+
+
+def _holds_container(x: list, only_main: bool) -> bool:
+    """Whether ``x`` holds a ``main`` or (unless ``only_main``) an ``article`` that isn't one of a list."""
+    todo = [x]
+    while todo:
+        for p in todo.pop()[3]:
+            if not _is_text(p):
+                if p[0].split(".")[0] == "main" or (not only_main and _is_container(p[0]) and not p[2]):
+                    return True
+                todo.append(p)
+    return False
 
 
 def _is_container(key: str) -> bool:
@@ -297,7 +331,7 @@ def main_paths(wrapper: list) -> list[tuple[str, ...]]:
         x, path, inside = todo.pop()
         for p in x[3]:
             if not _is_text(p):
-                if not _barred(p[0], inside):
+                if not _barred(p, inside):
                     todo.append((p, (*path, p[0]), inside or _is_container(p[0])))
             elif inside:
                 kept.add(path)

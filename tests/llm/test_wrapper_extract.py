@@ -56,6 +56,23 @@ def test_constant_text_is_the_templates_only_if_pages_differ():
     assert texts(many.format(1), many.format(2)) == ["Title 1 the same", "Title 2 the same"]
 
 
+def test_layout_names_bar_nothing():
+    for name in ("has-sidebar", "no-sidebar", "with-header", "ad-free", "menu-open", "post-header"):
+        assert texts(f"<body><div class='{name}'><article><h1>T</h1><p>text</p></article></div></body>") == ["T text"], name
+        assert texts(f"<body><article><div class='{name}'><h1>T</h1></div><p>text</p></article></body>") == ["T text"], name
+        assert texts(f"<body><div class='{name}'><h1>T</h1><p>text</p></div></body>") == ["T text"], name
+    for outer in ("div class=sidebar", "form id=page", "div class=banner-ad"):
+        assert texts(f"<body><{outer}><article><p>text</p></article></{outer.split()[0]}></body>") == ["text"], outer
+    assert texts("<body><aside><main><p>text</p></main></aside></body>") == ["text"]
+
+
+def test_names_of_several_words_bar():
+    for name in ("cookie-notice", "site-footer", "main-nav", "share_buttons", "comment-list", "related-posts"):
+        assert texts(f"<body><div><h1>T</h1><p>text</p></div><div class={name}><p>no</p></div></body>") == ["T text"], name
+    for name in ("comment-list", "related-posts", "comments"):
+        assert texts(f"<body><div><h1>T</h1><p>text</p></div><div class={name}><article><p>no</p></article></div></body>") == ["T text"], name
+
+
 def test_wrapper_has_slots_groups_and_options():
     pages = [page("A", ["x", "y"]), page("B", ["z"], extra="<aside>s</aside>")]
     wrapper = X.align(*(X.expression(p) for p in pages))
