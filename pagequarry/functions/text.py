@@ -151,7 +151,7 @@ def trim_line_ends(c: Column) -> Column:
 def dedent(c: Column) -> Column:
     """Without the white space that all non-blank lines start with."""
     lines = F.split(c, "\n")
-    widths = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", "")))
+    widths = F.transform(F.filter(lines, lambda x: ~x.rlike(r"^\s*$")), lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", "")))
     cut = F.coalesce(F.array_min(widths), F.lit(0))
     return F.array_join(F.transform(lines, lambda x: F.substr(x, cut + 1)), "\n")
 

@@ -56,7 +56,7 @@ def pages_by_language(spark, d):
     """SELECT page_id, CAST(NULL AS VARCHAR) AS reason FROM pages WHERE html IS NOT NULL"""
 )
 def input_validation(spark, d):
-    return _pages(spark, d).where("html is not null").select("page_id", T.invalid_reason(F.col("html")).alias("reason"))
+    return _pages(spark, d).select("page_id", T.invalid_reason(F.col("html")).alias("reason"))
 
 
 @query(
@@ -121,8 +121,7 @@ def chomp(spark, d):
     FROM (SELECT doc_id, '  ' || replace(text, E'\n', E'\n  ') AS s FROM documents WHERE NOT regexp_matches(text, '(^|\n)\s'))"""
 )
 def dedent(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|\n)\s"))
-    return docs.select("doc_id", T.dedent(F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.dedent(F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))).alias("text"))
 
 
 @query(
