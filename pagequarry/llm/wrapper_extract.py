@@ -73,8 +73,10 @@ GROUPS = frozenset("ul ol dl table thead tbody tfoot tr figure hgroup".split())
 #: Deeper elements count as part of the one at this depth.
 DEEPEST = 120
 
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
+_ATTRS = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(>|\Z)", re.S)
+_NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
 _WORD_BREAK = re.compile(r"[-_:]+")
 
 #: An event: (1, key) opens an element, (-1, key) closes it, (0, text) is text.

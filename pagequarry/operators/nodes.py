@@ -56,12 +56,14 @@ IMPLIED = {
 _IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 _P_SCOPE = frozenset("table td th caption button object".split())
 
+#: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
+ATTRS = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*+"""
 _TOKEN = re.compile(
     r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?P<close>>|\Z)",
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})(?P<close>>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
@@ -178,6 +180,8 @@ def parse(html: str, deepest: int = 400) -> list[list]:
             pop_to(k)
         if tag == "a" and (k := find(frozenset(["a"]), _P_SCOPE)) >= 0:
             pop_to(k, "a")
+        if tag in ("td", "th") and stack and stack[-1][6] in ("table", "thead", "tbody", "tfoot"):
+            push("tr", {})  # implied
         if active and tag not in BLOCK and tag not in RAW and tag not in _IMPLIED and tag not in ("table", "html", "head", "body", "meta", "link"):
             reopen()
         if tag in VOID:

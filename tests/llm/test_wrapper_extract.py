@@ -73,6 +73,11 @@ def test_names_of_several_words_bar():
         assert texts(f"<body><div><h1>T</h1><p>text</p></div><div class={name}><article><p>no</p></article></div></body>") == ["T text"], name
 
 
+def test_quotes_inside_tags():
+    assert texts("<body><p title=Bob's>one</p><p>two</p><p>it's three</p></body>") == ["one two it's three"]
+    assert texts("<body><p title='a>b' class=\"c>d\">one</p><p x=y='z>two</p></body>") == ["one two"]
+
+
 def test_wrapper_has_slots_groups_and_options():
     pages = [page("A", ["x", "y"]), page("B", ["z"], extra="<aside>s</aside>")]
     wrapper = X.align(*(X.expression(p) for p in pages))

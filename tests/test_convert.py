@@ -110,3 +110,22 @@ def test_declared_visitor(spark):
     assert run(spark, [page], extract_metadata=False, visitor=visitor) == ["</a|one **x**>\n\nCODE\n"]
     with pytest.raises(ValueError):
         Options(visitor={"no_such": {}})
+
+
+@pytest.mark.parametrize(
+    "page, content",
+    [
+        ("<p title=Bob's>one</p><p>two</p><p>it's three</p>", "one\n\ntwo\n\nit's three\n"),
+        ("<p title=Bob's>one</p><p>two</p>", "one\n\ntwo\n"),
+        ("<p title='a>b' class=\"c>d\">one</p><p x=y='z>two</p>", "one\n\ntwo\n"),
+    ],
+)
+def test_quotes_inside_tags(spark, page, content):
+    rows = convert(spark.createDataFrame([(1, page)], "doc_id long, html string"), Options(extract_metadata=False)).collect()
+    assert [r.content for r in rows] == [content]
+
+
+def test_cells_without_a_row(spark):
+    pages = ["<table><td>a<td>b</table>", "<table><tr><td>a<td>b</tr></table>", "<table><tbody><td>a</td><td>b</td></tbody></table>"]
+    rows = convert(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string"), Options(extract_metadata=False)).collect()
+    assert {r.content for r in rows} == {"| a   | b   |\n| --- | --- |\n"}, rows
