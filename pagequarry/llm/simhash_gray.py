@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,15 +54,19 @@ def fingerprint_of(text: str | None, shingle: int = 4, seed: int = 42, block: in
     return int(sum(1 << int(b) for b in bits))
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, fp``: the signed 64-bit fingerprint of every whole text."""
+    """``doc_id, text_key, fp``: a hash of every whole text, and its signed 64-bit fingerprint."""
 
     def run(batches):
         for batch in batches:
             values = [fingerprint_of(t, shingle, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _rotations(radius: int) -> list[tuple[int, int]]:
@@ -164,6 +168,14 @@ def links(entries: DataFrame, radius: int = 4, leaf: int = LEAF) -> DataFrame:
     return pairs.mapInArrow(run, "src long, dst long")
 
 
+def _placed(docs: DataFrame, radius: int, shingle: int, seed: int) -> DataFrame:
+    own = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
+    entries = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    joined = connected_components(links(entries.where("rep is not null"), radius))
+    named = entries.join(joined, entries["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(named, "fp")
+
+
 def components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs`` (``doc_id, text``; other columns are ignored).
 
@@ -172,15 +184,16 @@ def components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 4
     Rows with a null doc_id link nothing: they have the component of the documents
     with the same fingerprint, else a null one.
     """
-    own = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
-    entries = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = connected_components(links(entries.where("rep is not null"), radius))
-    named = entries.join(joined, entries["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _placed(docs, radius, shingle, seed).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component, all columns kept."""
-    found = components(docs, radius, shingle, seed)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id"))
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of their component, all columns kept.
+
+    A row goes if the component of its own text has a smaller doc_id, so rows that
+    share a doc_id are judged each by its text, and repeated rows of a kept document
+    stay all.  Rows with a null doc_id stay.  Null texts are one component with
+    empty ones.
+    """
+    drop = _placed(docs, radius, shingle, seed).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(drop, (docs["doc_id"] == F.col("_id")) & (_text_key(docs["text"]) == F.col("_key")), "left_anti")

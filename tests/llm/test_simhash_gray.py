@@ -78,5 +78,7 @@ def test_empty_and_repeated(spark, docs):
     assert sorted((r.doc_id, r.component_id) for r in S.components(twice).collect()) == [(5, 5), (5, 5), (9, 5)]
     nulls = docs(["a b c d e", "a b c d e", "only null"], ids=[None, 4, None])
     assert sorted(((r.doc_id, r.component_id) for r in S.components(nulls).collect()), key=str) == [(4, 4), (None, 4), (None, None)]
+    shared = docs(["copied text of five words", "another text that nobody has", "copied text of five words", "", None], ids=[2, 5, 5, 7, 8])
+    assert sorted((r.doc_id, r.text) for r in S.keep_one(shared).collect()) == [(2, "copied text of five words"), (5, "another text that nobody has"), (7, "")]
     kept = S.keep_one(twice)
     assert kept.columns == twice.columns and {r.doc_id for r in kept.collect()} == {5}
