@@ -13,6 +13,10 @@ holds more than one bucket of suffixes.
   one stretch of text.  A first pass finds the buckets that more than one
   document uses, and only their runs are sent on (each distinct run of a block
   once: a passage that very many documents share is as many rows as blocks).
+* Keys are mixed once more before they choose a bucket, as the smallest of many
+  hashes are themselves small.  A key with more than :data:`HOT_RUNS` runs is split:
+  its runs are cut where the second smallest hash changes, and both hashes together
+  are the key, which again depends on the suffix's first bytes alone.
 * Within a bucket equal runs are settled as wholes.  The suffixes of the others
   are compared by a difference cover: positions that are 1 or 2 modulo 3 are the
   cover sample, whose ranks over ``length - 2`` bytes are computed first, by
@@ -38,8 +42,8 @@ from .common import drop_stage, stage_table
 GRAM = 20
 #: Most suffixes in a run, text in a block and in a slice worked on at a time, and text behind a bucket.
 RUN, BLOCK_BYTES, SLICE_BYTES, BUCKET_BYTES = 64, 4 << 20, 1 << 20, 16 << 20
-#: Runs that are Python objects at a time.
-RUNS_AT_ONCE = 40_000
+#: Runs that are Python objects at a time, and most runs that a key has before it is split.
+RUNS_AT_ONCE, HOT_RUNS = 40_000, 20_000
 _KEY_BITS = 48
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -57,8 +61,23 @@ def _words(data: bytes) -> np.ndarray:
     return out
 
 
-def suffix_keys(data: bytes, length: int) -> np.ndarray:
-    """Bucket of the suffix at each position that has ``length`` bytes left."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Well spread numbers of :data:`_KEY_BITS` bits."""
+    h = (h ^ (h >> np.uint64(31))) * _C[2]
+    h = (h ^ (h >> np.uint64(29))) * _C[0]
+    return (h ^ (h >> np.uint64(32))) >> np.uint64(64 - _KEY_BITS)
+
+
+def _second(least: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """Smallest of the others that isn't ``least`` (all ones if there is none)."""
+    out = np.full(len(least), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for o in others:
+        out = np.minimum(out, np.where(o == least, np.iinfo(np.uint64).max, o).astype(np.uint64))
+    return out
+
+
+def suffix_keys(data: bytes, length: int, split: bool = False) -> np.ndarray:
+    """Key of the suffix at each position that has ``length`` bytes left; of both smallest hashes with ``split``."""
     w = _words(data)
     n = len(data) - GRAM + 1
     h = w[:n] * _C[0]
@@ -68,15 +87,18 @@ def suffix_keys(data: bytes, length: int) -> np.ndarray:
     h *= _C[3]
     h ^= h >> np.uint64(29)
     span, have = length - GRAM + 1, 1
-    while have * 2 <= span:
-        h = np.minimum(h[:-have], h[have:])
-        have *= 2
-    if have < span:
-        h = np.minimum(h[: len(h) - (span - have)], h[span - have :])
-    return h >> np.uint64(64 - _KEY_BITS)
-
-
-def runs_of(texts: list[bytes], length: int):
+    second = np.full(len(h), np.iinfo(np.uint64).max, dtype=np.uint64) if split else None
+    while have < span:
+        step = min(have, span - have)
+        least = np.minimum(h[:-step], h[step:])
+        if split:
+            second = _second(least, h[:-step], h[step:], second[:-step], second[step:])
+        h = least
+        have += step
+    return _mixed(_mixed(h) << np.uint64(64 - _KEY_BITS) ^ second) if split else _mixed(h)
+
+
+def runs_of(texts: list[bytes], length: int, split: bool = False):
     """Runs of a list of texts: (joined texts, key, first position, suffixes, number of the text), in order.
 
     Positions count from the start of the joined texts.
@@ -86,7 +108,7 @@ def runs_of(texts: list[bytes], length: int):
     if len(data) < length:
         none = np.empty(0, dtype=np.int64)
         return data, none.astype(np.uint64), none, none, none
-    keys = suffix_keys(data, length)
+    keys = suffix_keys(data, length, split)
     at = np.arange(len(keys))
     text = np.searchsorted(ends, at, side="right")
     whole = at + length <= ends[text]
@@ -179,7 +201,7 @@ def _by_bucket(keys: np.ndarray, n: int):
 
 
 def _used_keys(blocks: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """``bucket, block, packed``: the keys of each block, and whether more than one of its texts has them."""
+    """``bucket, block, packed``: the keys of each block, whether more than one of its texts has them, and in how many runs."""
 
     def run(batches):
         for batch in batches:
@@ -195,11 +217,12 @@ def _used_keys(blocks: DataFrame, n_buckets: int, length: int) -> DataFrame:
                 k, t = k[order], t[order]
                 new = np.diff(k, prepend=-1) != 0
                 cuts = np.flatnonzero(new)
-                several = t[np.append(cuts[1:], len(k)) - 1] != t[cuts]
+                ends = np.append(cuts[1:], len(k))
+                several, n = t[ends - 1] != t[cuts], ends - cuts
                 k = k[cuts]
                 rows = _by_bucket(k, n_buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([_pack(k[a:z], several[a:z]) for _, a, z in rows], pa.binary())],
+                    [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([_pack(k[a:z], several[a:z], n[a:z]) for _, a, z in rows], pa.binary())],
                     names=["bucket", "block", "packed"],
                 )
 
@@ -207,29 +230,32 @@ def _used_keys(blocks: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
 
 def _shared_keys(used: DataFrame) -> DataFrame:
-    """``block, packed``: of each block's keys, those that another text has too."""
+    """``block, packed``: of each block's keys, those that another text has too, and whether they are to be split."""
 
     def run(group: pa.Table) -> pa.Table:
         blocks = group.column("block").to_pylist()
         parts = [_unpack(x.as_py())[0] for x in group.column("packed")]
         keys = np.concatenate([p[0] for p in parts])
         several = np.concatenate([p[1] for p in parts]) > 0
+        n_runs = np.concatenate([p[2] for p in parts])
         owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        del parts
         order = np.argsort(keys, kind="stable")
-        keys, several, owner = keys[order], several[order], owner[order]
+        keys, several, owner, n_runs = keys[order], several[order], owner[order], n_runs[order]
         cuts = np.flatnonzero(np.diff(keys, prepend=-1))
-        shared = np.logical_or.reduceat(several, cuts) | (np.diff(np.append(cuts, len(keys))) > 1)
-        shared = np.repeat(shared, np.diff(np.append(cuts, len(keys))))
-        keys, owner = keys[shared], owner[shared]
+        users = np.diff(np.append(cuts, len(keys)))
+        shared = np.repeat(np.logical_or.reduceat(several, cuts) | (users > 1), users)
+        hot = np.repeat(np.add.reduceat(n_runs, cuts) > HOT_RUNS, users)
+        keys, owner, hot = keys[shared], owner[shared], hot[shared]
         order = np.lexsort((keys, owner))
-        keys, owner = keys[order], owner[order]
+        keys, owner, hot = keys[order], owner[order], hot[order]
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         ends = np.append(cuts[1:], len(keys))
         return pa.table(
             {
                 "block": pa.array([blocks[owner[a]] for a in cuts], pa.int32()),
                 "n": pa.array((ends - cuts).tolist(), pa.int64()),
-                "packed": pa.array([_pack(keys[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+                "packed": pa.array([_pack(keys[a:b], hot[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
             }
         )
 
@@ -240,6 +266,21 @@ def _shared_keys(used: DataFrame) -> DataFrame:
 _SPANS = -1
 
 
+def _split_runs(data: bytes, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray, text: np.ndarray, split: np.ndarray, length: int):
+    """The runs, those marked by ``split`` cut to runs of longer keys."""
+    own = np.flatnonzero(split)
+    joined, k, s, n, which = runs_of([data[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist())], length, split=True)
+    before = np.concatenate(([0], np.cumsum(stops[own] - starts[own])))[which]
+    first = starts[own][which] + s - before
+    left = ~split
+    return (
+        np.concatenate((keys[left], k.astype(np.int64))),
+        np.concatenate((starts[left], first)),
+        np.concatenate((stops[left], first + n + length - 1)),
+        np.concatenate((text[left], text[own][which])),
+    )
+
+
 def _shared_runs(blocks: DataFrame, shared: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """``bucket, block, packed``: each distinct run of a block with a shared key once, and spans (bucket -1) of the others."""
 
@@ -248,7 +289,9 @@ def _shared_runs(blocks: DataFrame, shared: DataFrame, n_buckets: int, length: i
         if left.num_rows and right.num_rows:
             block = left.column("block")[0].as_py()
             ids, texts = _block(left.column("packed")[0].as_py())
-            wanted = np.sort(np.concatenate([_unpack(x.as_py())[0][0] for x in right.column("packed")]))
+            wanted, hot = (np.concatenate(c) for c in zip(*(_unpack(x.as_py())[0] for x in right.column("packed"))))
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], hot[order] > 0
             seen: dict[bytes, int] = {}
             numbers, stretches, spans = [], [], []
             for base, part in _slices(texts):
@@ -256,7 +299,10 @@ def _shared_runs(blocks: DataFrame, shared: DataFrame, n_buckets: int, length: i
                 keys = keys.astype(np.int64)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 use = wanted[at] == keys
+                split = hot[at[use]]
                 keys, starts, stops, text = keys[use], starts[use], starts[use] + counts[use] + length - 1, text[use]
+                if split.any():
+                    keys, starts, stops, text = _split_runs(data, keys, starts, stops, text, split, length)
                 owners = ids[text + base]
                 # Texts come by ascending doc_id, so the first that has a stretch is the earliest.
                 first = np.array([seen.setdefault(data[a:b], o) == o for a, b, o in zip(starts.tolist(), stops.tolist(), owners.tolist())], dtype=bool)
@@ -486,7 +532,7 @@ def strip(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
     firsts = own.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     total = firsts.where(F.col("n_bytes") >= length).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    n_buckets = max(1, min(1 << 14, math.ceil(total / BUCKET_BYTES)))
+    n_buckets = max(1, math.ceil(total / BUCKET_BYTES))
     blocks = stage_table(_pack_blocks(docs, firsts.where(F.col("n_bytes") >= length), n_blocks, length), "text-blocks")
     shared = stage_table(_shared_keys(_used_keys(blocks, n_buckets, length)), "shared-keys")
     runs = stage_table(_shared_runs(blocks, shared.select("block", "packed"), n_buckets, length), "shared-runs")

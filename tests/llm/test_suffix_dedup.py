@@ -50,8 +50,28 @@ def test_runs_hold_every_suffix_once(texts):
     assert found == want and counts.max(initial=1) <= S.RUN
 
 
-@pytest.mark.parametrize("small", [False, True])
+@given(st.binary(min_size=50, max_size=400).map(lambda b: bytes(c % 2 for c in b)), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_split_keys_depend_on_the_suffix_alone(data, lead):
+    least, both = S.suffix_keys(data, 50), S.suffix_keys(data, 50, split=True)
+    again = S.suffix_keys(b"\7" * lead + data, 50, split=True)[lead:]
+    assert (both == again).all() and len(least) == len(both) == len(data) - 49
+    # Both hashes say more than the least alone.
+    of: dict[int, int] = {}
+    assert all(of.setdefault(b, a) == a for a, b in zip(least.tolist(), both.tolist()))
+
+
+def test_buckets_are_even():
+    data = np.random.default_rng(3).integers(97, 123, 400_000, dtype=np.uint8).tobytes()
+    keys = np.unique(S.suffix_keys(data, 50))
+    counts = np.bincount(S._bucket(keys, 32), minlength=32)
+    assert counts.max() < 1.2 * len(keys) / 32 and counts.min() > 0.8 * len(keys) / 32
+
+
+@pytest.mark.parametrize("small", [False, True, "hot"])
 def test_against_brute_force(spark, docs, monkeypatch, small):
+    if small == "hot":
+        monkeypatch.setattr(S, "HOT_RUNS", 2)
     if small:
         for name, value in (("BLOCK_BYTES", 4000), ("SLICE_BYTES", 1500), ("BUCKET_BYTES", 6000), ("RUNS_AT_ONCE", 50)):
             monkeypatch.setattr(S, name, value)
