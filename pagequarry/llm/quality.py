@@ -16,8 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,50 +85,65 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
+def _spread(text: Column, most: int, slices: int = 8) -> Column:
+    """A text of at most ``most`` characters, or as many in slices spread evenly from its start to its end."""
+    size = most // slices
+    step = (F.length(text) - size) / (slices - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(parts, ""))
+
+
+def _dictionary(samples: list[str], size: int) -> bytes:
+    """A zstandard dictionary of texts, or where they are too few to train on, pieces from all over them."""
+    data = [s.encode("utf-8", "surrogatepass") for s in samples if s]
+    try:
+        return zstandard.train_dictionary(size, data).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        joined = b"".join(data)
+        piece = max(1, size // 64)
+        if len(joined) > size:
+            joined = b"".join(joined[k : k + piece] for k in np.linspace(0, len(joined) - piece, size // piece).astype(int).tolist())
+        return joined or b" " * 64
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_bytes: int = 1 << 17, sample_chars: int = 1 << 14, level: int = 3, block: int = 1 << 11) -> Model:
     """Learn from ``documents`` (``doc_id, text``) and ``labels`` (``doc_id, label``; other labels than 0 and 1 are left out).
 
-    A bounded sample is enough here and only here: ``per_class`` labels of each
-    kind, chosen by hash of doc_id, and of their texts at most ``sample_chars``
-    characters.  The ids are chosen before any text is read, so the documents
-    are filtered by a broadcast of at most ``2 * per_class`` ids and never
-    shuffled.  The odd half of the sample builds the dictionaries, the even
-    half calibrates.  With a class missing every score is the other class's share.
+    A bounded sample of labelled rows is enough here and only here: ``per_class``
+    of each kind, chosen by hash of doc_id.  The ids are chosen before any text is
+    read, so the documents are filtered by a broadcast of at most ``2 * per_class``
+    ids and never shuffled.  The odd half of the sample builds the dictionaries,
+    from at most ``sample_chars`` characters of a text, spread all over it.  The even
+    half calibrates, by the sizes of its whole texts, worked out in tasks.  With a
+    class missing every score is the other class's share.
     """
-    labels = labels.where("label in (0, 1)").select("doc_id", "label")
+    labels = labels.where("label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = [labels.where(F.col("label") == k).select("doc_id", "label", order.alias("h")).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
+    chosen = chosen[0].unionByName(chosen[1]).withColumn("odd", F.pmod(F.shiftright("h", 7), F.lit(2)) == 1)
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
-    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id is one sample
-    rows = sorted(((r["label"], r["h"], r["doc_id"], r["text"]) for r in texts.collect()), key=lambda r: r[:3])
-    texts = {k: [t for label, _, _, t in rows if label == k] for k in (0, 1)}
-
-    def dictionary(samples: list[str]) -> bytes:
-        data = [s.encode("utf-8", "surrogatepass") for s in samples if s]
-        parts, size = [], 0
-        for d in data:  # the samples themselves, a slice of each, are the dictionary's content
-            take = d[: max(64, dictionary_bytes // max(1, len(data)))]
-            parts.append(take)
-            size += len(take)
-            if size >= dictionary_bytes:
-                break
-        content = b"".join(parts)[:dictionary_bytes]
-        try:
-            return zstandard.train_dictionary(dictionary_bytes, data).as_bytes()
-        except (zstandard.ZstdError, ValueError):  # too few samples to train on
-            return content or b" " * 64
-
-    good, bad = dictionary(texts[1][1::2]), dictionary(texts[0][1::2])
-    if not texts[0] or not texts[1]:
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    drawn = texts.where("odd").select("label", "h", "doc_id", _spread(F.col("text"), sample_chars).alias("text"))
+    drawn = drawn.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id is one sample
+    rows = sorted(((r["label"], r["h"], r["doc_id"], r["text"]) for r in drawn.collect()), key=lambda r: r[:3])
+    good, bad = (_dictionary([t for label, _, _, t in rows if label == k], dictionary_bytes) for k in (1, 0))
+
+    def sizes(batches):
+        sizer = _Sizer(good, bad, level, block)
+        for batch in batches:
+            found = [sizer.sizes(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64())], names=["label", "h", "doc_id", "a", "b"])
+
+    measured = texts.where("not odd").select("label", "h", "doc_id", "text").mapInArrow(sizes, "label int, h long, doc_id long, a double, b double")
+    measured = measured.groupBy("label", "h", "doc_id").agg(F.min(F.struct("a", "b")).alias("s")).collect()
+    measured = sorted((r["label"], r["h"], r["doc_id"], r["s"]["a"], r["s"]["b"]) for r in measured)
+    y = np.array([float(r[0]) for r in measured])
+    if len(set(y.tolist())) < 2:
         share = 1.0 if total == 0 else shares.get(1, 0) / total
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(good, bad, (0.0, 0.0), (1.0, 1.0), (0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))), level, block)
-    sizer = _Sizer(good, bad, level, block)
-    y = np.array([float(k) for k in (0, 1) for _ in texts[k][::2]])
-    x = np.array([sizer.sizes(t) for k in (0, 1) for t in texts[k][::2]])
+    x = np.array([r[3:] for r in measured])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     each = {k: shares[k] / total / int((y == k).sum()) * len(y) for k in (0, 1)}  # the classes' true shares
     weights = _logistic(_terms(x, mean, scale), y, np.where(y == 1, each[1], each[0]))
@@ -155,7 +171,7 @@ def learn(documents: DataFrame, labels: DataFrame, folds: int = 5, **options) ->
     return fit(documents, known, **options)
 
 
-def held_out(folds: int = 5):
+def held_out(folds: int = 5) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds == 0
 
 
