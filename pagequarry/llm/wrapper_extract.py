@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -70,7 +71,7 @@ LISTING_WORDS = COMMENT_WORDS | frozenset("related recommended sponsor sponsored
 #: Elements that hold running text, and those that only group them.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th figcaption caption".split())
 GROUPS = frozenset("ul ol dl table thead tbody tfoot tr figure hgroup".split())
-#: Deeper elements count as part of the one at this depth.
+#: Deeper elements count as part of the one at this depth, but those that are barred by name stay so.
 DEEPEST = 120
 
 #: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
@@ -169,16 +170,33 @@ def _name(x: list) -> str:
     return "#" if _is_text(x) else x[0]
 
 
+class _Below:
+    """Elements below :data:`DEEPEST`: how many are open, and since which of them all is barred."""
+
+    def __init__(self):
+        self.open, self.barred = 0, 0
+
+    def enter(self, key: str) -> None:
+        self.open += 1
+        if not self.barred and _barred_by_name(key, True):
+            self.barred = self.open
+
+    def leave(self) -> None:
+        if self.open == self.barred:
+            self.barred = 0
+        self.open -= 1
+
+
 def expression(page: str) -> list:
     """A page as an element named ``""``."""
     root: list = ["", False, False, []]
-    path, deep = [root], 0
+    path, deep = [root], _Below()
     own = zlib.crc32(page.encode("utf-8", "surrogatepass"))
     for kind, what in events(page):
         parts = path[-1][3]
         if kind == 0:
             text = " ".join(what.split())
-            if not text:
+            if not text or deep.barred:
                 continue
             if parts and _is_text(parts[-1]):
                 parts[-1][0] = f"{parts[-1][0]} {text}"
@@ -186,13 +204,13 @@ def expression(page: str) -> list:
                 parts.append([text, False, own, own])
         elif kind == 1:
             if len(path) >= DEEPEST:
-                deep += 1
+                deep.enter(what)
                 continue
             element: list = [what, False, False, []]
             parts.append(element)
             path.append(element)
-        elif deep:
-            deep -= 1
+        elif deep.open:
+            deep.leave()
         else:
             done = path.pop()
             done[3] = fold_repeats(done[3])
@@ -233,27 +251,54 @@ def align(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], align_parts(a[3], b[3])]
 
 
+def _last_row(x: list[int], y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and each prefix of ``y``."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for name in x:
+        row[1:] = np.maximum(np.where(y == name, row[:-1] + 1, 0), row[1:])
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in linear space: halves of ``x`` are matched with the best cut of ``y``."""
+    number: dict[str, int] = {}
+    x_of = [number.setdefault(n, len(number)) for n in x]
+    y_of = np.array([number.setdefault(n, len(number)) for n in y], dtype=np.int64)
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x_of[a] == y_of[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x_of[b - 1] == y_of[d - 1]:
+            out.append((b - 1, d - 1))
+            b, d = b - 1, d - 1
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            found = np.flatnonzero(y_of[c:d] == x_of[a])
+            if len(found):
+                out.append((a, c + int(found[0])))
+            continue
+        half = (a + b) // 2
+        cut = c + int(np.argmax(_last_row(x_of[a:half], y_of[c:d]) + _last_row(x_of[half:b][::-1], y_of[c:d][::-1])[::-1]))
+        todo += [(a, half, c, cut), (half, b, cut, d)]
+    return sorted(out)
+
+
 def align_parts(a: list[list], b: list[list]) -> list[list]:
     """Align two sequences by their longest common subsequence of names; the rest is optional."""
     x, y = [_name(p) for p in a], [_name(p) for p in b]
     if x == y:
         return [align(p, q) for p, q in zip(a, b)]
-    lengths = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            lengths[i][j] = lengths[i + 1][j + 1] + 1 if x[i] == y[j] else max(lengths[i + 1][j], lengths[i][j + 1])
     out: list[list] = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(align(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and lengths[i + 1][j] >= lengths[i][j + 1]):
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
+    for p, q in [*_common(x, y), (len(x), len(y))]:
+        out += [_optional(e) for e in a[i:p]] + [_optional(e) for e in b[j:q]]
+        if p < len(x):
+            out.append(align(a[p], b[q]))
+        i, j = p + 1, q + 1
     return fold_repeats(out)
 
 
@@ -286,14 +331,19 @@ def _bars(name: str) -> bool:
     return bool(parts) and all(p in BARRED_WORDS for p in parts)
 
 
+def _barred_by_name(key: str, inside: bool) -> bool:
+    tag, *words = key.split(".")
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return tag in BARRED or (tag == "header" and not inside) or any(map(_bars, words))
+
+
 def _barred(x: list, inside: bool) -> bool:
     """Whether an element and all in it are no main text; never one around the page's ``main`` or ``article``."""
-    tag, *words = x[0].split(".")
-    if tag in ("html", "body", "article", "main"):
+    if not _barred_by_name(x[0], inside):
         return False
+    tag, *words = x[0].split(".")
     names = [w for w in words if _bars(w)]
-    if not names and tag not in BARRED and (tag != "header" or inside):
-        return False
     lists_articles = tag in ("aside", "nav", "footer") or any(not LISTING_WORDS.isdisjoint(_WORD_BREAK.split(w)) for w in names)
     return not _holds_container(x, lists_articles)
 
@@ -362,7 +412,7 @@ def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
     now: list[str] = []
     path: list[str] = []
     boxes: list[tuple[str, ...]] = []
-    box_depth = deep = 0  # of the open container
+    box_depth, deep = 0, _Below()  # the depth of the open container
     wanted = () in paths
 
     def end_block():
@@ -374,20 +424,20 @@ def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
 
     for kind, what in events(page or ""):
         if kind == 0:
-            if wanted:
+            if wanted and not deep.barred:
                 now.append(what)
             continue
         end_block()
         if kind == 1:
             if len(path) >= DEEPEST - 1:
-                deep += 1
+                deep.enter(what)
                 continue
             path.append(what)
             if not box_depth and _is_container(what):
                 boxes.append(tuple(path))
                 box_depth = len(path)
-        elif deep:
-            deep -= 1
+        elif deep.open:
+            deep.leave()
             continue
         else:
             if len(path) == box_depth:

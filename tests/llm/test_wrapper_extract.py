@@ -113,3 +113,21 @@ def test_very_deep_and_long():
 
 def test_no_pages(spark):
     assert X.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_common_parts_are_a_longest_subsequence(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    found = X._common(x, y)
+    assert len(found) == best[-1][-1] and all(x[i] == y[j] for i, j in found)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_barred_elements_at_any_depth():
+    page = "<div>" * 130 + "<nav>MENU</nav><p>text</p><div class=sidebar>more<p>links</p></div>" + "</div>" * 130 + "<p>after</p>"
+    paths = frozenset(X.main_paths(X.expression(page)))
+    assert X.extract(page, paths) == "text after"
