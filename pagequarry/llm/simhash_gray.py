@@ -4,10 +4,11 @@ Fingerprints within ``radius`` differing bits are linked; documents reachable
 through links form a component.  The index is exact: no link is missed.
 
 * Exact copies of a fingerprint are one entry (a partial aggregation).
-* The bits are cut into ``radius + 1`` blocks.  Two linked fingerprints agree
-  on a whole block at least, so one index per rotation with that block in front
-  suffices, and its top nodes (equal front block) accumulate no difference.
-* Below a top node, entries are sorted by the Gray rank of the rotated bits and
+* The bits are cut into ``radius + c`` blocks.  Two linked fingerprints agree on
+  ``c`` whole blocks at least, so one index for each choice of ``c`` blocks put in
+  front suffices, and its top nodes (equal fronts) accumulate no difference.  The
+  more fingerprints, the more blocks, so that a front stays about a leaf's size.
+* Below a top node, entries are sorted by the Gray rank of the reordered bits and
   cut into leaves.  A leaf's parent node keeps the bits all its members share
   (``mask`` and ``shared``).  Pairs of nodes whose shared bits already differ in
   more than ``radius`` places are pruned whole; the survivors are searched in
@@ -18,12 +19,14 @@ through links form a component.  The index is exact: no link is missed.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import connected_components, stage_table
 
@@ -69,35 +72,92 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def _rotations(radius: int) -> list[tuple[int, int]]:
-    """(left rotation that brings a block to the front, its width) of each block."""
-    width, rest = divmod(64, radius + 1)
-    widths = [width + (k < rest) for k in range(radius + 1)]
-    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+def _fronts(radius: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """For each choice of ``blocks - radius`` blocks: the bits' order, as pieces (first bit from the left, width), the front pieces first."""
+    width, rest = divmod(64, blocks)
+    widths = [width + (k < rest) for k in range(blocks)]
+    pieces = [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+    chosen = combinations(range(blocks), blocks - radius)
+    return [[pieces[k] for k in front] + [p for k, p in enumerate(pieces) if k not in front] for front in chosen]
+
+
+def _front_bits(radius: int, blocks: int) -> int:
+    return min(sum(w for _, w in order[: blocks - radius]) for order in _fronts(radius, blocks))
+
+
+def blocks_for(n: int, radius: int, leaf: int = LEAF, most: int = 4) -> int:
+    """Blocks to cut the bits into, so that ``n`` fingerprints spread over fronts of about a leaf each.
+
+    Every further block makes fronts longer and their choices more: 5, 15, 35 and
+    70 indexes for ``radius`` 4, with fronts of 12, 20, 27 and 32 bits.
+    """
+    for extra in range(1, most + 1):
+        if n >> _front_bits(radius, radius + extra) <= leaf:
+            break
+    return radius + extra
+
 
+def _in_order(order: list[tuple[int, int]]) -> Column:
+    """The fingerprint's bits in another order."""
+    code, at = F.lit(0).cast("long"), 0
+    for first, width in order:
+        piece = F.shiftrightunsigned(F.shiftleft("fp", first) if first else F.col("fp"), 64 - width)
+        code, at = code.bitwiseOR(F.shiftleft(piece, 64 - at - width)), at + width
+    return code
 
-def _gray_rank(bits):
-    """Rank of a code word in the reflected Gray sequence (a prefix XOR), as a column."""
-    for k in (1, 2, 4, 8, 16, 32):
-        bits = bits.bitwiseXOR(F.shiftrightunsigned(bits, k))
-    return bits
 
+def leaf_nodes(entries: DataFrame, radius: int, blocks: int, leaf: int = LEAF) -> DataFrame:
+    """Nodes of all indexes: ``index_no, front, leaf_no, mask, shared, fps, reps``.
 
-def leaf_nodes(entries: DataFrame, radius: int, leaf: int = LEAF) -> DataFrame:
-    """Nodes of all rotated indexes: ``rotation, front, leaf_no, mask, shared, fps, reps``."""
+    Entries are dealt and sorted by range of (index, front, Gray rank); a leaf ends
+    where it is full and at the border of a front or range, so no task holds a front.
+    """
     rows = []
-    for k, (turn, width) in enumerate(_rotations(radius)):
-        code = F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn)) if turn else F.col("fp")
-        rows.append(F.struct(F.lit(k).alias("rotation"), F.shiftrightunsigned(code, 64 - width).alias("front"), _gray_rank(code).alias("rank")))
-    each = entries.select("fp", "rep", F.explode(F.array(*rows)).alias("r")).select("fp", "rep", "r.rotation", "r.front", "r.rank")
-    # Within a front block the ranks' signs agree, but unsigned order is asked for over all: flip the top bit.
-    order = W.partitionBy("rotation", "front").orderBy(F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
-    numbered = each.withColumn("leaf_no", F.floor((F.row_number().over(order) - 1) / leaf).cast("int"))
-    return numbered.groupBy("rotation", "front", "leaf_no").agg(
-        F.bit_and("fp").alias("shared"),
-        F.bitwise_not(F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("mask"),
-        F.sort_array(F.collect_list(F.struct("rank", "fp", "rep"))).alias("members"),
-    )
+    for k, order in enumerate(_fronts(radius, blocks)):
+        code, front = _in_order(order), sum(w for _, w in order[: blocks - radius])
+        rows.append(F.struct(F.lit(k).alias("index_no"), F.lit(64 - front).alias("behind"), code.alias("code")))
+    each = entries.select("fp", "rep", F.explode(F.array(*rows)).alias("r")).select("r.index_no", F.expr("shiftrightunsigned(r.code, r.behind)").alias("front"), F.col("r.code").alias("rank"), "fp", "rep")
+    for k in (1, 2, 4, 8, 16, 32):  # the rank of a code word in the reflected Gray sequence is a prefix XOR
+        each = each.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", k)))
+    each = each.select("index_no", "front", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))).alias("rank"), "fp", "rep")  # ranks compare as unsigned numbers
+    ordered = each.repartitionByRange("index_no", "front", "rank").sortWithinPartitions("index_no", "front", "rank")
+
+    def cut(batches):
+        part, made, kept = TaskContext.get().partitionId(), 0, None
+
+        def nodes(rows: pa.RecordBatch, last: bool):
+            nonlocal made, kept
+            index_no, front, fps, reps = (np.asarray(rows.column(k)) for k in (0, 1, 3, 4))
+            new = (np.diff(index_no, prepend=-1) != 0) | (np.diff(front, prepend=-1) != 0)
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(front)))
+            pieces = -(-sizes // leaf)
+            which = np.repeat(np.arange(len(starts)), pieces)
+            starts = starts[which] + leaf * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            ends = np.append(starts[1:], len(front))
+            kept = None
+            if not last and len(starts):  # the last one may go on in the next batch
+                kept = rows.slice(int(starts[-1]))
+                starts, ends = starts[:-1], ends[:-1]
+            if not len(starts):
+                return
+            n = int(ends[-1])
+            low, high = np.bitwise_and.reduceat(fps[:n], starts), np.bitwise_or.reduceat(fps[:n], starts)
+            offsets = pa.array(np.append(starts, n).astype(np.int32))
+            numbers = (np.int64(part) << np.int64(40)) + made + np.arange(len(starts))
+            made += len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(index_no[starts]), pa.array(front[starts]), pa.array(numbers), pa.array(low), pa.array(~(low ^ high)), pa.ListArray.from_arrays(offsets, pa.array(fps[:n])), pa.ListArray.from_arrays(offsets, pa.array(reps[:n]))],
+                names=["index_no", "front", "leaf_no", "shared", "mask", "fps", "reps"],
+            )
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from nodes(batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0], False)
+        if kept is not None:
+            yield from nodes(kept, True)
+
+    return ordered.mapInArrow(cut, "index_no int, front long, leaf_no long, shared long, mask long, fps array<long>, reps array<long>")
 
 
 def _inner_nodes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +200,12 @@ def linked_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tupl
     return forest
 
 
-def links(entries: DataFrame, radius: int = 4, leaf: int = LEAF) -> DataFrame:
+def links(entries: DataFrame, radius: int = 4, leaf: int = LEAF, blocks: int | None = None) -> DataFrame:
     """``src, dst``: links between ``rep`` ids of ``entries`` (``fp, rep``), enough to join every component."""
-    nodes = leaf_nodes(entries, radius, leaf)
-    nodes = stage_table(nodes.select("rotation", "front", "leaf_no", "shared", "mask", F.col("members.fp").alias("fps"), F.col("members.rep").alias("reps")), "gray-nodes")
-    right = nodes.select("rotation", "front", *(F.col(c).alias(f"{c}_b") for c in ("leaf_no", "shared", "mask", "fps", "reps")))
+    nodes = stage_table(leaf_nodes(entries, radius, blocks or blocks_for(entries.count(), radius, leaf), leaf), "gray-nodes")
+    right = nodes.select("index_no", "front", *(F.col(c).alias(f"{c}_b") for c in ("leaf_no", "shared", "mask", "fps", "reps")))
     differ = F.bit_count(F.col("mask").bitwiseAND(F.col("mask_b")).bitwiseAND(F.col("shared").bitwiseXOR(F.col("shared_b"))))
-    pairs = nodes.join(right, ["rotation", "front"]).where((F.col("leaf_no") <= F.col("leaf_no_b")) & (differ <= radius))
+    pairs = nodes.join(right, ["index_no", "front"]).where((F.col("leaf_no") <= F.col("leaf_no_b")) & (differ <= radius))
     # A single entry has no partner within its own leaf.
     pairs = pairs.where((F.col("leaf_no") < F.col("leaf_no_b")) | (F.size("fps") > 1))
     pairs = pairs.select((F.col("leaf_no") == F.col("leaf_no_b")).alias("same"), "fps", "reps", F.when(F.col("leaf_no") < F.col("leaf_no_b"), F.col("fps_b")).alias("fps_b"), F.when(F.col("leaf_no") < F.col("leaf_no_b"), F.col("reps_b")).alias("reps_b"))

@@ -68,8 +68,15 @@ def test_leaves_of_any_size_find_the_same(spark, docs):
     entries = spark.createDataFrame(prints, "fp long, rep long").dropDuplicates(["fp"])
     from pagequarry.llm.common import connected_components
 
-    found = [sorted(map(tuple, connected_components(S.links(entries, 4, leaf)).collect())) for leaf in (4, 512)]
-    assert found[0] == found[1] and found[0]
+    found = [sorted(map(tuple, connected_components(S.links(entries, 4, leaf, blocks)).collect())) for leaf, blocks in ((4, None), (512, 5), (16, 6), (8, 7))]
+    assert found[0] == found[1] == found[2] == found[3] and found[0]
+
+
+def test_more_blocks_for_more_fingerprints():
+    assert [S.blocks_for(n, 4) for n in (0, 250_000, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+    for blocks in (5, 6, 7):
+        for order in S._fronts(4, blocks):
+            assert sorted(b for first, width in order for b in range(first, first + width)) == list(range(64))
 
 
 def test_empty_and_repeated(spark, docs):
