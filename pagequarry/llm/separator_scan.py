@@ -134,4 +134,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, eod: int, block: int
     """
     docs_in = write_flat(docs, path, pattern, eod)
     counts = scan(docs_in.select("file").distinct(), eod, block)
-    return docs_in.join(counts, ["file", "doc_no"]).select("doc_id", "start", "n_tokens")
+    # Both sides have a row a document: they are merged by a short key, and neither is ever broadcast.
+    key = F.xxhash64("file").alias("_file")
+    sides = docs_in.select(key, "doc_no", "doc_id").hint("merge"), counts.select(key, "doc_no", "start", "n_tokens")
+    return sides[0].join(sides[1], ["_file", "doc_no"]).select("doc_id", "start", "n_tokens")
