@@ -71,17 +71,24 @@ class _Sizer:
         return (bad - good) / n, good / n
 
 
-def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights by Newton steps."""
-    beta = np.zeros(a.shape[1])
-    for _ in range(80):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights by Newton steps, each halved until the loss falls; ``ridge`` bounds them where the classes part cleanly."""
+
+    def loss(beta: np.ndarray) -> float:
+        z = a @ beta
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * beta @ beta)
+
+    beta, now = np.zeros(a.shape[1]), loss(np.zeros(a.shape[1]))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ beta, -40, 40)))
         gradient = a.T @ (weight * (y - p)) - ridge * beta
         hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
-        beta += step
-        if np.abs(step).max() < 1e-9:
+        while (after := loss(beta + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if np.abs(step).max() < 1e-8 or after > now:
             break
+        beta, now = beta + step, after
     return beta
 
 

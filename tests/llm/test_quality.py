@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from pagequarry.llm import quality as Q
 
 SF = "/root/testdata/sf0.01"
@@ -14,6 +16,16 @@ def test_held_out_accuracy(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_fit_where_the_classes_part_cleanly():
+    rng = np.random.default_rng(2)
+    y = np.repeat([0.0, 1.0], [300, 1500])
+    sizes = np.stack((np.where(y == 1, 0.2, -0.2) + rng.normal(0, 0.01, len(y)), np.full(len(y), 0.5)), axis=1)
+    for scale in (1e-9, 0.05):
+        terms = Q._terms(sizes, sizes.mean(axis=0), np.maximum(sizes.std(axis=0), scale))
+        z = terms @ Q._logistic(terms, y, np.ones(len(y)))
+        assert ((z > 0) == (y == 1)).all() and np.isfinite(z).all()
+
+
 def test_folds(spark):
     rows = spark.range(0, 200).selectExpr("id AS doc_id").select("doc_id", Q.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
