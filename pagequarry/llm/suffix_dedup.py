@@ -491,9 +491,10 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), n
 
 
-def _apply(blocks: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
-    """``doc_id, h, n_removed, n_spans, kept`` of the documents in the blocks."""
-    kind = pa.string() if digest else pa.binary()
+def _apply(blocks: DataFrame, spans: DataFrame, what: str) -> DataFrame:
+    """``doc_id, h, n_removed, n_spans, kept`` of the documents in the blocks; ``kept`` is ``what`` says: bytes, digest or text."""
+    show = {"bytes": lambda x: x, "digest": lambda x: hashlib.sha256(x).hexdigest(), "text": lambda x: x.decode("utf-8", "ignore")}[what]
+    kind = pa.binary() if what == "bytes" else pa.string()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "h", "n_removed", "n_spans", "kept"]
@@ -508,11 +509,11 @@ def _apply(blocks: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
                     found.setdefault(text, []).append((a, b))
             for k, (doc_id, text) in enumerate(zip(ids.tolist(), texts)):
                 kept, n = _cut(text, sorted(found[k])) if k in found else (text, 0)
-                rows.append((doc_id, hashes[32 * k : 32 * k + 32], len(text) - len(kept), n, hashlib.sha256(kept).hexdigest() if digest else kept))
+                rows.append((doc_id, hashes[32 * k : 32 * k + 32], len(text) - len(kept), n, show(kept)))
         columns = list(zip(*rows)) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    schema = f"doc_id long, h binary, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
+    schema = f"doc_id long, h binary, n_removed long, n_spans long, kept {'binary' if what == 'bytes' else 'string'}"
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -520,15 +521,17 @@ def _text_hash(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def strip(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs`` (``doc_id, text``).
+def _stripped(docs: DataFrame, length: int, what: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept, row`` of every row; ``row`` has the columns to ``carry``.
 
-    ``kept`` is what is left, as bytes, or with ``digest`` its SHA-256 in hex.
-    Null texts are empty.  Rows with the same doc_id don't remove from each
-    other; rows with a null doc_id are left whole and remove nothing.
+    Texts travel in blocks and from there to their rows; only those that are in no block stay with them.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = stage_table(docs.select("doc_id", _text_hash(F.col("text")).alias("h"), F.octet_length("text").cast("long").alias("n_bytes")), "text-hashes")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.struct(*carry) if carry else F.lit(None)).alias("row"))
+    size = F.octet_length("text").cast("long")
+    own = docs.select("doc_id", _text_hash(F.col("text")).alias("h"), size.alias("n_bytes"), "row", F.when((size < length) | F.col("doc_id").isNull(), F.col("text")).alias("short"))
+    own = stage_table(own, "text-hashes")
+    docs = docs.drop("row")
     firsts = own.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     total = firsts.where(F.col("n_bytes") >= length).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
@@ -539,43 +542,44 @@ def strip(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
     drop_stage(shared)
     spans = stage_table(_covered_runs(runs, length).unionByName(runs.where(F.col("bucket") == _SPANS).select("block", "packed")), "spans")
     drop_stage(runs)
-    done = _apply(blocks, spans, digest)
+    done = _apply(blocks, spans, what)
     left = own.join(firsts.select("h", F.col("doc_id").alias("first_id")), "h", "left").alias("l")
     joined = left.join(done.alias("d"), (F.col("l.doc_id") == F.col("d.doc_id")) & (F.col("l.h") == F.col("d.h")), "left")
     copy = (F.col("l.doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
-    nothing = F.lit(hashlib.sha256(b"").hexdigest()) if digest else F.lit(bytearray())
-    whole = F.lower(F.hex("l.h")) if digest else None  # a row without blocks keeps its own text
-    out = joined.select(
+    # A row without blocks keeps its own text.
+    nothing = {"bytes": F.lit(bytearray()), "digest": F.lit(hashlib.sha256(b"").hexdigest()), "text": F.lit("")}[what]
+    whole = {"bytes": F.encode("short", "UTF-8"), "digest": F.lower(F.hex("l.h")), "text": F.col("short")}[what]
+    return joined.select(
         F.col("l.doc_id").alias("doc_id"),
-        F.col("l.h").alias("h"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, nothing).otherwise(F.coalesce("kept", whole) if digest else F.col("kept")).alias("kept"),
+        F.when(copy, nothing).otherwise(F.coalesce("kept", whole)).alias("kept"),
+        "row",
     )
-    return out
+
+
+def strip(docs: DataFrame, length: int = 50) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs`` (``doc_id, text``); ``kept`` is what is left, as bytes.
+
+    Null texts are empty.  Rows with the same doc_id don't remove from each
+    other; rows with a null doc_id are left whole and remove nothing.
+    """
+    return _stripped(docs, length, "bytes").drop("row")
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
-    return strip(docs, length, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    """:func:`strip` with the SHA-256 in hex of what is left, ``kept_sha256``."""
+    return _stripped(docs, length, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with the repeats cut out of ``text``; documents of which nothing is left go.
 
-    A cut may fall inside a character; the bytes that are left of it go too.
+    A cut may fall inside a character; the bytes that are left of it go too.  Null
+    texts stay null, and texts that were empty stay.
     """
-    texts = strip(docs, length).where("n_removed > 0")
     names = [c for c in docs.columns if c != "text"]
-    base = docs.withColumn("_h", _text_hash(F.coalesce("text", F.lit(""))))
-
-    def decode(batches):
-        for batch in batches:
-            text = [x.as_py().decode("utf-8", "ignore") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["_id", "_g", "_kept"])
-
-    cut = texts.select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"]).mapInArrow(decode, "_id long, _g binary, _kept string")
-    joined = base.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    text = F.coalesce("_kept", "text").alias("text")
-    kept = joined.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    return kept.select(*(text if c == "text" else F.col(c) for c in docs.columns)) if names else kept.select(text)
+    found = _stripped(docs.withColumn("_null", F.col("text").isNull()), length, "text", (*names, "_null"))
+    text = F.when(~F.col("row._null"), F.col("kept")).alias("text")
+    return found.where("n_removed = 0 or kept <> ''").select(*(text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
