@@ -57,6 +57,29 @@ def invalid_reason(html: Column) -> Column:
     )
 
 
+def decode_utf16(c: Column) -> Column:
+    """Text whose bytes are UTF-16, decoded; any other as it is.
+
+    It is if at least a fifth of its first 8,192 bytes are NUL, nine in ten of them at
+    even or at odd places.  (Bytes with a byte order mark are no valid text; the
+    reading of files sees to them.)
+    """
+    data = F.encode(c, "UTF-8")
+    sample = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
+    first, second = (F.length(F.regexp_replace(sample, p, "$1")) for p in (r"(?s)(\x00).|..?", r"(?s).(\x00)|..?"))
+    n = first + second
+    many = (n >= 2) & (n * 5 >= F.length(sample)) & (F.length(sample) >= 4)
+    pairs = F.substring(data, F.lit(1), (F.octet_length(data) - F.octet_length(data) % 2).cast("int"))
+    # Halves of characters outside the first plane would fail to decode one by one; texts with them stay as they are.
+    whole = ~F.decode(data, "ISO-8859-1").rlike(r"[\xd8-\xdf]")
+    nul = F.contains(c, F.lit("\u0000"))
+    return (
+        F.when(nul & many & whole & (second * 10 >= n * 9), F.decode(pairs, "UTF-16LE"))
+        .when(nul & many & whole & (first * 10 >= n * 9), F.decode(pairs, "UTF-16BE"))
+        .otherwise(c)
+    )
+
+
 def strip_nul(c: Column) -> Column:
     return F.replace(c, F.lit("\u0000"), F.lit(""))
 

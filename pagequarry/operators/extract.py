@@ -1,4 +1,8 @@
-"""Headers, links, images and metadata from nodes."""
+"""Headers, links, images and metadata of documents.
+
+Each is an expression over a document's ``nodes``; the functions that take
+documents (see :func:`pagequarry.operators.nodes.parse_documents`) give a row each.
+"""
 
 from __future__ import annotations
 
@@ -7,182 +11,227 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
+from pagequarry.operators.nodes import below, built_once, let, text_in, within
+
+_HEADINGS = tuple(f"h{k}" for k in range(1, 7))
+
+
+def _attr(n: Column, name: str) -> Column:
+    return F.coalesce(n["attrs"][name], F.lit(""))
+
+
+def _attributes(n: Column) -> Column:
+    return F.transform_values(n["attrs"], lambda k, v: F.coalesce(v, F.lit("")))
+
+
+def label(n: Column) -> Column:
+    """An element's text on one line."""
+    return T.one_line(text_in(n))
+
+
+def _rows(documents: DataFrame, found: Column) -> DataFrame:
+    return documents.select("doc_id", F.inline(found))
+
+
+def elements(*tags: str) -> Column:
+    return F.filter("nodes", lambda n: n["tag"].isin(*tags))
+
+
+# --- expressions ----------------------------------------------------------------
+
+
+@built_once
+def headers_of() -> Column:
+    def header(n: Column) -> Column:
+        return F.struct(n["id"].alias("node_id"), F.substring(n["tag"], 2, 1).cast("int").alias("level"), label(n).alias("text"), n["attrs"]["id"].alias("id"), n["depth"].alias("depth"))
+
+    return F.transform(elements(*_HEADINGS), header)
+
+
+@built_once
+def links_of(autolinks: bool = False) -> Column:
+    """Links with a target; those written ``<url>`` and those around a heading only with ``autolinks``."""
+
+    def link(n: Column) -> Column:
+        href = _attr(n, "href")
+        return F.struct(
+            n["id"].alias("node_id"), href.alias("href"), label(n).alias("text"), n["attrs"]["title"].alias("title"), T.link_type(href).alias("link_type"),
+            T.word_list(_attr(n, "rel")).alias("rel"), _attributes(n).alias("attributes"), F.exists(below(n), lambda x: (x["kind"] == "tag") & x["tag"].isin(*_HEADINGS)).alias("_heads"),
+        )
+
+    found = F.transform(F.filter("nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], F.lit("href"))), link)
+    if not autolinks:
+        found = F.filter(found, lambda x: ~x["_heads"] & ~((x["text"] == x["href"]) & T.has_scheme(x["href"])) & ~(F.concat(F.lit("mailto:"), x["text"]) == x["href"]))
+    return F.transform(found, lambda x: x.dropFields("_heads"))
+
+
+@built_once
+def images_of() -> Column:
+    def image(n: Column) -> Column:
+        src = _attr(n, "src")
+        size = {k: F.try_to_number(F.regexp_extract(_attr(n, k), r"^\s*(\d{1,9})\s*$", 1), F.lit("999999999")).cast("int") for k in ("width", "height")}
+        both = size["width"].isNotNull() & size["height"].isNotNull()
+        return F.struct(
+            n["id"].alias("node_id"), src.alias("src"), n["attrs"]["alt"].alias("alt"), n["attrs"]["title"].alias("title"), F.when(both, size["width"]).alias("width"),
+            F.when(both, size["height"]).alias("height"), T.image_type(src).alias("image_type"), _attributes(n).alias("attributes"),
+        )
+
+    return F.transform(F.filter("nodes", lambda n: (n["tag"] == "img") & (_attr(n, "src") != "")), image)
+
+
+@built_once
+def inline_images_of() -> Column:
+    def picture(x: Column) -> Column:
+        return let(T.data_uri(x["src"]), lambda d: F.struct(x["node_id"].alias("node_id"), d["format"].alias("format"), d["data"].alias("data"), x["alt"].alias("description"), d["skipped"].alias("skipped")))
+
+    return F.transform(F.filter(images_of(), lambda x: x["image_type"] == "data_uri"), picture)
+
+
+@built_once
+def json_ld_of(most_bytes: int = 1_000_000) -> Column:
+    scripts = F.filter("nodes", lambda n: (n["tag"] == "script") & (F.lower(F.trim(_attr(n, "type"))) == "application/ld+json"))
+    listed = F.filter(F.transform(scripts, lambda n: F.struct(n["id"].alias("node_id"), F.trim(text_in(n)).alias("raw_json"))), lambda x: x["raw_json"] != "")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<node_id:int,raw_json:string>>").alias("kept"))
+
+    def take(a: Column, x: Column) -> Column:
+        size = a["used"] + F.octet_length(x["raw_json"])
+        return F.struct(F.when(size > most_bytes, a["used"]).otherwise(size).alias("used"), F.when(size > most_bytes, a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))
 
+    return F.transform(F.aggregate(listed, start, take)["kept"], lambda x: x.withField("schema_type", T.json_ld_type(x["raw_json"])))
 
-def _attr(name: str) -> Column:
-    return F.coalesce(F.col("attrs")[name], F.lit(""))
 
+def head_entries_of() -> Column:
+    """``node_id, key, value``: title, metas, canonical link and base."""
 
-def inner_text(nodes: DataFrame, *tags: str) -> DataFrame:
-    """``doc_id, owner, text``: the text in each element of some tags, on one line."""
-    texts = nodes.where("kind = 'text'").select("doc_id", "id", "text", F.explode(F.filter("path", lambda p: p["tag"].isin(*tags))).alias("p"))
-    joined = texts.groupBy("doc_id", F.col("p.id").alias("owner")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "").alias("text"))
-    return joined.select("doc_id", "owner", T.one_line(F.col("text")).alias("text"))
+    def entry(n: Column) -> Column:
+        tag = n["tag"]
+        name = F.lower(F.coalesce(n["attrs"]["name"], n["attrs"]["property"], n["attrs"]["http-equiv"]))
+        key = (
+            F.when((tag == "meta") & F.map_contains_key(n["attrs"], F.lit("content")), F.concat(F.lit("meta-"), F.nullif(name, F.lit(""))))
+            .when((tag == "link") & F.array_contains(T.word_list(F.lower(_attr(n, "rel"))), "canonical"), F.lit("canonical"))
+            .when(tag == "base", F.lit("base-href"))
+            .when((tag == "title") & ~within(n, "svg"), F.lit("title"))
+        )
+        value = F.when(tag == "meta", n["attrs"]["content"]).when(tag == "title", label(n)).otherwise(n["attrs"]["href"])
+        return F.struct(n["id"].alias("node_id"), key.alias("key"), value.alias("value"))
+
+    said = F.transform(elements("meta", "link", "base", "title"), entry)
+    return F.filter(said, lambda e: e["key"].isNotNull() & e["value"].isNotNull() & (e["value"] != ""))
+
+
+def _as_map(entries: Column) -> Column:
+    """Entries (``node_id, key, value``) as a map; of a key that comes twice the later counts."""
+    last = lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda o: (o["key"] == e["key"]) & (o["node_id"] > e["node_id"])))
+    return let(entries, lambda all_: F.map_from_entries(F.transform(last(all_), lambda e: F.struct(e["key"], e["value"]))))
+
+
+@built_once
+def head_map_of() -> Column:
+    return _as_map(head_entries_of())
+
+
+@built_once
+def document_of() -> Column:
+    """Title, description, keywords, author, canonical URL, base, language, direction, and maps of the rest."""
+    k = lambda e: F.lower(F.replace(F.regexp_replace(e["key"], "^meta-", ""), F.lit(":"), F.lit("-")))
 
+    def routed(e: Column) -> Column:
+        key = k(e)
+        route = (
+            F.when(key.isin("title", "dc.title", "dcterms.title"), "title")
+            .when(key.isin("description", "dc.description", "dcterms.description"), "description")
+            .when(key.isin("keywords", "keyword", "dc.subject"), "keywords")
+            .when(key.isin("author", "creator", "publisher", "dc.creator", "dc.publisher"), "author")
+            .when(key == "canonical", "canonical_url")
+            .when(key.isin("base-href", "base"), "base_href")
+            .when(key.startswith("og-"), "open_graph")
+            .when(key.startswith("twitter-"), "twitter_card")
+            .otherwise("meta_tags")
+        )
+        return F.struct(e["node_id"].alias("node_id"), F.regexp_replace(key, "^(og|twitter)-", "").alias("key"), key.alias("k"), e["value"].alias("value"), route.alias("route"))
+
+    def built(all_: Column) -> Column:
+        of = lambda name: F.filter(all_, lambda e: e["route"] == name)
+        last = lambda name: F.try_element_at(of(name), F.lit(-1))["value"]
+        first_author = F.get(F.array_sort(F.transform(of("author"), lambda e: F.struct(e["k"], e["node_id"], e["value"]))), F.lit(0))["value"]
+        roots = elements("html", "head", "body")
+        language = F.get(F.filter(roots, lambda n: n["attrs"]["lang"].isNotNull()), F.lit(0))["attrs"]["lang"]
+        direction = F.get(F.filter(F.transform(roots, lambda n: F.lower(n["attrs"]["dir"])), lambda d: d.isin("ltr", "rtl", "auto")), F.lit(0))
+        return F.struct(
+            last("title").alias("title"),
+            last("description").alias("description"),
+            F.coalesce(T.comma_list(last("keywords")), F.array().cast("array<string>")).alias("keywords"),
+            first_author.alias("author"),
+            last("canonical_url").alias("canonical_url"),
+            last("base_href").alias("base_href"),
+            language.alias("language"),
+            direction.alias("text_direction"),
+            *(_as_map(of(name)).alias(name) for name in ("open_graph", "twitter_card", "meta_tags")),
+        )
+
+    return let(F.transform(head_entries_of(), routed), built)
 
-def headers(nodes: DataFrame) -> DataFrame:
+
+# --- rows -----------------------------------------------------------------------
+
+
+def headers(documents: DataFrame) -> DataFrame:
     """``doc_id, node_id, level, text, id, depth`` of every heading, ``depth`` counted from the root."""
-    names = [f"h{k}" for k in range(1, 7)]
-    tags = nodes.where(F.col("tag").isin(*names)).select(
-        "doc_id", F.col("id").alias("node_id"), F.substring("tag", 2, 1).cast("int").alias("level"), F.col("attrs")["id"].alias("id"), "depth"
-    )
-    texts = inner_text(nodes, *names).withColumnRenamed("owner", "node_id")
-    return tags.join(texts, ["doc_id", "node_id"]).select("doc_id", "node_id", "level", "text", "id", "depth")
+    return _rows(documents, headers_of())
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(documents: DataFrame, autolinks: bool = False) -> DataFrame:
     """``doc_id, node_id, href, text, title, link_type, rel, attributes`` of every link with a target."""
-    tags = nodes.where((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href")))
-    texts = inner_text(nodes, "a").withColumnRenamed("owner", "node_id")
-    href = _attr("href")
-    tags = tags.select(
-        "doc_id",
-        F.col("id").alias("node_id"),
-        href.alias("href"),
-        F.col("attrs")["title"].alias("title"),
-        T.link_type(href).alias("link_type"),
-        T.word_list(_attr("rel")).alias("rel"),
-        F.transform_values("attrs", lambda k, v: F.coalesce(v, F.lit(""))).alias("attributes"),
-    )
-    joined = tags.join(texts, ["doc_id", "node_id"], "left")
-    return joined.select("doc_id", "node_id", "href", F.coalesce("text", F.lit("")).alias("text"), "title", "link_type", "rel", "attributes")
-
-
-def images(nodes: DataFrame) -> DataFrame:
+    return _rows(documents, links_of(autolinks))
+
+
+def images(documents: DataFrame) -> DataFrame:
     """``doc_id, node_id, src, alt, title, width, height, image_type, attributes`` of every image with a source."""
-    src = _attr("src")
-    tags = nodes.where((F.col("tag") == "img") & (src != ""))
-    size = {n: F.try_to_number(F.regexp_extract(_attr(n), r"^\s*(\d{1,9})\s*$", 1), F.lit("999999999")).cast("int") for n in ("width", "height")}
-    both = size["width"].isNotNull() & size["height"].isNotNull()
-    return tags.select(
-        "doc_id",
-        F.col("id").alias("node_id"),
-        src.alias("src"),
-        F.col("attrs")["alt"].alias("alt"),
-        F.col("attrs")["title"].alias("title"),
-        F.when(both, size["width"]).alias("width"),
-        F.when(both, size["height"]).alias("height"),
-        T.image_type(src).alias("image_type"),
-        F.transform_values("attrs", lambda k, v: F.coalesce(v, F.lit(""))).alias("attributes"),
-    )
-
-
-def inline_images(nodes: DataFrame) -> DataFrame:
+    return _rows(documents, images_of())
+
+
+def inline_images(documents: DataFrame) -> DataFrame:
     """``doc_id, node_id, format, data, description, skipped`` of every image in a ``data:`` URI."""
-    found = images(nodes).where("image_type = 'data_uri'").withColumn("d", T.data_uri(F.col("src")))
-    return found.select("doc_id", "node_id", F.col("d.format").alias("format"), F.col("d.data").alias("data"), F.col("alt").alias("description"), F.col("d.skipped").alias("skipped"))
+    return _rows(documents, inline_images_of())
 
 
-def json_ld(nodes: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
+def json_ld(documents: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
     """``doc_id, node_id, raw_json, schema_type`` of the JSON-LD blocks that fit the document's budget.
 
     A block goes if it, or the sum of the blocks accepted before it and itself,
     is over ``most_bytes``; smaller ones after it may still be accepted.
     """
-    owner = F.try_element_at("path", F.lit(-1))
-    scripts = nodes.where((F.col("tag") == "script") & (F.lower(F.trim(_attr("type"))) == "application/ld+json")).select("doc_id", F.col("id").alias("node_id"))
-    texts = nodes.where((F.col("kind") == "text") & (owner["tag"] == "script")).select("doc_id", owner["id"].alias("node_id"), F.trim("text").alias("raw_json"))
-    blocks = scripts.join(texts, ["doc_id", "node_id"]).where("raw_json <> ''")
-    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "raw_json"))).alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ids"))
-    def take(a: Column, x: Column) -> Column:
-        size = a["used"] + F.octet_length(x["raw_json"])
-        return F.struct(
-            F.when(size > most_bytes, a["used"]).otherwise(size).cast("long").alias("used"),
-            F.when(size > most_bytes, a["ids"]).otherwise(F.array_append(a["ids"], x["node_id"])).alias("ids"),
-        )
-
-    kept = F.aggregate("b", start, take)["ids"]
-    rows = listed.select("doc_id", kept.alias("kept"), F.explode("b").alias("x")).where(F.array_contains("kept", F.col("x.node_id")))
-    return rows.select("doc_id", F.col("x.node_id").alias("node_id"), F.col("x.raw_json").alias("raw_json"), T.json_ld_type(F.col("x.raw_json")).alias("schema_type"))
+    return _rows(documents, json_ld_of(most_bytes))
 
 
-def head_entries(nodes: DataFrame) -> DataFrame:
-    """``doc_id, node_id, key, value``: title, metas, canonical link and base of a head."""
-    tag = F.col("tag")
-    name = F.lower(F.coalesce(F.col("attrs")["name"], F.col("attrs")["property"], F.col("attrs")["http-equiv"]))
-    key = (
-        F.when((tag == "meta") & F.map_contains_key("attrs", F.lit("content")), F.concat(F.lit("meta-"), F.nullif(name, F.lit(""))))
-        .when((tag == "link") & F.array_contains(T.word_list(F.lower(_attr("rel"))), "canonical"), F.lit("canonical"))
-        .when((tag == "base"), F.lit("base-href"))
-    )
-    value = F.when(tag == "meta", F.col("attrs")["content"]).otherwise(F.col("attrs")["href"])
-    metas = nodes.where(tag.isin("meta", "link", "base")).select("doc_id", F.col("id").alias("node_id"), key.alias("key"), value.alias("value"))
-    titles = inner_text(nodes.where(~F.exists("path", lambda p: p["tag"] == "svg")), "title").select("doc_id", F.col("owner").alias("node_id"), F.lit("title").alias("key"), F.col("text").alias("value"))
-    return metas.unionByName(titles).where("key is not null and value is not null and value <> ''")
-
-
-def head_map(nodes: DataFrame) -> DataFrame:
+def head_map(documents: DataFrame) -> DataFrame:
     """``doc_id, meta``: the head as a map; of a key that comes twice the later counts."""
-    last = head_entries(nodes).groupBy("doc_id", "key").agg(F.max_by("value", "node_id").alias("value"))
-    return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
-
-
-def document_metadata(nodes: DataFrame) -> DataFrame:
-    """One row a document: title, description, keywords, author, canonical URL, base, language, direction, and maps of the rest."""
-    e = head_entries(nodes).withColumn("k", F.lower(F.replace(F.regexp_replace("key", "^meta-", ""), F.lit(":"), F.lit("-"))))
-    k = F.col("k")
-    route = (
-        F.when(k.isin("title", "dc.title", "dcterms.title"), "title")
-        .when(k.isin("description", "dc.description", "dcterms.description"), "description")
-        .when(k.isin("keywords", "keyword", "dc.subject"), "keywords")
-        .when(k.isin("author", "creator", "publisher", "dc.creator", "dc.publisher"), "author")
-        .when(k == "canonical", "canonical_url")
-        .when(k.isin("base-href", "base"), "base_href")
-        .when(k.startswith("og-"), "open_graph")
-        .when(k.startswith("twitter-"), "twitter_card")
-        .otherwise("meta_tags")
-    )
-    e = e.withColumn("route", route)
-
-    def one(name: str) -> Column:
-        return F.max_by(F.when(F.col("route") == name, F.col("value")), F.when(F.col("route") == name, F.col("node_id")))
-
-    def many(name: str, cut: str) -> Column:
-        entry = F.struct("node_id", F.regexp_replace("k", cut, "").alias("key"), "value")
-        listed = F.array_sort(F.collect_list(F.when(F.col("route") == name, entry)))
-        # Of equal keys the last counts.
-        return F.aggregate(
-            listed,
-            F.create_map().cast("map<string,string>"),
-            lambda m, x: F.map_concat(F.map_filter(m, lambda a, _: a != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(x["value"]))),
-        )
+    return documents.select("doc_id", head_map_of().alias("meta"))
+
 
-    said = e.groupBy("doc_id").agg(
-        one("title").alias("title"),
-        one("description").alias("description"),
-        one("keywords").alias("keywords"),
-        F.min_by(F.when(F.col("route") == "author", F.col("value")), F.when(F.col("route") == "author", F.col("k"))).alias("author"),
-        one("canonical_url").alias("canonical_url"),
-        one("base_href").alias("base_href"),
-        many("open_graph", "^og-").alias("open_graph"),
-        many("twitter_card", "^twitter-").alias("twitter_card"),
-        many("meta_tags", "^$").alias("meta_tags"),
-    )
-    roots = nodes.where(F.col("tag").isin("html", "head", "body"))
-    direction = F.lower(F.col("attrs")["dir"])
-    first = roots.groupBy("doc_id").agg(
-        F.min_by(F.col("attrs")["lang"], F.when(F.col("attrs")["lang"].isNotNull(), F.col("id"))).alias("language"),
-        F.min_by(direction, F.when(direction.isin("ltr", "rtl", "auto"), F.col("id"))).alias("text_direction"),
-    )
-    out = said.join(first, "doc_id", "full")
-    return out.withColumn("keywords", F.coalesce(T.comma_list(F.col("keywords")), F.array().cast("array<string>")))
+def document_metadata(documents: DataFrame) -> DataFrame:
+    """One row a document: ``doc_id`` and the fields of :func:`document_of`."""
+    return documents.select("doc_id", document_of().alias("m")).select("doc_id", "m.*")
 
 
 def header_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
 
 
-def sections(nodes: DataFrame) -> DataFrame:
+def sections(documents: DataFrame) -> DataFrame:
     """``doc_id, node_id, level, text, parent_id``: each heading with the nearest one before it of a lower level.
 
     The open sections are a stack: a heading closes those of its level or deeper.
     """
-    listed = headers(nodes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "level", "text"))).alias("h"))
-    rows = listed.select("doc_id", "h", F.posexplode("h").alias("k", "x"))
-    above = F.filter(F.slice("h", 1, F.col("k")), lambda y: y["level"] < F.col("x.level"))
-    # The nearest lower one before; any lower level in between would have come later in this list.
-    return rows.select("doc_id", F.col("x.node_id").alias("node_id"), F.col("x.level").alias("level"), F.col("x.text").alias("text"), F.try_element_at(above, F.lit(-1))["node_id"].alias("parent_id"))
+
+    def placed(all_: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            above = F.filter(F.slice(all_, F.lit(1), k), lambda y: y["level"] < x["level"])
+            return F.struct(x["node_id"], x["level"], x["text"], F.try_element_at(above, F.lit(-1))["node_id"].alias("parent_id"))
+
+        return F.transform(all_, one)
+
+    return _rows(documents, let(headers_of(), placed))
 
 
 def reference_numbers(found: DataFrame) -> DataFrame:

@@ -5,18 +5,19 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.operators.nodes import built_once, let
 from pagequarry.plans.options import CALLBACKS, Options
 
 # What marks navigation and noise.
 NAV_ROLES = ("navigation", "menubar", "tablist", "toolbar")
-NAV_LABELS = ("navigation", "menu", "breadcrumb", "table of contents", "toc")
+NAV_LABELS = ("navigation", "menu", "contents", "table of contents", "toc")
 NAV_WORDS = tuple(
-    "nav navbar navigation navigation-bar main-nav site-nav site-navigation menu main-menu menubar sidebar side-bar sidebar-nav breadcrumb breadcrumbs toc table-of-contents pagination pager topbar top-bar header-nav footer-nav skip-link skip-nav subnav sub-nav tabs toolbar".split()
+    """nav navigation navbar breadcrumbs breadcrumb toc sidebar sidenav menu menubar mainmenu subnav tabs tablist toolbar pager pagination
+    skipnav skip-link skiplinks site-nav site-menu site-header site-footer topbar bottombar masthead vector-nav vector-header vector-footer""".split()
 )
-NOISE_WORDS = tuple("ad ads advert advertisement banner cookie cookie-banner popup promo share social sponsor".split())
+NOISE_WORDS = tuple("cookie consent gdpr banner advertisement ad-container advert social-share share-buttons popup modal-overlay newsletter-signup".split())
 #: Elements whose inside is never shown.
 UNSEEN = tuple("head script style title template noscript".split())
 
@@ -24,32 +25,36 @@ _SELECTOR = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w:-]+(?:\s*=\s*
 _PART = re.compile(r"([.#])([\w-]+)|\[([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\]\s]+))?\]")
 
 
-def _words(name: str) -> Column:
-    value = F.lower(F.translate(F.coalesce(F.col("attrs")[name], F.lit("")), "_:./", "----"))
-    return F.split(value, r"\s+")
+def _value(node: Column, name: str) -> Column:
+    return F.coalesce(node["attrs"][name], F.lit(""))
 
 
-def _has_word(words: tuple[str, ...]) -> Column:
-    wanted = F.array(*map(F.lit, words))
-    return F.arrays_overlap(_words("class"), wanted) | F.arrays_overlap(_words("id"), wanted)
+def _has_word(node: Column, name: str, words: tuple[str, ...]) -> Column:
+    """Whether a word of an attribute, with ``_ : . /`` as hyphens, is one of some."""
+    value = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.translate(_value(node, name), "_:./", "----")), r"\s+", " "), F.lit(" "))
+    return (_value(node, name) != "") & value.rlike(f" ({'|'.join(words)}) ")
 
 
-def navigation_hint() -> Column:
-    role = F.lower(F.coalesce(F.col("attrs")["role"], F.lit("")))
-    label = F.lower(F.coalesce(F.col("attrs")["aria-label"], F.lit("")))
-    said = F.lit(False)
-    for phrase in NAV_LABELS:
-        said = said | label.contains(phrase)
-    return role.isin(*NAV_ROLES) | said | _has_word(NAV_WORDS)
+def navigation_hint(node: Column) -> Column:
+    label = _value(node, "aria-label")
+    said = (label != "") & F.lower(label).rlike("|".join(NAV_LABELS))
+    return _has_word(node, "role", NAV_ROLES) | said | _has_word(node, "class", NAV_WORDS) | _has_word(node, "id", NAV_WORDS)
 
 
-def is_dropped(options: Options) -> Column:
-    """Elements that preprocessing removes with all they hold; the first rule that fits decides."""
+def noise_hint(node: Column) -> Column:
+    return _has_word(node, "class", NOISE_WORDS) | _has_word(node, "id", NOISE_WORDS)
+
+
+def is_dropped(node: Column, options: Options) -> Column:
+    """Elements that preprocessing removes with all they hold; the first rule that fits decides.
+
+    Nothing is removed while a visitor is declared, but from plain text.
+    """
     p = options.preprocessing
-    tag = F.col("tag")
-    if not p.enabled or p.preset == "minimal":
+    tag = node["tag"]
+    if not p.enabled or p.preset == "minimal" or (options.visitor and options.output_format != "plain"):
         return F.lit(False)
-    hint = navigation_hint()
+    hint = navigation_hint(node)
     strong = p.preset == "aggressive"
     out = F.when(tag == "form", F.lit(True)) if p.remove_forms else F.when(F.lit(False), F.lit(True))
     if strong:
@@ -59,50 +64,61 @@ def is_dropped(options: Options) -> Column:
     out = out.when(tag == "nav", F.lit(True)).when(tag == "header", hint)
     out = out.when(tag.isin("footer", "aside"), F.lit(True) if strong else hint)
     if strong:
-        out = out.when(hint | _has_word(NOISE_WORDS), F.lit(True))
+        out = out.when(hint | noise_hint(node), F.lit(True))
     return out.otherwise(F.lit(False))
 
 
-def matches(selector: str) -> Column | None:
+def matches(node: Column, selector: str) -> Column | None:
     """A tag, ``.class``, ``#id``, ``[name]`` or ``[name='value']``, or these joined; None for anything else."""
     m = _SELECTOR.match(selector.strip())
     if not m or not selector.strip():
         return None
-    out = F.lit(True) if m[1] in (None, "*") else F.col("tag") == m[1].lower()
+    out = F.lit(True) if m[1] in (None, "*") else node["tag"] == m[1].lower()
     for sign, name, attr, value in _PART.findall(m[2]):
         if sign == ".":
-            out = out & F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), name)
+            out = out & F.array_contains(F.split(_value(node, "class"), r"\s+"), name)
         elif sign == "#":
-            out = out & (F.col("attrs")["id"] == name)
+            out = out & (node["attrs"]["id"] == name)
         elif value:
-            out = out & (F.col("attrs")[attr.lower()] == value.strip("\"'"))
+            out = out & (node["attrs"][attr.lower()] == value.strip("\"'"))
         else:
-            out = out & F.map_contains_key("attrs", F.lit(attr.lower()))
+            out = out & F.map_contains_key(node["attrs"], F.lit(attr.lower()))
     return F.coalesce(out, F.lit(False))
 
 
-def selected(selectors: tuple[str, ...]) -> Column:
+def selected(node: Column, selectors: tuple[str, ...]) -> Column:
     """Elements that any of the selectors (comma lists allowed) fits; those that can't be read are skipped."""
     out = F.lit(False)
     for part in (p for s in selectors for p in s.split(",")):
-        one = matches(part)
+        one = matches(node, part)
         out = out if one is None else out | one
     return out
 
 
-def shown(nodes: DataFrame, options: Options) -> DataFrame:
-    """Nodes without dropped, excluded, hidden and unseen subtrees, comments, and what is too deep.
+@built_once
+def gone(options: Options) -> Column:
+    """The elements that go with all they hold, as intervals of ids.
 
-    A subtree is an interval of ids, so one running maximum over a document finds
-    all that lies in one.
+    These are what preprocessing, selectors and a visitor's ``skip`` remove, hidden
+    elements, and those whose inside is never shown.
     """
-    is_tag = F.col("kind") == "tag"
-    asked = {a: [t for c, v in options.visitor.items() if v.get("action") == a for t in CALLBACKS[c]] for a in ("skip", "custom")}
-    gone = is_tag & (is_dropped(options) | selected(options.exclude_selectors) | F.map_contains_key("attrs", F.lit("hidden")) | F.col("tag").isin(*UNSEEN, *asked["skip"]))
-    order = W.partitionBy("doc_id").orderBy("id")
-    until = F.max(F.when(F.coalesce(gone, F.lit(False)), F.col("last"))).over(order)
-    out = nodes.withColumn("_until", until).where(F.col("_until").isNull() | (F.col("_until") < F.col("id"))).drop("_until")
-    out = out.where("kind <> 'comment'")
-    if asked["custom"]:  # what such an element holds gives way to the callback's output
-        out = out.where(~F.exists("path", lambda p: p["tag"].isin(*asked["custom"])))
-    return out if options.max_depth is None else out.where(F.col("depth") < options.max_depth)
+    skipped = [t for c, v in options.visitor.items() if v.get("action") == "skip" for t in CALLBACKS[c]]
+    unseen = [t for t in (*UNSEEN, *(("svg", "math") if options.output_format == "plain" else ("rp",)), *skipped) if t not in options.preserve_tags]
+
+    def goes(n: Column) -> Column:
+        out = n["tag"].isin(*unseen) | F.map_contains_key(n["attrs"], F.lit("hidden")) | is_dropped(n, options) | selected(n, options.exclude_selectors)
+        return (n["kind"] == "tag") & F.coalesce(out, F.lit(False))
+
+    return F.transform(F.filter("nodes", goes), lambda n: F.struct(n["id"].alias("first"), n["last"].alias("last")))
+
+
+def stays(node: Column, gone: Column, options: Options) -> Column:
+    """Whether a node lies in none of the ``gone`` elements, is no comment, and isn't too deep."""
+    out = ~F.exists(gone, lambda g: (g["first"] <= node["id"]) & (node["id"] <= g["last"])) & (node["kind"] != "comment")
+    return out if options.max_depth is None else out & (node["depth"] < options.max_depth)
+
+
+def shown(documents: DataFrame, options: Options) -> DataFrame:
+    """The nodes of ``documents`` that show, a row each with its ``doc_id``."""
+    left = let(gone(options), lambda g: F.filter("nodes", lambda n: stays(n, g, options)))
+    return documents.select("doc_id", F.inline(left))

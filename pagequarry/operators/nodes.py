@@ -1,33 +1,41 @@
-"""HTML documents as rows of nodes.
+"""HTML documents as arrays of nodes, a row a document.
 
 Parsing is the one step that Spark's functions can't express; it is a small
-helper in Arrow batches.  All else works on its rows.
+helper in Arrow batches.  All else works on its arrays with Spark's own functions,
+within the row, so no step after it shuffles.
+
+A node's id is its place in the array, and its subtree are the nodes up to ``last``.
+Next to the nodes stand *runs*: the inline content between two block borders, as
+codes ``2 * id`` for an element's opening or a text and ``2 * id + 1`` for its closing.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from pagequarry.functions import text as T
 
-PATH = "array<struct<id:int,tag:string,nth:int,start:string>>"
-SCHEMA = f"doc_id long, id int, parent int, last int, depth int, nth int, kind string, tag string, attrs map<string,string>, text string, path {PATH}"
-
-_INT, _TEXT = pa.int32(), pa.string()
-_ARROW = [
-    ("doc_id", pa.int64()),
-    *((n, _INT) for n in ("id", "parent", "last", "depth", "nth")),
-    ("kind", _TEXT),
-    ("tag", _TEXT),
-    ("attrs", pa.map_(_TEXT, _TEXT)),
-    ("text", _TEXT),
-    ("path", pa.list_(pa.struct([("id", _INT), ("tag", _TEXT), ("nth", _INT), ("start", _TEXT)]))),
-]
+#: A node. ``path``: the tags around it, in order, between spaces (those in :data:`UNNAMED` left out). ``item``, ``cell``: ids
+#: of the innermost list item and table cell at or around it; ``table``, ``row``, ``link``: those around it; ``opens``, ``closes``: the runs
+#: in which it does; ``source``: an element's own HTML, if asked for.
+NODE = (
+    "struct<id:int,parent:int,last:int,depth:int,nth:int,kind:string,tag:string,attrs:map<string,string>,text:string,path:string,"
+    "item:int,cell:int,table:int,row:int,link:int,opens:int,closes:int,source:string>"
+)
+#: A run: the innermost block element that holds it (null: the document), and its codes.
+RUN = "struct<owner:int,codes:array<int>>"
+#: Tags that no rule looks for around a node.
+UNNAMED = frozenset("html body div span font section center article main".split())
 
 # Fixed values of HTML: elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr graphic".split())
@@ -35,6 +43,8 @@ RAW = frozenset("script style title textarea iframe noembed noframes xmp".split(
 BLOCK = frozenset(
     "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
 )
+#: Elements besides that end a run where they open and close.
+CUTS = BLOCK | frozenset("html body tr row td th cell caption thead tbody tfoot option optgroup legend label button textarea select datalist iframe audio video progress meter output".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: A start tag, what it closes, and what it looks no further than.
 IMPLIED = {
@@ -54,6 +64,11 @@ IMPLIED = {
     "rb": ("rt rp rb rtc", "ruby"),
 }
 _IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Cells of tables.
+CELLS = frozenset("td th cell".split())
+_P, _A, _TABLE, _NONE = frozenset(["p"]), frozenset(["a"]), frozenset(["table"]), frozenset()
 _P_SCOPE = frozenset("table td th caption button object".split())
 
 #: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
@@ -80,67 +95,131 @@ def _attributes(source: str) -> dict[str, str | None]:
     return out
 
 
-def parse(html: str, deepest: int = 400) -> list[list]:
-    """Nodes of a document in order: id, parent, last, depth, nth, kind, tag, attrs, text, path.
+class Tree:
+    """A document's nodes by columns, and its runs."""
+
+    COLUMNS = ("parent", "last", "depth", "nth", "kind", "tag", "attrs", "text", "path", "item", "cell", "table", "row", "link", "opens", "closes", "source")
+    __slots__ = (*COLUMNS, "owners", "codes")
+
+    def __init__(self):
+        for name in (*self.COLUMNS, "owners", "codes"):
+            setattr(self, name, [])
+        self.owners, self.codes = [None], [[]]
+
+
+def parse(html: str, keep_source: frozenset[str] = frozenset()) -> Tree:
+    """Nodes and runs of a document.
 
     Builds the tree that browsers do for ended-by-context elements, void and raw
     text elements, and formatting elements left open across blocks (they open
-    again in the next block).  Elements below ``deepest`` count as text of it.
+    again in the next block).  Elements nest to any depth.
     """
-    nodes: list[list] = []
-    stack: list[list] = []
+    tree = Tree()
+    parents, tags, attributes, last, closes, sources = tree.parent, tree.tag, tree.attrs, tree.last, tree.closes, tree.source
+    owners, codes = tree.owners, tree.codes
+    stack: list[int] = []
     counts: list[dict[str, int]] = [{}]
-    paths: list[list] = [[]]
+    paths, items, cells, tables, rows, links, blocks = [" "], [None], [None], [None], [None], [None], [None]
     active: list[tuple[str, dict]] = []
+    begin: dict[int, int] = {}
 
-    def add(kind: str, tag: str | None, attrs: dict | None, text: str | None) -> list:
-        nth = counts[-1][tag or ""] = counts[-1].get(tag or "", 0) + 1
-        node = [len(nodes), stack[-1][0] if stack else None, len(nodes), len(stack), nth, kind, tag, attrs, text, paths[-1]]
-        nodes.append(node)
+    def cut(owner: int | None) -> None:
+        if codes[-1]:
+            owners.append(owner)
+            codes.append([])
+        else:
+            owners[-1] = owner
+
+    def add(kind: str, tag: str | None, attrs: dict, text: str | None) -> int:
+        node, of_kind = len(parents), counts[-1]
+        nth = of_kind[tag] = of_kind.get(tag, 0) + 1
+        is_cut = tag in CUTS
+        if is_cut:
+            cut(node)
+        parents.append(stack[-1] if stack else None)
+        last.append(node)
+        tree.depth.append(len(stack))
+        tree.nth.append(nth)
+        tree.kind.append(kind)
+        tags.append(tag)
+        attributes.append(attrs)
+        tree.text.append(text)
+        tree.path.append(paths[-1])
+        tree.item.append(node if tag == "li" else items[-1])
+        tree.cell.append(node if tag in CELLS else cells[-1])
+        tree.table.append(tables[-1])
+        tree.row.append(rows[-1])
+        tree.link.append(links[-1])
+        tree.opens.append(len(codes) - 1)
+        closes.append(len(codes) - 1)
+        sources.append(None)
+        codes[-1].append(2 * node)
         return node
 
-    def push(tag: str, attrs: dict) -> None:
+    def push(tag: str, attrs: dict, start: int) -> None:
         node = add("tag", tag, attrs, None)
-        if len(stack) < deepest:
-            stack.append(node)
-            counts.append({})
-            paths.append([*paths[-1], {"id": node[0], "tag": tag, "nth": node[4], "start": attrs.get("start")}])
+        stack.append(node)
+        counts.append({})
+        paths.append(paths[-1] if tag in UNNAMED else f"{paths[-1]}{tag} ")
+        items.append(tree.item[node])
+        cells.append(tree.cell[node])
+        tables.append(node if tag == "table" else tables[-1])
+        rows.append(node if tag in ("tr", "row") else None if tag == "table" else rows[-1])
+        links.append(node if tag == "a" and "href" in attrs else links[-1])
+        blocks.append(node if tag in CUTS else blocks[-1])
+        if tag in keep_source:
+            begin[node] = start
 
-    def pop_to(k: int, ended: str = "") -> None:
+    def pop_to(k: int, end: int, ended: str = "") -> None:
         while len(stack) > k:
             node = stack.pop()
-            counts.pop()
-            paths.pop()
-            node[2] = len(nodes) - 1
-            if node[6] in FORMATTING and node[6] != ended:
-                active.insert(0, (node[6], node[7]))
+            for column in (counts, paths, items, cells, tables, rows, links, blocks):
+                column.pop()
+            last[node] = len(parents) - 1
+            codes[-1].append(2 * node + 1)
+            closes[node] = len(codes) - 1
+            if tags[node] in CUTS:
+                cut(blocks[-1])
+            if node in begin:
+                sources[node] = html[begin.pop(node) : end]
+            if tags[node] in FORMATTING and tags[node] != ended:
+                active.insert(0, (tags[node], attributes[node]))
 
-    def find(tags: frozenset[str], stop: frozenset[str]) -> int:
+    def find(wanted: frozenset[str], stop: frozenset[str]) -> int:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][6] in tags:
+            tag = tags[stack[k]]
+            if tag in wanted:
                 return k
-            if stack[k][6] in stop:
+            if tag in stop:
                 return -1
         return -1
 
-    def find_outer(tags: frozenset[str], stop: frozenset[str]) -> int:
+    def find_outer(wanted: frozenset[str], stop: frozenset[str]) -> int:
         found = -1
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][6] in stop:
+            tag = tags[stack[k]]
+            if tag in stop:
                 break
-            if stack[k][6] in tags:
+            if tag in wanted:
                 found = k
         return found
 
     def reopen() -> None:
         again, active[:] = active[:], []
         for tag, attrs in again[-12:]:
-            push(tag, attrs)
+            push(tag, attrs, at)
 
     def put(text: str) -> None:
-        if active and text.strip():
+        if active and not text.isspace():
             reopen()
-        add("text", None, None, text)
+        add("text", None, {}, text)
+
+    def void(tag: str, attrs: dict, start: int) -> None:
+        node = add("tag", tag, attrs, None)
+        if tag in keep_source:
+            sources[node] = html[start:at]
+        if tag in CUTS:
+            cut(blocks[-1])
 
     at, n = 0, len(html)
     while at < n:
@@ -152,7 +231,7 @@ def parse(html: str, deepest: int = 400) -> list[list]:
             break
         at = m.end()
         if m["comment"] is not None:
-            add("comment", None, None, m["comment"])
+            add("comment", None, {}, m["comment"])
             continue
         if m["cdata"] is not None:
             put(m["cdata"])
@@ -164,70 +243,161 @@ def parse(html: str, deepest: int = 400) -> list[list]:
             if tag in FORMATTING:
                 k = find(frozenset([tag]), BLOCK | _P_SCOPE)
                 if k >= 0:
-                    pop_to(k, tag)
+                    pop_to(k, at, tag)
                 elif any(t == tag for t, _ in active):
-                    last = max(i for i, (t, _) in enumerate(active) if t == tag)
-                    del active[last]
-            elif (k := find(frozenset([tag]), frozenset(["table"]) if tag in ("p", "li", "div") else frozenset())) >= 0:
-                pop_to(k, tag)
+                    del active[max(i for i, (t, _) in enumerate(active) if t == tag)]
+            elif (k := find(frozenset([tag]), _TABLE if tag in ("p", "li", "div") else _NONE)) >= 0:
+                pop_to(k, at, tag)
             elif tag == "br":
                 add("tag", "br", {}, None)
             continue
-        attrs = _attributes(m["attrs"])
-        if tag in BLOCK and tag not in ("li", "dt", "dd") and (k := find(frozenset(["p"]), _P_SCOPE)) >= 0:
-            pop_to(k)
+        attrs = _attributes(m["attrs"]) if "=" in m["attrs"] or m["attrs"].strip(" \n\t/") else {}
+        if stack and tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1, end)
+        if tag in BLOCK and tag not in ("li", "dt", "dd") and (k := find(_P, _P_SCOPE)) >= 0:
+            pop_to(k, end)
         if tag in _IMPLIED and (k := find_outer(*_IMPLIED[tag])) >= 0:
-            pop_to(k)
-        if tag == "a" and (k := find(frozenset(["a"]), _P_SCOPE)) >= 0:
-            pop_to(k, "a")
-        if tag in ("td", "th") and stack and stack[-1][6] in ("table", "thead", "tbody", "tfoot"):
-            push("tr", {})  # implied
+            pop_to(k, end)
+        if tag == "a" and (k := find(_A, _P_SCOPE)) >= 0:
+            pop_to(k, end, "a")
+        if tag in ("td", "th") and stack and tags[stack[-1]] in ("table", "thead", "tbody", "tfoot"):
+            push("tr", {}, end)  # implied
         if active and tag not in BLOCK and tag not in RAW and tag not in _IMPLIED and tag not in ("table", "html", "head", "body", "meta", "link"):
             reopen()
         if tag in VOID:
-            add("tag", tag, attrs, None)
+            void(tag, attrs, end)
         elif tag in RAW:
-            node = add("tag", tag, attrs, None)
+            push(tag, attrs, end)
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             inner = html[at : stop.start() if stop else n]
             if inner:
-                stack.append(node)
-                paths.append([*paths[-1], {"id": node[0], "tag": tag, "nth": node[4], "start": None}])
-                counts.append({})
-                add("text", None, None, decode(inner) if tag in ("title", "textarea") else inner)
-                pop_to(len(stack) - 1, tag)
+                add("text", None, {}, decode(inner) if tag in ("title", "textarea") else inner)
             at = stop.end() if stop else n
-        elif m["attrs"].rstrip().endswith("/") and (tag in ("svg", "path", "circle", "rect", "line", "g", "use") or "-" in tag):
-            add("tag", tag, attrs, None)
+            pop_to(len(stack) - 1, at, tag)
+        elif m["attrs"].rstrip().endswith("/") and (" svg " in paths[-1] or tag == "svg" or "-" in tag):
+            void(tag, attrs, end)
         else:
-            push(tag, attrs)
-    pop_to(0)
-    return nodes
+            push(tag, attrs, end)
+    pop_to(0, n)
+    return tree
 
 
-def parse_nodes(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
-    """One row a node of every document of ``pages``; see :data:`SCHEMA`.
+# --- on Spark ---------------------------------------------------------------
+
+_INTS = frozenset("parent last depth nth item cell table row link opens closes".split())
+
+
+def _arrays(trees: list[Tree | None]) -> list[pa.Array]:
+    """Columns ``nodes`` and ``runs`` of some documents; both null for None."""
+    found = [t or Tree() for t in trees]
+    node_ends, run_ends, code_ends, attr_ends = [0], [0], [0], [0]
+    columns: dict[str, list] = {name: [] for name in Tree.COLUMNS}
+    owners, codes, keys, values, ids = [], [], [], [], []
+    for t in found:
+        n = len(t.parent)
+        ids.extend(range(n))
+        for name, column in columns.items():
+            if name != "attrs":
+                column.extend(getattr(t, name))
+        for attrs in t.attrs:
+            if attrs:
+                keys.extend(attrs)
+                values.extend(attrs.values())
+            attr_ends.append(len(keys))
+        node_ends.append(len(ids))
+        for owner, run in zip(t.owners, t.codes):
+            if run:
+                owners.append(owner)
+                codes.extend(run)
+                code_ends.append(len(codes))
+        run_ends.append(len(owners))
+    none = pa.array([t is None for t in trees])
+    arrays = [pa.array(ids, pa.int32())]
+    for name in Tree.COLUMNS:
+        if name == "attrs":
+            arrays.append(pa.MapArray.from_arrays(pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
+        else:
+            arrays.append(pa.array(columns[name], pa.int32() if name in _INTS else pa.string()))
+    nodes = pa.ListArray.from_arrays(pa.array(node_ends, pa.int32()), pa.StructArray.from_arrays(arrays, ["id", *Tree.COLUMNS]), mask=none)
+    lists = pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(codes, pa.int32()))
+    runs = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(owners, pa.int32()), lists], ["owner", "codes"]), mask=none)
+    return [nodes, runs]
+
+
+def parse_documents(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_id",), keep_source: frozenset[str] = frozenset(), checked: bool = False, batch_chars: int = 1 << 21) -> DataFrame:
+    """Columns ``keep`` of ``pages``, with ``nodes`` and ``runs`` (see :data:`NODE`, :data:`RUN`) of every row.
 
-    Null pages have no nodes.  Pages that :func:`pagequarry.functions.text.invalid_reason`
-    rejects have none either.
+    Both are null for null pages and those that
+    :func:`pagequarry.functions.text.invalid_reason` rejects.  Rows stay where they
+    are, whatever their ids; documents are parsed in groups of ``batch_chars``.
+    ``checked`` pages are not looked at again for what isn't text.
     """
-    source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).where(F.col("html").isNotNull())
-    source = source.where(T.invalid_reason(F.col("html")).isNull()).select("doc_id", T.normalize_input(F.col("html")).alias("html"))
-    def run(batches):
+    source = T.normalize_input(F.col(html))
+    source = source if checked else F.when(T.invalid_reason(F.col(html)).isNull(), source)
+    kept = pages.select(*keep, source.alias("_html"))
+    schema = StructType(kept.schema.fields[:-1])
+    whole = f"{schema.simpleString()[7:-1]}{',' if keep else ''}nodes:array<{NODE}>,runs:array<{RUN}>"
+    names = [*keep, "nodes", "runs"]
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(doc, *node) for node in parse(page.as_py())]
-                if len(rows) >= 20_000:
-                    yield record(rows)
-                    rows = []
-            if rows:
-                yield record(rows)
-
-    return source.mapInArrow(run, SCHEMA)
-
-
-def record(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    columns[8] = [None if a is None else list(a.items()) for a in columns[8]]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, _ARROW)], names=[n for n, _ in _ARROW])
+            first, size, trees = 0, 0, []
+            for k, page in enumerate(batch.column(len(keep))):
+                page = page.as_py()
+                trees.append(None if page is None else parse(page, keep_source))
+                size += len(page or "")
+                if size >= batch_chars or k == batch.num_rows - 1:
+                    part = batch.slice(first, k + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*(part.column(j).cast(t) for j, t in enumerate(types)), *_arrays(trees)], names=names)
+                    first, size, trees = k + 1, 0, []
+
+    return kept.mapInArrow(run, f"struct<{whole}>")
+
+
+def parse_nodes(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
+    """One row a node of every document of ``pages``: ``doc_id`` and the fields of :data:`NODE`."""
+    documents = parse_documents(pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")))
+    return documents.select("doc_id", F.inline("nodes"))
+
+
+def built_once(build: Callable):
+    """``build`` for expressions that depend on its (hashable) arguments alone: built once for each, then used again."""
+
+    @lru_cache(maxsize=64)
+    def kept(jvm: int, *args):
+        return build(*args)
+
+    return wraps(build)(lambda *args: kept(id(SparkContext._jvm), *args))
+
+
+def held(c: Column) -> Column:
+    """``c`` worked out where it stands: the optimizer neither copies it into later steps nor pushes filters through it.
+
+    Steps that loop over arrays name the step before in their loops; put together
+    to one expression they would work it out again for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def below(node: Column) -> Column:
+    """The nodes in an element, without itself."""
+    return F.slice("nodes", node["id"] + 2, node["last"] - node["id"])
+
+
+def text_in(node: Column) -> Column:
+    """All text in an element."""
+    return F.array_join(F.transform(F.filter(below(node), lambda x: x["kind"] == "text"), lambda x: x["text"]), "")
+
+
+def within(node: Column, *tags: str) -> Column:
+    """Whether any element with one of some tags lies around a node."""
+    found = F.lit(False)
+    for t in tags:
+        found = found | F.contains(node["path"], F.lit(f" {t} "))
+    return found

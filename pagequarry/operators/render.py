@@ -1,35 +1,39 @@
-"""Nodes to Markdown, Djot or plain text, as joins, windows and aggregations.
-
-Every element is an opening and a closing event, every text one event, in
-document order.  Block elements cut the events into *runs*; a run's inline
-pieces are joined to one string, in which marks from the private-use area stand
-for markup until their surroundings are known.  Runs get their prefixes from
-their path (lists, quotes), cells are put together to tables, and a document is
-its blocks in order.  All steps are keyed by document, so the nodes are
-shuffled once.
+"""Nodes to Markdown, Djot or plain text, by expressions over a document's arrays.
+
+Each node gives a piece of text where it opens and one where it closes; a run's
+pieces are joined to a *line*, in which marks from the private-use area stand for
+markup until their surroundings are known.  Lines in cells become tables; the other
+lines get their prefixes (lists, quotes) and are joined to the document.  All of it
+is one expression over the row that a document is, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators.nodes import BLOCK
+from pagequarry.operators import filters
+from pagequarry.operators.nodes import CELLS, below, built_once, held, let, text_in, within
 from pagequarry.plans.options import CALLBACKS, Options
 
-CUTS = tuple(sorted(BLOCK | frozenset("html body tr td th caption thead tbody tfoot br-block option optgroup legend label button textarea select iframe audio video math".split())))
-#: Block elements whose text isn't set apart by a blank line.
-CELLS = ("td", "th", "cell")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LISTS = ("ul", "ol", "menu")
+#: Text right in these, and not in a cell, shows nothing.
+TABLE_PARTS = ("table", "tr", "row", "thead", "tbody", "tfoot", "caption", "colgroup")
+#: Where a line break in a text stands for a space.
+INLINE = tuple("p a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small strong sub sup time tt u var".split())
 
 # Marks: one private-use character each.
-_NAMES = "strong em del mark code sub sup link q".split()
+_NAMES = "strong em del ins mark code sub sup link q".split()
 OPEN = {n: chr(0xE000 + 2 * k) for k, n in enumerate(_NAMES)}
 CLOSE = {n: chr(0xE001 + 2 * k) for k, n in enumerate(_NAMES)}
-HREF, BREAK, LANG, END = (chr(c) for c in range(0xE020, 0xE024))
-ANY_MARK = r"[\uE000-\uE0FF]"
-_PAIRED = ("strong", "em", "del", "mark", "sub", "sup")
+#: A link's target follows; a hard line break; a paragraph's end; a quote's source follows; a space and a line end to keep.
+HREF, BREAK, BLANK, CITE, SPACE, LINE = (chr(c) for c in range(0xE020, 0xE026))
+#: What a text has that may have to change: tabs, line ends and the like, two spaces in a row, marks and spaces of other kinds.
+ODD = r"[\x00-\x1f]|  |[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ue000-\ue0ff]"
+ANY_MARK = r"[-]"
+_PAIRED = ("strong", "em", "del", "ins", "mark", "sub", "sup")
 
 _TAG_MARK = {
     "strong": "strong",
@@ -41,7 +45,7 @@ _TAG_MARK = {
     "del": "del",
     "s": "del",
     "strike": "del",
-    "ins": "mark",
+    "ins": "ins",
     "mark": "mark",
     "code": "code",
     "kbd": "code",
@@ -52,181 +56,310 @@ _TAG_MARK = {
 }
 
 
-def _attr(name: str) -> Column:
-    return F.coalesce(F.col("attrs")[name], F.lit(""))
+def _tags_of(name: str, options: Options) -> list[str]:
+    return [t for t, m in _TAG_MARK.items() if m == name and t not in options.strip_tags and t not in _visited(options)]
+
+
+def _visited(options: Options) -> set[str]:
+    """Tags whose markup a visitor gives."""
+    return {t for c, v in options.visitor.items() if v.get("action") in ("custom", "custom_template", "preserve_html") for t in CALLBACKS[c] if not c.endswith(("_start", "_end"))}
+
+
+def _attr(n: Column, name: str) -> Column:
+    return F.coalesce(n["attrs"][name], F.lit(""))
+
+
+def _has(n: Column, name: str) -> Column:
+    return F.map_contains_key(n["attrs"], F.lit(name))
+
+
+def _hard(c: Column) -> Column:
+    """Text whose blanks stay as they are."""
+    return F.translate(c, " \n", SPACE + LINE)
 
 
-def _on_path(*tags: str) -> Column:
-    return F.exists("path", lambda p: p["tag"].isin(*tags))
+def _first(nodes: Column, test) -> Column:
+    return F.get(F.filter(nodes, test), F.lit(0))
 
 
-def _language() -> Column:
-    return F.regexp_extract(_attr("class"), r"(?:^|\s)(?:language|lang)-(\S+)", 1)
+def _language(n: Column) -> Column:
+    return F.nullif(F.regexp_extract(_attr(n, "class"), r"(?:^|\s)(?:language|lang)-(\S+)", 1), F.lit(""))
 
 
 def target(href: Column, options: Options) -> Column:
     """A link's target as it is written."""
     if options.url_escape_style == "percent":
-        return F.when(href == "", F.lit("<>")).otherwise(F.when(T.has_scheme(href), href).otherwise(T.percent_encode(href)))
+        return F.when(href == "", F.lit("<>")).otherwise(T.percent_encode(href))
     n_open = F.length(href) - F.length(F.replace(href, F.lit("("), F.lit("")))
     n_close = F.length(href) - F.length(F.replace(href, F.lit(")"), F.lit("")))
     escaped = F.when(n_open != n_close, F.regexp_replace(href, r"([()])", r"\\$1")).otherwise(href)
     return F.when((href == "") | href.rlike(r"[ \n]"), F.concat(F.lit("<"), href, F.lit(">"))).otherwise(escaped)
 
 
-def _image(options: Options) -> Column:
-    src = F.when(F.col("tag") == "graphic", F.coalesce(F.col("attrs")["url"], F.col("attrs")["href"], F.col("attrs")["xlink:href"], F.col("attrs")["src"], F.lit(""))).otherwise(_attr("src"))
-    alt = F.when(F.col("tag") == "graphic", F.coalesce(F.col("attrs")["alt"], F.col("attrs")["filename"], F.lit(""))).otherwise(_attr("alt"))
+def _quoted(title: Column, escape: bool) -> Column:
+    inner = F.replace(title, F.lit('"'), F.lit('\\"')) if escape else title
+    return F.when(title != "", F.concat(F.lit(' "'), inner, F.lit('"'))).otherwise(F.lit(""))
+
+
+def _link_end(n: Column, options: Options) -> Column:
+    return F.concat(F.lit(HREF), target(_attr(n, "href"), options), _quoted(_attr(n, "title"), True), F.lit(CLOSE["link"]))
+
+
+def _image(n: Column, options: Options) -> Column:
+    attrs = n["attrs"]
+    src = F.when(n["tag"] == "graphic", F.coalesce(attrs["url"], attrs["href"], attrs["xlink:href"], attrs["src"], F.lit(""))).otherwise(_attr(n, "src"))
+    alt = F.when(n["tag"] == "graphic", F.coalesce(attrs["alt"], attrs["filename"], F.lit(""))).otherwise(_attr(n, "alt"))
     if options.output_format == "plain":
         return alt
     if options.skip_images:
         return F.lit("")
-    title = F.when(_attr("title") != "", F.concat(F.lit(' "'), _attr("title"), F.lit('"'))).otherwise(F.lit(""))
-    whole = F.concat(F.lit("!["), alt, F.lit("]("), T.markdown_target(src), title, F.lit(")"))
-    keep = options.keep_inline_images_in
-    headings = [h for h in ("h1", "h2", "h3", "h4", "h5", "h6") if h not in keep]
-    return F.when(_on_path(*headings), alt).otherwise(whole) if headings else whole
+    whole = F.concat(F.lit("!["), alt, F.lit("]("), T.markdown_target(src), _quoted(_attr(n, "title"), False), F.lit(")"))
+    bare = [h for h in HEADINGS if h not in options.keep_inline_images_in]
+    if options.convert_as_inline:
+        return alt
+    return F.when(within(n, *bare), alt).otherwise(whole) if bare else whole
 
 
-def events(nodes: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, pos, phase, rank, cut, piece, tag, path, attrs, id`` in the order of (pos, phase, rank)."""
-    tag = F.col("tag")
-    plain = options.output_format == "plain"
-    opening, closing = F.lit(""), F.lit("")
-    if not plain:
-        code, strong = _on_path("code", "pre", "kbd", "samp"), _on_path("strong", "b")
-        for name in _NAMES:
-            tags = [t for t, m in _TAG_MARK.items() if m == name and t not in options.strip_tags]
-            if not tags:
-                continue
-            use = tag.isin(*tags) & ~code
-            if name == "strong":
-                use = use & ~strong
-            if name == "em":
-                use = use & ~_on_path("em", "i")
-            opening = F.when(use, F.lit(OPEN[name])).otherwise(opening)
-            closing = F.when(use, F.lit(CLOSE[name])).otherwise(closing)
-        opening = F.when(tag.isin("pre", "code") & (tag.isin("pre") | _on_path("pre")) & (_language() != ""), F.concat(F.lit(LANG), _language(), F.lit(END))).otherwise(opening)
-        link = (tag == "a") & F.map_contains_key("attrs", F.lit("href"))
-        if "a" not in options.strip_tags:
-            href = _attr("href")
-            title = F.when(_attr("title") != "", F.concat(F.lit(' "'), F.replace(_attr("title"), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit(""))
-            opening = F.when(link, F.lit(OPEN["link"])).otherwise(opening)
-            closing = F.when(link, F.concat(F.lit(HREF), target(href, options), title, F.lit(CLOSE["link"]))).otherwise(closing)
-        closing = F.when((tag == "abbr") & (_attr("title") != ""), F.concat(F.lit(" ("), _attr("title"), F.lit(")"))).otherwise(closing)
-    opening = F.when(tag.isin("img", "graphic"), _image(options)).when(tag == "br", F.lit(BREAK)).otherwise(opening)
-    checkbox = (tag == "input") & (F.lower(_attr("type")) == "checkbox") & _on_path("li")
-    opening = F.when(checkbox, F.when(F.map_contains_key("attrs", F.lit("checked")), F.lit("[x] ")).otherwise(F.lit("[ ] "))).otherwise(opening)
-    media = tag.isin("iframe", "audio", "video") & (_attr("src") != "")
-    if not plain:
-        opening = F.when(media, F.concat(F.lit("["), _attr("src"), F.lit("]("), _attr("src"), F.lit(")"))).otherwise(opening)
-        opening = F.when((tag == "rt"), F.lit("(")).otherwise(opening)
-        closing = F.when((tag == "rt"), F.lit(")")).otherwise(closing)
+def _svg(n: Column) -> Column:
+    title = _first(below(n), lambda x: x["tag"] == "title")
+    name = F.coalesce(F.nullif(F.when(title.isNotNull(), T.one_line(text_in(title))), F.lit("")), F.lit("SVG Image"))
+    return F.concat(F.lit("!["), name, F.lit("](data:image/svg+xml;base64,"), F.base64(F.encode(n["source"], "UTF-8")), F.lit(")"))
+
+
+def _media(n: Column) -> Column:
+    source = _first(below(n), lambda x: (x["tag"] == "source") & (_attr(x, "src") != ""))
+    src = F.when(n["tag"] == "iframe", _attr(n, "src")).otherwise(F.coalesce(F.nullif(_attr(n, "src"), F.lit("")), source["attrs"]["src"], F.lit("")))
+    return let(src, lambda s: F.when(s == "", "").otherwise(F.concat(F.lit("["), s, F.lit("]("), s, F.lit(")" + BLANK))))
 
+
+# --- pieces -------------------------------------------------------------------
+
+
+def _filled(template: str, n: Column) -> Column:
+    """A visitor's template with an element's values in its holes."""
+    c = F.lit(template)
+    for hole, name in (("href", "href"), ("src", "src"), ("alt", "alt"), ("title", "title"), ("id", "id"), ("action", "action"), ("method", "method"), ("input_type", "type"), ("name", "name"), ("value", "value")):
+        if "{" + hole + "}" in template:
+            c = F.replace(c, F.lit("{" + hole + "}"), _attr(n, name))
+    if "{level}" in template:
+        c = F.replace(c, F.lit("{level}"), F.regexp_extract(n["tag"], "^h([1-6])$", 1))
+    return _hard(c)
+
+
+def _visitor_rules(n: Column, options: Options) -> list[tuple[Column, Column | None, Column | None]]:
+    out = []
     for callback, v in options.visitor.items():
-        use = tag.isin(*CALLBACKS[callback])
-        if v.get("action") == "custom":
-            opening, closing = F.when(use, F.lit(v.get("output", ""))).otherwise(opening), F.when(use, F.lit("")).otherwise(closing)
-        if v.get("action") == "custom_template":
-            before, _, after = v.get("template", "{text}").partition("{text}")
-            opening, closing = F.when(use, _filled(before)).otherwise(opening), F.when(use, _filled(after)).otherwise(closing)
-
-    # Steps are columns of their own, so that what is used twice is worked out once.
-    nodes = nodes.withColumn("text", F.regexp_replace(F.col("text"), ANY_MARK, ""))
-    text = F.col("text")
-    raw = _on_path("pre", "textarea")
+        action = v.get("action")
+        if callback == "text" or action not in ("custom", "custom_template", "preserve_html"):
+            continue
+        use = F.contains(n["tag"], F.lit("-")) if callback == "custom_element" else n["tag"].isin(*CALLBACKS[callback])
+        if action == "preserve_html":
+            out.append((use, _hard(n["source"]), F.lit("")))
+            continue
+        if action == "custom":
+            before, after = v.get("output", ""), ""
+        else:
+            template = v.get("template", "{text}")
+            hole = next((h for h in ("{text}", "{content}", "{output}") if h in template), None)
+            before, _, after = template.partition(hole) if hole else (template, "", "")
+        if callback.endswith("_end"):
+            out.append((use, None, _filled(before + after, n)))
+        elif callback.endswith("_start"):
+            out.append((use, _filled(before, n), None))
+        else:
+            out.append((use, _filled(before, n), _filled(after, n)))
+    return out
+
+
+def _replaced(options: Options) -> list[str]:
+    """Tags whose inside gives way to what stands for the element."""
+    out = ["svg", "iframe", *options.preserve_tags]
+    for c, v in options.visitor.items():
+        if (v.get("action") in ("custom", "preserve_html") or (v.get("action") == "custom_template" and "{text}" not in v.get("template", "") and c in ("image", "audio", "video", "iframe", "input"))) and not c.endswith(("_start", "_end")):
+            out += CALLBACKS[c]
+    return out
+
+
+def keep_source(options: Options) -> frozenset[str]:
+    """Tags whose own HTML rendering asks for."""
+    preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in CALLBACKS[c]]
+    return frozenset([*options.preserve_tags, *preserved, *(("svg", "math") if options.output_format != "plain" else ())])
+
+
+def _ruled(options: Options) -> list[str]:
+    """Tags that some of the rules are about."""
+    visited = [t for c in options.visitor for t in CALLBACKS[c]]
+    return sorted({*_TAG_MARK, *visited, *options.preserve_tags, *"img graphic br hr input option a abbr iframe audio video rt optgroup blockquote span svg math".split()})
+
+
+def _rules(n: Column, options: Options) -> list[tuple[Column, Column | None, Column | None]]:
+    """(which elements, text where they open, text where they close); the first that fits counts."""
+    tag, plain = n["tag"], options.output_format == "plain"
+    rules = _visitor_rules(n, options)
+    none = F.lit("")
+    if options.preserve_tags:
+        rules.append((tag.isin(*options.preserve_tags), _hard(n["source"]), none))
+    if options.strip_tags:
+        rules.append((tag.isin(*options.strip_tags), none, none))
+    checkbox = (tag == "input") & (F.lower(_attr(n, "type")) == "checkbox") & n["item"].isNotNull()
+    rules += [
+        (tag.isin("img", "graphic"), _image(n, options), none),
+        (tag == "br", F.lit(BREAK), none),
+        (tag == "hr", F.lit("" if plain else "---"), none),
+        (checkbox, F.when(_has(n, "checked"), F.lit("[x] ")).otherwise(F.lit("[ ] ")), none),
+        (tag == "option", F.when(_has(n, "selected"), F.lit("* ")).otherwise(none), none),
+    ]
+    if plain:
+        return rules
+    code = within(n, "code", "pre", "kbd", "samp")
+    caret = tag.isin("em", "i") & F.contains(_attr(n, "class"), F.lit("caret"))
+    rules += [
+        (caret & (F.trim(text_in(n)) == "") if not options.convert_as_inline else F.lit(False), F.lit(" > "), none),
+        ((tag == "a") & _has(n, "href"), F.when(n["opens"] == n["closes"], F.lit(OPEN["link"])).otherwise(none), F.when(n["opens"] == n["closes"], _link_end(n, options)).otherwise(none)),
+        (tag == "abbr", none, F.when(_attr(n, "title") != "", F.concat(F.lit(" ("), _attr(n, "title"), F.lit(")"))).otherwise(none)),
+        (tag.isin("iframe", "audio", "video"), _media(n), none),
+        (tag == "rt", F.lit("("), F.lit(")")),
+        (tag == "optgroup", F.concat(F.lit(OPEN["strong"]), _attr(n, "label"), F.lit(CLOSE["strong"])), none),
+        ((tag == "blockquote") & (_attr(n, "cite") != ""), none, F.concat(F.lit(CITE + "— <"), _attr(n, "cite"), F.lit(">"))),
+        ((tag == "span") & F.contains(_attr(n, "class"), F.lit("ocrx_word")), F.lit(" "), none),
+        (tag == "svg", _svg(n), none),
+        (tag == "math", let(F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none), lambda b: F.concat(b, F.lit("<!-- MathML: "), _hard(n["source"]), F.lit(" --> "))), F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none)),
+    ]
+    for name in _NAMES:
+        if tags := _tags_of(name, options):
+            use = tag.isin(*tags) & ~code
+            if name in ("strong", "em"):
+                use = use & ~within(n, *(("strong", "b") if name == "strong" else ("em", "i")))
+            rules.append((use, F.lit(OPEN[name]), F.lit(CLOSE[name])))
+    return rules
+
+
+def _soft(n: Column, options: Options) -> Column:
+    """A text with its blanks as they count."""
+    text = F.regexp_replace(n["text"], ANY_MARK, "")
+    plain = ~n["text"].rlike(ODD)
     if options.strip_newlines:
-        text = F.when(raw, text).otherwise(F.regexp_replace(text, "\n+", " "))
-    soft = F.regexp_replace(F.regexp_replace(T.normalize_whitespace(text), r"^\s*\n\s*|\s*\n\s*\z", " "), " *\n *", "\n")
-    nodes = nodes.withColumn("_soft", text if options.whitespace_mode == "strict" else soft)
-    soft = F.col("_soft") if options.whitespace_mode == "strict" else F.when(F.trim("_soft") == "", F.lit(" ")).otherwise(F.col("_soft"))
-    nodes = nodes.withColumn("_soft", soft)
-    soft = F.col("_soft")
-    in_cell = _on_path(*CELLS)
+        text = F.when(within(n, "pre", "textarea"), text).otherwise(F.regexp_replace(text, "\n+", " "))
+    if options.whitespace_mode == "strict":
+        return F.when(plain, n["text"]).otherwise(text)
+    soft = F.regexp_replace(T.normalize_whitespace(text), r"^\s*\n\s*", " ")
+    soft = F.when(within(n, *INLINE), F.regexp_replace(soft, r"\s*\n\s*\z", " ")).otherwise(F.regexp_replace(soft, r"\s*\n\s*\z", "\n"))
+    soft = let(F.regexp_replace(soft, " *\n *", "\n"), lambda s: F.when(F.trim(F.translate(s, "\n", " ")) == "", F.lit(" ")).otherwise(s))
+    return F.when(plain, n["text"]).when(within(n, "pre", "textarea"), text).otherwise(soft)
+
+
+def _escaped(n: Column, soft: Column, options: Options) -> Column:
     escaped = T.escape(soft, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii)
-    if not plain:
+    if options.output_format != "plain":
         cell = T.escape_underscores(T.escape_asterisks(soft)) if not (options.escape_ascii or options.escape_asterisks) else escaped
         cell = F.replace(cell, F.lit("|"), F.lit("\\|")) if not (options.escape_misc or options.escape_ascii) else cell
-        escaped = F.when(in_cell, cell).otherwise(escaped)
-        escaped = F.when(_on_path("code", "kbd", "samp"), soft).otherwise(escaped)
-    piece_of_text = F.when(raw, text).otherwise(escaped)
-
-    cut = tag.isin(*CUTS)
-    rows = F.when(
-        F.col("kind") == "text",
-        F.array(F.struct(F.col("id").alias("pos"), F.lit(0).alias("phase"), F.lit(0).alias("rank"), F.lit(0).alias("cut"), piece_of_text.alias("piece"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.col("id").alias("pos"), F.lit(0).alias("phase"), F.lit(0).alias("rank"), cut.cast("int").alias("cut"), opening.alias("piece")),
-            F.struct(F.col("last").alias("pos"), F.lit(1).alias("phase"), (-F.col("id")).alias("rank"), cut.cast("int").alias("cut"), closing.alias("piece")),
+        escaped = F.when(within(n, "code", "kbd", "samp", "pre"), soft).when(n["cell"].isNotNull(), cell).otherwise(escaped)
+    return F.when(within(n, "pre", "textarea"), soft).otherwise(escaped)
+
+
+def pieces(gone: Column, options: Options) -> Column:
+    """``open, close`` of every node, both empty for those that don't show."""
+    replaced = _replaced(options)
+
+    def piece(n: Column) -> Column:
+        shows = filters.stays(n, gone, options) & ~within(n, *replaced)
+        text = let(_soft(n, options), lambda soft: _escaped(n, soft, options))
+        said = options.visitor.get("text", {})
+        if said.get("action") in ("custom", "skip"):
+            text = F.lit(said.get("output", "") if said["action"] == "custom" else "")
+        if said.get("action") == "custom_template":
+            before, _, after = said.get("template", "{text}").partition("{text}")
+            text = F.concat(F.lit(before), text, F.lit(after))
+        opening = closing = F.lit("")
+        ruled = n["tag"].isin(*_ruled(options)) | (F.contains(n["tag"], F.lit("-")) if "custom_element" in options.visitor else F.lit(False))
+        for use, a, b in reversed(_rules(n, options)):
+            opening = opening if a is None else F.when(use, a).otherwise(opening)
+            closing = closing if b is None else F.when(use, b).otherwise(closing)
+        is_text = n["kind"] == "text"
+        return F.when(~shows, F.struct(F.lit("").alias("open"), F.lit("").alias("close"))).otherwise(
+            F.struct(F.when(is_text, text).when(ruled, opening).otherwise("").alias("open"), F.when(ruled, closing).otherwise("").alias("close"))
         )
-    )
-    # What a callback's output replaces has no markup of its own.
-    replaced = [t for c, v in options.visitor.items() if v.get("action") == "custom" for t in CALLBACKS[c]]
-    inner = F.when((F.col("kind") == "text") | tag.isin(*replaced, ""), F.col("path")).otherwise(
-        F.concat("path", F.array(F.struct(F.col("id").alias("id"), F.col("tag").alias("tag"), F.col("nth").alias("nth"), F.col("attrs")["start"].alias("start"))))
-    )
-    return nodes.select("doc_id", "kind", "tag", inner.alias("path"), F.explode(rows).alias("e")).select("doc_id", "kind", "tag", "path", "e.*")
 
+    return F.transform("nodes", piece)
 
-def _filled(template: str) -> Column:
-    """A visitor's template with an element's values in its holes."""
-    c = F.lit(template)
-    for name in ("href", "src", "alt", "title", "id"):
-        c = F.replace(c, F.lit("{" + name + "}"), _attr(name))
-    return F.replace(c, F.lit("{level}"), F.regexp_extract("tag", "^h([1-6])$", 1))
 
+# --- lines --------------------------------------------------------------------
 
-def with_references(content: Column) -> Column:
-    """Link targets as numbers, first seen first, and a list of them at the end."""
-    pattern = f"{HREF}([^{CLOSE['link']}]*){CLOSE['link']}"
-    targets = F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
-    numbered = F.transform(targets, lambda t, k: F.struct(t.alias("t"), (k + 1).cast("string").alias("n")))
-    body = F.aggregate(numbered, content, lambda c, x: F.replace(c, F.concat(F.lit(HREF), x["t"], F.lit(CLOSE["link"])), F.concat(F.lit("]["), x["n"], F.lit("]"))))
-    foot = F.array_join(F.transform(numbered, lambda x: F.concat(F.lit("["), x["n"], F.lit("]: "), x["t"])), "\n")
-    return F.when(F.size(targets) > 0, F.concat(body, F.lit("\n\n"), foot)).otherwise(body)
 
+def _around(lead: Column, options: Options) -> Column:
+    """The marks of elements around a line that opened in lines before."""
+    around = F.lit("")
+    for name in _PAIRED:
+        if tags := _tags_of(name, options):
+            around = F.concat(around, F.when(within(lead, *tags), F.lit(OPEN[name])).otherwise(F.lit("")))
+    return F.when(within(lead, "code", "pre", "kbd", "samp"), F.lit("")).otherwise(around)
 
-def wrapped(content: Column, width: int) -> Column:
-    """Paragraphs broken at spaces so that lines have at most ``width`` bytes; headings, code, tables, quotes and lists stay."""
 
-    def paragraph(p: Column) -> Column:
-        words = F.filter(F.split(p, " "), lambda w: w != "")
-        start = F.struct(F.lit("").alias("done"), F.lit(0).alias("used"))
+def _ended(t: Column) -> Column:
+    """A line with an end for each mark that it leaves open."""
+    missing = lambda n: F.length(F.replace(t, F.lit(CLOSE[n]), F.lit(""))) - F.length(F.replace(t, F.lit(OPEN[n]), F.lit("")))
+    return F.concat(t, *(F.repeat(F.lit(CLOSE[n]), F.greatest(missing(n), F.lit(0))) for n in reversed(_PAIRED)))
 
-        def add(a: Column, w: Column) -> Column:
-            fits = a["used"] + 1 + F.octet_length(w) <= width
-            glue = F.when(a["used"] == 0, F.lit("")).when(fits, F.lit(" ")).otherwise(F.lit("\n"))
-            used = F.when(a["used"] == 0, F.octet_length(w)).when(fits, a["used"] + 1 + F.octet_length(w)).otherwise(F.octet_length(w))
-            return F.struct(F.concat(a["done"], glue, w).alias("done"), used.cast("int").alias("used"))
 
-        return F.aggregate(words, start, add)["done"]
+def _label_escaped(c: Column) -> Column:
+    """``]`` that no ``[`` in the label stands before, escaped."""
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("deep"))
+
+    def add(a: Column, x: Column) -> Column:
+        lone = (x == "]") & (a["deep"] == 0)
+        deep = a["deep"] + F.when(x == "[", 1).when((x == "]") & ~lone, -1).otherwise(0)
+        return F.struct(F.concat(a["done"], F.when(lone, F.lit("\\]")).otherwise(x)).alias("done"), deep.alias("deep"))
 
-    fixed = lambda p: p.rlike(r"(?s)^(#|```|~~~|\||>|\s*[-*+] |\s*\d+\. |    |\[[^\]]*\]\([^)]*\)$)")
-    parts = F.transform(F.split(content, "\n\n"), lambda p: F.when(fixed(p), p).otherwise(paragraph(F.replace(p, F.lit("\n"), F.lit(" ")))))
-    return F.array_join(parts, "\n\n")
+    return F.aggregate(F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\\[\]]+|.)"), 1), start, add)["done"]
 
 
-def _inline(c: Column, options: Options) -> Column:
-    """Marks to markup, once a run's pieces stand together."""
-    spaced, m = options.strong_em_symbol, options.output_format
+def _links_escaped(c: Column) -> Column:
+    pattern = f"(?s){OPEN['link']}([^{HREF}]*){HREF}"
+    labels = F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x: F.contains(x, F.lit("]"))))
+    return F.aggregate(labels, c, lambda a, x: F.replace(a, F.concat(F.lit(OPEN["link"]), x, F.lit(HREF)), F.concat(F.lit(OPEN["link"]), _label_escaped(x), F.lit(HREF))))
+
+
+def _code(c: Column) -> Column:
+    """Code between fences one longer than its longest run of backticks, with a space where it begins or ends with one."""
+    pattern = f"(?s){OPEN['code']}([^{CLOSE['code']}]*){CLOSE['code']}"
+    found = F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x: F.contains(x, F.lit("`"))))
+
+    def fenced(x: Column) -> Column:
+        longest = F.aggregate(F.regexp_extract_all(x, F.lit("(`+)"), 1), F.lit(0), lambda a, y: F.greatest(a, F.length(y)))
+        pad = F.when(x.startswith("`") | x.endswith("`"), F.lit(" ")).otherwise(F.lit(""))
+        return let(F.repeat(F.lit("`"), longest + 1), lambda fence: F.concat(fence, pad, x, pad, fence))
+
+    return F.aggregate(found, c, lambda a, x: F.replace(a, F.concat(F.lit(OPEN["code"]), x, F.lit(CLOSE["code"])), fenced(x)))
+
+
+def _tidied(c: Column, options: Options) -> Column:
+    """Marks moved to where markup may stand, labels of links as they are written."""
+    opened, closed = ("".join(x[n] for n in _PAIRED) for x in (OPEN, CLOSE))
     # Blanks inside a pair go outside; pairs around nothing go.
     for _ in range(2):
-        c = F.regexp_replace(c, f"([{''.join(OPEN[n] for n in _PAIRED)}]+)([ \n]+)", "$2$1")
-        c = F.regexp_replace(c, f"([ \n{BREAK}]+)([{''.join(CLOSE[n] for n in _PAIRED)}]+)", "$2$1")
-        for name in (*_PAIRED, "code"):
-            c = F.regexp_replace(c, OPEN[name] + "( *)" + CLOSE[name], "$1")
+        c = F.regexp_replace(c, f"([{opened}]+)([ \n]+)", "$2$1")
+        c = F.regexp_replace(c, f"([ \n{BREAK}]+)([{closed}]+)", "$2$1")
+        c = F.regexp_replace(c, f"[{opened}{OPEN['code']}]( *)[{closed}{CLOSE['code']}]", "$1")
+    return c
+
+
+def _links(c: Column, options: Options) -> Column:
+    """Labels and targets of a line's links as they are written."""
+    link, end = OPEN["link"], CLOSE["link"]
     if options.autolinks and not options.default_title:
-        c = F.regexp_replace(c, f"{OPEN['link']}([A-Za-z][A-Za-z0-9+.-]*:[^{HREF}]*){HREF}\\1{CLOSE['link']}", "<$1>")
-        c = F.regexp_replace(c, f"{OPEN['link']}([^{HREF} ]+@[^{HREF} ]+){HREF}mailto:\\1{CLOSE['link']}", "<$1>")
+        c = F.regexp_replace(c, f"{link}([A-Za-z][A-Za-z0-9+.-]*:[^{HREF}]*){HREF}\\1{end}", "<$1>")
+        c = F.regexp_replace(c, f"{link}([^{HREF} ]+@[^{HREF} ]+){HREF}mailto:\\1{end}", "<$1>")
     if options.default_title:
-        c = F.regexp_replace(c, f"{OPEN['link']}([^{HREF}]*){HREF}\\1{CLOSE['link']}", f'{OPEN["link"]}$1{HREF}$1 "$1"{CLOSE["link"]}')
-    c = F.regexp_replace(c, f"{OPEN['link']}\\s*{HREF}([^{CLOSE['link']} ]*)", f"{OPEN['link']}$1{HREF}$1")
-    c = F.regexp_replace(c, f"{OPEN['link']} *(.*?) *{HREF}", f"{OPEN['link']}$1{HREF}")
-    # Code: a longer fence if the text holds backticks, a space if it begins or ends with one.
-    fence = r"`"
-    c = F.regexp_replace(c, f"{OPEN['code']}(`[^{CLOSE['code']}]*|[^{CLOSE['code']}]*`){CLOSE['code']}", "`` $1 ``")
-    c = F.regexp_replace(c, f"{OPEN['code']}([^{CLOSE['code']}]*`[^{CLOSE['code']}]*){CLOSE['code']}", "``$1``")
+        c = F.regexp_replace(c, f"{link}([^{HREF}]*){HREF}\\1{end}", f'{link}$1{HREF}$1 "$1"{end}')
+    c = F.regexp_replace(c, f"{link}\\^{HREF}#", f"{link}↑{HREF}#")
+    c = F.regexp_replace(c, f"{link}\\s*{HREF}([^{end} ]*)", f"{link}$1{HREF}$1")
+    c = F.regexp_replace(c, f"{link}\\s*([^{HREF}]*?)\\s*{HREF}", f"{link}$1{HREF}")
+    return c
+
+
+def _markup(c: Column, options: Options) -> Column:
+    """Marks as markup."""
+    spaced, m, end = options.strong_em_symbol, options.output_format, CLOSE["link"]
     sub, sup = options.sub_symbol, options.sup_symbol
     mark = {"doubleequal": ("==", "=="), "html": ("<mark>", "</mark>"), "bold": (spaced * 2, spaced * 2), "none": ("", "")}[options.highlight_style]
 
@@ -234,225 +367,486 @@ def _inline(c: Column, options: Options) -> Column:
         return symbol.replace("<", "</", 1) if symbol.startswith("<") else symbol
 
     if m == "djot":
-        pairs = {"strong": ("*", "*"), "em": ("_", "_"), "del": ("{-", "-}"), "mark": ("{=", "=}"), "sub": ("~", "~"), "sup": ("^", "^")}
+        pairs = {"strong": ("*", "*"), "em": ("_", "_"), "del": ("{-", "-}"), "ins": ("{+", "+}"), "mark": ("{=", "=}"), "sub": ("~", "~"), "sup": ("^", "^")}
     else:
-        pairs = {"strong": (spaced * 2, spaced * 2), "em": (spaced, spaced), "del": ("~~", "~~"), "mark": mark, "sub": (sub, closing(sub)), "sup": (sup, closing(sup))}
-    pairs |= {"code": (fence, fence), "link": ("[", ")"), "q": ('"', '"')}
+        pairs = {"strong": (spaced * 2, spaced * 2), "em": (spaced, spaced), "del": ("~~", "~~"), "ins": ("==", "=="), "mark": mark, "sub": (sub, closing(sub)), "sup": (sup, closing(sup))}
+    pairs |= {"code": ("`", "`"), "link": ("[", ")"), "q": ('"', '"')}
     if options.link_style == "reference":
-        pairs["link"] = ("[", CLOSE["link"])  # numbered when the whole document stands
+        pairs["link"] = ("[", end)  # numbered when the whole document stands
     for name, (a, b) in pairs.items():
         c = F.replace(F.replace(c, F.lit(OPEN[name]), F.lit(a)), F.lit(CLOSE[name]), F.lit(b))
     if options.link_style == "inline":
         c = F.replace(c, F.lit(HREF), F.lit("]("))
-    c = F.regexp_replace(c, "[ \n]{2,}", " ") if options.whitespace_mode == "normalized" else c
-    hard = "\n" if m == "plain" else ("\\\n" if options.newline_style == "backslash" else "  \n")
-    return F.regexp_replace(F.regexp_replace(c, f" *{BREAK} *", BREAK), BREAK, hard.replace("\\", "\\\\"))
-
-
-def runs(nodes: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, run, first, path, content``: inline content between block borders, without empty ones."""
-    e = events(nodes, options)
-    order = W.partitionBy("doc_id").orderBy("pos", "phase", "rank")
-    e = e.withColumn("run", F.sum("cut").over(order))
-    # A closing border belongs to the run before it, whose pieces it ends.
-    e = e.withColumn("run", F.col("run") - F.when(F.col("phase") == 1, F.col("cut")).otherwise(0))
-    e = e.where((F.col("piece") != "") | (F.col("tag") == "hr"))
-    key = F.struct("pos", "phase", "rank")
-    # The path is that of the first piece that shows; whatever opens before it lies around it.
-    first = F.min_by(F.struct("path", "kind", "tag"), key)
-    out = e.groupBy("doc_id", "run").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "phase", "rank", "piece"))), lambda x: x["piece"]), "").alias("content"),
-        F.min("pos").alias("first"),
-        first.alias("f"),
-        F.max(F.col("tag") == "hr").alias("is_rule"),
-    )
-    out = out.select("doc_id", "run", "content", "first", F.col("f.path").alias("path"), F.coalesce("is_rule", F.lit(False)).alias("is_rule"))
-    raw = F.exists("path", lambda p: p["tag"].isin("pre"))
-    content = F.when(raw, F.col("content")).otherwise(F.regexp_replace(_inline(F.regexp_replace(F.col("content"), f"^[ \n]+|[ \n{BREAK}]+\\z", ""), options), r"^ +|[ \n]+\z", ""))
-    return out.withColumn("content", content).where((F.col("content") != "") | F.col("is_rule"))
+    return c
 
 
-def _last_of(tags: tuple[str, ...]) -> Column:
-    """The innermost element of some tags on the path, or null."""
-    return F.try_element_at(F.filter("path", lambda p: p["tag"].isin(*tags)), F.lit(-1))
+def _finished(c: Column, options: Options) -> Column:
+    """Blanks and breaks of a line."""
+    if options.whitespace_mode == "normalized":
+        c = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), " *\n[ \n]*", "\n")
+    hard = "\n" if options.output_format == "plain" else ("\\\n" if options.newline_style == "backslash" else "  \n")
+    c = F.regexp_replace(c, f"[ \n]*{BREAK}[ \n]*", BREAK)
+    c = F.replace(F.regexp_replace(c, f"^{BREAK}+|{BREAK}+\\z", ""), F.lit(BREAK), F.lit(hard))
+    c = F.regexp_replace(c, f"^[ \n{BLANK}]+|[ \n{BLANK}]+\\z", "")
+    return F.regexp_replace(c, f"[ \n]*{BLANK}[ \n{BLANK}]*", "\n\n")
 
 
-def _count_of(*tags: str) -> Column:
-    return F.size(F.filter("path", lambda p: p["tag"].isin(*tags)))
+def lines(pieces: Column, options: Options) -> Column:
+    """``owner, tag, path, item, cell, table, first, content, ...`` of every run, in order; ``first`` is where it begins.
 
+    ``content`` still has its marks; :func:`written` makes them markup.
+    """
+
+    def of_code(code: Column) -> Column:
+        piece = F.get(pieces, F.shiftright(code, 1))
+        return F.when(code % 2 == 1, piece["close"]).otherwise(piece["open"])
+
+    def line(r: Column) -> Column:
+        owner = F.get("nodes", r["owner"])
+        lead = F.get("nodes", F.shiftright(_first(r["codes"], lambda c: of_code(c) != ""), 1))
+        link = F.get("nodes", lead["link"])
+        tag = F.coalesce(owner["tag"], F.lit(""))
+        spans = link.isNotNull() & (link["opens"] != link["closes"]) & F.lit("a" not in options.strip_tags and "a" not in _visited(options))
+        return F.struct(
+            r["owner"].alias("owner"),
+            tag.alias("tag"),
+            *(owner[x].alias(x) for x in ("path", "item", "cell", "table")),
+            F.shiftright(F.get(r["codes"], F.lit(0)), 1).alias("first"),
+            F.coalesce(F.get(r["codes"], F.lit(0)) == r["owner"] * 2, F.lit(False)).alias("opens"),
+            F.array_join(F.transform(r["codes"], of_code), "").alias("content"),
+            F.coalesce((tag == "pre") | within(owner, "pre"), F.lit(False)).alias("pre"),
+            F.when(lead["path"].rlike(f" (?:{'|'.join(_TAG_MARK)}) "), _around(lead, options)).otherwise(F.lit("")).alias("around"),
+            F.when(spans, _link_end(link, options)).alias("link_end"),
+        )
+
+    return F.transform("runs", line)
+
+
+def written(options: Options) -> list[tuple[str, Column]]:
+    """The steps from a document's ``lines`` to ``texts``, their contents as text."""
+    has = lambda pattern: lambda c: c.rlike(pattern)
+    pair = "".join(OPEN[n] for n in _PAIRED)
+
+    def step(change, only) -> tuple[str, Column]:
+        return "texts", F.transform("texts", lambda c: F.when(only(c), change(c)).otherwise(c))
+
+    def begun(x: Column) -> Column:
+        c = x["content"]
+        if options.output_format == "plain":
+            return F.when(x["pre"], F.regexp_replace(c, ANY_MARK, "")).otherwise(c)
+        linked = F.concat(F.lit(OPEN["link"]), F.regexp_replace(c, r"^\s+|\s+\z", ""), x["link_end"])
+        return F.when(x["pre"], F.regexp_replace(c, ANY_MARK, "")).when(c == "", c).when(x["link_end"].isNotNull(), linked).otherwise(F.concat(x["around"], c))
+
+    out = [("texts", F.transform("lines", begun))]
+    if options.output_format != "plain":
+        out.append(step(_ended, has(f"[{pair}]")))
+        out.append(step(lambda c: F.when(F.regexp_replace(c, r"[\uE000-\uE01F\s]", "") == "", F.lit("")).otherwise(_tidied(c, options)), has(r"[\uE000-\uE01F]")))
+        out.append(step(lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF))))
+        out.append(step(_links_escaped, has(f"(?s){OPEN['link']}[^{HREF}]*\\]")))
+        out.append(step(_code, has(f"(?s){OPEN['code']}[^{CLOSE['code']}]*`")))
+        out.append(step(lambda c: _markup(c, options), has(r"[\uE000-\uE020]")))
+    out[-1] = ("texts", held(out[-1][1]))
+    ends = has(f"^[ \n]|[ \n]\\z|  |\n|[\\uE020-\\uE02F]")
+
+    def done(x: Column, i: Column) -> Column:
+        c = F.get("texts", i)
+        lead = F.when(x["content"].startswith(BREAK) & x["tag"].isin("", "html", "body"), F.lit(LINE)).otherwise(F.lit(""))
+        return F.when(~x["pre"] & ends(c), F.concat(lead, _finished(c, options))).otherwise(c)
+
+    return [*out, ("texts", held(F.transform("lines", done)))]
+
+
+# --- tables -------------------------------------------------------------------
 
-def _indent(lines: Column, prefix: Column) -> Column:
-    """A prefix before every line but the first."""
-    return F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), prefix))
 
+def _widened(cells: Column) -> Column:
+    """Cells with their column: the sum of the spans before them in the row."""
+    return F.transform(cells, lambda c, i: c.withField("col", F.aggregate(F.slice(cells, F.lit(1), i), F.lit(0), lambda a, x: a + x["col_span"])))
 
-def blocks(found: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, at, body, list_id, tight, kind``: rendered blocks outside tables."""
+
+_SLOT = "struct<col:int,content:string,col_span:int>"
+
+
+def _carried(rows: Column, n_cols: Column) -> Column:
+    """Rows as slots, with an empty slot in each column that a cell of an earlier row spans."""
+
+    def free(tracker: Column, col: Column) -> Column:
+        """The first column from ``col`` on that no row span holds."""
+        return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), n_cols), lambda c: (c >= col) & (F.coalesce(F.get(tracker, c), F.lit(0)) == 0))), col)
+
+    def blanks(a: Column, b: Column) -> Column:
+        made = F.transform(F.sequence(a, b - 1), lambda c: F.struct(c.alias("col"), F.lit("").alias("content"), F.lit(1).alias("col_span")))
+        return F.when(b > a, made).otherwise(F.array().cast(f"array<{_SLOT}>"))
+
+    start = F.struct(F.array_repeat(F.lit(0), n_cols + 1).alias("held"), F.array().cast(f"array<array<{_SLOT}>>").alias("rows"))
+
+    def add_row(a: Column, cells: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("col"), F.array().cast(f"array<{_SLOT}>").alias("slots"), F.array().cast("array<struct<col:int,rows:int>>").alias("spans"))
+
+        def add_cell(s: Column, c: Column) -> Column:
+            return let(
+                free(a["held"], s["col"]),
+                lambda k: F.struct(
+                    (k + c["col_span"]).alias("col"),
+                    F.concat(s["slots"], blanks(s["col"], k), F.array(F.struct(k.alias("col"), c["content"].alias("content"), c["col_span"].alias("col_span")))).alias("slots"),
+                    F.when(c["row_span"] > 1, F.array_append(s["spans"], F.struct(k.alias("col"), (c["row_span"] - 1).alias("rows")))).otherwise(s["spans"]).alias("spans"),
+                ),
+            )
+
+        def done(s: Column) -> Column:
+            slots = F.concat(s["slots"], blanks(s["col"], F.least(free(a["held"], s["col"]), n_cols)))
+            held = F.transform(
+                a["held"],
+                lambda h, i: F.coalesce(_first(s["spans"], lambda x: x["col"] == i)["rows"], F.greatest(h - 1, F.lit(0))),
+            )
+            return F.struct(held.alias("held"), F.array_append(a["rows"], slots).alias("rows"))
+
+        return let(F.aggregate(cells, begin, add_cell), done)
+
+    return F.aggregate(rows, start, add_row)["rows"]
+
+
+def tables(texts: Column, gone: Column, options: Options) -> Column:
+    """``id, markdown, n_rows, n_cols, is_layout, cells`` of every table that lies in no other.
+
+    A table in a cell is part of the cell's text.  The first row is the header; a
+    column is as wide as its widest cell (200 at most).  A table that only lays
+    out a page becomes a list of its rows.
+    """
     plain = options.output_format == "plain"
-    block_tags = tuple(t for t in CUTS if t not in ("html", "body"))
-    block = _last_of(block_tags)["tag"]
-    li = _last_of(("li",))
-    lists = F.filter("path", lambda p: p["tag"].isin("ul", "ol", "menu"))
-    out = found.withColumns(
-        {
-            "block": F.when(F.col("is_rule"), F.lit("hr")).otherwise(F.coalesce(block, F.lit("div"))),
-            "li": li["id"],
-            "nth": li["nth"],
-            "list": F.try_element_at(lists, F.lit(-1)),
-            "list_id": F.get(lists, F.lit(0))["id"],
-            "depth": F.size(lists),
-            "bullet_depth": _count_of("ul", "menu"),
-            "quotes": _count_of("blockquote"),
-            "pre": F.exists("path", lambda p: p["tag"] == "pre"),
-        }
-    )
-    order = W.partitionBy("doc_id", "li").orderBy("run")
-    out = out.withColumn("opens_item", F.col("li").isNotNull() & (F.row_number().over(order) == 1))
-    c = F.col("content")
-    # headings
-    level = F.when(F.col("block").rlike("^h[1-6]$"), F.substring("block", 2, 1).cast("int"))
-    head = T.one_line(c)
+    joiner = "<br>" if options.br_in_tables and not plain else " "
+
+    def text_of(n: Column) -> Column:
+        own = F.transform(F.slice(texts, n["opens"] + 1, n["closes"] - n["opens"] + 1), lambda c: F.regexp_replace(c, f" *\\\\?[\n{LINE}]+", joiner))
+        return F.trim(F.array_join(F.filter(own, lambda x: x != ""), joiner))
+
+    def cell(n: Column) -> Column:
+        return F.struct(
+            F.lit(0).alias("col"),
+            text_of(n).alias("content"),
+            T.span(n["attrs"]["colspan"]).alias("col_span"),
+            T.span(n["attrs"]["rowspan"]).alias("row_span"),
+            (n["tag"] == "th").alias("is_header"),
+        )
+
+    def is_cell(n: Column) -> Column:
+        return n["tag"].isin(*CELLS)
+
+    def shows(n: Column) -> Column:
+        return filters.stays(n, gone, options)
+
+    def rows_of(t: Column) -> Column:
+        rows = F.filter(below(t), lambda n: n["tag"].isin("tr", "row") & (n["table"] == t["id"]) & shows(n))
+        return F.transform(rows, lambda r: let(F.transform(F.filter(below(r), lambda n: is_cell(n) & (n["row"] == r["id"]) & shows(n)), cell), _widened))
+
+    def width_of(r: Column) -> Column:
+        return F.aggregate(r, F.lit(0), lambda a, c: a + c["col_span"])
+
+    def is_layout(t: Column, rows: Column) -> Column:
+        inside = F.filter(below(t), lambda n: n["kind"] != "comment")
+        is_tag = lambda n, test: (n["kind"] == "tag") & test
+        nested = F.size(F.filter(inside, lambda n: n["tag"] == "table"))
+        headed = F.exists(inside, lambda n: is_tag(n, n["tag"].isin("th", "caption") | ((n["tag"] == "cell") & (_attr(n, "role") == "head"))))
+        widths = F.array_distinct(F.filter(F.transform(rows, width_of), lambda w: w > 0))
+        spans = F.exists(inside, lambda n: is_tag(n, is_cell(n) & (_has(n, "colspan") | _has(n, "rowspan"))))
+        links = F.size(F.filter(inside, lambda n: n["tag"] == "a"))
+        blank = ~_has_text(inside)
+        looks = (nested > 1) | (F.size(widths) > 1) | (spans & (_attr(t, "border") == "0"))
+        return ~headed & (looks | blank | ((F.size(rows) <= 2) & (links >= 3)))
+
+    def _has_text(inside: Column) -> Column:
+        return F.exists(inside, lambda n: ((n["kind"] == "text") & (F.trim(F.translate(n["text"], "\n\t", "  ")) != "")) | ((n["kind"] == "tag") & n["tag"].isin("img", "graphic") & (_has(n, "src") | _has(n, "alt"))))
+
+    def caption(t: Column) -> Column:
+        own = F.transform(F.filter(below(t), lambda n: (n["tag"] == "caption") & (n["table"] == t["id"]) & shows(n)), lambda n: T.one_line(text_of(n)))
+        said = F.array_join(F.filter(own, lambda x: x != ""), " ")
+        em = "" if plain else options.strong_em_symbol
+        shown = said if plain else F.replace(said, F.lit("-"), F.lit("\\-"))
+        return F.when(said == "", F.lit("")).otherwise(F.concat(F.lit(em), shown, F.lit(em + "\n\n")))
+
+    def listed(rows: Column) -> Column:
+        each = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["content"]), lambda x: x != ""), " "))
+        return F.array_join(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.concat(F.lit("- "), F.ltrim(F.regexp_replace(x, "^- ", "")))), "\n")
+
+    def grid(slots: Column, n_cols: Column) -> Column:
+        def widest(c: Column) -> Column:
+            sizes = F.transform(F.filter(F.flatten(slots), lambda x: (x["col"] == c) & (x["col_span"] == 1)), lambda x: F.least(F.char_length(x["content"]), F.lit(200)))
+            return F.greatest(F.coalesce(F.array_max(sizes), F.lit(3)), F.lit(3))
+
+        def drawn(widths: Column) -> Column:
+            def one(x: Column) -> Column:
+                missing = F.greatest(F.coalesce(F.get(widths, x["col"]), F.lit(0)) - F.char_length(x["content"]), F.lit(0))
+                padded = x["content"] if options.compact_tables else F.concat(x["content"], F.repeat(F.lit(" "), missing))
+                return F.concat(F.lit(" "), padded, F.repeat(F.lit(" |"), x["col_span"]))
+
+            def row(r: Column, i: Column) -> Column:
+                dashes = F.transform(F.sequence(F.lit(0), F.greatest(width_of(r), F.lit(1)) - 1), lambda c: F.concat(F.lit(" "), F.repeat(F.lit("-"), F.lit(3) if options.compact_tables else F.coalesce(F.get(widths, c), F.lit(3))), F.lit(" |")))
+                rule = F.when(i == 0, F.concat(F.lit("\n|"), F.array_join(dashes, ""))).otherwise(F.lit(""))
+                return F.concat(F.lit("|"), F.array_join(F.transform(r, one), ""), rule)
+
+            return F.array_join(F.transform(slots, row), "\n")
+
+        return let(F.transform(F.sequence(F.lit(0), F.greatest(n_cols, F.lit(1)) - 1), widest), drawn)
+
+    def table(t: Column) -> Column:
+        def of_rows(rows: Column) -> Column:
+            n_cols = F.least(F.coalesce(F.array_max(F.transform(rows, width_of)), F.lit(0)), F.lit(1000))
+            uncarried = F.transform(rows, lambda r: F.transform(r, lambda c: F.struct(c["col"].alias("col"), c["content"].alias("content"), c["col_span"].alias("col_span"))))
+            cells = F.flatten(
+                F.transform(
+                    rows,
+                    lambda r, i: F.transform(r, lambda c: F.struct(c["content"].alias("content"), i.alias("row"), c["col"].alias("col"), c["row_span"].alias("row_span"), c["col_span"].alias("col_span"), c["is_header"].alias("is_header"))),
+                )
+            )
+            if plain:
+                is_list = F.lit(False)
+                body = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: c["content"]), "\t")), "\n")
+            else:
+                is_list = is_layout(t, rows)
+                carried = F.exists(rows, lambda r: F.exists(r, lambda c: c["row_span"] > 1))
+                slots = let(n_cols, lambda n: F.when(carried, _carried(rows, n)).otherwise(uncarried))
+                body = let(n_cols, lambda n: let(slots, lambda s: grid(s, n)))
+            whole = F.when(F.size(rows) == 0, F.lit("")).when(is_list, listed(rows)).otherwise(body)
+            return F.struct(t["id"].alias("id"), F.concat(caption(t), whole).alias("markdown"), F.size(rows).alias("n_rows"), n_cols.alias("n_cols"), is_list.alias("is_layout"), cells.alias("cells"))
+
+        return let(rows_of(t), of_rows)
+
+    return F.transform(F.filter("nodes", lambda n: (n["tag"] == "table") & n["table"].isNull() & shows(n)), table)
+
+
+# --- documents ----------------------------------------------------------------
+
+
+def _indent(text: Column, prefix: Column) -> Column:
+    """A prefix before every line but the first."""
+    return F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix))
+
+
+def _count(path: Column, *tags: str) -> Column:
+    """How often some tags stand in a path."""
+    some = F.lit(False)
+    for t in tags:
+        some = some | F.contains(path, F.lit(f" {t} "))
+    return F.when(some, F.regexp_count(path, F.lit(f" (?:{'|'.join(tags)})(?= )"))).otherwise(0)
+
+
+def _body(x: Column, options: Options) -> Column:
+    """A line as the block that it is."""
+    plain, c, kind = options.output_format == "plain", x["content"], x["kind"]
+    level = F.substring(kind, 2, 1).cast("int")
+    head = T.one_line(F.replace(c, F.lit("\n"), F.lit(" ")))
     if plain:
         heading = head
     else:
         hashes = F.repeat(F.lit("#"), level)
         heading = F.concat(hashes, F.lit(" "), head)
         if options.heading_style == "atxclosed":
-            heading = F.concat(hashes, F.lit(" "), head, F.lit(" "), hashes)
+            heading = F.concat(heading, F.lit(" "), hashes)
         if options.heading_style == "underlined":
             line = F.when(level == 1, F.lit("=")).otherwise(F.lit("-"))
             heading = F.when(level <= 2, F.concat(head, F.lit("\n"), F.repeat(line, F.octet_length(head)))).otherwise(heading)
-    # code blocks
-    language = F.coalesce(F.nullif(F.regexp_extract(c, f"{LANG}([^{END}]*){END}", 1), F.lit("")), F.lit(options.code_language))
-    code = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, f"{LANG}[^{END}]*{END}", ""), ANY_MARK, ""), "^\n|\n+\\z", "")
-    out = out.withColumn("_code", F.when(F.col("pre"), code))
-    code = F.col("_code")
+    code = F.regexp_replace(c, "^\n|\n+\\z", "")
     if options.whitespace_mode != "strict":
-        out = out.withColumn("_code", T.dedent(code))
+        code = let(code, T.dedent)
     if plain:
         fenced = code
     elif options.code_block_style == "indented":
         fenced = F.concat(F.lit("    "), _indent(code, F.lit("    ")))
     else:
         ticks = "`" if options.code_block_style == "backticks" else "~"
-        longest = F.aggregate(F.regexp_extract_all(code, F.lit(f"({ticks}+)"), 1), F.lit(2), lambda a, x: F.greatest(a, F.length(x)))
-        out = out.withColumn("_fence", F.repeat(F.lit(ticks), longest + 1))
-        fence = F.col("_fence")
-        fenced = F.concat(fence, language, F.lit("\n"), code, F.lit("\n"), fence)
+
+        def fence(text: Column) -> Column:
+            longest = F.aggregate(F.regexp_extract_all(text, F.lit(f"({ticks}+)"), 1), F.lit(2), lambda a, y: F.greatest(a, F.length(y)))
+            return let(F.repeat(F.lit(ticks), longest + 1), lambda f: F.concat(f, x["language"], F.lit("\n"), text, F.lit("\n"), f))
+
+        fenced = let(code, fence)
     strong = "" if plain else ("*" if options.output_format == "djot" else options.strong_em_symbol * 2)
     em = "" if plain else ("_" if options.output_format == "djot" else options.strong_em_symbol)
-    body = (
-        F.when(F.col("pre"), fenced)
-        .when(level.isNotNull(), heading)
-        .when(F.col("block") == "hr", F.lit("" if plain else "---"))
-        .when(F.col("block").isin("summary", "legend"), F.concat(F.lit(strong), c, F.lit(strong)))
-        .when(F.col("block").isin("figcaption"), F.concat(F.lit(em), c, F.lit(em)))
+    return (
+        F.when(kind == "pre", fenced)
+        .when(kind.isin(*HEADINGS), heading)
+        .when(kind.isin("summary", "legend"), F.concat(F.lit(strong), c, F.lit(strong)))
+        .when(kind == "figcaption", F.concat(F.lit(em), c, F.lit(em)))
         .otherwise(c)
     )
-    out = out.withColumn("_body", body)
-    body = F.col("_body")
-    # list items and quotes
-    n = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce(F.col("list.start"), F.lit("1")), r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int"), F.lit(1)) + F.col("nth") - 1
+
+
+def _placed(x: Column, opens_item: Column, body: Column, options: Options) -> Column:
+    """A block with the marks of the lists and quotes around it."""
+    plain = options.output_format == "plain"
+    start = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce(x["start"], F.lit("1")), r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int"), F.lit(1))
+    number = F.concat((start + x["nth"] - 1).cast("string"), F.lit(". "))
     bullets = F.array(*(F.lit("-" if plain else b) for b in options.bullets))
-    bullet = F.when(F.col("list.tag") == "menu", F.lit("-")).otherwise(F.element_at(bullets, (F.pmod(F.col("bullet_depth") - 1, F.lit(len(options.bullets))) + 1).cast("int")))
-    marker = F.when(F.col("list.tag") == "ol", F.concat(n.cast("string"), F.lit(". "))).otherwise(F.concat(F.coalesce(bullet, F.lit("-")), F.lit(" ")))
+    bullet = F.when(x["list_tag"] == "menu", F.lit("-")).otherwise(F.element_at(bullets, (F.pmod(x["bullet_depth"] - 1, F.lit(len(options.bullets))) + 1).cast("int")))
+    marker = F.when(x["list_tag"] == "ol", number).otherwise(F.concat(F.coalesce(bullet, F.lit("-")), F.lit(" ")))
     step = "\t" if options.list_indent_type == "tabs" else " " * options.list_indent_width
-    outer = F.repeat(F.lit(step), F.greatest(F.col("depth") - 1, F.lit(0)))
-    inner = F.repeat(F.lit("    "), F.greatest(F.col("depth"), F.lit(0)))
-    in_item = F.col("li").isNotNull()
-    body = F.when(in_item & F.col("opens_item"), F.concat(outer, marker, _indent(body, inner))).when(in_item, F.concat(inner, _indent(body, inner))).otherwise(body)
-    out = out.withColumn("_placed", body)
-    body = F.col("_placed")
-    if not plain:
-        quote = F.repeat(F.lit("> "), F.col("quotes"))
-        body = F.when(F.col("quotes") > 0, F.concat(quote, _indent(body, quote))).otherwise(body)
-    return out.select(
-        "doc_id",
-        F.col("first").alias("at"),
-        body.alias("body"),
-        F.when(in_item, F.col("list_id")).alias("list_id"),
-        (F.col("opens_item") & (F.col("block") != "p")).alias("tight"),
-        F.col("block").alias("kind"),
-        F.col("quotes"),
-    )
+    outer = F.repeat(F.lit(step), F.greatest(x["lists"] - 1, F.lit(0)))
+    inner = F.repeat(F.lit("    "), x["lists"])
+    placed = F.when(x["item"].isNull(), body).when(opens_item, F.concat(outer, marker, _indent(body, inner))).otherwise(F.concat(inner, _indent(body, inner)))
+    if plain:
+        return placed
+
+    def quoted(text: Column, depth: Column) -> Column:
+        quote = F.repeat(F.lit("> "), depth)
+        return F.when(depth > 0, F.concat(quote, F.replace(F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), quote)), F.concat(F.lit("\n"), quote, F.lit("\n")), F.concat(F.lit("\n"), F.rtrim(quote), F.lit("\n"))))).otherwise(text)
+
+    def cited(text: Column) -> Column:
+        parts = F.split(text, CITE)
+        main = F.rtrim(F.get(parts, F.lit(0)))
+        before = F.when(main == "", F.lit("")).otherwise(F.concat(quoted(main, x["quotes"]), F.lit("\n\n")))
+        return F.when(F.contains(text, F.lit(CITE)), F.concat(before, quoted(F.get(parts, F.lit(1)), x["quotes"] - 1))).otherwise(quoted(text, x["quotes"]))
+
+    return let(placed, cited)
+
+
+def loose_lists() -> Column:
+    """Ids of the lists with an item that holds a paragraph."""
+    p_in_items = F.filter("nodes", lambda n: (n["tag"] == "p") & (F.get("nodes", n["parent"])["tag"] == "li"))
+    return F.array_compact(F.array_distinct(F.transform(p_in_items, lambda n: F.get("nodes", F.get("nodes", n["parent"])["parent"])["id"])))
+
+
+def described(lines: Column, texts: Column, tables: Column, options: Options) -> Column:
+    """``first, kind, content, quotes, item, list, ...`` of what shows outside of tables, and of tables."""
+    bare = [*options.strip_tags, *_visited(options)]
+
+    def is_table(x: Column) -> Column:
+        return x["opens"] & (x["tag"] == "table") & x["table"].isNull()
+
+    def shows(x: Column, c: Column) -> Column:
+        flow = x["cell"].isNull() & ~x["tag"].isin(*TABLE_PARTS) & (c != "")
+        return flow | (is_table(x) & x["cell"].isNull())
+
+    def one(x: Column, content: Column) -> Column:
+        item = F.get("nodes", x["item"])
+        parent = F.get("nodes", item["parent"])
+        path = F.concat(x["path"], x["tag"], F.lit(" "))
+        table = F.when(F.size(tables) > 0, _first(tables, lambda t: t["id"] == x["owner"])["markdown"])
+        own = F.get("nodes", x["owner"])
+        kind = F.when(is_table(x), F.lit("table")).when(x["tag"].isin("", *bare), F.lit("div")).otherwise(x["tag"])
+        language = F.coalesce(_language(own), _language(_first(below(own), lambda n: n["tag"] == "code")), F.lit(options.code_language))
+        return F.struct(
+            x["first"].alias("first"),
+            kind.alias("kind"),
+            F.when(is_table(x), F.coalesce(table, F.lit(""))).otherwise(content).alias("content"),
+            F.coalesce(_count(path, "blockquote"), F.lit(0)).alias("quotes"),
+            x["item"].alias("item"),
+            F.coalesce(_count(path, *LISTS), F.lit(0)).alias("lists"),
+            F.coalesce(_count(path, "ul", "menu"), F.lit(0)).alias("bullet_depth"),
+            item["nth"].alias("nth"),
+            F.when(parent["tag"].isin(*LISTS), parent["id"]).otherwise(x["item"]).alias("list"),
+            parent["tag"].alias("list_tag"),
+            parent["attrs"]["start"].alias("start"),
+            parent["item"].alias("outer_item"),
+            F.when(x["tag"] == "pre", language).alias("language"),
+        )
+
+    found = F.filter(F.arrays_zip(lines.alias("x"), texts.alias("c")), lambda z: F.coalesce(shows(z["x"], z["c"]), F.lit(False)))
+    return F.filter(F.transform(found, lambda z: one(z["x"], z["c"])), lambda x: x["content"] != "")
+
 
+def dressed(found: Column, loose: Column, options: Options) -> Column:
+    """The blocks as text, each with what sets it apart from the one before."""
 
-def tables(nodes: DataFrame, found: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, table_id, at, body, n_rows, n_cols, cells`` of every table.
+    def one(x: Column, i: Column) -> Column:
+        before = F.get(found, i - 1)
+        opens = x["item"].isNotNull() & (before["first"].isNull() | (before["first"] < x["item"]))
+        tight = opens & ((F.size(loose) == 0) | ~F.array_contains(loose, x["list"]))
+        same_list = before["item"].isNotNull() & ((x["list"] <= before["first"]) | x["outer_item"].isNotNull())
+        pair = ((before["kind"] == "dt") & x["kind"].isin("dd", "dt")) | (before["kind"].isin("option", "optgroup") & x["kind"].isin("option", "optgroup"))
+        quoted = F.least(before["quotes"], x["quotes"] - x["content"].startswith(CITE).cast("int"))
+        blank = F.lit("\n\n") if options.output_format == "plain" else F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), F.greatest(quoted, F.lit(0)))), F.lit("\n"))
+        gap = F.when(before["first"].isNull(), F.lit("")).when(F.coalesce((same_list & tight) | pair, F.lit(False)), F.lit("\n")).otherwise(blank)
+        return F.concat(gap, let(_body(x, options), lambda b: _placed(x, F.coalesce(opens, F.lit(False)), b, options)))
 
-    A cell's column is the sum of the spans before it in its row.  The first row
-    is the header; columns are as wide as their widest cell (200 at most).
+    return F.transform(found, one)
+
+
+def with_references(content: Column) -> Column:
+    """Link targets as numbers, first seen first, and a list of them at the end."""
+    pattern = f"{HREF}([^{CLOSE['link']}]*){CLOSE['link']}"
+    targets = F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
+    numbered = F.transform(targets, lambda t, k: F.struct(t.alias("t"), (k + 1).cast("string").alias("n")))
+
+    def put(all_: Column) -> Column:
+        body = F.aggregate(all_, content, lambda c, x: F.replace(c, F.concat(F.lit(HREF), x["t"], F.lit(CLOSE["link"])), F.concat(F.lit("]["), x["n"], F.lit("]"))))
+        foot = F.array_join(F.transform(all_, lambda x: F.concat(F.lit("["), x["n"], F.lit("]: "), x["t"])), "\n")
+        return F.when(F.size(all_) > 0, F.concat(body, F.lit("\n\n"), foot)).otherwise(body)
+
+    return let(numbered, put)
+
+
+def wrapped(content: Column, width: int) -> Column:
+    """Lines broken at spaces so that they have at most ``width`` bytes.
+
+    Headings, code, tables and lines that are one link stay; in lists and quotes
+    the lines after the first are indented to the item's text or quoted alike.
     """
-    plain = options.output_format == "plain"
-    cells = nodes.where(F.col("tag").isin(*CELLS)).select(
-        "doc_id",
-        F.col("id").alias("cell_id"),
-        F.try_element_at(F.filter("path", lambda p: p["tag"] == "table"), F.lit(-1))["id"].alias("table_id"),
-        F.try_element_at(F.filter("path", lambda p: p["tag"].isin("tr", "row")), F.lit(-1))["id"].alias("row_id"),
-        T.span(F.col("attrs")["colspan"]).alias("col_span"),
-        T.span(F.col("attrs")["rowspan"]).alias("row_span"),
-        (F.col("tag") == "th").alias("is_header"),
-    )
-    cells = cells.where(F.col("table_id").isNotNull() & F.col("row_id").isNotNull())
-    joiner = "<br>" if options.br_in_tables and not plain else " "
-    texts = found.withColumn("cell_id", _last_of(CELLS)["id"]).where(F.col("cell_id").isNotNull())
-    texts = texts.groupBy("doc_id", "cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "content"))), lambda x: x["content"]), joiner).alias("content"))
-    flat = F.regexp_replace(F.coalesce("content", F.lit("")), " *\\\\?\n", joiner)
-    cells = cells.join(texts, ["doc_id", "cell_id"], "left").withColumn("content", F.trim(flat))
-    in_row = W.partitionBy("doc_id", "table_id", "row_id").orderBy("cell_id")
-    cells = cells.withColumn("col", F.coalesce(F.sum("col_span").over(in_row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    cells = cells.withColumn("row", F.dense_rank().over(W.partitionBy("doc_id", "table_id").orderBy("row_id")) - 1)
-    width = F.max(F.when(F.col("col_span") == 1, F.least(F.char_length("content"), F.lit(200)))).over(W.partitionBy("doc_id", "table_id", "col"))
-    cells = cells.withColumn("width", F.greatest(F.coalesce(width, F.lit(3)), F.lit(3)))
-    missing = F.greatest(F.col("width") - F.char_length("content"), F.lit(0))
-    padded = F.col("content") if options.compact_tables or plain else F.concat("content", F.repeat(F.lit(" "), missing))
-    cells = cells.withColumn("shown", padded)
-    cell = F.struct("col", "content", "shown", "col_span", "row_span", "is_header", "width")
-    rows = cells.groupBy("doc_id", "table_id", "row").agg(F.min("cell_id").alias("at"), F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("col_span").alias("n_cols"))
-    if plain:
-        line = F.array_join(F.transform("cells", lambda x: x["content"]), "\t")
-        rule = F.lit("")
-    else:
-        bar = F.transform("cells", lambda x: F.concat(F.lit(" "), x["shown"], F.repeat(F.lit(" |"), x["col_span"])))
-        line = F.concat(F.lit("|"), F.array_join(bar, ""))
-        dashes = F.transform("cells", lambda x: F.repeat(F.concat(F.lit(" "), F.repeat(F.lit("-"), F.lit(3) if options.compact_tables else x["width"]), F.lit(" |")), x["col_span"]))
-        rule = F.when(F.col("row") == 0, F.concat(F.lit("\n|"), F.array_join(dashes, ""))).otherwise(F.lit(""))
-    rows = rows.withColumn("line", F.concat(line, rule))
-    grid = F.transform("cells", lambda x: F.struct(x["content"].alias("content"), F.col("row").alias("row"), x["col"].alias("col"), x["row_span"].alias("row_span"), x["col_span"].alias("col_span"), x["is_header"].alias("is_header")))
-    rows = rows.withColumn("grid", grid)
-    out = rows.groupBy("doc_id", "table_id").agg(
-        F.array_sort(F.collect_list(F.struct("row", "line", "grid"))).alias("r"), F.min("at").alias("at"), F.count("*").cast("int").alias("n_rows"), F.max("n_cols").cast("int").alias("n_cols")
-    )
-    return out.select(
-        "doc_id", "table_id", "at", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("body"), "n_rows", "n_cols", F.flatten(F.transform("r", lambda x: x["grid"])).alias("cells")
-    )
 
+    def paragraph(lead: Column, rest: Column, text: Column) -> Column:
+        words = F.filter(F.split(text, " "), lambda w: w != "")
+        start = F.struct(lead.alias("done"), F.lit(0).alias("used"), F.lit(True).alias("fresh"))
+
+        def add(a: Column, w: Column) -> Column:
+            used = F.when(a["fresh"], F.octet_length(w) + F.octet_length(a["done"])).otherwise(a["used"] + 1 + F.octet_length(w))
+            fits = a["fresh"] | (used <= width)
+            glue = F.when(a["fresh"], F.lit("")).when(fits, F.lit(" ")).otherwise(F.concat(F.lit("\n"), rest))
+            return F.struct(F.concat(a["done"], glue, w).alias("done"), F.when(fits, used).otherwise(F.octet_length(rest) + F.octet_length(w)).cast("int").alias("used"), F.lit(False).alias("fresh"))
+
+        return F.aggregate(words, start, add)["done"]
+
+    item = r"^((?:> ?)*)(\s*)((?:[-*+]|\d+\.) )?"
+
+    def line(text: Column) -> Column:
+        quote, indent, marker = (F.regexp_extract(text, item, k) for k in (1, 2, 3))
+        lead = F.concat(quote, indent, marker)
+        rest = F.concat(quote, indent, F.repeat(F.lit(" "), F.length(marker)))
+        fixed = text.rlike(r"^(#|\||(?:> ?)*\s*$|\[[^\]]*\]\([^)]*\)$|    )|  $") | (F.octet_length(text) <= width)
+        return F.when(fixed, text).otherwise(paragraph(lead, rest, F.substr(text, F.length(lead) + 1)))
 
-def documents(nodes: DataFrame, options: Options, with_tables: DataFrame | None = None) -> DataFrame:
-    """``doc_id, content`` of every document with nodes that show.
+    def joined(p: Column) -> Column:
+        """A paragraph's own lines as one, where nothing sets them apart."""
+        free = ~p.rlike(r"(?m)^(#|```|~~~|\||>|\s*[-*+] |\s*\d+\. |    )|  $")
+        return F.when(free, F.replace(p, F.lit("\n"), F.lit(" "))).otherwise(p)
 
-    ``with_tables``: the nodes of the documents that may hold tables, if these are known.
+    parts = F.split(content, "\n\n")
+    # Code between fences stays, with its blank lines: a part is in code if an odd number of fences stands before it.
+    fences = lambda p: F.size(F.regexp_extract_all(p, F.lit(r"(?m)^[ >]*(```|~~~)"), 1))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("n"))
+
+    def part(a: Column, p: Column) -> Column:
+        inside = (a["n"] % 2 == 1) | (fences(p) > 0)
+        shown = F.array_join(F.transform(F.split(joined(p), "\n"), line), "\n")
+        return F.struct(F.array_append(a["done"], F.when(inside, p).otherwise(shown)).alias("done"), (a["n"] + fences(p)).alias("n"))
+
+    return F.array_join(F.aggregate(parts, start, part)["done"], "\n\n")
+
+
+@built_once
+def steps(options: Options) -> list[tuple[str, Column]]:
+    """Columns that lead from ``nodes`` and ``runs`` to ``content`` and ``tables``, in order.
+
+    Those that later steps loop over are held.
     """
-    with_tables = nodes if with_tables is None else with_tables
-    outside = runs(nodes, options).where(~F.exists("path", lambda p: p["tag"].isin(*CELLS)))
-    grid = tables(with_tables, runs(with_tables, options), options).select("doc_id", "at", "body", F.lit(None).cast("int").alias("list_id"), F.lit(False).alias("tight"), F.lit("table").alias("kind"), F.lit(0).alias("quotes"))
-    caption = F.col("kind") == "caption"
-    em = "" if options.output_format == "plain" else options.strong_em_symbol
-    flow = blocks(outside, options).withColumn("body", F.when(caption, F.concat(F.lit(em), "body", F.lit(em))).otherwise(F.col("body")))
-    every = flow.unionByName(grid)
-    order = W.partitionBy("doc_id").orderBy("at")
-    before = {c: F.lag(c).over(order) for c in ("list_id", "kind", "quotes")}
-    same_list = F.col("list_id").isNotNull() & F.coalesce(before["list_id"] == F.col("list_id"), F.lit(False))
-    pair = (before["kind"] == "dt") & F.col("kind").isin("dd", "dt")
-    quoted = F.least(F.coalesce(before["quotes"], F.lit(0)), F.col("quotes"))
-    blank = F.concat(F.lit("\n"), F.when((quoted > 0) & F.lit(options.output_format != "plain"), F.concat(F.rtrim(F.repeat(F.lit("> "), quoted)))).otherwise(F.lit("")), F.lit("\n"))
-    gap = F.when((same_list & F.col("tight")) | F.coalesce(pair, F.lit(False)), F.lit("\n")).otherwise(blank)
-    gap = F.when(before["kind"].isNull(), F.lit("")).otherwise(gap)
-    every = every.withColumn("piece", F.concat(gap, "body"))
-    joined = every.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("content"))
-    content = T.collapse_blank_lines(F.regexp_replace(F.col("content"), "^\n+|\\s+\\z", ""))
+    gone, texts, content = F.col("gone"), F.col("texts"), F.col("content")
+    out = [("gone", held(filters.gone(options))), ("pieces", held(pieces(gone, options))), ("lines", held(lines(F.col("pieces"), options))), *written(options)]
+    out.append(("tables", held(tables(texts, gone, options))))
+    if options.convert_as_inline:
+        out.append(("content", F.array_join(F.filter(texts, lambda c: c != ""), " ")))
+    else:
+        out += [("loose", held(loose_lists())), ("shown", held(described(F.col("lines"), texts, F.col("tables"), options)))]
+        out.append(("content", F.array_join(dressed(F.col("shown"), F.col("loose"), options), "")))
+    out.append(("content", held(content)))
+    out.append(("content", T.collapse_blank_lines(F.regexp_replace(content, "^\n+|\\s+\\z", ""))))
     if options.link_style == "reference" and options.output_format != "plain":
-        content = with_references(content)
+        out.append(("content", with_references(content)))
     if options.wrap:
-        content = wrapped(content, options.wrap_width)
-    return joined.select("doc_id", F.when(content == "", F.lit("")).otherwise(F.concat(content, F.lit("\n"))).alias("content"))
+        out.append(("content", wrapped(content, options.wrap_width)))
+    content = F.translate(content, SPACE + LINE + CITE, " \n")
+    return [*out, ("content", held(F.when(content == "", F.lit("")).otherwise(F.concat(content, F.lit("\n")))))]
+
+
+def rendered(documents: DataFrame, options: Options) -> DataFrame:
+    """``documents`` with ``content`` and ``tables``, worked out from their ``nodes`` and ``runs`` (null without)."""
+    for name, step in steps(options):
+        documents = documents.withColumn(name, step)
+    return documents.drop("gone", "pieces", "lines", "texts", "loose", "shown")

@@ -1,60 +1,85 @@
-"""A document's structure as rows: sections, headings, paragraphs, lists, tables, images and code."""
+"""A document's structure: sections, headings, paragraphs, lists, tables, images and code."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators import extract
+from pagequarry.operators.extract import label
+from pagequarry.operators.nodes import below, let, within
 
-_TYPES = {"p": "paragraph", "ul": "list", "ol": "list", "li": "list_item", "table": "table", "img": "image", "pre": "code"} | {f"h{k}": "heading" for k in range(1, 7)}
+_TYPES = {"p": "paragraph", "ul": "list", "ol": "list", "li": "list_item", "table": "table", "img": "image", "pre": "code", "blockquote": "quote", "dl": "definition_list"} | {f"h{k}": "heading" for k in range(1, 7)}
+_HEADINGS = tuple(f"h{k}" for k in range(1, 7))
 
 
-def document_tree(nodes: DataFrame) -> DataFrame:
-    """``doc_id, id, node_type, parent, position, text, level, ordered, language, src``.
+def _name(kind: str | Column, node: Column) -> Column:
+    """An id: a type and a hash of the document's id, the node's and the type."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.when(node.isNotNull(), F.concat(kind, F.lit("-"), F.lower(F.lpad(F.hex(F.xxhash64("doc_id", node, kind)), 16, "0"))))
+
+
+def tree_of(tables: Column | None = None) -> Column:
+    """``id, node_type, parent, position, text, level, ordered, language, src, grid`` of the structure's nodes.
+
+    ``tables`` (as :func:`pagequarry.operators.render.tables` gives them) fill ``grid``.
+    """
+
+    def level(n: Column) -> Column:
+        return F.substring(n["tag"], 2, 1).cast("int")
+
+    def text_of(n: Column) -> Column:
+        # An item's text leaves out that of lists in it.
+        own = F.filter(below(n), lambda x: (x["kind"] == "text") & (x["item"] == n["id"]))
+        return F.when(n["tag"] == "li", T.one_line(F.array_join(F.transform(own, lambda x: x["text"]), ""))).otherwise(label(n))
+
+    def rows(heads: Column) -> Column:
+        def of_node(n: Column) -> Column:
+            kind = F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))[n["tag"]]
+            before = F.filter(heads, lambda h: h["id"] < n["id"])
+            section = F.try_element_at(before, F.lit(-1))["id"]
+            above = F.try_element_at(F.filter(before, lambda h: level(h) < level(n)), F.lit(-1))["id"]
+            owner = F.get("nodes", n["parent"])
+            parent = (
+                F.when(kind == "heading", _name("group", n["id"]))
+                .when((kind == "list_item") & owner["tag"].isin("ul", "ol"), _name("list", owner["id"]))
+                .otherwise(_name("group", section))
+            )
+
+            def row(kind: Column, parent: Column) -> Column:
+                grid = F.lit(None).cast("struct<rows:int,cols:int,cells:array<struct<content:string,row:int,col:int,row_span:int,col_span:int,is_header:boolean>>>")
+                if tables is not None:
+                    table = F.get(F.filter(tables, lambda t: t["id"] == n["id"]), F.lit(0))
+                    grid = F.when(table.isNotNull(), F.struct(table["n_rows"].alias("rows"), table["n_cols"].alias("cols"), table["cells"].alias("cells")))
+                return F.struct(
+                    _name(kind, n["id"]).alias("id"),
+                    kind.alias("node_type"),
+                    parent.alias("parent"),
+                    n["id"].alias("position"),
+                    F.when(~kind.isin("list", "table", "image", "definition_list"), text_of(n)).alias("text"),
+                    F.when(n["tag"].isin(*_HEADINGS), level(n)).alias("level"),
+                    F.when(kind == "list", n["tag"] == "ol").alias("ordered"),
+                    F.when(kind == "code", F.nullif(F.regexp_extract(F.coalesce(n["attrs"]["class"], F.lit("")), r"(?:language|lang)-(\S+)", 1), F.lit(""))).alias("language"),
+                    F.when(kind == "image", T.markdown_target(F.coalesce(n["attrs"]["src"], F.lit("")))).alias("src"),
+                    grid.alias("grid"),
+                )
+
+            one = F.array(row(kind, parent))
+            return F.when(kind == "heading", F.concat(F.array(row(F.lit("group"), _name("group", above))), one)).otherwise(one)
+
+        inside = lambda n: n["cell"].isNotNull() | n["item"].isNotNull()
+        found = F.filter("nodes", lambda n: n["tag"].isin(*_TYPES) & ~((n["tag"] == "p") & inside(n)) & ~within(n, "pre"))
+        return F.flatten(F.transform(found, of_node))
+
+    return let(F.filter("nodes", lambda n: n["tag"].isin(*_HEADINGS)), rows)
+
+
+def document_tree(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and the fields of :func:`tree_of`, a row a node.
 
     A heading opens a section: a ``group`` and the ``heading`` in it.  Sections
     nest by level; other nodes belong to the section that is open where they
     stand, list items to their list.  Text in cells and list items makes no
-    paragraphs.  Ids are a type and a hash of document, node and type.
+    paragraphs.
     """
-    inside = F.exists("path", lambda p: p["tag"].isin("td", "th", "li"))
-    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))[F.col("tag")], F.lit(""))
-    found = nodes.where("kind = 'tag'").withColumn("node_type", kind).where((F.col("node_type") != "") & ~((F.col("node_type") == "paragraph") & inside))
-    texts = extract.inner_text(nodes, *_TYPES).select("doc_id", F.col("owner").alias("id"), F.col("text").alias("_text"))
-    found = found.join(texts, ["doc_id", "id"], "left")
-    heading = F.when(F.col("node_type") == "heading", F.col("id"))
-    order = W.partitionBy("doc_id").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    in_list = F.try_element_at(F.filter("path", lambda p: p["tag"].isin("ul", "ol")), F.lit(-1))["id"]
-    found = found.withColumns({"section": F.last(heading, ignorenulls=True).over(order), "in_list": in_list})
-    above = extract.sections(nodes).select("doc_id", F.col("node_id").alias("id"), F.col("parent_id").alias("above"))
-    found = found.join(above, ["doc_id", "id"], "left")
-
-    def name(node_type, node):
-        return F.when(node.isNotNull(), F.concat(F.lit(node_type), F.lit("-"), F.lower(F.lpad(F.hex(F.xxhash64("doc_id", node, F.lit(node_type))), 16, "0"))))
-
-    group = F.when(F.col("node_type") == "heading", F.lit("group"))
-    rows = F.array_compact(F.array(group, F.col("node_type")))
-    each = found.withColumn("t", F.explode(rows))
-    own = F.concat("t", F.lit("-"), F.lower(F.lpad(F.hex(F.xxhash64("doc_id", "id", "t")), 16, "0")))
-    parent = (
-        F.when(F.col("t") == "group", name("group", F.col("above")))
-        .when(F.col("t") == "heading", name("group", F.col("id")))
-        .when((F.col("t") == "list_item") & F.col("in_list").isNotNull(), name("list", F.col("in_list")))
-        .otherwise(name("group", F.col("section")))
-    )
-    level = F.when(F.col("node_type") == "heading", F.substring("tag", 2, 1).cast("int"))
-    return each.select(
-        "doc_id",
-        own.alias("id"),
-        F.col("t").alias("node_type"),
-        parent.alias("parent"),
-        F.col("id").alias("position"),
-        F.when(~F.col("t").isin("list", "table", "image"), F.coalesce("_text", F.lit(""))).alias("text"),
-        level.alias("level"),
-        F.when(F.col("t") == "list", F.col("tag") == "ol").alias("ordered"),
-        F.when(F.col("t") == "code", F.nullif(F.regexp_extract(F.coalesce(F.col("attrs")["class"], F.lit("")), r"(?:language|lang)-(\S+)", 1), F.lit(""))).alias("language"),
-        F.when(F.col("t") == "image", T.markdown_target(F.coalesce(F.col("attrs")["src"], F.lit("")))).alias("src"),
-    )
+    return documents.select("doc_id", F.inline(tree_of()))

@@ -2,44 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators import extract, filters, render
-from pagequarry.operators.nodes import parse_nodes
+from pagequarry.operators import extract, render, structure
+from pagequarry.operators.nodes import built_once, let, parse_documents
 from pagequarry.plans.options import Options
 
 
+@built_once
+def _input_steps(options: Options) -> list[list[Column]]:
+    """What leads from ``html`` to ``error_kind``, ``flat`` and the ``html`` to parse."""
+    html, reason = F.col("html"), F.col("error_kind")
+    flat = F.regexp_replace(T.normalize_whitespace(T.decode_named(T.normalize_input(html))), r"\s+\z", "")
+    flat = let(flat, lambda f: F.when(f == "", f).otherwise(F.concat(T.escape(f, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n"))))
+    is_text = ~F.contains(html, F.lit("<"))
+    if options.wrap:
+        is_text = F.lit(False)
+    return [
+        [T.decode_utf16(html).alias("html")],
+        [html, T.invalid_reason(html).alias("error_kind")],
+        [reason, F.when(html.isNull(), F.lit("")).when(is_text, flat).alias("flat"), F.when(reason.isNull() & ~is_text, html).alias("html")],
+    ]
+
+
+def parsed(pages: DataFrame, options: Options, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
+    """``doc_id, error_kind, flat, nodes, runs``: every row parsed where it is; ``flat`` is the result for text without any ``<``."""
+    source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html"))
+    for columns in _input_steps(options):
+        source = source.select("doc_id", *columns)
+    return parse_documents(source, "html", keep=("doc_id", "error_kind", "flat"), keep_source=render.keep_source(options), checked=True)
+
+
+@built_once
+def _content(options: Options) -> Column:
+    """Front matter and what is rendered, or what ``flat`` holds."""
+    content = F.col("content")
+    if options.extract_metadata and options.output_format != "plain" and not options.convert_as_inline:
+        # A title stays HTML source in front matter.
+        front = T.front_matter(F.transform_values(extract.head_map_of(), lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
+        has_head = F.exists("nodes", lambda n: n["tag"].isin("meta", "link", "base", "title"))
+        content = F.concat(F.when(has_head, front).otherwise(F.lit("")), content)
+    return F.when(F.col("error_kind").isNull(), F.coalesce("flat", content, F.lit("")))
+
+
+def _error() -> Column:
+    return F.when(F.col("error_kind").isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), F.col("error_kind").alias("message")))
+
+
+def _rendered(pages: DataFrame, options: Options, doc_id: str, html: str) -> DataFrame:
+    return render.rendered(parsed(pages, options, doc_id, html), options)
+
+
 def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
     """``doc_id, content, error`` of every row of ``pages``.
 
     A page that is no text has a null content and says why in ``error``; null and
     empty pages have an empty content.  Pages without any ``<`` are text: their
-    references are decoded and their spaces collapsed, without parsing.
-    ``doc_id`` must tell documents apart.
+    references are decoded and their spaces collapsed, without parsing.  Each row
+    is a document of its own, whatever its ``doc_id``; rows are never shuffled.
     """
     options = options or Options()
-    source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html"))
-    # Each of the branches below parses no more than it needs: the head up to the body, tables where there are any.
-    html = F.col("html")
-    pages = source.where(html.contains("<"))
-    with_tables = pages.where(html.rlike("(?i)<(td|th|cell)[\\s/>]"))
-    nodes, cells = (filters.shown(parse_nodes(p, "doc_id", "html").repartition("doc_id"), options) for p in (pages, with_tables))
-    content = render.documents(nodes, options, cells)
-    # What needs the source itself is worked out before the joins, so that no HTML is shuffled for them.
-    flat = F.rtrim(T.normalize_whitespace(T.decode_named(T.normalize_input(html))))
-    flat = F.when(F.coalesce(flat, F.lit("")) == "", F.lit("")).otherwise(F.concat(T.escape(flat, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n")))
-    rows = source.select("doc_id", T.invalid_reason(html).alias("_error"), F.when(html.contains("<"), F.lit(None)).otherwise(flat).alias("_flat"), html.contains("<").alias("_parsed"))
-    head = F.lit("")
-    joined = rows.join(content, "doc_id", "left")
-    if options.extract_metadata and options.output_format != "plain":
-        before_body = F.when(html.rlike("(?i)<body|</head"), F.regexp_extract(html, "(?is)^(.*?)(?:<body|</head)", 1)).otherwise(html)
-        meta = extract.head_map(parse_nodes(pages.where(html.rlike("(?i)<(meta|title|link|base)")).withColumn("html", before_body), "doc_id", "html"))
-        joined = joined.join(meta.withColumnRenamed("meta", "_meta"), "doc_id", "left")
-        meta = F.coalesce("_meta", F.create_map().cast("map<string,string>"))
-        # A title stays HTML source in front matter.
-        head = T.front_matter(F.transform_values(meta, lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
-    whole = F.when(F.col("_parsed"), F.concat(head, F.coalesce("content", F.lit("")))).otherwise(F.coalesce("_flat", F.lit("")))
-    error = F.col("_error")
-    return joined.select("doc_id", F.when(error.isNull(), whole).alias("content"), F.when(error.isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), error.alias("message"))).alias("error"))
+    return _rendered(pages, options, doc_id, html).select("doc_id", _content(options).alias("content"), _error().alias("error"))
+
+
+def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
+    """``doc_id, content, document, metadata, tables, images, warnings, error`` of every row of ``pages``.
+
+    ``document`` with ``include_document_structure``, ``metadata`` with
+    ``extract_metadata`` and ``images`` with ``extract_images``, else null.
+    ``warnings`` say what was left out: elements deeper than ``max_depth`` and
+    images whose data can't be read.
+    """
+    options = options or Options()
+    found = _rendered(pages, options, doc_id, html)
+    none = F.lit(None)
+    tables = F.transform(
+        F.filter("tables", lambda t: (t["markdown"] != "") & ~t["is_layout"]),
+        lambda t: F.struct(F.struct(t["n_rows"].alias("rows"), t["n_cols"].alias("cols"), t["cells"].alias("cells")).alias("grid"), t["markdown"].alias("markdown")),
+    )
+    metadata = F.struct(
+        extract.document_of().alias("document"), extract.headers_of().alias("headers"), extract.links_of().alias("links"), extract.images_of().alias("images"), extract.json_ld_of().alias("structured_data")
+    )
+    document = F.struct(structure.tree_of(F.col("tables")).alias("nodes"), F.lit("html").alias("source_format"))
+    pictures = extract.inline_images_of()
+    kind = "array<struct<kind:string,message:string>>"
+    deep = F.lit(None).cast(kind)
+    if options.max_depth is not None:
+        deep = F.when(F.exists("nodes", lambda n: n["depth"] >= options.max_depth), F.array(F.struct(F.lit("depth_limit_exceeded").alias("kind"), F.lit(f"elements deeper than {options.max_depth} were left out").alias("message"))))
+    unread = F.lit(None).cast(kind)
+    if options.extract_images:
+        unread = F.transform(F.filter(pictures, lambda x: x["skipped"].isNotNull()), lambda x: F.struct(F.lit("image_extraction_failed").alias("kind"), x["skipped"].alias("message")))
+    no = F.array().cast(kind)
+    parsed_ = F.col("nodes").isNotNull()
+    return found.select(
+        "doc_id",
+        _content(options).alias("content"),
+        (F.when(parsed_, document) if options.include_document_structure else none).alias("document"),
+        (F.when(parsed_, metadata) if options.extract_metadata else none).alias("metadata"),
+        F.coalesce(tables, F.array()).alias("tables"),
+        (F.coalesce(F.filter(pictures, lambda x: x["skipped"].isNull()), F.array()) if options.extract_images else none).alias("images"),
+        F.concat(F.coalesce(deep, no), F.coalesce(unread, no)).alias("warnings"),
+        _error().alias("error"),
+    )

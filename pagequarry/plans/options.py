@@ -32,12 +32,19 @@ def parse_enum(option: str, name: str) -> str:
 
 #: The elements that each callback is asked about.
 CALLBACKS = {
+    "text": (),
+    "custom_element": (),
     "link": ("a",),
     "image": ("img",),
     "heading": ("h1", "h2", "h3", "h4", "h5", "h6"),
     "code_block": ("pre",),
     "code_inline": ("code",),
     "list_item": ("li",),
+    "list_start": ("ul", "ol"),
+    "list_end": ("ul", "ol"),
+    "table_start": ("table",),
+    "table_row": ("tr",),
+    "table_end": ("table",),
     "strong": ("strong", "b"),
     "emphasis": ("em", "i"),
     "strikethrough": ("del", "s"),
@@ -58,6 +65,8 @@ CALLBACKS = {
     "iframe": ("iframe",),
     "details": ("details",),
     "summary": ("summary",),
+    "figure_start": ("figure",),
+    "figure_end": ("figure",),
     "figcaption": ("figcaption",),
 }
 
@@ -103,19 +112,23 @@ class Options:
     keep_inline_images_in: tuple[str, ...] = ()
     preprocessing: Preprocessing = field(default_factory=Preprocessing)
     strip_tags: tuple[str, ...] = ()
+    preserve_tags: tuple[str, ...] = ()
+    convert_as_inline: bool = False
     skip_images: bool = False
     url_escape_style: str = "angle"
     link_style: str = "inline"
     output_format: str = "markdown"
+    include_document_structure: bool = False
+    extract_images: bool = False
     max_depth: int | None = None
     exclude_selectors: tuple[str, ...] = ()
-    #: Callback name -> {"action": "skip" | "custom" | "custom_template" | "continue", "output": ..., "template": ...}.
+    #: Callback name -> {"action": "skip" | "custom" | "custom_template" | "preserve_html" | "continue", "output": ..., "template": ...}.
     visitor: dict = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         for name in ENUMS:
             object.__setattr__(self, name, parse_enum(name, getattr(self, name)))
-        for name in ("keep_inline_images_in", "strip_tags", "exclude_selectors"):
+        for name in ("keep_inline_images_in", "strip_tags", "preserve_tags", "exclude_selectors"):
             object.__setattr__(self, name, tuple(getattr(self, name)))
         if isinstance(self.preprocessing, dict):
             object.__setattr__(self, "preprocessing", Preprocessing(**self.preprocessing))

@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators import extract, filters, render
-from pagequarry.operators.nodes import parse_nodes
+from pagequarry.operators import extract, filters
+from pagequarry.operators.nodes import let, parse_documents, parse_nodes
 from pagequarry.plans.convert import convert
 from pagequarry.plans.options import Options
-from pagequarry.sources.io import json_lines, table
+from pagequarry.sources.io import json_lines, spread, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,8 +31,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return parse_documents(spread(_pages(spark, d).select(F.col("page_id").alias("doc_id"), "html")))
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return parse_nodes(_pages(spark, d), "page_id", "html")
+    return parse_nodes(spread(_pages(spark, d).select("page_id", "html")), "page_id", "html")
 
 
 # --- whole pages by expressions ----------------------------------------------
@@ -194,14 +198,13 @@ _TYPE = """CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN starts_with(href,
 
 @query(_LINKS + f" SELECT page_id, n, href, label AS text, {_TYPE} AS link_type FROM l")
 def links(spark, d):
-    found = extract.links(_nodes(spark, d))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("node_id")).cast("long")
-    return found.select(F.col("doc_id").alias("page_id"), n.alias("n"), "href", "text", "link_type")
+    each = _documents(spark, d).select("doc_id", F.posexplode(extract.links_of(True)).alias("k", "x"))
+    return each.select(F.col("doc_id").alias("page_id"), (F.col("k") + 1).cast("long").alias("n"), "x.href", "x.text", "x.link_type")
 
 
 @query(_LINKS + f" SELECT {_TYPE} AS link_type, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY 1")
 def link_type_counts(spark, d):
-    return extract.links(_nodes(spark, d)).groupBy("link_type").agg(F.count("*").alias("n_links"), F.countDistinct("doc_id").alias("n_pages"))
+    return extract.links(_documents(spark, d), autolinks=True).groupBy("link_type").agg(F.count("*").alias("n_links"), F.countDistinct("doc_id").alias("n_pages"))
 
 
 @query(
@@ -210,7 +213,7 @@ def link_type_counts(spark, d):
     SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY first) AS number FROM f"""
 )
 def reference_numbers(spark, d):
-    return extract.reference_numbers(extract.links(_nodes(spark, d))).select(F.col("doc_id").alias("page_id"), "href", F.col("number").cast("long").alias("number"))
+    return extract.reference_numbers(extract.links(_documents(spark, d), autolinks=True)).select(F.col("doc_id").alias("page_id"), "href", F.col("number").cast("long").alias("number"))
 
 
 @query(
@@ -218,7 +221,7 @@ def reference_numbers(spark, d):
     FROM pages WHERE regexp_matches(html, '<h1>[^<]*\S')"""
 )
 def headings(spark, d):
-    return extract.headers(_nodes(spark, d)).where("text <> ''").select(F.col("doc_id").alias("page_id"), "level", "text")
+    return extract.headers(_documents(spark, d)).where("text <> ''").select(F.col("doc_id").alias("page_id"), "level", "text")
 
 
 @query("SELECT CAST(1 AS INTEGER) AS level, count(*) AS n_headings FROM pages WHERE html LIKE '%<h1>%' GROUP BY 1")
@@ -232,13 +235,13 @@ def heading_counts(spark, d):
     r"""SELECT page_id, 'title' AS key, replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&amp;', '&') AS value FROM pages WHERE html LIKE '%<title>%'"""
 )
 def head_metadata(spark, d):
-    head = extract.head_map(_nodes(spark, d))
+    head = extract.head_map(_documents(spark, d))
     return head.select(F.col("doc_id").alias("page_id"), F.explode("meta").alias("key", "value"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS language FROM pages""")
 def document_language(spark, d):
-    return extract.document_metadata(_nodes(spark, d)).select(F.col("doc_id").alias("page_id"), "language")
+    return extract.document_metadata(_documents(spark, d)).select(F.col("doc_id").alias("page_id"), "language")
 
 
 @query(
@@ -246,18 +249,15 @@ def document_language(spark, d):
     SELECT page_id, n AS number, '- ' || text AS line FROM i"""
 )
 def list_items(spark, d):
-    nodes = _nodes(spark, d)
-    items = nodes.where("tag = 'li'").select("doc_id", F.col("id").alias("owner"), F.col("nth").cast("long").alias("number"))
-    texts = extract.inner_text(nodes, "li")
-    return items.join(texts, ["doc_id", "owner"]).select(F.col("doc_id").alias("page_id"), "number", F.concat(F.lit("- "), "text").alias("line"))
+    items = F.transform(extract.elements("li"), lambda n: F.struct(n["nth"].cast("long").alias("number"), F.concat(F.lit("- "), extract.label(n)).alias("line")))
+    return _documents(spark, d).select(F.col("doc_id").alias("page_id"), F.inline(items))
 
 
 @query(
     """SELECT page_id, CAST((length(html) - length(replace(html, '<p>', ''))) / 3 AS BIGINT) AS n_paragraphs, CAST((length(html) - length(replace(html, '<br>', ''))) / 4 AS BIGINT) AS n_breaks FROM pages"""
 )
 def element_counts(spark, d):
-    tags = _nodes(spark, d).where("kind = 'tag'").groupBy(F.col("doc_id").alias("page_id"))
-    return tags.agg(F.count_if(F.col("tag") == "p").alias("n_paragraphs"), F.count_if(F.col("tag") == "br").alias("n_breaks"))
+    return _documents(spark, d).select(F.col("doc_id").alias("page_id"), *(F.size(extract.elements(t)).cast("long").alias(n) for t, n in (("p", "n_paragraphs"), ("br", "n_breaks"))))
 
 
 @query("SELECT page_id, regexp_extract(html, '<!--(.*?)-->', 1) AS text FROM pages WHERE regexp_matches(html, '<!--.*?-->')")
@@ -267,19 +267,19 @@ def comments(spark, d):
 
 @query("SELECT page_id, CAST((length(html) - length(replace(html, '<li>', ''))) / 4 AS BIGINT) AS n_hidden FROM pages WHERE html LIKE '%<nav><ul><li>%'")
 def navigation_dropped(spark, d):
-    nodes = _nodes(spark, d)
-    left = filters.shown(nodes, Options()).select("doc_id", "id")
-    gone = nodes.where("tag = 'li'").join(left, ["doc_id", "id"], "left_anti")
-    return gone.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n_hidden"))
+    hidden = let(filters.gone(Options()), lambda g: F.size(F.filter("nodes", lambda n: (n["tag"] == "li") & ~filters.stays(n, g, Options()))))
+    return _documents(spark, d).select(F.col("doc_id").alias("page_id"), hidden.cast("long").alias("n_hidden")).where("n_hidden > 0")
 
 
 @query(
     """SELECT page_id, CAST((length(html) - length(replace(html, '<p>', ''))) / 3 AS BIGINT) AS n_paragraphs, CAST(0 AS BIGINT) AS n_excluded FROM pages"""
 )
 def selector_exclusion(spark, d):
-    left = filters.shown(_nodes(spark, d), Options(exclude_selectors=(".ad", "nav, footer")))
-    tag = F.col("tag")
-    return left.groupBy(F.col("doc_id").alias("page_id")).agg(F.count_if(tag == "p").alias("n_paragraphs"), F.count_if(tag.isin("div", "nav", "footer")).alias("n_excluded"))
+    options = Options(exclude_selectors=(".ad", "nav, footer"))
+    left = let(filters.gone(options), lambda g: F.transform(F.filter("nodes", lambda n: filters.stays(n, g, options)), lambda n: n["tag"]))
+    count = lambda *tags: F.size(F.filter("left", lambda t: t.isin(*tags))).cast("long")
+    rows = _documents(spark, d).select(F.col("doc_id").alias("page_id"), left.alias("left"))
+    return rows.select("page_id", count("p").alias("n_paragraphs"), count("div", "nav", "footer").alias("n_excluded"))
 
 
 # --- conversions ---------------------------------------------------------------
@@ -307,22 +307,22 @@ _FRONT = r"E'---\ntitle: ' || title || E'\n---\n\n' || "
 
 @query(_converted(_FRONT, "# ", "**"))
 def convert_markdown(spark, d):
-    return convert(_pages(spark, d), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
+    return convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
 @query(_converted(_FRONT, "# ", "*"))
 def convert_djot(spark, d):
-    return convert(_pages(spark, d), Options(output_format="djot"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
+    return convert(spread(_pages(spark, d).select("page_id", "html")), Options(output_format="djot"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
 @query(_converted("", "", ""))
 def convert_plain(spark, d):
-    return convert(_pages(spark, d), Options(output_format="plain"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
+    return convert(spread(_pages(spark, d).select("page_id", "html")), Options(output_format="plain"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
 @query()
 def convert_json(spark, d):
-    return json_lines(convert(_pages(spark, d), doc_id="page_id"), with_content=False)
+    return json_lines(convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id"), with_content=False)
 
 
 @query(

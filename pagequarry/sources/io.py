@@ -28,6 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is so small that a few tasks would read it all.
+
+    Larger tables are read as they lie; the optimizer's estimate of the size decides.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * (16 << 20) else df
+
+
 def decode_bytes(data: Column, charset: str = "utf-8") -> Column:
     """Bytes to text.  A UTF-16 byte order mark overrules the charset; bytes that UTF-8 can't hold become U+FFFD."""
     head = F.hex(F.substring(data, 1, 2))

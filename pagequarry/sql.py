@@ -15,8 +15,10 @@ class HtmlNodes:
     """The nodes of one document; none for a null one."""
 
     def eval(self, html: str) -> Iterator[tuple]:
-        for node in parse(html or ""):
-            yield tuple(node[:9])
+        tree = parse(html or "")
+        columns = (getattr(tree, c) for c in ("parent", "last", "depth", "nth", "kind", "tag", "attrs", "text"))
+        for k, node in enumerate(zip(*columns)):
+            yield (k, *node)
 
 
 def register(spark: SparkSession) -> None:

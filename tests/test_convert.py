@@ -1,11 +1,11 @@
 import pytest
 
-from pagequarry.plans.convert import convert
+from pagequarry.plans.convert import convert, convert_result
 from pagequarry.plans.options import Options, parse_enum
 
 # What a page becomes by default, without front matter.
 DEFAULT = [
-    ("<p>First paragraph</p><p>Second paragraph</p>", "First paragraph\n\nSecond paragraph\n"),
+    ("<p>Rain fell</p><p>Later it stopped</p>", "Rain fell\n\nLater it stopped\n"),
     ("<h1>One</h1><h2>Two</h2><h6>Six</h6>", "# One\n\n## Two\n\n###### Six\n"),
     ("<p><strong><em>Both</em></strong></p>", "***Both***\n"),
     ("<p><strong>Bold <em>and slanted</em> text</strong></p>", "**Bold *and slanted* text**\n"),
@@ -26,14 +26,14 @@ DEFAULT = [
     ('<ol start="4"><li>x</li><li>y</li></ol>', "4. x\n5. y\n"),
     ("<blockquote><blockquote><p>deep</p></blockquote></blockquote>", "> > deep\n"),
     ("<p>a</p><hr><p>b</p>", "a\n\n---\n\nb\n"),
-    ("<p>yes</p><!----><p>but no</p>", "yes\n\nbut no\n"),
+    ("<p>before it</p><!----><p>after it</p>", "before it\n\nafter it\n"),
     ("<p>&lt;div&gt; &amp; &quot;q&quot;</p>", '<div> & "q"\n'),
     ("<p>many    spaces</p>", "many spaces\n"),
     ("<div>First</div><div>Second</div>", "First\n\nSecond\n"),
     ("<p>H<sub>2</sub>O</p>", "H2O\n"),
     ("<p>before\n<strong>bold</strong> after</p>", "before **bold** after\n"),
     ("<p>hello <b>world", "hello **world**\n"),
-    ("<p>one<p>two<p>three", "one\n\ntwo\n\nthree\n"),
+    ("<p>x1<p>x2<p>x3", "x1\n\nx2\n\nx3\n"),
     ("<p>If a < b then a < c</p>", "If a < b then a < c\n"),
     ("<nav>menu</nav><form>f</form><p>x</p><script>y</script>", "x\n"),
     ("<p><del>a</del> <mark>b</mark> <q>c</q></p>", '~~a~~ ==b== "c"\n'),
@@ -42,6 +42,31 @@ DEFAULT = [
     ("<dl><dt>t</dt><dd>d</dd></dl>", "t\nd\n"),
     ("<details><summary>s</summary><p>x</p></details>", "**s**\n\nx\n"),
     ("5 &lt; 10 &amp; ok", "5 < 10 & ok\n"),
+    ("<br>\n1\n2\n<b>3</b>", "\n1\n2\n**3**\n"),
+    ("<p>a <code>x``y`z</code></p>", "a ```x``y`z```\n"),
+    ("<p><code>`</code></p>", "`` ` ``\n"),
+    ("<blockquote cite='http://c'><p>q</p></blockquote><p>z</p>", "> q\n\n— <http://c>\n\nz\n"),
+    ("<a href='/x'><h2>T</h2></a>", "## [T](/x)\n"),
+    ("<p><a href='/x'>a ] b</a> <a href='/y'>[c]</a></p>", "[a \\] b](/x) [[c]](/y)\n"),
+    ("<p><a href='#top'>^</a></p>", "[↑](#top)\n"),
+    ("<b>a<p>x</p>c</b>", "**a**\n\n**x**\n\n**c**\n"),
+    ("<select><optgroup label=G><option>a<option selected>b</select>", "**G**\na\n* b\n"),
+    ("<p>x</p><audio><source src=s.mp3>text</audio>", "x\n\n[s.mp3](s.mp3)\n\ntext\n"),
+    ("<p>a <math><mi>x</mi></math></p>", "a <!-- MathML: <math><mi>x</mi></math> --> x\n"),
+    ("<p><svg width=1><title>T</title></svg></p>", "![T](data:image/svg+xml;base64,PHN2ZyB3aWR0aD0xPjx0aXRsZT5UPC90aXRsZT48L3N2Zz4=)\n"),
+    ("<p><ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby></p>", "k(r)\n"),
+    ("<table><caption>a-b</caption><tr><th>h</table>", "*a\\-b*\n\n| h   |\n| --- |\n"),
+    ("<table><tr><th rowspan=2>a<th>b<tr><td>c</table>", "| a   | b   |\n| --- | --- |\n|     | c   |\n"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "- a b\n- c\n"),
+    ("<table><tr><th>a<td><table><tr><td>in<td>ner</table></table>", "| a   | in ner |\n| --- | ------ |\n"),
+    ("<table border=0><tr><td colspan=2>x</table>", "- x\n"),
+    ("<table>loose<tr>text<th>a</table><p>z</p>", "| a   |\n| --- |\n\nz\n"),
+    ("<ul><li>x<table><tr><th>a</table></ul>", "- x\n\n    | a   |\n    | --- |\n"),
+    ("<ul><li><p>a</p><li><p>b</p></ul>", "- a\n\n- b\n"),
+    ("<ul><li><input type=checkbox checked> done<li><input type=checkbox> open</ul>", "- [x] done\n- [ ] open\n"),
+    ("<div " * 3 + ">x</div>", "x\n"),
+    ("<head><title>t</title><p>in head</p></head>", "in head\n"),
+    ("<p hidden>no</p><p>yes</p>", "yes\n"),
     ("", ""),
     (None, ""),
     ("a\u0000b", "ab\n"),
@@ -72,10 +97,16 @@ def test_default(spark):
         ({"exclude_selectors": [".ad", "#x", "[data-a='1']", "!!bad"]}, "<p class='b ad'>1</p><p id=x>2</p><p data-a=1>3</p><p>4</p>", "4\n"),
         ({"max_depth": 0}, "<p>x</p>", ""),
         ({"preprocessing": {"enabled": False}}, "<nav>menu</nav>", "menu\n"),
-        ({"preprocessing": {"preset": "aggressive"}}, "<footer>f</footer><div class='ad'>a</div><p>x</p>", "x\n"),
+        ({"preprocessing": {"preset": "aggressive"}}, "<footer>f</footer><div class='x gdpr'>a</div><div class='ad'>b</div><div id=vector:nav>c</div><p>x</p>", "b\n\nx\n"),
         ({"escape_asterisks": True}, "<p>a*b</p>", "a\\*b\n"),
         ({"newline_style": "backslash"}, "<p>a<br>b</p>", "a\\\nb\n"),
         ({"strong_em_symbol": "_"}, "<p><b>a</b></p>", "__a__\n"),
+        ({"output_format": "djot"}, "<p><ins>a</ins> <mark>b</mark></p>", "{+a+} {=b=}\n"),
+        ({"preserve_tags": ["sub"]}, "<p>a<sub>b  c</sub></p>", "a<sub>b  c</sub>\n"),
+        ({"strip_tags": ["h1", "b"]}, "<h1>x <b>y</b></h1>", "x y\n"),
+        ({"convert_as_inline": True}, "<h1>a</h1><p>b</p>", "a b\n"),
+        ({"wrap": True, "wrap_width": 9}, "<ul><li>aa bb cc dd</ul><blockquote>ee ff gg</blockquote>", "- aa bb\n  cc dd\n\n> ee ff\n> gg\n"),
+        ({"url_escape_style": "percent"}, "<p><a href='http://h/?q=1'>x</a></p>", "[x](http%3A//h/%3Fq%3D1)\n"),
         ({"url_escape_style": "percent"}, "<p><a href='/a b'>x</a></p>", "[x](/a%20b)\n"),
     ],
 )
@@ -91,6 +122,34 @@ def test_front_matter_and_errors(spark):
     assert found[3].error is None
 
 
+def test_rows_are_documents(spark):
+    rows = spark.createDataFrame([(1, "<p>one</p><p>two</p>"), (1, "<h1>three</h1>"), (None, "<p>four")], "doc_id long, html string")
+    assert sorted(r.content for r in convert(rows).collect()) == ["# three\n", "four\n", "one\n\ntwo\n"]
+
+
+def test_no_shuffle(spark):
+    rows = spark.range(0, 10, 1, 3).selectExpr("id AS doc_id", "concat('<p>', id) AS html")
+    plan = convert(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and "Window" not in plan and "Sort" not in plan
+
+
+def test_whole_result(spark):
+    page = "<title>T</title><h1>A</h1><p>x <a href=/u>l</a></p><table><tr><th>h</table><img src='data:image/png;base64,AAEC'><img src='data:image/png,xx'><div><div><div>deep"
+    options = Options(include_document_structure=True, extract_images=True, max_depth=2)
+    r = convert_result(spark.createDataFrame([(1, page), (2, "PK\x03\x04"), (3, None)], "doc_id long, html string"), options).orderBy("doc_id").collect()
+    first = r[0]
+    assert first.metadata.document.title == "T" and [h.text for h in first.metadata.headers] == ["A"] and [x.href for x in first.metadata.links] == ["/u"]
+    assert [n.node_type for n in first.document.nodes] == ["group", "heading", "paragraph", "table", "image", "image"] and first.document.source_format == "html"
+    assert [bytes(i.data) for i in first.images] == [b"\0\1\2"] and "deep" not in first.content
+    assert [w.kind for w in first.warnings] == ["depth_limit_exceeded", "image_extraction_failed"]
+    assert r[1].content is None and r[1].error.message == "binary" and r[1].metadata is None and r[2].content == "" and r[2].warnings == []
+
+
+def test_utf16_in_text(spark):
+    rows = spark.createDataFrame([(1, "<\0p\0>\0h\0i\0"), (2, "\0<\0p\0>\0h\0i")], "doc_id long, html string")
+    assert [r.content for r in convert(rows).collect()] == ["hi\n", "hi\n"]
+
+
 def test_enums():
     assert parse_enum("heading_style", "ATX_CLOSED") == "atxclosed" and parse_enum("heading_style", "?") == "underlined" and parse_enum("output_format", "Plain-Text") == "plain"
     assert Options().update(wrap=True, bullets=None).wrap and Options().update(bullets=None).bullets == "-*+"

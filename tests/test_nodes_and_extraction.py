@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 
 from pagequarry.functions import text as T
 from pagequarry.operators import extract, render
-from pagequarry.operators.nodes import parse, parse_nodes
+from pagequarry.operators.nodes import parse, parse_documents
 from pagequarry.plans.options import Options
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ PAGE = """<html lang="de" dir="RTL"><head><title>The &amp; title</title><meta na
 
 
 def nodes(spark, *pages):
-    return parse_nodes(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string"))
+    return parse_documents(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string"))
 
 
 def test_extraction(spark):
@@ -36,7 +36,7 @@ def test_extraction(spark):
     assert (picture.format, bytes(picture.data), picture.skipped) == ("png", b"\0\1\2", None)
     assert [r.schema_type for r in extract.json_ld(n).orderBy("node_id").collect()] == ["Article", "Org"]
     assert extract.json_ld(n, most_bytes=30).count() == 1
-    t = render.tables(n, render.runs(n, Options()), Options()).first()
+    t = render.rendered(n, Options()).selectExpr("inline(tables)").first()
     assert (t.n_rows, t.n_cols) == (2, 3) and [(c.content, c.row, c.col, c.col_span, c.is_header) for c in t.cells] == [
         ("h", 0, 0, 1, True), ("b", 0, 1, 2, False), ("c", 1, 0, 1, False), ("d", 1, 1, 1, False), ("e", 1, 2, 1, False)]
 
@@ -44,18 +44,27 @@ def test_extraction(spark):
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<i>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "<tr>", "</table>", "<script>", "</script>", "text", "&amp;", "<!--", "-->", "<br/>", "<", "<a href='x'>", "</a>", "<td"]), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_nodes_are_a_tree(tokens):
-    found = parse("".join(tokens))
-    for k, (id_, parent, last, depth, nth, kind, tag, attrs, text, path) in enumerate(found):
-        assert id_ == k and last >= id_ and len(path) == depth and nth >= 1
-        assert parent == (path[-1]["id"] if path else None)
+    t = parse("".join(tokens))
+    assert len({len(getattr(t, c)) for c in t.COLUMNS}) == 1
+    for k, parent in enumerate(t.parent):
+        assert t.last[k] >= k and t.nth[k] >= 1 and (t.kind[k] == "tag") == (t.tag[k] is not None)
+        assert t.depth[k] == (0 if parent is None else t.depth[parent] + 1) and t.opens[k] <= t.closes[k]
         if parent is not None:
-            assert parent < id_ and found[parent][2] >= last
-        assert (kind == "tag") == (tag is not None)
+            assert parent < k and t.last[parent] >= t.last[k] and t.opens[parent] <= t.opens[k] and t.closes[parent] >= t.closes[k]
+    # Every node opens once and every element that holds something closes once, in the runs that it says.
+    codes = [c for run in t.codes for c in run]
+    assert sorted(c // 2 for c in codes if c % 2 == 0) == list(range(len(t.parent))) and len(set(codes)) == len(codes)
+    assert all(2 * k in t.codes[run] for k, run in enumerate(t.opens))
 
 
 def test_open_formatting_continues():
-    path_of = {n[8]: [p["tag"] for p in n[9]] for n in parse("<p><b>one<p>two</b> three<p>four") if n[5] == "text"}
-    assert path_of == {"one": ["p", "b"], "two": ["p", "b"], " three": ["p"], "four": ["p"]}
+    t = parse("<p><b>one<p>two</b> three<p>four")
+    assert {x: p.split() for x, p in zip(t.text, t.path) if x} == {"one": ["p", "b"], "two": ["p", "b"], " three": ["p"], "four": ["p"]}
+
+
+def test_any_depth():
+    t = parse("<div>" * 30_000 + "<nav>x</nav>y")
+    assert t.depth[-1] == 30_000 and t.tag[-3] == "nav" and t.parent[-1] == 29_999
 
 
 def test_invalid_pages(spark):
@@ -88,7 +97,7 @@ def test_structure(spark):
     A, B, C = ("group", "A"), ("group", "B"), ("group", "C")
     assert found == [
         (("paragraph", "before"), None), (A, None), (("heading", "A"), A), (("paragraph", "x"), A), (B, A), (("heading", "B"), B), (("list", None), B),
-        (("list_item", "ij"), ("list", None)), (("list", None), B), (("list_item", "j"), ("list", None)), (C, None), (("heading", "C"), C), (("image", None), C), (("code", "c"), C), (("table", None), C)]
+        (("list_item", "i"), ("list", None)), (("list", None), B), (("list_item", "j"), ("list", None)), (C, None), (("heading", "C"), C), (("image", None), C), (("code", "c"), C), (("table", None), C)]
     assert [r.ordered for r in rows if r.node_type == "list"] == [False, True] and len(by_id) == len(rows)
 
 
