@@ -30,8 +30,10 @@ OPEN = {n: chr(0xE000 + 2 * k) for k, n in enumerate(_NAMES)}
 CLOSE = {n: chr(0xE001 + 2 * k) for k, n in enumerate(_NAMES)}
 #: A link's target follows; a hard line break; a paragraph's end; a quote's source follows; a space and a line end to keep.
 HREF, BREAK, BLANK, CITE, SPACE, LINE = (chr(c) for c in range(0xE020, 0xE026))
-#: What a text has that may have to change: tabs, line ends and the like, two spaces in a row, marks and spaces of other kinds.
-ODD = r"[\x00-\x1f]|  |[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ue000-\ue0ff]"
+#: What a text has that may have to change, besides two spaces in a row: tabs, line ends and the like, marks, and spaces of other kinds.
+ODD = r"[\x00-\x1f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ue000-\ue0ff]"
+#: Any opening or closing mark.
+PAIR_MARK = r"[\uE000-\uE013]"
 ANY_MARK = r"[-]"
 _PAIRED = ("strong", "em", "del", "ins", "mark", "sub", "sup")
 
@@ -237,7 +239,7 @@ def _rules(n: Column, options: Options) -> list[tuple[Column, Column | None, Col
 def _soft(n: Column, options: Options) -> Column:
     """A text with its blanks as they count."""
     text = F.regexp_replace(n["text"], ANY_MARK, "")
-    plain = ~n["text"].rlike(ODD)
+    plain = ~F.contains(n["text"], F.lit("  ")) & ~n["text"].rlike(ODD)
     if options.strip_newlines:
         text = F.when(within(n, "pre", "textarea"), text).otherwise(F.regexp_replace(text, "\n+", " "))
     if options.whitespace_mode == "strict":
@@ -425,7 +427,6 @@ def lines(pieces: Column, options: Options) -> Column:
 def written(options: Options) -> list[tuple[str, Column]]:
     """The steps from a document's ``lines`` to ``texts``, their contents as text."""
     has = lambda pattern: lambda c: c.rlike(pattern)
-    pair = "".join(OPEN[n] for n in _PAIRED)
 
     def step(change, only) -> tuple[str, Column]:
         return "texts", F.transform("texts", lambda c: F.when(only(c), change(c)).otherwise(c))
@@ -439,14 +440,21 @@ def written(options: Options) -> list[tuple[str, Column]]:
 
     out = [("texts", F.transform("lines", begun))]
     if options.output_format != "plain":
-        out.append(step(_ended, has(f"[{pair}]")))
-        out.append(step(lambda c: F.when(F.regexp_replace(c, r"[\uE000-\uE01F\s]", "") == "", F.lit("")).otherwise(_tidied(c, options)), has(r"[\uE000-\uE01F]")))
+        out.append(step(_ended, has(PAIR_MARK)))
+        out.append(step(lambda c: F.lit(""), lambda c: ~c.rlike(r"[^\uE000-\uE013\s]")))  # marks around nothing
+        blanks = r"[\uE000-\uE013](?=[ \n\uE000-\uE013])|[ \n\uE021](?=[\uE000-\uE013])"
+        out.append(step(lambda c: _tidied(c, options), has(blanks)))
         out.append(step(lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF))))
-        out.append(step(_links_escaped, has(f"(?s){OPEN['link']}[^{HREF}]*\\]")))
-        out.append(step(_code, has(f"(?s){OPEN['code']}[^{CLOSE['code']}]*`")))
-        out.append(step(lambda c: _markup(c, options), has(r"[\uE000-\uE020]")))
+        out.append(step(_links_escaped, lambda c: F.contains(c, F.lit(HREF)) & F.contains(c, F.lit("]"))))
+        out.append(step(_code, lambda c: F.contains(c, F.lit("`")) & F.contains(c, F.lit(OPEN["code"]))))
+        out.append(step(lambda c: _markup(c, options), has(PAIR_MARK)))
     out[-1] = ("texts", held(out[-1][1]))
-    ends = has(f"^[ \n]|[ \n]\\z|  |\n|[\\uE020-\\uE02F]")
+
+    def ends(c: Column) -> Column:
+        found = c.startswith(" ") | c.endswith(" ")
+        for x in ("  ", "\n", BREAK, BLANK):
+            found = found | F.contains(c, F.lit(x))
+        return found
 
     def done(x: Column, i: Column) -> Column:
         c = F.get("texts", i)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry import rules
 from pagequarry.functions import text as T
 from pagequarry.operators import extract, filters
 from pagequarry.operators.nodes import let, parse_documents, parse_nodes
@@ -13,8 +14,8 @@ from pagequarry.plans.convert import convert
 from pagequarry.plans.options import Options
 from pagequarry.sources.io import json_lines, spread, table
 
-QUERIES = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(rules.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(rules.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -56,11 +57,19 @@ def pages_by_language(spark, d):
     return p.groupBy("lang", "charset").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_chars"))
 
 
+#: What stands before each page, and why the whole is no text then.
+_STARTS = (("", None), ("%PDF-", "binary"), ("PK\x03\x04", "binary"), ("\x00" * 90, "nul"), ("\x01" * 9000, "control"), ("\x00" * 8, None))
+
+
 @query(
-    """SELECT page_id, CAST(NULL AS VARCHAR) AS reason FROM pages WHERE html IS NOT NULL"""
+    "SELECT page_id, s.k AS start_no, CASE WHEN html IS NOT NULL THEN s.reason END AS reason FROM pages, (VALUES "
+    + ", ".join(f"({k}, {repr(r) if r else 'CAST(NULL AS VARCHAR)'})" for k, (_, r) in enumerate(_STARTS))
+    + ") s(k, reason)"
 )
 def input_validation(spark, d):
-    return _pages(spark, d).select("page_id", T.invalid_reason(F.col("html")).alias("reason"))
+    starts = F.array(*(F.struct(F.lit(k).alias("start_no"), F.lit(text).alias("start")) for k, (text, _) in enumerate(_STARTS)))
+    each = _pages(spark, d).select("page_id", "html", F.explode(starts).alias("s"))
+    return each.select("page_id", "s.start_no", T.invalid_reason(F.concat("s.start", "html")).alias("reason"))
 
 
 @query(
@@ -320,9 +329,9 @@ def convert_plain(spark, d):
     return convert(spread(_pages(spark, d).select("page_id", "html")), Options(output_format="plain"), doc_id="page_id").select(F.col("doc_id").alias("page_id"), "content")
 
 
-@query()
+@query("""SELECT '{"doc_id":' || page_id || ',"content":' || CAST(to_json(content) AS VARCHAR) || ',"error":null}' AS value FROM (""" + _converted(_FRONT, "# ", "**") + ")")
 def convert_json(spark, d):
-    return json_lines(convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id"), with_content=False)
+    return json_lines(convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id"))
 
 
 @query(
