@@ -428,8 +428,8 @@ def written(options: Options) -> list[tuple[str, Column]]:
     """The steps from a document's ``lines`` to ``texts``, their contents as text."""
     has = lambda pattern: lambda c: c.rlike(pattern)
 
-    def step(change, only) -> tuple[str, Column]:
-        return "texts", F.transform("texts", lambda c: F.when(only(c), change(c)).otherwise(c))
+    def step(texts: Column, change, only) -> Column:
+        return F.transform(texts, lambda c: F.when(only(c), change(c)).otherwise(c))
 
     def begun(x: Column) -> Column:
         c = x["content"]
@@ -438,17 +438,16 @@ def written(options: Options) -> list[tuple[str, Column]]:
         linked = F.concat(F.lit(OPEN["link"]), F.regexp_replace(c, r"^\s+|\s+\z", ""), x["link_end"])
         return F.when(x["pre"], F.regexp_replace(c, ANY_MARK, "")).when(c == "", c).when(x["link_end"].isNotNull(), linked).otherwise(F.concat(x["around"], c))
 
-    out = [("texts", F.transform("lines", begun))]
+    out = F.transform("lines", begun)
     if options.output_format != "plain":
-        out.append(step(_ended, has(PAIR_MARK)))
-        out.append(step(lambda c: F.lit(""), lambda c: ~c.rlike(r"[^\uE000-\uE013\s]")))  # marks around nothing
+        out = step(out, _ended, has(PAIR_MARK))
+        out = step(out, lambda c: F.lit(""), lambda c: ~c.rlike(r"[^\uE000-\uE013\s]"))  # marks around nothing
         blanks = r"[\uE000-\uE013](?=[ \n\uE000-\uE013])|[ \n\uE021](?=[\uE000-\uE013])"
-        out.append(step(lambda c: _tidied(c, options), has(blanks)))
-        out.append(step(lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF))))
-        out.append(step(_links_escaped, lambda c: F.contains(c, F.lit(HREF)) & F.contains(c, F.lit("]"))))
-        out.append(step(_code, lambda c: F.contains(c, F.lit("`")) & F.contains(c, F.lit(OPEN["code"]))))
-        out.append(step(lambda c: _markup(c, options), has(PAIR_MARK)))
-    out[-1] = ("texts", held(out[-1][1]))
+        out = step(out, lambda c: _tidied(c, options), has(blanks))
+        out = step(out, lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF)))
+        out = step(out, _links_escaped, lambda c: F.contains(c, F.lit(HREF)) & F.contains(c, F.lit("]")))
+        out = step(out, _code, lambda c: F.contains(c, F.lit("`")) & F.contains(c, F.lit(OPEN["code"])))
+        out = step(out, lambda c: _markup(c, options), has(PAIR_MARK))
 
     def ends(c: Column) -> Column:
         found = c.startswith(" ") | c.endswith(" ")
@@ -461,7 +460,7 @@ def written(options: Options) -> list[tuple[str, Column]]:
         lead = F.when(x["content"].startswith(BREAK) & x["tag"].isin("", "html", "body"), F.lit(LINE)).otherwise(F.lit(""))
         return F.when(~x["pre"] & ends(c), F.concat(lead, _finished(c, options))).otherwise(c)
 
-    return [*out, ("texts", held(F.transform("lines", done)))]
+    return [("texts", held(out)), ("texts", held(F.transform("lines", done)))]
 
 
 # --- tables -------------------------------------------------------------------
@@ -839,18 +838,19 @@ def steps(options: Options) -> list[tuple[str, Column]]:
     out = [("gone", held(filters.gone(options))), ("pieces", held(pieces(gone, options))), ("lines", held(lines(F.col("pieces"), options))), *written(options)]
     out.append(("tables", held(tables(texts, gone, options))))
     if options.convert_as_inline:
-        out.append(("content", F.array_join(F.filter(texts, lambda c: c != ""), " ")))
+        body = F.array_join(F.filter(texts, lambda c: c != ""), " ")
     else:
         out += [("loose", held(loose_lists())), ("shown", held(described(F.col("lines"), texts, F.col("tables"), options)))]
-        out.append(("content", F.array_join(dressed(F.col("shown"), F.col("loose"), options), "")))
-    out.append(("content", held(content)))
-    out.append(("content", T.collapse_blank_lines(F.regexp_replace(content, "^\n+|\\s+\\z", ""))))
+        body = F.array_join(dressed(F.col("shown"), F.col("loose"), options), "")
+    body = T.collapse_blank_lines(F.regexp_replace(body, "^\n+|\\s+\\z", ""))
     if options.link_style == "reference" and options.output_format != "plain":
-        out.append(("content", with_references(content)))
+        out.append(("content", held(body)))
+        body = with_references(content)
     if options.wrap:
-        out.append(("content", wrapped(content, options.wrap_width)))
-    content = F.translate(content, SPACE + LINE + CITE, " \n")
-    return [*out, ("content", held(F.when(content == "", F.lit("")).otherwise(F.concat(content, F.lit("\n")))))]
+        out.append(("content", held(body)))
+        body = wrapped(content, options.wrap_width)
+    body = F.concat(F.translate(body, SPACE + LINE + CITE, " \n"), F.lit("\n"))
+    return [*out, ("content", held(F.regexp_replace(body, "^\n\\z", "")))]
 
 
 def rendered(documents: DataFrame, options: Options) -> DataFrame:
