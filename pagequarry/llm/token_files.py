@@ -22,6 +22,7 @@ Layout of a shard, all little-endian::
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -60,18 +61,23 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+#: What a tokenizer file must say for its texts to be cut here; texts of any other go through the library whole.
+_ASSUMED = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 class ChunkEncoder:
-    """Whole texts through a ``tokenizers`` file whose model sees no further than a space before a word.
-
-    A byte-level pre-tokenizer starts a new piece at the last space before
-    anything that isn't white space.  So a text's ids are those of its chunks
-    cut there, and each distinct chunk goes through the library once as long as
-    it stays in the cache.  A chunk of plain letters, digits and signs is cut to
-    its pieces here, and the library's model encodes each distinct piece; any
-    other chunk goes through the library whole.
+    """Whole texts through a ``tokenizers`` file.
+
+    A byte-level pre-tokenizer cuts a text to pieces, and the library's model
+    encodes each distinct piece once as long as it stays in the cache.  Texts of
+    letters, digits, signs and blanks of ASCII and Latin-1 are cut to pieces here,
+    since every version of Unicode agrees on these.  Others are cut to chunks at the
+    last space before anything that isn't white space, where a piece always starts;
+    chunks that hold anything else go through the library whole.
     """
 
     def __init__(self, path: str, cached: int = 400_000, dtype: str = "<u2"):
+        import json
         import os
 
         import regex
@@ -79,11 +85,19 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        cut, model = settings.get("pre_tokenizer") or {}, settings["model"]
+        self.known = settings.get("normalizer") is None and not settings.get("truncation") and model["type"] == "BPE" and not model.get("dropout")
+        self.known = self.known and all(cut.get(k) == v for k, v in _ASSUMED.items())
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.cut, self.odd = regex.compile(r"(?= [^\s\x1c-\x1f])", regex.V1), regex.compile(r" (?:[\s\x1c-\x1f]|\Z)")
         run = f"[{_LETTER}]+|[{_DIGIT}]+|[{_SIGN}]+"
         self.plain = regex.compile(rf"(?:{run})(?:\n?(?:{run}))*")
         self.pieces_of = regex.compile(rf"{run}|\n").findall
+        self.strange = re.compile(rf"[^\t\n\r -~{_LETTER}]").search
+        self.pieces_in = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+").findall
+        self.border = re.compile(r" (?=\S)").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached, self.dtype, self.code = cached, dtype, {"<u2": "H", "<u4": "I"}[dtype]
         self.words: dict[str, bytes] = {}  # chunks without the space that they start with
@@ -121,9 +135,32 @@ class ChunkEncoder:
             self._learn(known, chunks, lead)
             return b"".join(map(known.__getitem__, chunks))
 
+    def _plain_slices(self, text: str, size: int = 200_000):
+        """Slices of a text between whose ends no piece lies."""
+        at = 0
+        while at < len(text):
+            found = self.border(text, at + size) if at + size < len(text) else None
+            stop = found.start() if found else len(text)
+            yield text[at:stop]
+            at = stop
+
+    def _from_pieces(self, text: str) -> bytes:
+        out = []
+        for part in self._plain_slices(text):
+            found = self.pieces_in(part)
+            try:
+                out.append(b"".join(map(self.pieces.__getitem__, found)))
+            except KeyError:
+                out.append(b"".join(map(self._piece, found)))
+        return b"".join(out)
+
     def encode(self, text: str | None, slice_of: int = 50_000) -> bytes:
         if not text:
             return b""
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if not self.strange(text) and not any(s in text for s in self.special):
+            return self._from_pieces(text)
         if self.odd.search(text):
             parts = [p for p in self.cut.split(text) if p]
             head = "" if parts[0][0] == " " and self.cut.match(parts[0]) else parts.pop(0)
@@ -357,7 +394,7 @@ class TokenFiles:
         return Table.of(counts)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> TokenFiles:
     """Encode, sort and write the texts of ``docs`` (``doc_id, text``).
 
     Texts, not ids, are dealt by range of doc_id (one shuffle); each range is
@@ -367,6 +404,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
     A read task may get any files in any order, so each row carries its range
     and its place there.  Null texts are empty; rows with the same doc_id
     are documents of their own, next to each other; null doc_ids come first.
+    Without a ``folder`` the shards are interim files, which go when the program ends.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -394,7 +432,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenFiles:
     counted = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     counts = tuple((r["id"], r["n"]) for r in counted)
     table = TokenFiles(docs, counts, (counts[-1][0] + 1) if counts else 1).table()
-    folder = new_folder(spark, "tokens")
+    folder = folder.rstrip("/") if folder else new_folder(spark, "tokens")
 
     def to_shards(batches):
         target, inside = open_folder(folder)
