@@ -9,11 +9,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_scratch: dict[str, str] = {}
+#: Folders made by this program, and the configuration of the file system that holds them.
+_made: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pagequarry-{label}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder; what is in it goes when the program ends."""
+    if not _made:
+        atexit.register(remove_made)
+    path = f"{shared_dir(spark)}/pagequarry-{label}-{uuid.uuid4().hex}"
+    _made[path] = spark.sparkContext._jsc.hadoopConfiguration()
+    return path
+
+
+def remove_made(folders: list[str] | None = None) -> None:
+    """Delete folders of :func:`new_folder`, all by default."""
+    jvm = SparkContext._jvm
+    for name in list(_made) if folders is None else folders:
+        conf = _made.pop(name, None)
+        if jvm is None or conf is None:
+            continue
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        except (Py4JError, OSError):  # the gateway has ended before the program
+            return
 
 
 @contextmanager
@@ -68,12 +91,8 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
 def drop_stage(df: DataFrame) -> None:
     """Delete the files behind a :func:`stage_table` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/pagequarry-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    files = {name.rsplit("/", 1)[0].rsplit("/", 1)[-1] for name in df.inputFiles()}
+    remove_made([name for name in _made if name.rsplit("/", 1)[-1] in files])
 
 
 def _smallest_of_each(sym: DataFrame) -> DataFrame:

@@ -228,7 +228,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Words are lower-cased and stand between white space.  Items of fewer words
     than a shingle are one shingle; empty or null items and texts match
-    nothing.  Repeated rows give repeated results; other columns are ignored.
+    nothing, nor do items with a null item_id, which nothing could name.
+    Repeated rows of ``docs`` give repeated results, a repeated item one for each
+    of its rows; other columns are ignored.
     """
     out = None
     for index in indexes(benchmark, **options):
