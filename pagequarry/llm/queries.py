@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dups, quality, separator_scan, simhash_gray, suffix_dedup, token_files, url_filter, wrapper_extract
-
+from . import bpe, conversation_repair, decontaminate, embedding_dups, fill_in_middle, mixing, quality, separator_scan, simhash_gray, suffix_dedup, token_files, url_filter, wrapper_extract
+from .common import stage_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -62,6 +62,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words("text").alias("size"))
+    mixed = mixing.mix(stage_table(rows, "sizes"), cycle=(3.0, 1.0, 2.0), share=1.5, epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +89,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_simhash_near_dedup,
         op10_suffix_dedup,
+        op11_fill_in_middle,
+        op12_conversation_repair,
+        op13_source_mixing,
     )
 }
 
@@ -93,4 +110,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, p.host, p.path, arg_max(f.rule, f.weight) AS rule, coalesce(arg_max(f.v, f.weight), 'allow') AS verdict
         FROM p LEFT JOIN f ON p.n_row = f.n_row GROUP BY p.n_row, p.page_id, p.host, p.path
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+            CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 32) AS place FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+        w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+        o AS (SELECT *, sum(cap) OVER (ORDER BY cap / weight, k) - cap AS held, sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, k) + weight AS rest FROM w),
+        first_free AS (SELECT (total - held) / rest AS level FROM o WHERE cap / weight > (total - held) / rest ORDER BY cap / weight, k LIMIT 1),
+        t AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM first_free) = 0 THEN cap ELSE least(cap, weight * (SELECT level FROM first_free)) END AS target FROM w),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+        g AS (SELECT source, place, sum(size) AS unit FROM d GROUP BY source, place),
+        r AS (SELECT source, place, unit, sum(unit) OVER (PARTITION BY source ORDER BY place) AS upto FROM g),
+        x AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, r.upto - r.unit / 2 <= e.target - e.whole * e.source_size AND e.target - e.whole * e.source_size > 0 AS more
+            FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place)
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (whole + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+    """,
 }
