@@ -229,6 +229,11 @@ def json_ld_type(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r'"@type"\s*:\s*\[?\s*"([^"]*)"', 1), F.lit(""))
 
 
+def base64(data: Column) -> Column:
+    """Base64 on one line."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def data_uri(src: Column) -> Column:
     """``format, data, skipped`` of a base64 image in a ``data:`` URI; ``skipped`` says why there are no bytes."""
     kind = F.regexp_extract(src, r"^data:image/([A-Za-z0-9.+-]+)", 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators.nodes import below, built_once, let, text_in, within
+from pagequarry.operators.nodes import below, built_once, let, scan, text_in, within
 
 _HEADINGS = tuple(f"h{k}" for k in range(1, 7))
 
@@ -121,8 +121,25 @@ def head_entries_of() -> Column:
 
 def _as_map(entries: Column) -> Column:
     """Entries (``node_id, key, value``) as a map; of a key that comes twice the later counts."""
-    last = lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda o: (o["key"] == e["key"]) & (o["node_id"] > e["node_id"])))
-    return let(entries, lambda all_: F.map_from_entries(F.transform(last(all_), lambda e: F.struct(e["key"], e["value"]))))
+    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"], e["node_id"], e["value"])))
+    last = lambda all_: F.filter(all_, lambda e, k: ~F.coalesce(F.get(all_, k + 1)["key"] == e["key"], F.lit(False)))
+    return let(ordered, lambda all_: F.map_from_entries(F.transform(last(all_), lambda e: F.struct(e["key"], e["value"]))))
+
+
+def above(levels: Column) -> Column:
+    """For each heading's level the place of the nearest one before it with a lower level, null without.
+
+    For each level a running maximum finds the last place of a lower one.
+    """
+
+    def below_level(top: int) -> Column:
+        return scan(F.transform(levels, lambda x, k: F.when(x < top, k).otherwise(-1)), F.greatest)
+
+
+    def place(found: Column) -> Column:
+        return F.transform(levels, lambda x, k: F.nullif(F.get(F.get(found, x - 2), k - 1), F.lit(-1)))
+
+    return let(F.array(*(below_level(top) for top in range(2, 7))), place)
 
 
 @built_once
@@ -214,6 +231,31 @@ def document_metadata(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", document_of().alias("m")).select("doc_id", "m.*")
 
 
+#: Elements that stand within a line, and two that show nothing and so count as such.
+_INLINE = frozenset("a abbr acronym b bdo big br button cite code del dfn em i img input ins kbd label map mark object output q s samp select small span strong sub sup textarea time tt u var script style".split())
+
+
+def siblings(documents: DataFrame) -> DataFrame:
+    """``doc_id, node_id, tag, next_tag, previous_inline, next_inline, blank_behind`` of every element.
+
+    ``next_tag`` is the element behind it, with blank text at most between; the others say whether
+    the neighbours on either side are such and inline, and whether the text right behind it is blank.
+    """
+
+    inline = lambda x: F.coalesce(x["tag"].isin(*sorted(_INLINE)), F.lit(False))
+
+    def one(n: Column) -> Column:
+        behind, before = F.get("nodes", n["next"]), F.get("nodes", n["previous"])
+        right = F.get("nodes", n["last"] + 1)  # what follows in the document; a comment is passed over
+        right = F.when(right["kind"] == "comment", F.get("nodes", n["last"] + 2)).otherwise(right)
+        blank = let(right, lambda x: x["parent"].eqNullSafe(n["parent"]) & (x["kind"] == "text") & ~x["text"].rlike(r"\S"))
+        return F.struct(
+            n["id"].alias("node_id"), n["tag"].alias("tag"), behind["tag"].alias("next_tag"), inline(before).alias("previous_inline"), inline(behind).alias("next_inline"), F.coalesce(blank, F.lit(False)).alias("blank_behind"),
+        )
+
+    return _rows(documents, F.transform(F.filter("nodes", lambda n: n["kind"] == "tag"), one))
+
+
 def header_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
 
@@ -225,11 +267,10 @@ def sections(documents: DataFrame) -> DataFrame:
     """
 
     def placed(all_: Column) -> Column:
-        def one(x: Column, k: Column) -> Column:
-            above = F.filter(F.slice(all_, F.lit(1), k), lambda y: y["level"] < x["level"])
-            return F.struct(x["node_id"], x["level"], x["text"], F.try_element_at(above, F.lit(-1))["node_id"].alias("parent_id"))
+        def with_parents(up: Column) -> Column:
+            return F.transform(all_, lambda x, k: F.struct(x["node_id"], x["level"], x["text"], F.get(all_, F.get(up, k))["node_id"].alias("parent_id")))
 
-        return F.transform(all_, one)
+        return let(above(F.transform(all_, lambda x: x["level"])), with_parents)
 
     return _rows(documents, let(headers_of(), placed))
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.nodes import built_once, let
+from pagequarry.operators.nodes import built_once, let, scan
 from pagequarry.plans.options import CALLBACKS, Options
 
 # What marks navigation and noise.
@@ -97,10 +97,12 @@ def selected(node: Column, selectors: tuple[str, ...]) -> Column:
 
 @built_once
 def gone(options: Options) -> Column:
-    """The elements that go with all they hold, as intervals of ids.
+    """For every node, whether it goes: comments, nodes that are too deep, and what stands in an element that goes with all it holds.
 
-    These are what preprocessing, selectors and a visitor's ``skip`` remove, hidden
-    elements, and those whose inside is never shown.
+    The latter are what preprocessing, selectors and a visitor's ``skip`` remove, hidden
+    elements, and those whose inside is never shown.  A running maximum of where they
+    end leaves those that lie in no other, and these are spread out over the nodes, so
+    that a page takes time in proportion to its size however many there are.
     """
     skipped = [t for c, v in options.visitor.items() if v.get("action") == "skip" for t in CALLBACKS[c]]
     unseen = [t for t in (*UNSEEN, *(("svg", "math") if options.output_format == "plain" else ("rp",)), *skipped) if t not in options.preserve_tags]
@@ -109,16 +111,37 @@ def gone(options: Options) -> Column:
         out = n["tag"].isin(*unseen) | F.map_contains_key(n["attrs"], F.lit("hidden")) | is_dropped(n, options) | selected(n, options.exclude_selectors)
         return (n["kind"] == "tag") & F.coalesce(out, F.lit(False))
 
-    return F.transform(F.filter("nodes", goes), lambda n: F.struct(n["id"].alias("first"), n["last"].alias("last")))
+    def outermost(all_: Column) -> Column:
+        ends = scan(F.transform(all_, lambda g: g["last"]), F.greatest)
+        return let(ends, lambda e: F.filter(all_, lambda g, k: (k == 0) | (g["first"] > F.get(e, k - 1))))
 
+    def spread(found: Column) -> Column:
+        spans = F.transform(
+            found,
+            lambda g, k: F.concat(
+                F.array_repeat(F.lit(False), g["first"] - F.coalesce(F.get(found, k - 1)["last"] + 1, F.lit(0))),
+                F.array_repeat(F.lit(True), g["last"] - g["first"] + 1),
+            ),
+        )
+        return F.concat(F.flatten(spans), F.array_repeat(F.lit(False), F.size("nodes") - F.coalesce(F.try_element_at(found, F.lit(-1))["last"] + 1, F.lit(0))))
 
-def stays(node: Column, gone: Column, options: Options) -> Column:
-    """Whether a node lies in none of the ``gone`` elements, is no comment, and isn't too deep."""
-    out = ~F.exists(gone, lambda g: (g["first"] <= node["id"]) & (node["id"] <= g["last"])) & (node["kind"] != "comment")
-    return out if options.max_depth is None else out & (node["depth"] < options.max_depth)
+    def with_own(inside: Column) -> Column:
+        def one(n: Column) -> Column:
+            out = F.get(inside, n["id"]) | (n["kind"] == "comment")
+            return out if options.max_depth is None else out | (n["depth"] >= options.max_depth)
+
+        return F.transform("nodes", one)
+
+    going = F.transform(F.filter("nodes", goes), lambda n: F.struct(n["id"].alias("first"), n["last"].alias("last")))
+    return let(let(let(going, outermost), spread), with_own)
+
+
+def stays(node: Column, gone: Column) -> Column:
+    """Whether a node is none of the ``gone``."""
+    return ~F.get(gone, node["id"])
 
 
 def shown(documents: DataFrame, options: Options) -> DataFrame:
     """The nodes of ``documents`` that show, a row each with its ``doc_id``."""
-    left = let(gone(options), lambda g: F.filter("nodes", lambda n: stays(n, g, options)))
+    left = let(gone(options), lambda g: F.filter("nodes", lambda n: stays(n, g)))
     return documents.select("doc_id", F.inline(left))

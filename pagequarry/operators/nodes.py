@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -25,17 +27,17 @@ from pyspark.sql.types import StructType
 
 from pagequarry.functions import text as T
 
-#: A node. ``path``: the tags around it, in order, between spaces (those in :data:`UNNAMED` left out). ``item``, ``cell``: ids
-#: of the innermost list item and table cell at or around it; ``table``, ``row``, ``link``: those around it; ``opens``, ``closes``: the runs
-#: in which it does; ``source``: an element's own HTML, if asked for.
+#: A node. ``path``: the names of the tags around it, each once, between spaces (of :data:`NAMED` tags only). ``item``, ``cell``: ids
+#: of the innermost list item and table cell at or around it; ``table``, ``row``, ``link``: those around it; ``quotes``, ``lists``,
+#: ``bullets``: how many quotes, lists and unordered lists are at or around it; ``next``, ``previous``: the siblings beside it, white space and
+#: comments left out; ``opens``, ``closes``: the runs in which it does; ``source``: an element's own HTML, if asked for.
 NODE = (
     "struct<id:int,parent:int,last:int,depth:int,nth:int,kind:string,tag:string,attrs:map<string,string>,text:string,path:string,"
-    "item:int,cell:int,table:int,row:int,link:int,opens:int,closes:int,source:string>"
+    "item:int,cell:int,table:int,row:int,link:int,quotes:int,lists:int,bullets:int,next:int,previous:int,opens:int,closes:int,source:string>"
 )
-#: A run: the innermost block element that holds it (null: the document), and its codes.
-RUN = "struct<owner:int,codes:array<int>>"
-#: Tags that no rule looks for around a node.
-UNNAMED = frozenset("html body div span font section center article main".split())
+#: A run: the innermost block element that holds it (null: the document), its codes, and the elements of :data:`MARKED`
+#: that are open where it begins and where it ends, outermost first, one of each name.
+RUN = "struct<owner:int,codes:array<int>,around:array<int>,left:array<int>>"
 
 # Fixed values of HTML: elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr graphic".split())
@@ -46,30 +48,46 @@ BLOCK = frozenset(
 #: Elements besides that end a run where they open and close.
 CUTS = BLOCK | frozenset("html body tr row td th cell caption thead tbody tfoot option optgroup legend label button textarea select datalist iframe audio video progress meter output".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Elements that no end tag of another element reaches through.
+SPECIAL = BLOCK | frozenset("applet area base body br button caption col colgroup embed frameset head html iframe img input link marquee meta noembed noframes noscript object param script select source style tbody td template textarea tfoot th thead title tr track wbr xmp".split())
+#: Elements whose end tag looks for them within a scope; all others stop at special elements.
+SCOPED = (BLOCK - {"li", "dt", "dd", "p"}) | frozenset("applet button marquee object select listing".split())
+SCOPE = frozenset("applet caption html table td th marquee object template".split())
+#: Elements that open formatting elements don't reach into, and whose end forgets those opened inside.
+MARKING = frozenset("applet caption marquee object td template th".split())
 #: A start tag, what it closes, and what it looks no further than.
 IMPLIED = {
-    "li": ("li", "ul ol menu"),
-    "dt": ("dt dd", "dl"),
-    "dd": ("dt dd", "dl"),
     "tr": ("tr td th caption", "table"),
     "td": ("td th", "tr table"),
     "th": ("td th", "tr table"),
     "tbody": ("thead tbody tfoot tr td th caption", "table"),
     "thead": ("thead tbody tfoot tr td th caption", "table"),
     "tfoot": ("thead tbody tfoot tr td th caption", "table"),
+    "caption": ("caption tr td th thead tbody tfoot", "table"),
     "option": ("option", "select datalist optgroup"),
     "optgroup": ("option optgroup", "select"),
     "rt": ("rt rp rb", "ruby rtc"),
     "rp": ("rt rp rb", "ruby rtc"),
     "rb": ("rt rp rb rtc", "ruby"),
+    "rtc": ("rt rp rb rtc", "ruby"),
+    "button": ("button", "table td th caption"),
 }
 _IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 #: What a head may hold; anything else ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Start tags before which formatting elements that are still to apply don't open again.
+_BEFORE_NONE = BLOCK | RAW | frozenset(_IMPLIED) - {"option", "optgroup", "button"} | frozenset("html head body meta link base param source track template noscript frameset colgroup col".split())
 #: Cells of tables.
 CELLS = frozenset("td th cell".split())
-_P, _A, _TABLE, _NONE = frozenset(["p"]), frozenset(["a"]), frozenset(["table"]), frozenset()
-_P_SCOPE = frozenset("table td th caption button object".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose markup stands on both sides of what they hold, and so begins and ends anew in each run.
+MARKED = frozenset("a strong b em i var dfn del s strike ins mark code kbd samp sub sup".split())
+#: Tags that a path names: those of :data:`MARKED` and any other that rules look for around a node.
+NAMED = MARKED | HEADINGS | frozenset("p abbr bdi bdo big q cite data font label rp rt ruby small time tt u pre textarea svg math iframe head nav form header footer aside blockquote ul ol menu li dl dt dd table caption button select details summary figure figcaption audio video input title".split())
+_P = frozenset(["p"])
+_LISTS, _BULLETS = frozenset("ul ol menu".split()), frozenset("ul menu".split())
+_BUTTON_SCOPE, _ITEM_SCOPE, _TABLE_SCOPE = SCOPE | {"button"}, SCOPE | {"ol", "ul", "menu"}, frozenset("html table template".split())
+_TABLE_PARTS = frozenset("table caption colgroup tbody td tfoot th thead tr".split())
 
 #: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
 ATTRS = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*+"""
@@ -96,241 +114,522 @@ def _attributes(source: str) -> dict[str, str | None]:
 
 
 class Tree:
-    """A document's nodes by columns, and its runs."""
+    """A document's nodes by columns, and its runs.
 
-    COLUMNS = ("parent", "last", "depth", "nth", "kind", "tag", "attrs", "text", "path", "item", "cell", "table", "row", "link", "opens", "closes", "source")
-    __slots__ = (*COLUMNS, "owners", "codes")
+    Numbers stand in arrays, -1 for none; ``kind``, ``tag`` and ``path`` as places in ``names``.
+    Read by name, any column is a list with None for none.
+    """
+
+    #: What is known of a node when it begins stands side by side in one array.
+    FIXED = ("parent", "depth", "nth", "kind", "tag", "path", "item", "cell", "table", "row", "link", "quotes", "lists", "bullets", "opens")
+    LATER = ("last", "next", "previous", "closes")
+    NAMES = ("kind", "tag", "path")
+    COLUMNS = ("parent", "last", "depth", "nth", "kind", "tag", "attrs", "text", "path", "item", "cell", "table", "row", "link", "quotes", "lists", "bullets", "next", "previous", "opens", "closes", "source")
+    RUNS = ("owners", "codes", "arounds", "lefts")
+    __slots__ = ("fixed", "later", "names", "attrs", "text", "source", *RUNS)
 
     def __init__(self):
-        for name in (*self.COLUMNS, "owners", "codes"):
-            setattr(self, name, [])
-        self.owners, self.codes = [None], [[]]
+        self.fixed, self.later = array("i"), {name: array("i") for name in self.LATER}
+        self.names: dict[str, int] = {}
+        self.attrs, self.text, self.source = [], [], []
+        self.owners, self.codes, self.arounds, self.lefts = [None], [[]], [()], [()]
 
+    def numbers(self, name: str) -> np.ndarray:
+        found = self.fixed if name in self.FIXED else self.later[name]
+        whole = np.frombuffer(found, dtype=np.int32) if len(found) else np.empty(0, dtype=np.int32)
+        return whole[self.FIXED.index(name) :: len(self.FIXED)] if name in self.FIXED else whole
+
+    def __getattr__(self, name: str) -> list:
+        column = self.numbers(name).tolist()
+        names = list(self.names) if name in self.NAMES else None
+        return [None if x < 0 else x if names is None else names[x] for x in column]
+
+
+class _Elements:
+    """The elements of a document while it is read; they may move, so their order is that of :attr:`kids`."""
+
+    __slots__ = ("tags", "attrs", "texts", "kids", "up", "roots", "sources", "whole")
+
+    def __init__(self):
+        self.tags, self.attrs, self.texts, self.kids, self.up, self.roots, self.sources = [], [], [], [], [], [], {}
+        self.whole: set[int] = set()  # void elements, which don't close
+
+
+_TEXT, _COMMENT = "#text", "#comment"
 
-def parse(html: str, keep_source: frozenset[str] = frozenset()) -> Tree:
-    """Nodes and runs of a document.
 
-    Builds the tree that browsers do for ended-by-context elements, void and raw
-    text elements, and formatting elements left open across blocks (they open
-    again in the next block).  Elements nest to any depth.
+def _built(html: str, keep_source: frozenset[str]) -> _Elements:
+    """Reads a document as browsers do: scopes of end tags, elements ended by context, void and raw text elements,
+
+    the list of active formatting elements with its markers, and the adoption of
+    blocks that a formatting element ends in.  Text in tables stays where it stands.
     """
-    tree = Tree()
-    parents, tags, attributes, last, closes, sources = tree.parent, tree.tag, tree.attrs, tree.last, tree.closes, tree.source
-    owners, codes = tree.owners, tree.codes
+    made = _Elements()
+    tags, attributes, texts, kids, up = made.tags, made.attrs, made.texts, made.kids, made.up
     stack: list[int] = []
-    counts: list[dict[str, int]] = [{}]
-    paths, items, cells, tables, rows, links, blocks = [" "], [None], [None], [None], [None], [None], [None]
-    active: list[tuple[str, dict]] = []
+    opened: dict[str, int] = {}
+    on_stack: set[int] = set()
+    #: Formatting elements that still apply; None is a marker.
+    active: list[int | None] = []
     begin: dict[int, int] = {}
 
-    def cut(owner: int | None) -> None:
-        if codes[-1]:
-            owners.append(owner)
-            codes.append([])
-        else:
-            owners[-1] = owner
-
-    def add(kind: str, tag: str | None, attrs: dict, text: str | None) -> int:
-        node, of_kind = len(parents), counts[-1]
-        nth = of_kind[tag] = of_kind.get(tag, 0) + 1
-        is_cut = tag in CUTS
-        if is_cut:
-            cut(node)
-        parents.append(stack[-1] if stack else None)
-        last.append(node)
-        tree.depth.append(len(stack))
-        tree.nth.append(nth)
-        tree.kind.append(kind)
+    def new(tag: str, attrs: dict | None, text: str | None = None) -> int:
         tags.append(tag)
         attributes.append(attrs)
-        tree.text.append(text)
-        tree.path.append(paths[-1])
-        tree.item.append(node if tag == "li" else items[-1])
-        tree.cell.append(node if tag in CELLS else cells[-1])
-        tree.table.append(tables[-1])
-        tree.row.append(rows[-1])
-        tree.link.append(links[-1])
-        tree.opens.append(len(codes) - 1)
-        closes.append(len(codes) - 1)
-        sources.append(None)
-        codes[-1].append(2 * node)
-        return node
-
-    def push(tag: str, attrs: dict, start: int) -> None:
-        node = add("tag", tag, attrs, None)
-        stack.append(node)
-        counts.append({})
-        paths.append(paths[-1] if tag in UNNAMED else f"{paths[-1]}{tag} ")
-        items.append(tree.item[node])
-        cells.append(tree.cell[node])
-        tables.append(node if tag == "table" else tables[-1])
-        rows.append(node if tag in ("tr", "row") else None if tag == "table" else rows[-1])
-        links.append(node if tag == "a" and "href" in attrs else links[-1])
-        blocks.append(node if tag in CUTS else blocks[-1])
-        if tag in keep_source:
+        texts.append(text)
+        kids.append(None)
+        up.append(-1)
+        return len(tags) - 1
+
+    def put(node: int, parent: int | None) -> None:
+        if parent is None:
+            made.roots.append(node)
+        else:
+            if kids[parent] is None:
+                kids[parent] = []
+            kids[parent].append(node)
+            up[node] = parent
+
+    def detach(node: int) -> None:
+        siblings = kids[up[node]] if up[node] >= 0 else made.roots
+        for k in range(len(siblings) - 1, -1, -1):
+            if siblings[k] == node:
+                del siblings[k]
+                break
+        up[node] = -1
+
+    def hold(node: int, place: int | None = None) -> None:
+        stack.insert(len(stack) if place is None else place, node)
+        on_stack.add(node)
+        opened[tags[node]] = opened.get(tags[node], 0) + 1
+
+    def drop(node: int) -> None:
+        on_stack.discard(node)
+        opened[tags[node]] -= 1
+
+    def push(tag: str, attrs: dict, start: int = -1) -> int:
+        node = new(tag, attrs)
+        put(node, stack[-1] if stack else None)
+        hold(node)
+        if tag in keep_source and start >= 0:
             begin[node] = start
+        return node
 
-    def pop_to(k: int, end: int, ended: str = "") -> None:
+    def pop_to(k: int, end: int) -> None:
         while len(stack) > k:
             node = stack.pop()
-            for column in (counts, paths, items, cells, tables, rows, links, blocks):
-                column.pop()
-            last[node] = len(parents) - 1
-            codes[-1].append(2 * node + 1)
-            closes[node] = len(codes) - 1
-            if tags[node] in CUTS:
-                cut(blocks[-1])
+            drop(node)
             if node in begin:
-                sources[node] = html[begin.pop(node) : end]
-            if tags[node] in FORMATTING and tags[node] != ended:
-                active.insert(0, (tags[node], attributes[node]))
-
-    def find(wanted: frozenset[str], stop: frozenset[str]) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            tag = tags[stack[k]]
-            if tag in wanted:
-                return k
-            if tag in stop:
-                return -1
-        return -1
+                made.sources[node] = html[begin.pop(node) : end]
+            if tags[node] in MARKING:
+                while active and active.pop() is not None:
+                    pass
 
-    def find_outer(wanted: frozenset[str], stop: frozenset[str]) -> int:
+    def find(wanted: frozenset[str], stop: frozenset[str], outermost: bool = False) -> int:
+        """Where in the stack the innermost (or outermost) of some elements is, before any of others; -1: nowhere."""
         found = -1
-        for k in range(len(stack) - 1, -1, -1):
-            tag = tags[stack[k]]
-            if tag in stop:
-                break
-            if tag in wanted:
-                found = k
+        if any(opened.get(t) for t in wanted):
+            for k in range(len(stack) - 1, -1, -1):
+                tag = tags[stack[k]]
+                if tag in wanted:
+                    found = k
+                    if not outermost:
+                        break
+                elif tag in stop:
+                    break
         return found
 
+    def close(wanted: frozenset[str], stop: frozenset[str], end: int, outermost: bool = False) -> None:
+        if (k := find(wanted, stop, outermost)) >= 0:
+            pop_to(k, end)
+
     def reopen() -> None:
-        again, active[:] = active[:], []
-        for tag, attrs in again[-12:]:
-            push(tag, attrs, at)
+        """Opens the formatting elements again that still apply and aren't open."""
+        k = len(active)
+        while k and active[k - 1] is not None and active[k - 1] not in on_stack:
+            k -= 1
+        for j in range(k, len(active)):
+            active[j] = push(tags[active[j]], attributes[active[j]])
+
+    def last_active(tag: str) -> int:
+        for k in range(len(active) - 1, -1, -1):
+            if active[k] is None:
+                break
+            if tags[active[k]] == tag:
+                return k
+        return -1
 
-    def put(text: str) -> None:
-        if active and not text.isspace():
+    def apply(tag: str, attrs: dict, start: int) -> None:
+        """Opens a formatting element; of more than three that are alike the first no longer applies."""
+        alike = []
+        for k in range(len(active) - 1, -1, -1):
+            if active[k] is None:
+                break
+            if tags[active[k]] == tag and attributes[active[k]] == attrs:
+                alike.append(k)
+        if len(alike) >= 3:
+            del active[alike[2]]
+        active.append(push(tag, attrs, start))
+
+    def any_other_end(tag: str, end: int) -> None:
+        if opened.get(tag):
+            for k in range(len(stack) - 1, -1, -1):
+                if tags[stack[k]] == tag:
+                    pop_to(k, end)
+                    return
+                if tags[stack[k]] in SPECIAL:
+                    return
+
+    def adopt(tag: str, end: int) -> None:
+        """The end of a formatting element: a block that began inside it and is still open moves out, with what it held in a copy of the element."""
+        if stack and tags[stack[-1]] == tag and stack[-1] not in active:
+            pop_to(len(stack) - 1, end)
+            return
+        for _ in range(8):
+            place = last_active(tag)
+            if place < 0:
+                any_other_end(tag, end)
+                return
+            element = active[place]
+            if element not in on_stack:
+                del active[place]
+                return
+            at = len(stack) - 1
+            while stack[at] != element:
+                if tags[stack[at]] in SCOPE:
+                    return
+                at -= 1
+            block_at = next((k for k in range(at + 1, len(stack)) if tags[stack[k]] in SPECIAL), -1)
+            if block_at < 0:
+                pop_to(at, end)
+                active.remove(element)
+                return
+            block, above = stack[block_at], stack[at - 1] if at else None
+            bookmark = place
+            last, k = block, block_at
+            for inner in range(1, block_at - at + 1):
+                k -= 1
+                node = stack[k]
+                if node == element:
+                    break
+                where = active.index(node) if node in active else -1
+                if inner > 3 and where >= 0:
+                    del active[where]
+                    bookmark -= where < bookmark
+                    where = -1
+                if where < 0:
+                    del stack[k]
+                    drop(node)
+                    continue
+                copy = new(tags[node], attributes[node])
+                active[where] = stack[k] = copy
+                drop(node)
+                on_stack.add(copy)
+                opened[tags[copy]] = opened.get(tags[copy], 0) + 1
+                if last == block:
+                    bookmark = where + 1
+                    detach(last)
+                put(last, copy)
+                last = copy
+            if last == block:
+                detach(last)
+            put(last, above)
+            copy = new(tag, attributes[element])
+            kids[copy], kids[block] = kids[block], None
+            for child in kids[copy] or ():
+                up[child] = copy
+            put(copy, block)
+            old = active.index(element)
+            active.insert(bookmark, copy)
+            del active[old + (bookmark <= old)]
+            stack.remove(element)
+            drop(element)
+            hold(copy, stack.index(block) + 1)
+
+    def text(said: str) -> None:
+        if active:
             reopen()
-        add("text", None, {}, text)
+        put(new(_TEXT, None, said), stack[-1] if stack else None)
 
     def void(tag: str, attrs: dict, start: int) -> None:
-        node = add("tag", tag, attrs, None)
+        node = new(tag, attrs)
+        put(node, stack[-1] if stack else None)
+        made.whole.add(node)
         if tag in keep_source:
-            sources[node] = html[start:at]
-        if tag in CUTS:
-            cut(blocks[-1])
+            made.sources[node] = html[start:at]
+
+    def item(wanted: frozenset[str], end: int) -> None:
+        """A list item or description ends the one before it."""
+        if any(opened.get(t) for t in wanted):
+            for k in range(len(stack) - 1, -1, -1):
+                tag = tags[stack[k]]
+                if tag in wanted:
+                    pop_to(k, end)
+                    return
+                if tag in SPECIAL and tag not in ("address", "div", "p"):
+                    return
+
+    def end_tag(tag: str, end: int) -> None:
+        if tag in FORMATTING:
+            adopt(tag, end)
+        elif tag == "p":
+            close(_P, _BUTTON_SCOPE, end)
+        elif tag == "li":
+            close(frozenset(["li"]), _ITEM_SCOPE, end)
+        elif tag in HEADINGS:
+            close(HEADINGS, SCOPE, end)
+        elif tag in _TABLE_PARTS:
+            close(frozenset([tag]), _TABLE_SCOPE, end)
+        elif tag in SCOPED or tag in ("dt", "dd"):
+            close(frozenset([tag]), SCOPE, end)
+        elif tag == "br":
+            put(new("br", {}), stack[-1] if stack else None)
+            made.whole.add(len(tags) - 1)
+        elif tag not in ("html", "body"):
+            any_other_end(tag, end)
+
+    def start_tag(tag: str, attrs: dict, start: int, closed: bool) -> None:
+        """An element begins; ``closed``: its tag ends in a slash."""
+        if stack and tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1, start)
+        if tag in BLOCK:
+            if tag == "li":
+                item(frozenset(["li"]), start)
+            elif tag in ("dt", "dd"):
+                item(frozenset(["dt", "dd"]), start)
+            close(_P, _BUTTON_SCOPE, start)
+            if tag in HEADINGS and stack and tags[stack[-1]] in HEADINGS:
+                pop_to(len(stack) - 1, start)
+        if tag in _IMPLIED:
+            close(*_IMPLIED[tag], start, outermost=True)
+        if tag == "a" and (k := last_active("a")) >= 0:
+            before = active[k]
+            adopt("a", start)
+            if before in active:
+                active.remove(before)
+            if before in on_stack:
+                stack.remove(before)
+                drop(before)
+        if tag == "nobr" and find(frozenset(["nobr"]), SCOPE) >= 0:
+            adopt("nobr", start)
+        if tag in ("td", "th") and stack and tags[stack[-1]] in ("table", "thead", "tbody", "tfoot"):
+            push("tr", {})  # implied
+        if active and tag not in _BEFORE_NONE:
+            reopen()
+        if tag in VOID or (closed and (opened.get("svg") or opened.get("math") or tag == "svg" or "-" in tag)):
+            void(tag, attrs, start)
+        elif tag in FORMATTING:
+            apply(tag, attrs, start)
+        else:
+            push(tag, attrs, start)
+            if tag in MARKING:
+                active.append(None)
 
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
         if end > at:
-            put(decode(html[at:end]))
+            text(decode(html[at:end]))
         if m is None:
             break
         at = m.end()
         if m["comment"] is not None:
-            add("comment", None, {}, m["comment"])
+            put(new(_COMMENT, None, m["comment"]), stack[-1] if stack else None)
             continue
         if m["cdata"] is not None:
-            put(m["cdata"])
+            text(m["cdata"])
             continue
         if m["tag"] is None or m["close"] == "":
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag in FORMATTING:
-                k = find(frozenset([tag]), BLOCK | _P_SCOPE)
-                if k >= 0:
-                    pop_to(k, at, tag)
-                elif any(t == tag for t, _ in active):
-                    del active[max(i for i, (t, _) in enumerate(active) if t == tag)]
-            elif (k := find(frozenset([tag]), _TABLE if tag in ("p", "li", "div") else _NONE)) >= 0:
-                pop_to(k, at, tag)
-            elif tag == "br":
-                add("tag", "br", {}, None)
+            end_tag(tag, at)
             continue
         attrs = _attributes(m["attrs"]) if "=" in m["attrs"] or m["attrs"].strip(" \n\t/") else {}
-        if stack and tags[stack[-1]] == "head" and tag not in IN_HEAD:
-            pop_to(len(stack) - 1, end)
-        if tag in BLOCK and tag not in ("li", "dt", "dd") and (k := find(_P, _P_SCOPE)) >= 0:
-            pop_to(k, end)
-        if tag in _IMPLIED and (k := find_outer(*_IMPLIED[tag])) >= 0:
-            pop_to(k, end)
-        if tag == "a" and (k := find(_A, _P_SCOPE)) >= 0:
-            pop_to(k, end, "a")
-        if tag in ("td", "th") and stack and tags[stack[-1]] in ("table", "thead", "tbody", "tfoot"):
-            push("tr", {}, end)  # implied
-        if active and tag not in BLOCK and tag not in RAW and tag not in _IMPLIED and tag not in ("table", "html", "head", "body", "meta", "link"):
-            reopen()
-        if tag in VOID:
-            void(tag, attrs, end)
-        elif tag in RAW:
-            push(tag, attrs, end)
+        start_tag(tag, attrs, end, m["attrs"].rstrip().endswith("/"))
+        if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             inner = html[at : stop.start() if stop else n]
             if inner:
-                add("text", None, {}, decode(inner) if tag in ("title", "textarea") else inner)
+                put(new(_TEXT, None, decode(inner) if tag in ("title", "textarea") else inner), stack[-1])
             at = stop.end() if stop else n
-            pop_to(len(stack) - 1, at, tag)
-        elif m["attrs"].rstrip().endswith("/") and (" svg " in paths[-1] or tag == "svg" or "-" in tag):
-            void(tag, attrs, end)
-        else:
-            push(tag, attrs, end)
+            pop_to(len(stack) - 1, at)
     pop_to(0, n)
+    return made
+
+
+def _order_ruby(ruby: int, names: list, parents: list, codes: list[int]) -> None:
+    """Puts a ruby's annotations behind all its bases, and its containers behind these, unless bases and annotations take turns."""
+    start = codes.index(2 * ruby) + 1
+    parts: list[list[int]] = []
+    for code in codes[start:]:
+        if code % 2 == 0 and parents[code // 2] == ruby:
+            parts.append([])
+        parts[-1].append(code)
+    heads = [names[part[0] // 2] for part in parts]
+    turns = [h for h in heads if h in ("rb", "rt", "rtc")]
+    if "rtc" in turns or ("rb", "rt") not in zip(turns, turns[1:]):
+        order = {"rt": 1, "rtc": 2}
+        codes[start:] = [code for _, part in sorted(zip(heads, parts), key=lambda x: order.get(x[0], 0)) for code in part]
+
+
+def parse(html: str, keep_source: frozenset[str] = frozenset()) -> Tree:
+    """Nodes and runs of a document, read as browsers do.  Elements nest to any depth."""
+    made = _built(html, keep_source)
+    tags, attributes, texts, kids, sources, whole = made.tags, made.attrs, made.texts, made.kids, made.sources, made.whole
+    tree = Tree()
+    last, following, previous, closes = (tree.later[name] for name in Tree.LATER)
+    fixed, parents, opens = tree.fixed, [], []
+    place_of = tree.names
+    owners, codes, arounds, lefts = tree.owners, tree.codes, tree.arounds, tree.lefts
+    named = NAMED | keep_source
+    tag_of: list[str | None] = []
+    marks: list[int] = []
+    seen_marks: set[str] = set()
+    a_tag, a_text, a_comment = (place_of.setdefault(kind, len(place_of)) for kind in ("tag", "text", "comment"))
+
+    def cut(owner: int | None) -> None:
+        if codes[-1]:
+            lefts[-1] = tuple(marks)
+            owners.append(owner)
+            codes.append([])
+            arounds.append(tuple(marks))
+            lefts.append(())
+        else:
+            owners[-1], arounds[-1] = owner, tuple(marks)
+
+    #: For each open element: its node, its children left, counts by tag, the last sibling that counts and those after it, what a
+    #: child inherits, the innermost block, and whether its markup is carried from run to run.
+    frames = [(-1, iter(made.roots), {}, [-1], (" ", -1, -1, -1, -1, -1, 0, 0, 0), None, False)]
+    while frames:
+        node, rest, counts, before, inherited, block, marked = frames[-1]
+        path, item, cell, table, row, link, n_quotes, n_lists, n_bullets = inherited
+        path_at, depth = place_of.setdefault(path, len(place_of)), len(frames) - 1
+        for e in rest:
+            k, tag = len(parents), tags[e]
+            is_tag = tag is not _TEXT and tag is not _COMMENT
+            name = tag if is_tag else None
+            counts[name] = nth = counts.get(name, 0) + 1
+            is_cut = is_tag and name in CUTS
+            if is_cut:
+                cut(k)
+            tag_of.append(name)
+            parents.append(node)
+            last.append(k)
+            tree.attrs.append(attributes[e])
+            tree.text.append(texts[e])
+            tree.source.append(sources.get(e))
+            now = len(codes) - 1
+            opens.append(now)
+            closes.append(now)
+            # White space and comments have siblings, but are none.
+            previous.append(before[0])
+            following.append(-1)
+            if is_tag or (tag is _TEXT and not texts[e].isspace()):
+                for j in before:
+                    if j >= 0:
+                        following[j] = k
+                before[:] = [k]
+            else:
+                before.append(k)
+            codes[-1].append(2 * k)
+            if not is_tag:
+                fixed.extend((node, depth, nth, a_text if tag is _TEXT else a_comment, -1, path_at, item, cell, table, row, link, n_quotes, n_lists, n_bullets, now))
+                continue
+            own_item, own_cell = k if name == "li" else item, k if name in CELLS else cell
+            own_quotes, own_lists, own_bullets = n_quotes + (name == "blockquote"), n_lists + (name in _LISTS), n_bullets + (name in _BULLETS)
+            fixed.extend((node, depth, nth, a_tag, place_of.setdefault(name, len(place_of)), path_at, own_item, own_cell, table, row, link, own_quotes, own_lists, own_bullets, now))
+            if e in whole:
+                if is_cut:
+                    cut(block)
+                continue
+            is_mark = name in MARKED and name not in seen_marks
+            if is_mark:
+                marks.append(k)
+                seen_marks.add(name)
+            child = (
+                path if name not in named or f" {name} " in path else f"{path}{name} ", own_item, own_cell, k if name == "table" else table, k if name in ("tr", "row") else -1 if name == "table" else row,
+                k if name == "a" and "href" in attributes[e] else link, own_quotes, own_lists, own_bullets,
+            )
+            frames.append((k, iter(kids[e] or ()), {}, [-1], child, k if is_cut else block, is_mark))
+            break
+        else:
+            frames.pop()
+            if node < 0:
+                break
+            name = tag_of[node]
+            if name == "ruby" and opens[node] == len(codes) - 1:
+                _order_ruby(node, tag_of, parents, codes[-1])
+            last[node] = len(parents) - 1
+            codes[-1].append(2 * node + 1)
+            closes[node] = len(codes) - 1
+            if marked:
+                marks.pop()
+                seen_marks.discard(name)
+            if name in CUTS:
+                cut(frames[-1][5])
     return tree
 
 
 # --- on Spark ---------------------------------------------------------------
 
-_INTS = frozenset("parent last depth nth item cell table row link opens closes".split())
+def _numbers(values: list[np.ndarray]) -> pa.Array:
+    """Numbers one after the other; -1 is null."""
+    found = np.concatenate(values) if values else np.empty(0, dtype=np.int32)
+    return pa.array(found, pa.int32(), mask=found < 0)
+
+
+def _lists(parts: list, of: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), of)
 
 
 def _arrays(trees: list[Tree | None]) -> list[pa.Array]:
     """Columns ``nodes`` and ``runs`` of some documents; both null for None."""
     found = [t or Tree() for t in trees]
-    node_ends, run_ends, code_ends, attr_ends = [0], [0], [0], [0]
-    columns: dict[str, list] = {name: [] for name in Tree.COLUMNS}
-    owners, codes, keys, values, ids = [], [], [], [], []
+    sizes = [len(t.attrs) for t in found]
+    none = pa.array([t is None for t in trees])
+    columns: dict[str, pa.Array] = {"id": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.empty(0, dtype=np.int32))}
+    for name in (*Tree.FIXED, *Tree.LATER):
+        if name not in Tree.NAMES:
+            columns[name] = _numbers([t.numbers(name) for t in found])
+    # Names by their places in one list of all documents' names.
+    known: dict[str, int] = {}
+    places = [np.array([known.setdefault(name, len(known)) for name in t.names] + [-1], dtype=np.int32) for t in found]
+    dictionary = pa.array(list(known), pa.string())
+    for name in Tree.NAMES:
+        at = np.concatenate([p[t.numbers(name)] for p, t in zip(places, found)] or [np.empty(0, dtype=np.int32)])
+        columns[name] = dictionary.take(pa.array(at, mask=at < 0))
+    keys, values, ends = [], [], [0]
     for t in found:
-        n = len(t.parent)
-        ids.extend(range(n))
-        for name, column in columns.items():
-            if name != "attrs":
-                column.extend(getattr(t, name))
         for attrs in t.attrs:
             if attrs:
                 keys.extend(attrs)
                 values.extend(attrs.values())
-            attr_ends.append(len(keys))
-        node_ends.append(len(ids))
-        for owner, run in zip(t.owners, t.codes):
-            if run:
-                owners.append(owner)
-                codes.extend(run)
-                code_ends.append(len(codes))
-        run_ends.append(len(owners))
-    none = pa.array([t is None for t in trees])
-    arrays = [pa.array(ids, pa.int32())]
-    for name in Tree.COLUMNS:
-        if name == "attrs":
-            arrays.append(pa.MapArray.from_arrays(pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
-        else:
-            arrays.append(pa.array(columns[name], pa.int32() if name in _INTS else pa.string()))
-    nodes = pa.ListArray.from_arrays(pa.array(node_ends, pa.int32()), pa.StructArray.from_arrays(arrays, ["id", *Tree.COLUMNS]), mask=none)
-    lists = pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(codes, pa.int32()))
-    runs = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(owners, pa.int32()), lists], ["owner", "codes"]), mask=none)
+            ends.append(len(keys))
+    columns["attrs"] = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    for name in ("text", "source"):
+        columns[name] = pa.array([x for t in found for x in getattr(t, name)], pa.string())
+    names = ["id", *Tree.COLUMNS]
+    nodes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays([columns[name] for name in names], names), mask=none)
+    kept = [[k for k, run in enumerate(t.codes) if run] for t in found]
+    owners = pa.array([t.owners[k] for t, ks in zip(found, kept) for k in ks], pa.int32())
+    lists = []
+    for name in ("codes", "arounds", "lefts"):
+        parts = [getattr(t, name)[k] for t, ks in zip(found, kept) for k in ks]
+        lists.append(_lists(parts, pa.array([x for part in parts for x in part], pa.int32())))
+    runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.StructArray.from_arrays([owners, *lists], ["owner", "codes", "around", "left"]), mask=none)
     return [nodes, runs]
 
 
-def parse_documents(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_id",), keep_source: frozenset[str] = frozenset(), checked: bool = False, batch_chars: int = 1 << 21) -> DataFrame:
+def parse_documents(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_id",), keep_source: frozenset[str] = frozenset(), checked: bool = False, decoded: str | None = None, batch_chars: int = 1 << 21) -> DataFrame:
     """Columns ``keep`` of ``pages``, with ``nodes`` and ``runs`` (see :data:`NODE`, :data:`RUN`) of every row.
 
     Both are null for null pages and those that
     :func:`pagequarry.functions.text.invalid_reason` rejects.  Rows stay where they
     are, whatever their ids; documents are parsed in groups of ``batch_chars``.
-    ``checked`` pages are not looked at again for what isn't text.
+    ``checked`` pages are not looked at again for what isn't text.  ``decoded`` names one of
+    ``keep`` whose references are decoded on the way.
     """
     source = T.normalize_input(F.col(html))
     source = source if checked else F.when(T.invalid_reason(F.col(html)).isNull(), source)
@@ -349,7 +648,11 @@ def parse_documents(pages: DataFrame, html: str = "html", keep: tuple[str, ...]
                 size += len(page or "")
                 if size >= batch_chars or k == batch.num_rows - 1:
                     part = batch.slice(first, k + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*(part.column(j).cast(t) for j, t in enumerate(types)), *_arrays(trees)], names=names)
+                    columns = [part.column(j).cast(t) for j, t in enumerate(types)]
+                    if decoded is not None:
+                        j = keep.index(decoded)
+                        columns[j] = pa.array([None if t is None else decode(t) for t in columns[j].to_pylist()], types[j])
+                    yield pa.RecordBatch.from_arrays([*columns, *_arrays(trees)], names=names)
                     first, size, trees = k + 1, 0, []
 
     return kept.mapInArrow(run, f"struct<{whole}>")
@@ -385,6 +688,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array the join (associative, such as a sum or a maximum) of the values up to it.
+
+    Each round joins what lies twice as far apart, so n values take about log2(n) passes.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+
+    def once(a: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(a, lambda x, i: F.when(i >= reach, join(F.get(a, i - reach), x)).otherwise(x))
+
+    return F.when(F.size(values) > 0, F.aggregate(rounds, values, once)).otherwise(values)
+
+
+def spread_out(starts: Column, values: Column, size: Column, first: Column) -> Column:
+    """An array of ``size`` places: ``values[k]`` from ``starts[k]`` (ascending) up to the next start, ``first`` before all of them."""
+
+    def spread(starts: Column, values: Column) -> Column:
+        spans = F.transform(starts, lambda a, k: F.array_repeat(F.get(values, k), F.coalesce(F.get(starts, k + 1), size) - a))
+        return F.when(F.size(starts) > 0, F.concat(F.array_repeat(first, F.get(starts, F.lit(0))), F.flatten(spans))).otherwise(F.array_repeat(first, size))
+
+    return let(starts, lambda s: let(values, lambda v: spread(s, v)))
+
+
+def marked_places(places: Column, size: Column) -> Column:
+    """An array of ``size`` booleans, true at some places (ascending, different)."""
+
+    def spread(places: Column) -> Column:
+        runs = F.transform(places, lambda a, k: F.concat(F.array_repeat(F.lit(False), a - F.coalesce(F.get(places, k - 1) + 1, F.lit(0))), F.array(F.lit(True))))
+        rest = F.array_repeat(F.lit(False), size - F.coalesce(F.try_element_at(places, F.lit(-1)) + 1, F.lit(0)))
+        return F.concat(F.flatten(runs), rest)
+
+    return let(places, spread)
+
+
 def below(node: Column) -> Column:
     """The nodes in an element, without itself."""
     return F.slice("nodes", node["id"] + 2, node["last"] - node["id"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators import filters
-from pagequarry.operators.nodes import CELLS, below, built_once, held, let, text_in, within
+from pagequarry.operators.nodes import CELLS, below, built_once, held, let, marked_places, scan, text_in, within
 from pagequarry.plans.options import CALLBACKS, Options
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -30,6 +30,8 @@ OPEN = {n: chr(0xE000 + 2 * k) for k, n in enumerate(_NAMES)}
 CLOSE = {n: chr(0xE001 + 2 * k) for k, n in enumerate(_NAMES)}
 #: A link's target follows; a hard line break; a paragraph's end; a quote's source follows; a space and a line end to keep.
 HREF, BREAK, BLANK, CITE, SPACE, LINE = (chr(c) for c in range(0xE020, 0xE026))
+#: With link references: the target of an image or of media begins, and ends.
+IMAGE, IMAGE_END = chr(0xE026), chr(0xE027)
 #: What a text has that may have to change, besides two spaces in a row: tabs, line ends and the like, marks, and spaces of other kinds.
 ODD = r"[\x00-\x1f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ue000-\ue0ff]"
 #: Any opening or closing mark.
@@ -62,6 +64,12 @@ def _tags_of(name: str, options: Options) -> list[str]:
     return [t for t, m in _TAG_MARK.items() if m == name and t not in options.strip_tags and t not in _visited(options)]
 
 
+def _marks(n: Column, options: Options) -> list[tuple[str, Column]]:
+    """For each mark, which elements it stands for: within code there are none, and within the same mark no second."""
+    code = within(n, "code", "pre", "kbd", "samp")
+    return [(name, n["tag"].isin(*tags) & ~within(n, *tags) & ~code) for name in _NAMES if (tags := _tags_of(name, options))]
+
+
 def _visited(options: Options) -> set[str]:
     """Tags whose markup a visitor gives."""
     return {t for c, v in options.visitor.items() if v.get("action") in ("custom", "custom_template", "preserve_html") for t in CALLBACKS[c] if not c.endswith(("_start", "_end"))}
@@ -115,23 +123,87 @@ def _image(n: Column, options: Options) -> Column:
         return alt
     if options.skip_images:
         return F.lit("")
-    whole = F.concat(F.lit("!["), alt, F.lit("]("), T.markdown_target(src), _quoted(_attr(n, "title"), False), F.lit(")"))
+    if options.link_style == "reference":
+        whole = F.concat(F.lit("!["), alt, F.lit(IMAGE), T.markdown_target(src), _quoted(_attr(n, "title"), True), F.lit(IMAGE_END))
+    else:
+        whole = F.concat(F.lit("!["), alt, F.lit("]("), T.markdown_target(src), _quoted(_attr(n, "title"), False), F.lit(")"))
     bare = [h for h in HEADINGS if h not in options.keep_inline_images_in]
     if options.convert_as_inline:
         return alt
     return F.when(within(n, *bare), alt).otherwise(whole) if bare else whole
 
 
-def _svg(n: Column) -> Column:
+#: Attributes of SVG and MathML whose names have capitals.
+_MIXED = """attributeName attributeType baseFrequency baseProfile calcMode clipPathUnits diffuseConstant edgeMode filterUnits glyphRef gradientTransform
+    gradientUnits kernelMatrix kernelUnitLength keyPoints keySplines keyTimes lengthAdjust limitingConeAngle markerHeight markerUnits markerWidth maskContentUnits
+    maskUnits numOctaves pathLength patternContentUnits patternTransform patternUnits pointsAtX pointsAtY pointsAtZ preserveAlpha preserveAspectRatio primitiveUnits
+    refX refY repeatCount repeatDur requiredExtensions requiredFeatures specularConstant specularExponent spreadMethod startOffset stdDeviation stitchTiles
+    surfaceScale systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan definitionURL""".split()
+
+
+def markup(n: Column) -> Column:
+    """An element as HTML again: attributes sorted, their names in the spelling of SVG, elements without content closed at once.
+
+    Openings and texts stand at their nodes' places, closings behind the last node
+    inside, inner ones first; sorted by these, they are the source.
+    """
+    entity = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    spelled = F.create_map(*(F.lit(x) for name in _MIXED for x in (name.lower(), name)))
+
+    def attribute(e: Column) -> Column:
+        value = F.when(F.coalesce(e["value"], F.lit("")) != "", F.concat(F.lit('="'), F.replace(F.replace(e["value"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))).otherwise("")
+        return F.concat(F.lit(" "), F.coalesce(spelled[e["key"]], e["key"]), value)
+
+    def opening(x: Column) -> Column:
+        attrs = F.array_join(F.transform(F.array_sort(F.map_entries(x["attrs"])), attribute), "")
+        tag = F.concat(F.lit("<"), x["tag"], attrs, F.when(x["last"] > x["id"], F.lit(">")).otherwise(F.lit(" />")))
+        return F.struct(x["id"].alias("place"), F.lit(0).alias("kind"), F.lit(0).alias("inner"), F.when(x["kind"] == "text", entity(x["text"])).otherwise(tag).alias("text"))
+
+    def closing(x: Column) -> Column:
+        return F.struct(x["last"].alias("place"), F.lit(1).alias("kind"), (-x["id"]).alias("inner"), F.concat(F.lit("</"), x["tag"], F.lit(">")).alias("text"))
+
+    all_ = F.filter(F.concat(F.array(n), below(n)), lambda x: x["kind"] != "comment")
+    events = let(all_, lambda a: F.array_sort(F.concat(F.transform(a, opening), F.transform(F.filter(a, lambda x: (x["kind"] == "tag") & (x["last"] > x["id"])), closing))))
+    return F.array_join(F.transform(events, lambda e: e["text"]), "")
+
+
+def _svg(n: Column, options: Options) -> Column:
     title = _first(below(n), lambda x: x["tag"] == "title")
     name = F.coalesce(F.nullif(F.when(title.isNotNull(), T.one_line(text_in(title))), F.lit("")), F.lit("SVG Image"))
-    return F.concat(F.lit("!["), name, F.lit("](data:image/svg+xml;base64,"), F.base64(F.encode(n["source"], "UTF-8")), F.lit(")"))
+    if options.skip_images:
+        return F.lit("")
+    if options.convert_as_inline:
+        return name
+    return F.concat(F.lit("!["), name, F.lit("](data:image/svg+xml;base64,"), T.base64(F.encode(markup(n), "UTF-8")), F.lit(")"))
+
+
+def _ruby_mark(n: Column, mark: str, first: bool) -> Column:
+    """A parenthesis around an annotation, two at either end of several ones that a container follows."""
+    ruby = F.get("nodes", n["parent"])
+    own = lambda tag: F.filter(below(ruby), lambda x: (x["tag"] == tag) & (x["parent"] == ruby["id"]))
+    said = F.exists(own("rtc"), lambda x: F.trim(text_in(x)) != "")
+    twice = let(own("rt"), lambda all_: (F.size(all_) > 1) & (F.element_at(all_, 1 if first else -1)["id"] == n["id"]))
+    return F.when((ruby["tag"] == "ruby") & F.coalesce(said & twice, F.lit(False)), F.lit(mark * 2)).otherwise(F.lit(mark))
 
 
-def _media(n: Column) -> Column:
+def _in_ruby(n: Column, text: Column) -> Column:
+    """A text in ruby without the blanks at the borders of bases and annotations."""
+    owner = F.get("nodes", n["parent"])
+    sides = ("rt", "rtc", "rb", "rp")
+    beside = lambda x: x["tag"].isNull() | x["tag"].isin(*sides)
+    # Siblings that count leave blanks out, so a text is beside the border where no other stands there.
+    left = beside(F.get("nodes", n["previous"])) & (n["previous"].isNull() | (F.get("nodes", n["previous"])["kind"] == "tag"))
+    right = beside(F.get("nodes", n["next"])) & (n["next"].isNull() | (F.get("nodes", n["next"])["kind"] == "tag"))
+    trimmed = F.when(F.coalesce(left, F.lit(True)), F.ltrim(text)).otherwise(text)
+    trimmed = F.when(F.coalesce(right, F.lit(True)), F.rtrim(trimmed)).otherwise(trimmed)
+    return F.when(within(n, "ruby") & owner["tag"].isin("ruby", "rt", "rb", "rtc"), trimmed).otherwise(text)
+
+
+def _media(n: Column, options: Options) -> Column:
     source = _first(below(n), lambda x: (x["tag"] == "source") & (_attr(x, "src") != ""))
     src = F.when(n["tag"] == "iframe", _attr(n, "src")).otherwise(F.coalesce(F.nullif(_attr(n, "src"), F.lit("")), source["attrs"]["src"], F.lit("")))
-    return let(src, lambda s: F.when(s == "", "").otherwise(F.concat(F.lit("["), s, F.lit("]("), s, F.lit(")" + BLANK))))
+    begin, end = (IMAGE, IMAGE_END) if options.link_style == "reference" else ("](", ")")
+    return let(src, lambda s: F.when(s == "", "").otherwise(F.concat(F.lit("["), s, F.lit(begin), s, F.lit(end + BLANK))))
 
 
 # --- pieces -------------------------------------------------------------------
@@ -185,7 +257,7 @@ def _replaced(options: Options) -> list[str]:
 def keep_source(options: Options) -> frozenset[str]:
     """Tags whose own HTML rendering asks for."""
     preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in CALLBACKS[c]]
-    return frozenset([*options.preserve_tags, *preserved, *(("svg", "math") if options.output_format != "plain" else ())])
+    return frozenset([*options.preserve_tags, *preserved])
 
 
 def _ruled(options: Options) -> list[str]:
@@ -213,26 +285,20 @@ def _rules(n: Column, options: Options) -> list[tuple[Column, Column | None, Col
     ]
     if plain:
         return rules
-    code = within(n, "code", "pre", "kbd", "samp")
     caret = tag.isin("em", "i") & F.contains(_attr(n, "class"), F.lit("caret"))
     rules += [
         (caret & (F.trim(text_in(n)) == "") if not options.convert_as_inline else F.lit(False), F.lit(" > "), none),
-        ((tag == "a") & _has(n, "href"), F.when(n["opens"] == n["closes"], F.lit(OPEN["link"])).otherwise(none), F.when(n["opens"] == n["closes"], _link_end(n, options)).otherwise(none)),
+        ((tag == "a") & _has(n, "href") & n["link"].isNull(), F.lit(OPEN["link"]), _link_end(n, options)),
         (tag == "abbr", none, F.when(_attr(n, "title") != "", F.concat(F.lit(" ("), _attr(n, "title"), F.lit(")"))).otherwise(none)),
-        (tag.isin("iframe", "audio", "video"), _media(n), none),
-        (tag == "rt", F.lit("("), F.lit(")")),
+        (tag.isin("iframe", "audio", "video"), _media(n, options), none),
+        (tag == "rt", _ruby_mark(n, "(", first=True), _ruby_mark(n, ")", first=False)),
         (tag == "optgroup", F.concat(F.lit(OPEN["strong"]), _attr(n, "label"), F.lit(CLOSE["strong"])), none),
         ((tag == "blockquote") & (_attr(n, "cite") != ""), none, F.concat(F.lit(CITE + "— <"), _attr(n, "cite"), F.lit(">"))),
         ((tag == "span") & F.contains(_attr(n, "class"), F.lit("ocrx_word")), F.lit(" "), none),
-        (tag == "svg", _svg(n), none),
-        (tag == "math", let(F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none), lambda b: F.concat(b, F.lit("<!-- MathML: "), _hard(n["source"]), F.lit(" --> "))), F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none)),
+        (tag == "svg", _svg(n, options), none),
+        (tag == "math", let(F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none), lambda b: F.concat(b, F.lit("<!-- MathML: "), _hard(markup(n)), F.lit(" --> "))), F.when(_attr(n, "display") == "block", F.lit(BLANK)).otherwise(none)),
     ]
-    for name in _NAMES:
-        if tags := _tags_of(name, options):
-            use = tag.isin(*tags) & ~code
-            if name in ("strong", "em"):
-                use = use & ~within(n, *(("strong", "b") if name == "strong" else ("em", "i")))
-            rules.append((use, F.lit(OPEN[name]), F.lit(CLOSE[name])))
+    rules += [(use, F.lit(OPEN[name]), F.lit(CLOSE[name])) for name, use in _marks(n, options)]
     return rules
 
 
@@ -247,7 +313,8 @@ def _soft(n: Column, options: Options) -> Column:
     soft = F.regexp_replace(T.normalize_whitespace(text), r"^\s*\n\s*", " ")
     soft = F.when(within(n, *INLINE), F.regexp_replace(soft, r"\s*\n\s*\z", " ")).otherwise(F.regexp_replace(soft, r"\s*\n\s*\z", "\n"))
     soft = let(F.regexp_replace(soft, " *\n *", "\n"), lambda s: F.when(F.trim(F.translate(s, "\n", " ")) == "", F.lit(" ")).otherwise(s))
-    return F.when(plain, n["text"]).when(within(n, "pre", "textarea"), text).otherwise(soft)
+    soft = F.when(plain, n["text"]).when(within(n, "pre", "textarea"), text).otherwise(soft)
+    return soft if options.output_format == "plain" else F.when(within(n, "ruby"), _in_ruby(n, soft)).otherwise(soft)
 
 
 def _escaped(n: Column, soft: Column, options: Options) -> Column:
@@ -264,7 +331,7 @@ def pieces(gone: Column, options: Options) -> Column:
     replaced = _replaced(options)
 
     def piece(n: Column) -> Column:
-        shows = filters.stays(n, gone, options) & ~within(n, *replaced)
+        shows = filters.stays(n, gone) & ~within(n, *replaced)
         text = let(_soft(n, options), lambda soft: _escaped(n, soft, options))
         said = options.visitor.get("text", {})
         if said.get("action") in ("custom", "skip"):
@@ -288,21 +355,6 @@ def pieces(gone: Column, options: Options) -> Column:
 # --- lines --------------------------------------------------------------------
 
 
-def _around(lead: Column, options: Options) -> Column:
-    """The marks of elements around a line that opened in lines before."""
-    around = F.lit("")
-    for name in _PAIRED:
-        if tags := _tags_of(name, options):
-            around = F.concat(around, F.when(within(lead, *tags), F.lit(OPEN[name])).otherwise(F.lit("")))
-    return F.when(within(lead, "code", "pre", "kbd", "samp"), F.lit("")).otherwise(around)
-
-
-def _ended(t: Column) -> Column:
-    """A line with an end for each mark that it leaves open."""
-    missing = lambda n: F.length(F.replace(t, F.lit(CLOSE[n]), F.lit(""))) - F.length(F.replace(t, F.lit(OPEN[n]), F.lit("")))
-    return F.concat(t, *(F.repeat(F.lit(CLOSE[n]), F.greatest(missing(n), F.lit(0))) for n in reversed(_PAIRED)))
-
-
 def _label_escaped(c: Column) -> Column:
     """``]`` that no ``[`` in the label stands before, escaped."""
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("deep"))
@@ -335,14 +387,17 @@ def _code(c: Column) -> Column:
 
 
 def _tidied(c: Column, options: Options) -> Column:
-    """Marks moved to where markup may stand, labels of links as they are written."""
+    """Marks moved to where markup may stand, as often as marks nest."""
     opened, closed = ("".join(x[n] for n in _PAIRED) for x in (OPEN, CLOSE))
-    # Blanks inside a pair go outside; pairs around nothing go.
-    for _ in range(2):
+
+    def once(c: Column) -> Column:
+        # Blanks inside a pair go outside; pairs around nothing go.
         c = F.regexp_replace(c, f"([{opened}]+)([ \n]+)", "$2$1")
         c = F.regexp_replace(c, f"([ \n{BREAK}]+)([{closed}]+)", "$2$1")
-        c = F.regexp_replace(c, f"[{opened}{OPEN['code']}]( *)[{closed}{CLOSE['code']}]", "$1")
-    return c
+        return F.regexp_replace(c, f"[{opened}{OPEN['code']}]( *)[{closed}{CLOSE['code']}]", "$1")
+
+    rounds = F.when(c.rlike(f"[{opened}{OPEN['code']}][ \n]*[{closed}{CLOSE['code']}]"), len(_NAMES)).otherwise(2)
+    return F.aggregate(F.sequence(F.lit(1), rounds), c, lambda a, _: once(a))
 
 
 def _links(c: Column, options: Options) -> Column:
@@ -403,22 +458,34 @@ def lines(pieces: Column, options: Options) -> Column:
         piece = F.get(pieces, F.shiftright(code, 1))
         return F.when(code % 2 == 1, piece["close"]).otherwise(piece["open"])
 
+    # A run opens the marks again that the runs before it left open, and ends those that it leaves open itself, so its marks are balanced.
+    bare = [*options.strip_tags, *options.preserve_tags, *_visited(options)]
+    again = [t for t in (*_TAG_MARK, "a") if t not in bare]
+
+    def carried(ids: Column, side: str) -> Column:
+        marks = F.filter(ids, lambda i: F.get("nodes", i)["tag"].isin(*again))
+        text = F.array_join(F.transform(marks, lambda i: F.get(pieces, i)[side]), "")
+        return F.when(F.size(ids) > 0, text).otherwise("") if again and options.output_format != "plain" else F.lit("")
+
+    def unlinked(r: Column, content: Column) -> Column:
+        """Without a link that holds nothing in this run, but something in others."""
+        of_link = lambda ids: F.exists(ids, lambda i: F.get("nodes", i)["tag"] == "a")
+        blank = f"{OPEN['link']}[\\s{BREAK}\uE000-\uE013]*{HREF}[^{CLOSE['link']}]*{CLOSE['link']}"
+        out = F.when(of_link(r["around"]), F.regexp_replace(content, f"^([\uE000-\uE013]*?){blank}", "$1")).otherwise(content)
+        return F.when(F.contains(content, F.lit(HREF)), F.when(of_link(r["left"]), F.regexp_replace(out, f"{blank}([\uE000-\uE013]*)\\z", "$1")).otherwise(out)).otherwise(content)
+
     def line(r: Column) -> Column:
         owner = F.get("nodes", r["owner"])
-        lead = F.get("nodes", F.shiftright(_first(r["codes"], lambda c: of_code(c) != ""), 1))
-        link = F.get("nodes", lead["link"])
         tag = F.coalesce(owner["tag"], F.lit(""))
-        spans = link.isNotNull() & (link["opens"] != link["closes"]) & F.lit("a" not in options.strip_tags and "a" not in _visited(options))
+        content = F.concat(carried(r["around"], "open"), F.array_join(F.transform(r["codes"], of_code), ""), carried(F.reverse(r["left"]), "close"))
         return F.struct(
             r["owner"].alias("owner"),
             tag.alias("tag"),
-            *(owner[x].alias(x) for x in ("path", "item", "cell", "table")),
+            *(owner[x].alias(x) for x in ("item", "cell", "table")),
             F.shiftright(F.get(r["codes"], F.lit(0)), 1).alias("first"),
             F.coalesce(F.get(r["codes"], F.lit(0)) == r["owner"] * 2, F.lit(False)).alias("opens"),
-            F.array_join(F.transform(r["codes"], of_code), "").alias("content"),
+            unlinked(r, content).alias("content"),
             F.coalesce((tag == "pre") | within(owner, "pre"), F.lit(False)).alias("pre"),
-            F.when(lead["path"].rlike(f" (?:{'|'.join(_TAG_MARK)}) "), _around(lead, options)).otherwise(F.lit("")).alias("around"),
-            F.when(spans, _link_end(link, options)).alias("link_end"),
         )
 
     return F.transform("runs", line)
@@ -432,16 +499,13 @@ def written(options: Options) -> list[tuple[str, Column]]:
         return F.transform(texts, lambda c: F.when(only(c), change(c)).otherwise(c))
 
     def begun(x: Column) -> Column:
-        c = x["content"]
-        if options.output_format == "plain":
-            return F.when(x["pre"], F.regexp_replace(c, ANY_MARK, "")).otherwise(c)
-        linked = F.concat(F.lit(OPEN["link"]), F.regexp_replace(c, r"^\s+|\s+\z", ""), x["link_end"])
-        return F.when(x["pre"], F.regexp_replace(c, ANY_MARK, "")).when(c == "", c).when(x["link_end"].isNotNull(), linked).otherwise(F.concat(x["around"], c))
+        bare = F.regexp_replace(F.regexp_replace(x["content"], f"{HREF}[^{CLOSE['link']}]*{CLOSE['link']}", ""), ANY_MARK, "")
+        return F.when(x["pre"], bare).otherwise(x["content"])
 
     out = F.transform("lines", begun)
     if options.output_format != "plain":
-        out = step(out, _ended, has(PAIR_MARK))
-        out = step(out, lambda c: F.lit(""), lambda c: ~c.rlike(r"[^\uE000-\uE013\s]"))  # marks around nothing
+        # Marks around nothing; a link's end has its target.
+        out = step(out, lambda c: F.lit(""), lambda c: c.rlike(PAIR_MARK) & ~c.rlike(rf"[^\uE000-\uE013\s]") & ~F.contains(c, F.lit(HREF)))
         blanks = r"[\uE000-\uE013](?=[ \n\uE000-\uE013])|[ \n\uE021](?=[\uE000-\uE013])"
         out = step(out, lambda c: _tidied(c, options), has(blanks))
         out = step(out, lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF)))
@@ -468,7 +532,8 @@ def written(options: Options) -> list[tuple[str, Column]]:
 
 def _widened(cells: Column) -> Column:
     """Cells with their column: the sum of the spans before them in the row."""
-    return F.transform(cells, lambda c, i: c.withField("col", F.aggregate(F.slice(cells, F.lit(1), i), F.lit(0), lambda a, x: a + x["col_span"])))
+    ends = scan(F.transform(cells, lambda c: c["col_span"]), lambda a, b: a + b)
+    return let(ends, lambda e: F.transform(cells, lambda c, i: c.withField("col", F.get(e, i) - c["col_span"])))
 
 
 _SLOT = "struct<col:int,content:string,col_span:int>"
@@ -514,7 +579,7 @@ def _carried(rows: Column, n_cols: Column) -> Column:
 
 
 def tables(texts: Column, gone: Column, options: Options) -> Column:
-    """``id, markdown, n_rows, n_cols, is_layout, cells`` of every table that lies in no other.
+    """For every node that is a table in no other ``id, markdown, n_rows, n_cols, is_layout, cells``, null for the rest; all null without tables.
 
     A table in a cell is part of the cell's text.  The first row is the header; a
     column is as wide as its widest cell (200 at most).  A table that only lays
@@ -540,7 +605,7 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
         return n["tag"].isin(*CELLS)
 
     def shows(n: Column) -> Column:
-        return filters.stays(n, gone, options)
+        return filters.stays(n, gone)
 
     def rows_of(t: Column) -> Column:
         rows = F.filter(below(t), lambda n: n["tag"].isin("tr", "row") & (n["table"] == t["id"]) & shows(n))
@@ -576,9 +641,10 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
         return F.array_join(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.concat(F.lit("- "), F.ltrim(F.regexp_replace(x, "^- ", "")))), "\n")
 
     def grid(slots: Column, n_cols: Column) -> Column:
-        def widest(c: Column) -> Column:
-            sizes = F.transform(F.filter(F.flatten(slots), lambda x: (x["col"] == c) & (x["col_span"] == 1)), lambda x: F.least(F.char_length(x["content"]), F.lit(200)))
-            return F.greatest(F.coalesce(F.array_max(sizes), F.lit(3)), F.lit(3))
+        def sizes(row: Column) -> Column:
+            """Of each column the size of its cell, 0 where cells span."""
+            each = F.transform(row, lambda x: F.concat(F.array(F.when(x["col_span"] == 1, F.least(F.char_length(x["content"]), F.lit(200))).otherwise(0)), F.array_repeat(F.lit(0), x["col_span"] - 1)))
+            return F.flatten(each)
 
         def drawn(widths: Column) -> Column:
             def one(x: Column) -> Column:
@@ -593,7 +659,9 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
 
             return F.array_join(F.transform(slots, row), "\n")
 
-        return let(F.transform(F.sequence(F.lit(0), F.greatest(n_cols, F.lit(1)) - 1), widest), drawn)
+        least = F.array_repeat(F.lit(3), F.greatest(n_cols, F.lit(1)))
+        widths = F.aggregate(slots, least, lambda a, row: F.zip_with(a, sizes(row), lambda w, x: F.greatest(F.coalesce(w, F.lit(3)), F.coalesce(x, F.lit(0)))))
+        return let(widths, drawn)
 
     def table(t: Column) -> Column:
         def of_rows(rows: Column) -> Column:
@@ -618,7 +686,8 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
 
         return let(rows_of(t), of_rows)
 
-    return F.transform(F.filter("nodes", lambda n: (n["tag"] == "table") & n["table"].isNull() & shows(n)), table)
+    is_outer = lambda n: F.coalesce((n["tag"] == "table") & n["table"].isNull() & shows(n), F.lit(False))
+    return F.when(F.exists("nodes", is_outer), F.transform("nodes", lambda n: F.when(is_outer(n), table(n))))
 
 
 # --- documents ----------------------------------------------------------------
@@ -629,14 +698,6 @@ def _indent(text: Column, prefix: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix))
 
 
-def _count(path: Column, *tags: str) -> Column:
-    """How often some tags stand in a path."""
-    some = F.lit(False)
-    for t in tags:
-        some = some | F.contains(path, F.lit(f" {t} "))
-    return F.when(some, F.regexp_count(path, F.lit(f" (?:{'|'.join(tags)})(?= )"))).otherwise(0)
-
-
 def _body(x: Column, options: Options) -> Column:
     """A line as the block that it is."""
     plain, c, kind = options.output_format == "plain", x["content"], x["kind"]
@@ -707,9 +768,10 @@ def _placed(x: Column, opens_item: Column, body: Column, options: Options) -> Co
 
 
 def loose_lists() -> Column:
-    """Ids of the lists with an item that holds a paragraph."""
+    """For every node, whether it is a list with an item that holds a paragraph."""
     p_in_items = F.filter("nodes", lambda n: (n["tag"] == "p") & (F.get("nodes", n["parent"])["tag"] == "li"))
-    return F.array_compact(F.array_distinct(F.transform(p_in_items, lambda n: F.get("nodes", F.get("nodes", n["parent"])["parent"])["id"])))
+    lists = F.array_sort(F.array_compact(F.array_distinct(F.transform(p_in_items, lambda n: F.get("nodes", n["parent"])["parent"]))))
+    return F.when(F.size(p_in_items) > 0, marked_places(lists, F.size("nodes")))
 
 
 def described(lines: Column, texts: Column, tables: Column, options: Options) -> Column:
@@ -726,8 +788,7 @@ def described(lines: Column, texts: Column, tables: Column, options: Options) ->
     def one(x: Column, content: Column) -> Column:
         item = F.get("nodes", x["item"])
         parent = F.get("nodes", item["parent"])
-        path = F.concat(x["path"], x["tag"], F.lit(" "))
-        table = F.when(F.size(tables) > 0, _first(tables, lambda t: t["id"] == x["owner"])["markdown"])
+        table = F.get(tables, x["owner"])["markdown"]
         own = F.get("nodes", x["owner"])
         kind = F.when(is_table(x), F.lit("table")).when(x["tag"].isin("", *bare), F.lit("div")).otherwise(x["tag"])
         language = F.coalesce(_language(own), _language(_first(below(own), lambda n: n["tag"] == "code")), F.lit(options.code_language))
@@ -735,10 +796,10 @@ def described(lines: Column, texts: Column, tables: Column, options: Options) ->
             x["first"].alias("first"),
             kind.alias("kind"),
             F.when(is_table(x), F.coalesce(table, F.lit(""))).otherwise(content).alias("content"),
-            F.coalesce(_count(path, "blockquote"), F.lit(0)).alias("quotes"),
+            F.coalesce(own["quotes"], F.lit(0)).alias("quotes"),
             x["item"].alias("item"),
-            F.coalesce(_count(path, *LISTS), F.lit(0)).alias("lists"),
-            F.coalesce(_count(path, "ul", "menu"), F.lit(0)).alias("bullet_depth"),
+            F.coalesce(own["lists"], F.lit(0)).alias("lists"),
+            F.coalesce(own["bullets"], F.lit(0)).alias("bullet_depth"),
             item["nth"].alias("nth"),
             F.when(parent["tag"].isin(*LISTS), parent["id"]).otherwise(x["item"]).alias("list"),
             parent["tag"].alias("list_tag"),
@@ -757,7 +818,7 @@ def dressed(found: Column, loose: Column, options: Options) -> Column:
     def one(x: Column, i: Column) -> Column:
         before = F.get(found, i - 1)
         opens = x["item"].isNotNull() & (before["first"].isNull() | (before["first"] < x["item"]))
-        tight = opens & ((F.size(loose) == 0) | ~F.array_contains(loose, x["list"]))
+        tight = opens & ~F.coalesce(F.get(loose, x["list"]), F.lit(False))
         same_list = before["item"].isNotNull() & ((x["list"] <= before["first"]) | x["outer_item"].isNotNull())
         pair = ((before["kind"] == "dt") & x["kind"].isin("dd", "dt")) | (before["kind"].isin("option", "optgroup") & x["kind"].isin("option", "optgroup"))
         quoted = F.least(before["quotes"], x["quotes"] - x["content"].startswith(CITE).cast("int"))
@@ -769,17 +830,21 @@ def dressed(found: Column, loose: Column, options: Options) -> Column:
 
 
 def with_references(content: Column) -> Column:
-    """Link targets as numbers, first seen first, and a list of them at the end."""
-    pattern = f"{HREF}([^{CLOSE['link']}]*){CLOSE['link']}"
-    targets = F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
-    numbered = F.transform(targets, lambda t, k: F.struct(t.alias("t"), (k + 1).cast("string").alias("n")))
+    """Targets of links, images and media as numbers, first seen first over all kinds, and a list of them at the end."""
+    begin, end = f"[{HREF}{IMAGE}]", f"[{CLOSE['link']}{IMAGE_END}]"
+    targets = F.array_distinct(F.regexp_extract_all(content, F.lit(f"{begin}([^{CLOSE['link']}{IMAGE_END}]*){end}"), 1))
 
     def put(all_: Column) -> Column:
-        body = F.aggregate(all_, content, lambda c, x: F.replace(c, F.concat(F.lit(HREF), x["t"], F.lit(CLOSE["link"])), F.concat(F.lit("]["), x["n"], F.lit("]"))))
-        foot = F.array_join(F.transform(all_, lambda x: F.concat(F.lit("["), x["n"], F.lit("]: "), x["t"])), "\n")
-        return F.when(F.size(all_) > 0, F.concat(body, F.lit("\n\n"), foot)).otherwise(body)
+        def numbered(part: Column) -> Column:
+            pieces = F.split(part, end, 2)
+            return F.concat(F.lit("]["), F.array_position(all_, F.get(pieces, F.lit(0))).cast("string"), F.lit("]"), F.get(pieces, F.lit(1)))
 
-    return let(numbered, put)
+        parts = F.split(content, begin)
+        body = F.array_join(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(numbered(part))), "")
+        foot = F.array_join(F.transform(all_, lambda t, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("]: "), t)), "\n")
+        return F.when(F.size(all_) > 0, F.concat(body, F.lit("\n\n"), foot)).otherwise(content)
+
+    return let(targets, put)
 
 
 def wrapped(content: Column, width: int) -> Column:
@@ -853,8 +918,19 @@ def steps(options: Options) -> list[tuple[str, Column]]:
     return [*out, ("content", held(F.regexp_replace(body, "^\n\\z", "")))]
 
 
-def rendered(documents: DataFrame, options: Options) -> DataFrame:
-    """``documents`` with ``content`` and ``tables``, worked out from their ``nodes`` and ``runs`` (null without)."""
+def readable(text: Column) -> Column:
+    """A text of ``texts`` as it is written."""
+    inline = F.replace(F.replace(text, F.lit(HREF), F.lit("](")), F.lit(CLOSE["link"]), F.lit(")"))
+    inline = F.replace(F.replace(inline, F.lit(IMAGE), F.lit("](")), F.lit(IMAGE_END), F.lit(")"))
+    return F.translate(inline, SPACE + LINE + CITE, " \n")
+
+
+def rendered(documents: DataFrame, options: Options, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` with ``content`` and ``tables``, worked out from their ``nodes`` and ``runs`` (null without).
+
+    ``keep``: steps whose columns stay.
+    """
     for name, step in steps(options):
         documents = documents.withColumn(name, step)
-    return documents.drop("gone", "pieces", "lines", "texts", "loose", "shown")
+    documents = documents.withColumn("tables", F.coalesce(F.array_compact("tables"), F.array()))
+    return documents.drop(*(c for c in ("gone", "pieces", "lines", "texts", "loose", "shown") if c not in keep))

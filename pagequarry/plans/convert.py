@@ -13,26 +13,40 @@ from pagequarry.plans.options import Options
 
 @built_once
 def _input_steps(options: Options) -> list[list[Column]]:
-    """What leads from ``html`` to ``error_kind``, ``flat`` and the ``html`` to parse."""
+    """What leads from ``html`` to ``error_kind``, ``flat`` (text without markup, to be decoded) and the ``html`` to parse."""
     html, reason = F.col("html"), F.col("error_kind")
-    flat = F.regexp_replace(T.normalize_whitespace(T.decode_named(T.normalize_input(html))), r"\s+\z", "")
-    flat = let(flat, lambda f: F.when(f == "", f).otherwise(F.concat(T.escape(f, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii), F.lit("\n"))))
-    is_text = ~F.contains(html, F.lit("<"))
-    if options.wrap:
-        is_text = F.lit(False)
+    is_text = F.lit(False) if options.wrap else ~F.contains(html, F.lit("<"))
     return [
         [T.decode_utf16(html).alias("html")],
         [html, T.invalid_reason(html).alias("error_kind")],
-        [reason, F.when(html.isNull(), F.lit("")).when(is_text, flat).alias("flat"), F.when(reason.isNull() & ~is_text, html).alias("html")],
+        [reason, F.when(html.isNull(), F.lit("")).when(is_text, T.normalize_input(html)).alias("flat"), F.when(reason.isNull() & ~is_text, html).alias("html")],
     ]
 
 
+@built_once
+def _flat(options: Options) -> Column:
+    """What decoded text without markup becomes: blanks as the mode says, escapes but in plain output, no blanks at the end."""
+    flat = F.col("flat")
+    if options.strip_newlines:
+        flat = F.translate(flat, "\r\n", "  ")
+    flat = F.regexp_replace(flat, "\n+\\z", "")
+
+    def written(text: Column) -> Column:
+        said = T.normalize_whitespace(text) if options.whitespace_mode == "normalized" else text
+        if options.output_format != "plain":
+            said = T.escape(said, options.escape_asterisks, options.escape_underscores, options.escape_misc, options.escape_ascii)
+        return F.when(text == "", text).otherwise(F.concat(F.regexp_replace(said, "[ \t]+\\z", ""), F.lit("\n")))
+
+    return let(flat, written)
+
+
 def parsed(pages: DataFrame, options: Options, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
     """``doc_id, error_kind, flat, nodes, runs``: every row parsed where it is; ``flat`` is the result for text without any ``<``."""
     source = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html"))
     for columns in _input_steps(options):
         source = source.select("doc_id", *columns)
-    return parse_documents(source, "html", keep=("doc_id", "error_kind", "flat"), keep_source=render.keep_source(options), checked=True)
+    documents = parse_documents(source, "html", keep=("doc_id", "error_kind", "flat"), keep_source=render.keep_source(options), checked=True, decoded="flat")
+    return documents.withColumn("flat", _flat(options))
 
 
 @built_once
@@ -51,16 +65,17 @@ def _error() -> Column:
     return F.when(F.col("error_kind").isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), F.col("error_kind").alias("message")))
 
 
-def _rendered(pages: DataFrame, options: Options, doc_id: str, html: str) -> DataFrame:
-    return render.rendered(parsed(pages, options, doc_id, html), options)
+def _rendered(pages: DataFrame, options: Options, doc_id: str, html: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return render.rendered(parsed(pages, options, doc_id, html), options, keep)
 
 
 def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
     """``doc_id, content, error`` of every row of ``pages``.
 
     A page that is no text has a null content and says why in ``error``; null and
-    empty pages have an empty content.  Pages without any ``<`` are text: their
-    references are decoded and their spaces collapsed, without parsing.  Each row
+    empty pages have an empty content.  Pages without any ``<`` are text: all their
+    references are decoded, their spaces collapsed (not in strict mode) and escapes
+    put in (not in plain output), without parsing.  Each row
     is a document of its own, whatever its ``doc_id``; rows are never shuffled.
     """
     options = options or Options()
@@ -71,12 +86,12 @@ def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str
     """``doc_id, content, document, metadata, tables, images, warnings, error`` of every row of ``pages``.
 
     ``document`` with ``include_document_structure``, ``metadata`` with
-    ``extract_metadata`` and ``images`` with ``extract_images``, else null.
+    ``extract_metadata``, and ``images`` with ``extract_images``, else null.
     ``warnings`` say what was left out: elements deeper than ``max_depth`` and
     images whose data can't be read.
     """
     options = options or Options()
-    found = _rendered(pages, options, doc_id, html)
+    found = _rendered(pages, options, doc_id, html, keep=("lines", "texts") if options.include_document_structure else ())
     none = F.lit(None)
     tables = F.transform(
         F.filter("tables", lambda t: (t["markdown"] != "") & ~t["is_layout"]),
@@ -85,7 +100,7 @@ def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str
     metadata = F.struct(
         extract.document_of().alias("document"), extract.headers_of().alias("headers"), extract.links_of().alias("links"), extract.images_of().alias("images"), extract.json_ld_of().alias("structured_data")
     )
-    document = F.struct(structure.tree_of(F.col("tables")).alias("nodes"), F.lit("html").alias("source_format"))
+    document = F.struct(structure.tree_of(F.col("tables"), render.readable).alias("nodes"), F.lit("html").alias("source_format"))
     pictures = extract.inline_images_of()
     kind = "array<struct<kind:string,message:string>>"
     deep = F.lit(None).cast(kind)

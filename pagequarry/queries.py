@@ -10,7 +10,7 @@ from pagequarry import rules
 from pagequarry.functions import text as T
 from pagequarry.operators import extract, filters
 from pagequarry.operators.nodes import let, parse_documents, parse_nodes
-from pagequarry.plans.convert import convert
+from pagequarry.plans.convert import convert, convert_result
 from pagequarry.plans.options import Options
 from pagequarry.sources.io import json_lines, spread, table
 
@@ -276,7 +276,7 @@ def comments(spark, d):
 
 @query("SELECT page_id, CAST((length(html) - length(replace(html, '<li>', ''))) / 4 AS BIGINT) AS n_hidden FROM pages WHERE html LIKE '%<nav><ul><li>%'")
 def navigation_dropped(spark, d):
-    hidden = let(filters.gone(Options()), lambda g: F.size(F.filter("nodes", lambda n: (n["tag"] == "li") & ~filters.stays(n, g, Options()))))
+    hidden = let(filters.gone(Options()), lambda g: F.size(F.filter("nodes", lambda n: (n["tag"] == "li") & ~filters.stays(n, g))))
     return _documents(spark, d).select(F.col("doc_id").alias("page_id"), hidden.cast("long").alias("n_hidden")).where("n_hidden > 0")
 
 
@@ -285,7 +285,7 @@ def navigation_dropped(spark, d):
 )
 def selector_exclusion(spark, d):
     options = Options(exclude_selectors=(".ad", "nav, footer"))
-    left = let(filters.gone(options), lambda g: F.transform(F.filter("nodes", lambda n: filters.stays(n, g, options)), lambda n: n["tag"]))
+    left = let(filters.gone(options), lambda g: F.transform(F.filter("nodes", lambda n: filters.stays(n, g)), lambda n: n["tag"]))
     count = lambda *tags: F.size(F.filter("left", lambda t: t.isin(*tags))).cast("long")
     rows = _documents(spark, d).select(F.col("doc_id").alias("page_id"), left.alias("left"))
     return rows.select("page_id", count("p").alias("n_paragraphs"), count("div", "nav", "footer").alias("n_excluded"))
@@ -334,6 +334,22 @@ def convert_json(spark, d):
     return json_lines(convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id"))
 
 
+@query(
+    _LINKS
+    + """, f AS (SELECT page_id, list(href ORDER BY n) AS hrefs FROM l GROUP BY page_id), c AS (SELECT page_id, content FROM ("""
+    + _converted(_FRONT, "# ", "**")
+    + r""")), b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*<article>', ''), '(?s)<footer>.*$', ''), '<[^>]*$', '') AS body FROM pages),
+    p AS (SELECT page_id, list_filter(list_transform(string_split(body, '<p>')[2:], lambda x: trim(regexp_replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), ' +', ' ', 'g'))), lambda x: x <> '') AS parts FROM b)
+    SELECT p.page_id, c.content, coalesce(f.hrefs, []) AS hrefs, list_transform(p.parts, lambda x: '**' || x || '**') AS paragraphs FROM p JOIN c USING (page_id) LEFT JOIN f USING (page_id)"""
+)
+def whole_pages(spark, d):
+    """Content, links and the structure's paragraphs of whole results."""
+    found = convert_result(spread(_pages(spark, d).select("page_id", "html")), Options(include_document_structure=True), doc_id="page_id")
+    hrefs = F.transform("metadata.links", lambda x: x["href"])
+    paragraphs = F.transform(F.filter("document.nodes", lambda x: (x["node_type"] == "paragraph") & (x["text"] != "")), lambda x: x["text"])
+    return found.select(F.col("doc_id").alias("page_id"), "content", hrefs.alias("hrefs"), paragraphs.alias("paragraphs"))
+
+
 @query(
     """SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang, count(*) AS n_pages, CAST(sum((length(html) - length(replace(html, '<a href', ''))) / 7) AS BIGINT) AS n_links,
     CAST(grouping(host) AS TINYINT) AS all_hosts, CAST(grouping(lang) AS TINYINT) AS all_langs FROM pages GROUP BY ROLLUP (host, lang)"""

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import extract, structure
 from pagequarry.operators.nodes import parse_documents
-from pagequarry.plans.convert import convert
+from pagequarry.plans.convert import convert, convert_result
 from pagequarry.plans.options import Options
-from pagequarry.sources.io import spread, table
+from pagequarry.sources.io import json_lines, spread, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,43 @@ rules(
         ("<b>{n}<p>{k}</p>x</b>", "**{n}**\n\n**{k}**\n\n**x**"),
     ],
 )
+# Broken markup as browsers read it: a formatting element ends in a block that began inside it, elements that cross, marks over blocks.
+rules(
+    "crossing_elements",
+    {},
+    [
+        ("<b>1<p>2<i>3<s>{n}</b>5</p>6", "**1**\n\n**2*3~~{n}~~****~~5~~*\n\n*~~6~~*"),
+        ("<p>1<b>2<i>{n}</b>4</i>{k}</p>", "1**2*{n}****4*{k}"),
+        ("<p><b>{n}<p>two</b> {k}<p>four", "**{n}**\n\n**two** {k}\n\nfour"),
+        ("<b>{n}<p>{k}</b>3</p>", "**{n}**\n\n**{k}**3"),
+        ("<a href=/{k}>1<p>{n}</a>3</p>", "[1](/{k})\n\n[{n}](/{k})3"),
+        ("<a href=/1>{n}<a href=/2>{k}</a> z", "[{n}](/1)[{k}](/2) z"),
+        ("<code><em>{n}<p>{k}</p></em></code>", "`{n}`\n\n`{k}`"),
+        ("<code><font><a href=/x>{n}<p>{k}", "`[{n}](/x)`\n\n`[{k}](/x)`"),
+        ("<table><tr><td><b>{n}<td>{k}<tr><td>c</table>z", "- **{e}** {k}\n- c\n\nz"),
+        ("<a href=/{k}>\n<p>{n}</p>\n</a>z", "[{n}](/{k})\n\nz"),
+        ("<h1>{n}<h2>{k}</h1>x", "# {n}\n\n## {k}\n\nx"),
+        ("<ul><li>{n}<div><li>{k}</div></ul>", "- {n}\n- {k}"),
+        ("<p>{n}</span></div> {k}</p>", "{n} {k}"),
+        ("<b><i><s><ins><mark><em><sub><strong><del><u><tt><small>{n}<p>{k}", "***~~===={n}====~~***\n\n***~~===={k}====~~***"),
+    ],
+)
+rules("plain_text_pages", {}, [("{n} &amp; &#65;&eacute;&hellip;&#x1F600; &nosuch; &lt;{k}&gt;", "{n} & Aé…😀 &nosuch; <{k}>"), ("a  \t {n}\n\n b \t\n\n", "a {n}\n\n b"), ("{n}\u2003", "{n}"), ("\n\n", "")])
+rules("plain_text_escaped", {"escape_misc": True, "escape_asterisks": True, "escape_underscores": True}, [("[{k}] *a* {n} &#42;", "\\[{k}\\] \\*a\\* {e} \\*")])
+rules("plain_text_to_plain", {"output_format": "plain", "escape_misc": True, "escape_underscores": True}, [("a[b] {n} &copy;{k}", "a[b] {n} ©{k}")])
+rules("plain_text_strict", {"whitespace_mode": "strict", "strip_newlines": True}, [("a  \t{n}\nb\n", "a  \t{n} b"), ("{k}\u2003\t ", "{k}\u2003")])
+rules(
+    "ruby_groups",
+    {},
+    [
+        ("<ruby>{n}<rt>{k}</rt>b<rt>c</rt></ruby>", "{n}b({k})(c)"),
+        ("<ruby> <rb> {n} </rb> <rt> {k} </rt> <rb>b</rb><rt>c</rt> </ruby>", "{n}({k})b(c)"),
+        ("<ruby><rb>{n}<rb>b<rt>{k}<rt>c</ruby>", "{n}b({k})(c)"),
+        ("<ruby><rb>{n}<rb>b<rt>{k}<rt>c<rtc><rt>x</rtc></ruby>", "{n}b(({k})(c))(x)"),
+        ("<ruby><rb>{n}<rt>{k}<rtc>x</rtc></ruby>", "{n}({k})x"),
+        ("<p>a <ruby><b>{n}</b><rp>(</rp><rt>{k}<rp>)</rp></ruby> z</p>", "a **{n}**({k}) z"),
+    ],
+)
 rules(
     "inline_elements",
     {},
@@ -186,7 +223,7 @@ rules("tag_options", {"strip_tags": ["b", "h2", "a"], "preserve_tags": ["sub", "
 rules("aggressive_preprocessing", {"preprocessing": {"preset": "aggressive"}}, [("<div class='gdpr'>a</div><div id='site:nav'>b</div><div role=tablist>c</div><div aria-label='Table of Contents'>d</div><footer>e</footer><aside>f</aside><p>{n}</p>", "{n}"), ("<header class='vector-header'>a</header><noscript>b</noscript><form>c</form><nav>d</nav><div class='ad social'>{k}</div>", "{k}")])
 rules("standard_preprocessing", {}, [("<nav>a</nav><form>b</form><header class='nav'>c</header><footer>{n}</footer><aside class=toc>d</aside><div class=menu>{k}</div>", "{n}\n\n{k}")])
 rules("no_preprocessing", {"preprocessing": {"enabled": False}}, [("<nav>{n}</nav><form>{k}</form>", "{n}\n\n{k}")])
-rules("reference_links", {"link_style": "reference"}, [("<p><a href='/{k}'>{n}</a> <a href='/b' title=t>x</a> <a href='/{k}'>y</a></p>", "[{n}][1] [x][2] [y][1]\n\n[1]: /{k}\n[2]: /b \"t\"")])
+rules("reference_links", {"link_style": "reference"}, [("<p><a href='/{k}'>{n}</a> <a href='/b' title=t>x</a> <a href='/{k}'>y</a></p>", "[{n}][1] [x][2] [y][1]\n\n[1]: /{k}\n[2]: /b \"t\""), ("<p><a href='/{k}'>{n}</a> <img src=/i alt='{n}' title=q> <a href=/i>x</a></p><video src=/v></video><audio src='/{k}'></audio><img src=/v alt=b>", "[{n}][1] ![{n}][2] [x][3]\n\n[/v][4]\n\n[/{k}][1]\n\n![b][4]\n\n[1]: /{k}\n[2]: /i \"q\"\n[3]: /i\n[4]: /v")])
 rules("percent_urls", {"url_escape_style": "percent"}, [("<a href='http://h/?q={k}'>{n}</a> <a href='/a b~c'>x</a>", "[{n}](http%3A//h/%3Fq%3D{k}) [x](/a%20b~c)")])
 rules("wrapping", {"wrap": True, "wrap_width": 12}, [("<p>aaa bbb ccc ddd eee</p><h1>a heading of some length</h1><p>{k}</p>", "aaa bbb ccc\nddd eee\n\n# a heading of some length\n\n{k}"), ("<ul><li>aaaa bbbb cccc</ul><blockquote>aaaa bbbb cccc</blockquote><pre>a code line that is long</pre>", "- aaaa bbbb\n  cccc\n\n> aaaa bbbb\n> cccc\n\n```\na code line that is long\n```")])
 rules("inline_mode", {"convert_as_inline": True}, [("<h1>{n}</h1><p><b>{k}</b></p>", "{n} **{k}**")])
@@ -251,3 +288,122 @@ extracted(
        ('paragraph', 'x', NULL, NULL, NULL, NULL, false), ('list', NULL, NULL, false, NULL, NULL, false), ('list_item', 'i', NULL, NULL, NULL, NULL, false), ('list', NULL, NULL, true, NULL, NULL, false),
        ('list_item', CAST(n_nationkey AS VARCHAR), NULL, NULL, NULL, NULL, false), ('code', 'c', NULL, NULL, 'py', NULL, false), ('image', NULL, NULL, NULL, NULL, 's', false), ('table', NULL, NULL, NULL, NULL, NULL, false)) c(node_type, text, level, ordered, language, src, is_root)""",
 )
+extracted(
+    "inline_annotations",
+    ["<h2> {n} <b>é{k}</b></h2><p>a <em>{n} <code>{k}</code></em> <a href='/{k}' title=t>ü<s>x</s></a><i> </i></p><ul><li><mark>m</mark>{k}<script>s</script></ul><td><p><b>no</b></p>"],
+    structure.annotations,
+    ["doc_id", "node_type", "start", "`end`", "kind", "url", "title", "text"],
+    # Each span's text is cut from its block's by the offsets.
+    """WITH b AS (SELECT CAST(n_nationkey * 1000 AS BIGINT) AS doc_id, CAST(n_nationkey AS VARCHAR) AS k, n_name AS n, octet_length(encode(n_name)) AS s, octet_length(encode(CAST(n_nationkey AS VARCHAR))) AS t FROM nation),
+       spans AS (SELECT b.doc_id, c.node_type, c.a AS a, c.z AS z, c.kind, c.url, c.title, c.block FROM b, LATERAL (VALUES
+           ('heading', s + 1, s + 3 + t, 'bold', NULL, NULL, n || ' é' || k),
+           ('paragraph', 2, s + 3 + t, 'italic', NULL, NULL, 'a ' || n || ' ' || k || ' üx '),
+           ('paragraph', s + 3, s + 3 + t, 'code', NULL, NULL, 'a ' || n || ' ' || k || ' üx '),
+           ('paragraph', s + 4 + t, s + 7 + t, 'link', '/' || k, 't', 'a ' || n || ' ' || k || ' üx '),
+           ('paragraph', s + 6 + t, s + 7 + t, 'strikethrough', NULL, NULL, 'a ' || n || ' ' || k || ' üx '),
+           ('list_item', 0, 1, 'highlight', NULL, NULL, 'm' || k)) c(node_type, a, z, kind, url, title, block))
+       SELECT doc_id, node_type, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS "end", kind, url, title, decode(encode(block)[a + 1:z]) AS text FROM spans""",
+)
+extracted(
+    "definition_rows",
+    ["<dl><dt>{n}</dt><dd>a</dd><dd>{k}</dd><div><dt>c<dd>d</div></dl><dl><dd>lone</dl>"],
+    structure.definitions,
+    ["doc_id", "term", "definition"],
+    """SELECT CAST(n_nationkey * 1000 AS BIGINT) AS doc_id, c.* FROM nation, LATERAL (VALUES (n_name, 'a'), (n_name, CAST(n_nationkey AS VARCHAR)), ('c', 'd'), (NULL, 'lone')) c(term, definition)""",
+)
+extracted(
+    "sibling_tags",
+    ["<p>{n} <b>1</b> <i>2</i><!-- c -->\n<br>{k}<u>3</u></p><script>x</script> <em>e</em>"],
+    extract.siblings,
+    ["doc_id", "tag", "next_tag", "previous_inline", "next_inline", "blank_behind"],
+    """SELECT CAST(n_nationkey * 1000 AS BIGINT) AS doc_id, c.* FROM nation, LATERAL (VALUES ('p', 'script', false, true, false), ('b', 'i', false, true, true), ('i', 'br', true, true, true),
+       ('br', NULL, true, false, false), ('u', NULL, false, false, false), ('script', 'em', false, true, true), ('em', NULL, true, false, false)) c(tag, next_tag, previous_inline, next_inline, blank_behind)""",
+)
+
+
+def _svg_source(spark, d: str) -> DataFrame:
+    """The source of each SVG, taken back out of its Markdown."""
+    page = "<p><svg width='{k}' viewbox='0 0 1 1' class=''><title>{n} &amp; &lt;</title><lineargradient gradienttransform='r(\"a&amp;\")'/><g><!-- c --><circle r=1></circle></g></svg></p>"
+    found = convert(_pages(spark, d, [(page,)]), Options(extract_metadata=False))
+    data = F.unbase64(F.regexp_extract("content", r"base64,([^)]*)\)", 1))
+    return found.select("doc_id", F.regexp_extract("content", r"!\[([^\]]*)\]", 1).alias("title"), F.decode(data, "UTF-8").alias("source"))
+
+
+QUERIES["svg_source"] = _svg_source
+ORACLE_SQL["svg_source"] = """SELECT CAST(n_nationkey * 1000 AS BIGINT) AS doc_id, n_name || ' & <' AS title, '<svg class viewBox="0 0 1 1" width="' || n_nationkey || '"><title>' || n_name ||
+    ' &amp; &lt;</title><lineargradient gradientTransform="r(&quot;a&amp;&quot;)" /><g><circle r="1" /></g></svg>' AS source FROM nation"""
+
+
+def _whole_result(spark, d: str) -> DataFrame:
+    """Whole results as JSON lines: content, tables with their cells, structure, metadata, images and warnings."""
+    page = "<title>{n}</title><h1 id=t>{n} <b>{k}</b></h1><p>a <i>{n}</i></p><table><tr><th>h<td>{k}</table><img src='data:image/png;base64,QUJD' alt='{n}'><img src='data:image/png,x'><a href='/{k}'>x</a><div><div><div><p>deep</p></div></div></div>"
+    options = Options(include_document_structure=True, extract_images=True, max_depth=4)
+    found = convert_result(_pages(spark, d, [(page,)]), options)
+    nodes = F.transform("document.nodes", lambda x: F.struct(x["node_type"], x["text"], x["level"], x["grid"]["rows"].alias("rows"), x["grid"]["cols"].alias("cols"), F.size(x["grid"]["cells"]).alias("cells")))
+    document = F.struct(nodes.alias("nodes"), F.col("document.source_format").alias("source_format"))
+    metadata = F.struct("metadata.document.title", F.transform("metadata.headers", lambda h: F.struct(h["level"], h["text"], h["id"])).alias("headers"), F.transform("metadata.links", lambda x: F.struct(x["href"], x["text"], x["link_type"])).alias("links"))
+    return json_lines(found.withColumn("document", document).withColumn("metadata", metadata).withColumn("images", F.transform("images", lambda x: x.dropFields("node_id", "skipped").withField("data", F.hex(x["data"])))))
+
+
+QUERIES["whole_result"] = _whole_result
+ORACLE_SQL["whole_result"] = r"""WITH t AS (SELECT CAST(n_nationkey * 1000 AS BIGINT) AS id, n_name AS n, CAST(n_nationkey AS VARCHAR) AS k, greatest(length(n_nationkey::VARCHAR), 3) AS w FROM nation),
+    m AS (SELECT *, '| h   | ' || rpad(k, CAST(w AS INTEGER), ' ') || ' |\n| --- | ' || repeat('-', w) || ' |' AS md FROM t)
+    SELECT '{"doc_id":' || id || ',"content":"---\ntitle: ' || n || '\n---\n\n# ' || n || ' **' || k || '**\n\na *' || n || '*\n\n' || md ||
+        '\n\n![' || n || '](data:image/png;base64,QUJD)![](data:image/png,x)[x](/' || k || ')\n","document":{"nodes":[{"node_type":"group","text":"' || n || ' **' || k || '**","level":1,"rows":null,"cols":null,"cells":null},'
+        || '{"node_type":"heading","text":"' || n || ' **' || k || '**","level":1,"rows":null,"cols":null,"cells":null},{"node_type":"paragraph","text":"a *' || n || '*","level":null,"rows":null,"cols":null,"cells":null},'
+        || '{"node_type":"table","text":null,"level":null,"rows":1,"cols":2,"cells":2},{"node_type":"image","text":null,"level":null,"rows":null,"cols":null,"cells":null},{"node_type":"image","text":null,"level":null,"rows":null,"cols":null,"cells":null}],"source_format":"html"},"metadata":{"title":"' || n || '","headers":[{"level":1,"text":"' || n || ' ' || k || '","id":"t"}],"links":[{"href":"/' || k || '","text":"x","link_type":"internal"}]},'
+        || '"tables":[{"grid":{"rows":1,"cols":2,"cells":[{"content":"h","row":0,"col":0,"row_span":1,"col_span":1,"is_header":true},{"content":"' || k || '","row":0,"col":1,"row_span":1,"col_span":1,"is_header":false}]},"markdown":"' || md || '"}],'
+        || '"images":[{"format":"png","data":"414243","description":"' || n || '"}],"warnings":[{"kind":"depth_limit_exceeded","message":"elements deeper than 4 were left out"},{"kind":"image_extraction_failed","message":"not base64"}],"error":null}' AS value FROM m"""
+
+
+def _order_pages(spark, d: str) -> DataFrame:
+    """A page for each customer, a table and a list of their orders on it."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
+    wide = F.col("o_orderkey") % 5 == 0
+    row = F.concat(F.lit("<tr><td>"), "o_orderkey", F.when(wide, F.lit("<td colspan=2>")).otherwise(F.lit("<td>")), "o_orderstatus", F.when(wide, F.lit("")).otherwise(F.concat(F.lit("<td><b>"), cents, F.lit("</b>"))))
+    item = F.concat(F.lit("<li>"), "o_orderpriority", F.lit("<ul><li>"), "o_orderkey", F.lit("</ul>"))
+    each = table(spark, d, "orders").select("o_custkey", F.struct("o_orderkey", row.alias("row"), item.alias("item")).alias("o"))
+    of = each.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    html = F.concat(
+        F.lit("<h2>"), F.col("o_custkey").cast("string"), F.lit("</h2><p>"), F.size("o").cast("string"), F.lit(" orders</p><table><tr><th>order<th>status<th>cents"),
+        F.array_join(F.transform("o", lambda x: x["row"]), ""), F.lit("</table><ol start=3>"), F.array_join(F.transform("o", lambda x: x["item"]), ""), F.lit("</ol>"),
+    )
+    return of.select(F.col("o_custkey").alias("doc_id"), html.alias("html"))
+
+
+def _order_markdown(spark, d: str) -> DataFrame:
+    return convert(_order_pages(spark, d), Options(extract_metadata=False)).select("doc_id", "content")
+
+
+QUERIES["order_tables"] = _order_markdown
+ORACLE_SQL["order_tables"] = r"""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS a, o_orderstatus AS b, '**' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || '**' AS c, o_orderkey % 5 = 0 AS wide, o_orderpriority AS p FROM orders),
+    w AS (SELECT doc_id, greatest(5, max(length(a))) AS wa, greatest(6, max(CASE WHEN wide THEN 0 ELSE length(b) END)) AS wb, greatest(5, max(CASE WHEN wide THEN 0 ELSE length(c) END)) AS wc FROM o GROUP BY doc_id),
+    r AS (SELECT o.doc_id, k, '| ' || rpad(a, CAST(wa AS INTEGER), ' ') || ' | ' || rpad(b, CAST(wb AS INTEGER), ' ') || ' |' || CASE WHEN wide THEN ' |' ELSE ' ' || rpad(c, CAST(wc AS INTEGER), ' ') || ' |' END AS line,
+        CAST(2 + row_number() OVER (PARTITION BY o.doc_id ORDER BY k) AS VARCHAR) || '. ' || p || chr(10) || '  - ' || a AS item, wa, wb, wc FROM o JOIN w USING (doc_id))
+    SELECT doc_id, '## ' || doc_id || E'
+
+' || count(*) || E' orders
+
+| ' || rpad('order', CAST(max(wa) AS INTEGER), ' ') || ' | ' || rpad('status', CAST(max(wb) AS INTEGER), ' ') || ' | ' || rpad('cents', CAST(max(wc) AS INTEGER), ' ') || E' |
+| '
+        || repeat('-', CAST(max(wa) AS INTEGER)) || ' | ' || repeat('-', CAST(max(wb) AS INTEGER)) || ' | ' || repeat('-', CAST(max(wc) AS INTEGER)) || E' |
+' || string_agg(line, E'
+' ORDER BY k) || E'
+
+' || string_agg(item, E'
+' ORDER BY k) || E'
+' AS content FROM r GROUP BY doc_id"""
+
+
+def _order_grids(spark, d: str) -> DataFrame:
+    """Every cell of the customers' tables, from the whole result."""
+    found = convert_result(_order_pages(spark, d), Options(extract_metadata=False))
+    return found.select("doc_id", F.explode("tables").alias("t")).select("doc_id", F.col("t.grid.rows").alias("n_rows"), F.col("t.grid.cols").alias("n_cols"), F.inline("t.grid.cells"))
+
+
+QUERIES["order_grids"] = _order_grids
+ORACLE_SQL["order_grids"] = """WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) + 1 AS n, o_orderkey % 5 = 0 AS wide,
+        CAST(o_orderkey AS VARCHAR) AS a, o_orderstatus AS b, '**' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || '**' AS c FROM orders),
+    cells AS (SELECT doc_id, n, r, 0 AS col, a AS content, 1 AS span, false AS head FROM o UNION ALL SELECT doc_id, n, r, 1, b, CASE WHEN wide THEN 2 ELSE 1 END, false FROM o UNION ALL SELECT doc_id, n, r, 2, c, 1, false FROM o WHERE NOT wide
+        UNION ALL SELECT doc_id, n, 0, c.col, c.content, 1, true FROM o, (VALUES (0, 'order'), (1, 'status'), (2, 'cents')) c(col, content) WHERE r = 1)
+    SELECT doc_id, CAST(n AS INTEGER) AS n_rows, CAST(3 AS INTEGER) AS n_cols, content, CAST(r AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(1 AS INTEGER) AS row_span, CAST(span AS INTEGER) AS col_span, head AS is_header FROM cells"""

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.functions import text as T
+
 #: Labels that Spark decodes by itself, and other names for them.
 CHARSETS = {
     "utf-8": "UTF-8",
@@ -81,7 +83,7 @@ def json_lines(result: DataFrame, with_content: bool = True) -> DataFrame:
         if field.name == "content" and not with_content:
             c = F.lit(None).cast("string")
         if field.dataType.typeName() == "binary":
-            c = F.base64(c)
+            c = T.base64(c)
         columns.append(c.alias(field.name))
     return result.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 

@@ -53,7 +53,7 @@ DEFAULT = [
     ("<select><optgroup label=G><option>a<option selected>b</select>", "**G**\na\n* b\n"),
     ("<p>x</p><audio><source src=s.mp3>text</audio>", "x\n\n[s.mp3](s.mp3)\n\ntext\n"),
     ("<p>a <math><mi>x</mi></math></p>", "a <!-- MathML: <math><mi>x</mi></math> --> x\n"),
-    ("<p><svg width=1><title>T</title></svg></p>", "![T](data:image/svg+xml;base64,PHN2ZyB3aWR0aD0xPjx0aXRsZT5UPC90aXRsZT48L3N2Zz4=)\n"),
+    ("<p><svg width=1><title>T</title></svg></p>", "![T](data:image/svg+xml;base64,PHN2ZyB3aWR0aD0iMSI+PHRpdGxlPlQ8L3RpdGxlPjwvc3ZnPg==)\n"),
     ("<p><ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby></p>", "k(r)\n"),
     ("<table><caption>a-b</caption><tr><th>h</table>", "*a\\-b*\n\n| h   |\n| --- |\n"),
     ("<table><tr><th rowspan=2>a<th>b<tr><td>c</table>", "| a   | b   |\n| --- | --- |\n|     | c   |\n"),
