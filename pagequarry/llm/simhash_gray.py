@@ -254,5 +254,7 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42)
     stay all.  Rows with a null doc_id stay.  Null texts are one component with
     empty ones.
     """
-    drop = _placed(docs, radius, shingle, seed).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(drop, (docs["doc_id"] == F.col("_id")) & (_text_key(docs["text"]) == F.col("_key")), "left_anti")
+    drop = _placed(docs, radius, shingle, seed).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    rows, gone = "rows_to_keep", "rows_that_go"  # names of the tables, so that no column's can clash
+    same = (F.col(f"{rows}.doc_id") == F.col(f"{gone}.doc_id")) & (_text_key(F.col(f"{rows}.text")) == F.col(f"{gone}.text_key"))
+    return docs.alias(rows).join(drop.alias(gone), same, "left_anti")

@@ -6,7 +6,7 @@ over their first ``length`` bytes; they are sorted bucket by bucket, and nothing
 holds more than one bucket of suffixes.
 
 * Exact copies need no suffix: the smallest doc_id of equal texts stands for all.
-* Texts are packed into blocks by a hash of doc_id (the only shuffle of raw texts).
+* Texts are packed into blocks by a hash of id and text (the only shuffle of raw texts), streamed, so that copies are passed over.
 * A suffix's bucket is the smallest hash of the grams in its first ``length``
   bytes.  It depends on those bytes alone, so equal suffixes meet in one bucket,
   and neighbouring suffixes mostly share it: such a *run* of suffixes is kept as
@@ -167,25 +167,42 @@ def _block(row: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _pack_blocks(docs: DataFrame, firsts: DataFrame, n_blocks: int, length: int) -> DataFrame:
-    """``block, packed``: the texts that ``firsts`` (``doc_id, h``) names, by ascending doc_id."""
+    """``block, hashes, packed``: the texts that ``firsts`` (``doc_id, h``) names, in order of doc_id.
 
-    def pack(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = set(zip(right.column("doc_id").to_pylist(), right.column("h").to_pylist()))
-        rows = []
-        for doc_id, h, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-            if (doc_id, h) in wanted:
-                wanted.discard((doc_id, h))
-                rows.append((doc_id, h, text.encode("utf-8", "surrogatepass")))
-        if not rows:
-            return pa.table({"block": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "packed": pa.array([], pa.binary())})
-        rows.sort(key=lambda r: r[:2])
-        packed = _pack(np.array([r[0] for r in rows]), np.array([len(r[2]) for r in rows]), data=b"".join(r[2] for r in rows))
-        return pa.table({"block": pa.array([left.column("block")[0].as_py()], pa.int32()), "hashes": pa.array([b"".join(r[1] for r in rows)], pa.binary()), "packed": pa.array([packed], pa.binary())})
-
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    left = docs.select(block.alias("block"), "doc_id", F.unhex(F.sha2("text", 256)).alias("h"), "text").where(F.octet_length("text") >= length)
-    right = firsts.select(block.alias("block"), "doc_id", "h")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(pack, "block int, hashes binary, packed binary")
+    Rows with texts and the names of those that are wanted are sorted together by
+    block, and each task streams through its own: of any number of rows that
+    repeat a wanted one the first is taken and the rest pass by, so no more than one
+    block of wanted texts is held.  A block's name covers id and text, so that rows which share an id are spread as well.
+    """
+    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_blocks)).cast("int").alias("block")
+    texts = docs.where(F.octet_length("text") >= length).select("doc_id", _text_hash(F.col("text")).alias("h"), "text")
+    names = firsts.select("doc_id", "h", F.lit(None).cast("string").alias("text"))
+    rows = names.unionByName(texts).select(block, "doc_id", "h", F.col("text").isNotNull().alias("has_text"), "text")
+    ordered = rows.repartition("block").sortWithinPartitions("block", "doc_id", "h", "has_text")
+
+    def run(batches):
+        now, wanted, taken = None, None, []
+
+        def packed() -> pa.RecordBatch:
+            body = _pack(np.array([r[0] for r in taken]), np.array([len(r[2]) for r in taken]), data=b"".join(r[2] for r in taken))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([b"".join(r[1] for r in taken)], pa.binary()), pa.array([body], pa.binary())], names=["block", "hashes", "packed"])
+
+        for batch in batches:
+            of_block, doc_ids, hashes, has_text = (batch.column(k).to_pylist() for k in range(4))
+            for k, (b, doc_id, h, has) in enumerate(zip(of_block, doc_ids, hashes, has_text)):
+                if b != now:
+                    if taken:
+                        yield packed()
+                    now, wanted, taken = b, None, []
+                if not has:
+                    wanted = (doc_id, h)
+                elif wanted == (doc_id, h):
+                    taken.append((doc_id, h, batch.column(4)[k].as_py().encode("utf-8", "surrogatepass")))
+                    wanted = None
+        if taken:
+            yield packed()
+
+    return ordered.mapInArrow(run, "block int, hashes binary, packed binary")
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -521,20 +538,21 @@ def _text_hash(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _stripped(docs: DataFrame, length: int, what: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept, row`` of every row; ``row`` has the columns to ``carry``.
+def _stripped(docs: DataFrame, length: int, what: str, row: Column | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept, row`` of every row; ``row`` is carried along.
 
     Texts travel in blocks and from there to their rows; only those that are in no block stay with them.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.struct(*carry) if carry else F.lit(None)).alias("row"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(None) if row is None else row).alias("row"))
     size = F.octet_length("text").cast("long")
     own = docs.select("doc_id", _text_hash(F.col("text")).alias("h"), size.alias("n_bytes"), "row", F.when((size < length) | F.col("doc_id").isNull(), F.col("text")).alias("short"))
     own = stage_table(own, "text-hashes")
     docs = docs.drop("row")
     firsts = own.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     total = firsts.where(F.col("n_bytes") >= length).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    # Copies travel to the blocks too, so all rows' bytes count there.
+    whole = own.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n_blocks = max(1, math.ceil(whole / BLOCK_BYTES))
     n_buckets = max(1, math.ceil(total / BUCKET_BYTES))
     blocks = stage_table(_pack_blocks(docs, firsts.where(F.col("n_bytes") >= length), n_blocks, length), "text-blocks")
     shared = stage_table(_shared_keys(_used_keys(blocks, n_buckets, length)), "shared-keys")
@@ -580,6 +598,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     texts stay null, and texts that were empty stay.
     """
     names = [c for c in docs.columns if c != "text"]
-    found = _stripped(docs.withColumn("_null", F.col("text").isNull()), length, "text", (*names, "_null"))
-    text = F.when(~F.col("row._null"), F.col("kept")).alias("text")
-    return found.where("n_removed = 0 or kept <> ''").select(*(text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    own = F.struct(*(F.col(f"`{c}`") for c in names)).alias("own")
+    found = _stripped(docs, length, "text", F.struct(own, F.col("text").isNull().alias("null")))
+    text = F.when(~F.col("row.null"), F.col("kept")).alias("text")
+    return found.where("n_removed = 0 or kept <> ''").select(*(text if c == "text" else F.col(f"row.own.`{c}`") for c in docs.columns))

@@ -181,11 +181,14 @@ def _any(tests: list[Column]) -> Column:
 def _judge_by_join(out: DataFrame, rules: list[Rule], keys: Column, default: str) -> DataFrame:
     """For lists too long to send to every task: each row's keys are looked up by joins, longest first."""
     listed = out.sparkSession.createDataFrame([(h + p, v) for h, p, v in rules], "key string, v string")
-    out = out.withColumn("_keys", keys)
+    names = out.columns
+    own = F.struct(*(F.col(f"`{c}`") for c in names)).alias("own")
+    out = out.select(own, keys.alias("_keys"))
     out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
     for k in range(len(_shapes(rules))):
         found = listed.select(F.col("key").alias("_key"), F.col("v").alias("_v"))
         out = out.withColumn("_k", F.when(F.col("rule").isNull(), F.get("_keys", F.lit(k))["key"]))
         out = out.join(found, F.col("_k") == F.col("_key"), "left")
         out = out.withColumns({"rule": F.coalesce("rule", "_key"), "verdict": F.coalesce("verdict", "_v")}).drop("_k", "_key", "_v")
-    return out.drop("_keys").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    kept = [F.col(f"own.`{c}`") for c in names if c.lower() not in ("rule", "verdict")]
+    return out.select(*kept, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagequarry.llm import suffix_dedup as S
 
@@ -103,3 +104,22 @@ def test_null_ids_stay_whole(spark, docs):
     text = "a passage that is long enough to be seen as a repeat, twice"
     rows = sorted(map(tuple, S.digests(docs([text, text, text], ids=[None, 1, 2])).select("doc_id", "n_removed").collect()), key=str)
     assert rows == [(1, 0), (2, len(text)), (None, 0)]
+
+
+def test_table_of_copies(spark):
+    """Thousands of copies, and one row many times, are no group of their own: each block holds its wanted texts only."""
+    text = " ".join(f"word{k}" for k in range(1500))
+    rows = [(k, text, "x") for k in range(3000)] + [(5000, text[:9000] + "!" + text[9000:], "x")] * 200 + [(6000, f"{k} other text of its own " * 9, "x") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(6)
+    keyed = docs.select("doc_id", "text").withColumn("h", F.unhex(F.sha2("text", 256)))
+    firsts = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    blocks = S._pack_blocks(docs.select("doc_id", "text"), firsts, 12, 50).collect()
+    ids = [S._block(b.packed)[0].tolist() for b in blocks]
+    assert sorted(x for part in ids for x in part) == [0, 5000] + [6000] * 50
+    assert sum(6000 in part for part in ids) > 3  # rows of one id are spread
+    found = {}
+    for r in S.digests(docs).collect():
+        found.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed))
+    assert found[0] == {(len(text), 0)} and all(found[k] == {(len(text), len(text))} for k in range(1, 3000))
+    assert found[5000] == {(len(text) + 1, len(text))}
+    assert len(found[6000]) >= 1 and all(removed == 0 for _, removed in found[6000])
