@@ -95,22 +95,54 @@ def selected(node: Column, selectors: tuple[str, ...]) -> Column:
     return out
 
 
+def asked(node: Column, callback: str, options: Options) -> Column:
+    """Whether a visitor's callback is asked about a node."""
+    tag = node["tag"]
+    if callback == "text":
+        return node["kind"] == "text"
+    if callback == "custom_element":
+        return F.coalesce(F.contains(tag, F.lit("-")), F.lit(False))
+    if callback in ("element_start", "element_end"):
+        tags = options.visitor[callback].get("tags")
+        return F.coalesce(tag.isin(*tags), F.lit(False)) if tags else tag.isNotNull()
+    return F.coalesce(tag.isin(*CALLBACKS[callback]), F.lit(False))
+
+
+def _acts(options: Options, *actions: str) -> list[tuple[str, dict]]:
+    return [(c, v) for c, v in options.visitor.items() if v.get("action") in actions and c != "text"]
+
+
+def _replaced(node: Column, options: Options) -> Column:
+    """Elements whose inside gives way to what stands for them."""
+    out = node["tag"].isin("svg", "iframe", *options.preserve_tags)
+    for c, v in _acts(options, "custom", "preserve_html", "custom_template"):
+        no_text = v["action"] == "custom_template" and ((c in ("image", "audio", "video", "iframe", "input") and "{text}" not in v.get("template", "")) or c == "element_start")
+        if (v["action"] != "custom_template" or no_text) and (c == "element_end" or c == "element_start" or not c.endswith(("_start", "_end"))):
+            out = out | asked(node, c, options)
+    return out
+
+
 @built_once
 def gone(options: Options) -> Column:
-    """For every node, whether it goes: comments, nodes that are too deep, and what stands in an element that goes with all it holds.
+    """For every node, whether it goes: comments, nodes that are too deep, and what stands in an element that goes with all it holds or only shows what replaces it.
 
-    The latter are what preprocessing, selectors and a visitor's ``skip`` remove, hidden
+    The former are what preprocessing, selectors and a visitor's ``skip`` remove, hidden
     elements, and those whose inside is never shown.  A running maximum of where they
     end leaves those that lie in no other, and these are spread out over the nodes, so
     that a page takes time in proportion to its size however many there are.
     """
-    skipped = [t for c, v in options.visitor.items() if v.get("action") == "skip" for t in CALLBACKS[c]]
-    unseen = [t for t in (*UNSEEN, *(("svg", "math") if options.output_format == "plain" else ("rp",)), *skipped) if t not in options.preserve_tags]
+    unseen = [t for t in (*UNSEEN, *(("svg", "math") if options.output_format == "plain" else ("rp",))) if t not in options.preserve_tags]
 
     def goes(n: Column) -> Column:
         out = n["tag"].isin(*unseen) | F.map_contains_key(n["attrs"], F.lit("hidden")) | is_dropped(n, options) | selected(n, options.exclude_selectors)
+        for c, _ in _acts(options, "skip"):
+            if c not in ("table_row",):  # a row is left out of its table
+                out = out | (asked(n, c, options) & ~n["tag"].isin(*options.preserve_tags))
         return (n["kind"] == "tag") & F.coalesce(out, F.lit(False))
 
+    def empties(n: Column) -> Column:
+        return (n["kind"] == "tag") & F.coalesce(_replaced(n, options), F.lit(False)) & (n["last"] > n["id"])
+
     def outermost(all_: Column) -> Column:
         ends = scan(F.transform(all_, lambda g: g["last"]), F.greatest)
         return let(ends, lambda e: F.filter(all_, lambda g, k: (k == 0) | (g["first"] > F.get(e, k - 1))))
@@ -132,7 +164,8 @@ def gone(options: Options) -> Column:
 
         return F.transform("nodes", one)
 
-    going = F.transform(F.filter("nodes", goes), lambda n: F.struct(n["id"].alias("first"), n["last"].alias("last")))
+    found = F.transform("nodes", lambda n: F.struct((n["id"] + F.when(goes(n), 0).when(empties(n), 1)).alias("first"), n["last"].alias("last")))
+    going = F.filter(found, lambda g: g["first"].isNotNull())
     return let(let(let(going, outermost), spread), with_own)
 
 

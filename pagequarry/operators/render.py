@@ -9,6 +9,8 @@ is one expression over the row that a document is, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,29 +217,38 @@ def _filled(template: str, n: Column) -> Column:
     for hole, name in (("href", "href"), ("src", "src"), ("alt", "alt"), ("title", "title"), ("id", "id"), ("action", "action"), ("method", "method"), ("input_type", "type"), ("name", "name"), ("value", "value")):
         if "{" + hole + "}" in template:
             c = F.replace(c, F.lit("{" + hole + "}"), _attr(n, name))
+    if "{tag}" in template:
+        c = F.replace(c, F.lit("{tag}"), F.coalesce(n["tag"], F.lit("")))
     if "{level}" in template:
         c = F.replace(c, F.lit("{level}"), F.regexp_extract(n["tag"], "^h([1-6])$", 1))
     return _hard(c)
 
 
+def _halves(v: dict) -> tuple[str, str]:
+    """What a visitor's answer puts before and behind an element's own output."""
+    if v["action"] == "custom":
+        return v.get("output", ""), ""
+    template = v.get("template", "{text}")
+    hole = next((h for h in ("{text}", "{content}", "{output}") if h in template), None)
+    before, _, after = template.partition(hole) if hole else (template, "", "")
+    return before, after
+
+
 def _visitor_rules(n: Column, options: Options) -> list[tuple[Column, Column | None, Column | None]]:
     out = []
     for callback, v in options.visitor.items():
         action = v.get("action")
-        if callback == "text" or action not in ("custom", "custom_template", "preserve_html"):
+        if callback in ("text", "element_end", "table_row", "table_start", "table_end") or action not in ("custom", "custom_template", "preserve_html"):
             continue
-        use = F.contains(n["tag"], F.lit("-")) if callback == "custom_element" else n["tag"].isin(*CALLBACKS[callback])
+        use = filters.asked(n, callback, options)
         if action == "preserve_html":
             out.append((use, _hard(n["source"]), F.lit("")))
             continue
-        if action == "custom":
-            before, after = v.get("output", ""), ""
-        else:
-            template = v.get("template", "{text}")
-            hole = next((h for h in ("{text}", "{content}", "{output}") if h in template), None)
-            before, _, after = template.partition(hole) if hole else (template, "", "")
+        before, after = _halves(v)
         if callback.endswith("_end"):
             out.append((use, None, _filled(before + after, n)))
+        elif callback == "element_start":
+            out.insert(0, (use, _filled(before + after, n), F.lit("")))
         elif callback.endswith("_start"):
             out.append((use, _filled(before, n), None))
         else:
@@ -245,18 +256,22 @@ def _visitor_rules(n: Column, options: Options) -> list[tuple[Column, Column | N
     return out
 
 
-def _replaced(options: Options) -> list[str]:
-    """Tags whose inside gives way to what stands for the element."""
-    out = ["svg", "iframe", *options.preserve_tags]
-    for c, v in options.visitor.items():
-        if (v.get("action") in ("custom", "preserve_html") or (v.get("action") == "custom_template" and "{text}" not in v.get("template", "") and c in ("image", "audio", "video", "iframe", "input"))) and not c.endswith(("_start", "_end")):
-            out += CALLBACKS[c]
-    return out
+def _ended(n: Column, opening: Column, closing: Column, options: Options) -> tuple[Column, Column]:
+    """An element's texts with what ``element_end`` makes of its output, which then is part of its parent's."""
+    v = options.visitor.get("element_end", {})
+    if v.get("action") not in ("custom", "custom_template"):
+        return opening, closing
+    before, after = _halves(v)
+    use = filters.asked(n, "element_end", options)
+    if v["action"] == "custom":
+        return F.when(use, _filled(before, n)).otherwise(opening), F.when(use, F.lit("")).otherwise(closing)
+    hashes = F.when(n["tag"].isin(*HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring(n["tag"], 2, 1).cast("int")), F.lit(" "))).otherwise("") if options.output_format != "plain" else F.lit("")
+    return F.when(use, F.concat(_filled(before, n), hashes, opening)).otherwise(opening), F.when(use, F.concat(closing, _filled(after, n))).otherwise(closing)
 
 
 def keep_source(options: Options) -> frozenset[str]:
     """Tags whose own HTML rendering asks for."""
-    preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in CALLBACKS[c]]
+    preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in (*CALLBACKS[c], *v.get("tags", ()))]
     return frozenset([*options.preserve_tags, *preserved])
 
 
@@ -328,10 +343,8 @@ def _escaped(n: Column, soft: Column, options: Options) -> Column:
 
 def pieces(gone: Column, options: Options) -> Column:
     """``open, close`` of every node, both empty for those that don't show."""
-    replaced = _replaced(options)
-
     def piece(n: Column) -> Column:
-        shows = filters.stays(n, gone) & ~within(n, *replaced)
+        shows = filters.stays(n, gone)
         text = let(_soft(n, options), lambda soft: _escaped(n, soft, options))
         said = options.visitor.get("text", {})
         if said.get("action") in ("custom", "skip"):
@@ -340,10 +353,17 @@ def pieces(gone: Column, options: Options) -> Column:
             before, _, after = said.get("template", "{text}").partition("{text}")
             text = F.concat(F.lit(before), text, F.lit(after))
         opening = closing = F.lit("")
-        ruled = n["tag"].isin(*_ruled(options)) | (F.contains(n["tag"], F.lit("-")) if "custom_element" in options.visitor else F.lit(False))
+        ruled = n["tag"].isin(*_ruled(options))
+        for callback in ("custom_element", "element_start"):
+            if callback in options.visitor:
+                ruled = ruled | filters.asked(n, callback, options)
         for use, a, b in reversed(_rules(n, options)):
             opening = opening if a is None else F.when(use, a).otherwise(opening)
             closing = closing if b is None else F.when(use, b).otherwise(closing)
+        if "element_end" in options.visitor:
+            own = F.when(ruled, opening).otherwise(""), F.when(ruled, closing).otherwise("")
+            opening, closing = _ended(n, *own, options)
+            ruled = F.lit(True)
         is_text = n["kind"] == "text"
         return F.when(~shows, F.struct(F.lit("").alias("open"), F.lit("").alias("close"))).otherwise(
             F.struct(F.when(is_text, text).when(ruled, opening).otherwise("").alias("open"), F.when(ruled, closing).otherwise("").alias("close"))
@@ -609,6 +629,8 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
 
     def rows_of(t: Column) -> Column:
         rows = F.filter(below(t), lambda n: n["tag"].isin("tr", "row") & (n["table"] == t["id"]) & shows(n))
+        if options.visitor.get("table_row", {}).get("action") == "skip":
+            rows = F.slice(rows, F.lit(1), F.lit(0))
         return F.transform(rows, lambda r: let(F.transform(F.filter(below(r), lambda n: is_cell(n) & (n["row"] == r["id"]) & shows(n)), cell), _widened))
 
     def width_of(r: Column) -> Column:
@@ -636,6 +658,25 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
         shown = said if plain else F.replace(said, F.lit("-"), F.lit("\\-"))
         return F.when(said == "", F.lit("")).otherwise(F.concat(F.lit(em), shown, F.lit(em + "\n\n")))
 
+    def _row_filled(template: str, r: Column, i: Column) -> Column:
+        """A visitor's template for a row: ``{cells}``, ``{cell_1}`` and so on, ``{is_header}``."""
+        c = F.lit(template)
+        for hole in sorted(set(re.findall(r"\{cell_\d+\}", template))):
+            c = F.replace(c, F.lit(hole), F.coalesce(F.get(r, F.lit(int(hole[6:-1]) - 1))["content"], F.lit("")))
+        c = F.replace(c, F.lit("{cells}"), F.array_join(F.transform(r, lambda x: x["content"]), " | "))
+        return F.replace(c, F.lit("{is_header}"), F.when(i == 0, F.lit("true")).otherwise(F.lit("false")))
+
+    def visited(t: Column, whole: Column) -> Column:
+        """A table's text after ``table_start``, which may replace it, and ``table_end``, which sees it whole."""
+        for callback in ("table_start", "table_end"):
+            v = options.visitor.get(callback, {})
+            if v.get("action") == "custom" or (callback == "table_start" and v.get("action") == "custom_template"):
+                return _filled("".join(_halves(v)), t)
+            if v.get("action") == "custom_template":
+                before, after = _halves(v)
+                whole = F.concat(_filled(before, t), whole, _filled(after, t))
+        return whole
+
     def listed(rows: Column) -> Column:
         each = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["content"]), lambda x: x != ""), " "))
         return F.array_join(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.concat(F.lit("- "), F.ltrim(F.regexp_replace(x, "^- ", "")))), "\n")
@@ -653,6 +694,9 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
                 return F.concat(F.lit(" "), padded, F.repeat(F.lit(" |"), x["col_span"]))
 
             def row(r: Column, i: Column) -> Column:
+                said = options.visitor.get("table_row", {})
+                if said.get("action") in ("custom", "custom_template"):
+                    return _row_filled(said.get("output", "") if said["action"] == "custom" else said.get("template", ""), r, i)
                 dashes = F.transform(F.sequence(F.lit(0), F.greatest(width_of(r), F.lit(1)) - 1), lambda c: F.concat(F.lit(" "), F.repeat(F.lit("-"), F.lit(3) if options.compact_tables else F.coalesce(F.get(widths, c), F.lit(3))), F.lit(" |")))
                 rule = F.when(i == 0, F.concat(F.lit("\n|"), F.array_join(dashes, ""))).otherwise(F.lit(""))
                 return F.concat(F.lit("|"), F.array_join(F.transform(r, one), ""), rule)
@@ -682,7 +726,7 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
                 slots = let(n_cols, lambda n: F.when(carried, _carried(rows, n)).otherwise(uncarried))
                 body = let(n_cols, lambda n: let(slots, lambda s: grid(s, n)))
             whole = F.when(F.size(rows) == 0, F.lit("")).when(is_list, listed(rows)).otherwise(body)
-            return F.struct(t["id"].alias("id"), F.concat(caption(t), whole).alias("markdown"), F.size(rows).alias("n_rows"), n_cols.alias("n_cols"), is_list.alias("is_layout"), cells.alias("cells"))
+            return F.struct(t["id"].alias("id"), visited(t, F.concat(caption(t), whole)).alias("markdown"), F.size(rows).alias("n_rows"), n_cols.alias("n_cols"), is_list.alias("is_layout"), cells.alias("cells"))
 
         return let(rows_of(t), of_rows)
 
@@ -777,6 +821,11 @@ def loose_lists() -> Column:
 def described(lines: Column, texts: Column, tables: Column, options: Options) -> Column:
     """``first, kind, content, quotes, item, list, ...`` of what shows outside of tables, and of tables."""
     bare = [*options.strip_tags, *_visited(options)]
+    ended = options.visitor.get("element_end", {})
+    if ended.get("action") in ("custom", "custom_template"):
+        bare += [h for h in HEADINGS if not ended.get("tags") or h in ended["tags"]]  # these bring their own marks
+    if options.visitor.get("element_start", {}).get("action") in ("custom", "custom_template"):
+        bare += options.visitor["element_start"].get("tags") or HEADINGS
 
     def is_table(x: Column) -> Column:
         return x["opens"] & (x["tag"] == "table") & x["table"].isNull()

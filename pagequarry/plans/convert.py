@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators import extract, render, structure
+from pagequarry.operators import extract, filters, render, structure
 from pagequarry.operators.nodes import built_once, let, parse_documents
 from pagequarry.plans.options import Options
 
@@ -58,15 +58,31 @@ def _content(options: Options) -> Column:
         front = T.front_matter(F.transform_values(extract.head_map_of(), lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
         has_head = F.exists("nodes", lambda n: n["tag"].isin("meta", "link", "base", "title"))
         content = F.concat(F.when(has_head, front).otherwise(F.lit("")), content)
-    return F.when(F.col("error_kind").isNull(), F.coalesce("flat", content, F.lit("")))
+    visit = _visit_error(options)
+    fine = F.col("error_kind").isNull() if visit is None else F.col("error_kind").isNull() & visit.isNull()
+    return F.when(fine, F.coalesce("flat", content, F.lit("")))
 
 
-def _error() -> Column:
-    return F.when(F.col("error_kind").isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), F.col("error_kind").alias("message")))
+def _visit_error(options: Options) -> Column | None:
+    """The message of the first callback, in the order given, that answers an element with an error."""
+    refused = [(c, v.get("message", c)) for c, v in options.visitor.items() if v.get("action") == "error"]
+    if not refused:
+        return None
+
+    def met(callback: str) -> Column:
+        return F.exists("nodes", lambda n: filters.stays(n, F.col("gone")) & filters.asked(n, callback, options))
+
+    return F.coalesce(*(F.when(met(c), F.lit(message)) for c, message in refused))
+
+
+def _error(options: Options) -> Column:
+    wrong = F.when(F.col("error_kind").isNotNull(), F.struct(F.lit("InvalidInput").alias("kind"), F.col("error_kind").alias("message")))
+    visit = _visit_error(options)
+    return wrong if visit is None else wrong.when(visit.isNotNull(), F.struct(F.lit("Visitor").alias("kind"), visit.alias("message")))
 
 
 def _rendered(pages: DataFrame, options: Options, doc_id: str, html: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return render.rendered(parsed(pages, options, doc_id, html), options, keep)
+    return render.rendered(parsed(pages, options, doc_id, html), options, (*keep, "gone"))
 
 
 def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
@@ -79,7 +95,7 @@ def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc
     is a document of its own, whatever its ``doc_id``; rows are never shuffled.
     """
     options = options or Options()
-    return _rendered(pages, options, doc_id, html).select("doc_id", _content(options).alias("content"), _error().alias("error"))
+    return _rendered(pages, options, doc_id, html).select("doc_id", _content(options).alias("content"), _error(options).alias("error"))
 
 
 def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
@@ -119,5 +135,5 @@ def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str
         F.coalesce(tables, F.array()).alias("tables"),
         (F.coalesce(F.filter(pictures, lambda x: x["skipped"].isNull()), F.array()) if options.extract_images else none).alias("images"),
         F.concat(F.coalesce(deep, no), F.coalesce(unread, no)).alias("warnings"),
-        _error().alias("error"),
+        _error(options).alias("error"),
     )

@@ -34,6 +34,8 @@ def parse_enum(option: str, name: str) -> str:
 CALLBACKS = {
     "text": (),
     "custom_element": (),
+    "element_start": (),
+    "element_end": (),
     "link": ("a",),
     "image": ("img",),
     "heading": ("h1", "h2", "h3", "h4", "h5", "h6"),
@@ -122,7 +124,8 @@ class Options:
     extract_images: bool = False
     max_depth: int | None = None
     exclude_selectors: tuple[str, ...] = ()
-    #: Callback name -> {"action": "skip" | "custom" | "custom_template" | "preserve_html" | "continue", "output": ..., "template": ...}.
+    #: Callback name -> {"action": "skip" | "custom" | "custom_template" | "preserve_html" | "continue" | "error", "output": ..., "template": ...,
+    #: "message": ...}. ``element_start`` and ``element_end`` are asked about all elements, or those of the "tags" they name.
     visitor: dict = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
@@ -135,6 +138,9 @@ class Options:
         unknown = set(self.visitor) - set(CALLBACKS)
         if unknown:
             raise ValueError(f"no such callbacks: {sorted(unknown)}")
+        actions = {v.get("action", "continue") for v in self.visitor.values()} - {"skip", "custom", "custom_template", "preserve_html", "continue", "error"}
+        if actions:
+            raise ValueError(f"no such visitor actions: {sorted(actions)}")
         if not 1 <= len(self.bullets) <= 10:
             raise ValueError("bullets: 1 to 10 characters")
         if self.strong_em_symbol not in ("*", "_"):

@@ -12,7 +12,7 @@ from pagequarry.operators import extract, filters
 from pagequarry.operators.nodes import let, parse_documents, parse_nodes
 from pagequarry.plans.convert import convert, convert_result
 from pagequarry.plans.options import Options
-from pagequarry.sources.io import json_lines, spread, table
+from pagequarry.sources.io import decode_bytes, json_lines, spread, table
 
 QUERIES = dict(rules.QUERIES)
 ORACLE_SQL: dict[str, str] = dict(rules.ORACLE_SQL)
@@ -72,6 +72,31 @@ def input_validation(spark, d):
     return each.select("page_id", "s.start_no", T.invalid_reason(F.concat("s.start", "html")).alias("reason"))
 
 
+#: Charsets and what stands before the bytes in them.
+_CHARSETS = (("utf-8", "UTF-8", ""), ("utf-16le", "UTF-16LE", ""), ("utf-16be", "UTF-16BE", ""), ("latin1", "UTF-16LE", "FFFE"), ("utf-8", "UTF-16BE", "FEFF"))
+
+
+@query("SELECT page_id, c.k AS charset_no, html FROM pages, (VALUES (0), (1), (2), (3), (4)) c(k)")
+def byte_decoding(spark, d):
+    """Pages as bytes in several charsets, with and without a byte order mark that overrules the one said, decoded again."""
+    each = [F.struct(F.lit(k).alias("k"), decode_bytes(F.concat(F.unhex(F.lit(mark)), F.encode("html", name)), said).alias("html")) for k, (said, name, mark) in enumerate(_CHARSETS)]
+    return _pages(spark, d).select("page_id", F.inline(F.array(*each))).withColumnRenamed("k", "charset_no")
+
+
+@query("SELECT page_id, c.k AS order_no, url FROM pages, (VALUES (0), (1), (2)) c(k)")
+def utf16_in_text(spark, d):
+    """Text that came as UTF-16 read as single bytes, in both orders, and as it is."""
+    nul = "\u0000"
+    made = (F.regexp_replace("url", "(.)", f"$1{nul}"), F.regexp_replace("url", "(.)", f"{nul}$1"), F.col("url"))
+    each = F.array(*(F.struct(F.lit(k).alias("order_no"), c.alias("url")) for k, c in enumerate(made)))
+    return _pages(spark, d).select("page_id", F.explode(each).alias("e")).select("page_id", "e.order_no", T.decode_utf16(F.col("e.url")).alias("url"))
+
+
+@query("""SELECT '{"doc_id":' || page_id || ',"content":null,"error":null}' AS value FROM pages""")
+def json_without_content(spark, d):
+    return json_lines(convert(spread(_pages(spark, d).select("page_id", "html")), doc_id="page_id"), with_content=False)
+
+
 @query(
     r"""SELECT page_id, regexp_replace(replace(regexp_replace(html, E'\r\n?', E'\n', 'g'), chr(0), ''), '<([A-Za-z][A-Za-z0-9:-]*)/>', '<\1 />', 'g') AS html FROM pages"""
 )

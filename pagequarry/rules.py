@@ -232,6 +232,57 @@ rules(
     {"visitor": {"link": {"action": "custom_template", "template": "<{href}|{text}>"}, "image": {"action": "skip"}, "code_block": {"action": "custom", "output": "CODE"}, "heading": {"action": "custom_template", "template": "{level}: {text}"}, "custom_element": {"action": "preserve_html"}, "figure_end": {"action": "custom_template", "template": "{output} END"}}},
     [("<h2>{n}</h2><a href='/{k}'>x <b>y</b></a><img src=i>", "2: {n}\n\n</{k}|x **y**>"), ("<pre>{n}</pre><figure>{k}</figure>", "CODE\n\n{k} END"), ("<nav>{n}</nav>", "{n}")],
 )
+def _template(text: str, **more) -> dict:
+    return {"action": "custom_template", "template": text, **more}
+
+
+def _custom(text: str, **more) -> dict:
+    return {"action": "custom", "output": text, **more}
+
+
+rules(
+    "inline_visitors",
+    {"visitor": {"strong": _template("S({text})"), "emphasis": _template("E({text})"), "strikethrough": _template("D({text})"), "underline": _template("U({text})"), "subscript": _template("b({text})"), "superscript": _template("p({text})"), "mark": _template("M({text})"), "code_inline": _template("C({text})")}},
+    [("<p><b>{n}</b> <em>{k}</em> <s>a</s> <u>b</u> <sub>c</sub><sup>d</sup> <mark>e</mark> <code>f</code></p>", "S({n}) E({k}) D(a) U(b) b(c)p(d) M(e) C(f)"), ("<p><strong>x <i>{n}</i></strong></p>", "S(x E({n}))")],
+)
+rules(
+    "block_visitors",
+    {"visitor": {"list_item": _template("I({text})"), "line_break": _custom("|"), "horizontal_rule": _custom("***"), "definition_term": _template("T({text})"), "definition_description": _template("D({text})"), "summary": _template("S({text})"), "figcaption": _template("F({text})"), "input": _template("[{input_type} {name}={value}]"), "button": _template("<{text}>"), "form": _template("{action} {method}: {text}"), "audio": _template("A({src})"), "video": _template("V({src})"), "iframe": _template("W({src})")}},
+    [
+        ("<ul><li>{n}<li>{k}</ul>", "- I({n})\n- I({k})"),
+        ("<p>{n}<br>{k}</p><hr>", "{n}|{k}\n\n***"),
+        ("<dl><dt>{n}<dd>{k}</dl>", "T({n})\n\nD({k})"),
+        ("<details><summary>{n}</summary>{k}</details>", "S({n})\n\n{k}"),
+        ("<figure>{k}<figcaption>{n}</figcaption></figure>", "{k}\n\nF({n})"),
+        ("<form action=/{k} method=post><input type=text name=q value='{n}'><button>go</button></form>", "/{k} post: [text q={n}]\n\n<go>"),
+        ("<audio src=/{k}></audio><video src=v><p>{n}</p></video><iframe src=i></iframe>", "A(/{k})\n\nV(v)\n\nW(i)"),
+    ],
+)
+rules(
+    "element_end_visitor",
+    {"visitor": {"element_end": _template("[{output}]", tags=["p", "b", "h2", "span"])}},
+    [("<div><p>{n} <b>{k}</b></p><h2>t</h2><span>s</span></div>", "[{n} [**{k}**]]\n\n[## t]\n\n[s]"), ("<p><span>a<span>{n}</span></span><i>{k}</i>", "[[a[{n}]]*{k}*]")],
+)
+rules("element_start_visitor", {"visitor": {"element_start": _custom("<{tag}>", tags=["div", "i"])}}, [("<nav>{n}</nav><div>d <i>in</i></div><p>{k} <i>q</i></p>", "{n}\n\n<div>\n\n{k} <i>")])
+rules("element_skipping_visitor", {"visitor": {"element_start": {"action": "skip", "tags": ["div", "x-y"]}}}, [("<div>{n}<p>a</p></div><p>{k}<x-y>b</x-y></p>", "{k}")])
+rules("table_row_visitor", {"visitor": {"table_row": _template("{cell_2}/{cell_1} {is_header}: {cells}")}}, [("<table><tr><th>a<th>{k}<tr><td>{n}<td>d</table>z", "{k}/a true: a | {k}\nd/{e} false: {e} | d\n\nz")])
+rules("table_end_visitor", {"compact_tables": True, "visitor": {"table_end": _template("BEGIN\n{output}\nEND")}}, [("<table><tr><th>{n}<tr><td>{k}</table>z", "BEGIN\n| {e} |\n| --- |\n| {k} |\nEND\n\nz")])
+rules("table_start_visitor", {"visitor": {"table_start": _custom("TABLE")}}, [("<table><tr><th>{n}</table>{k}", "TABLE\n\n{k}")])
+rules("pictures", {}, [("<picture><source srcset='{k}.webp'><img src='{k}.png' alt='{n}'></picture>", "![{n}]({k}.png)"), ("<h3>{n} <picture><img src=x alt='{k}'></picture></h3>", "### {n} {k}")])
+rules("images_skipped", {"skip_images": True}, [("<p>{n} <img src=x alt=y> <svg><title>t</title></svg>{k}</p>", "{n} {k}")])
+
+
+def _visit_errors(spark, d: str) -> DataFrame:
+    """Visitors that answer with an error, by their order, but not for what isn't shown."""
+    cases = [("<p>{n}</p>",), ("<p>{n}<img src=x></p>",), ("<h2>{k}</h2><img src=x>",), ("<nav hidden><img src=x></nav>{n}",)]
+    visitor = {"heading": {"action": "error", "message": "no headings"}, "image": {"action": "error", "message": "no images"}}
+    return convert(_pages(spark, d, cases), Options(extract_metadata=False, visitor=visitor)).select("doc_id", "content", "error.kind", "error.message")
+
+
+QUERIES["visit_errors"] = _visit_errors
+ORACLE_SQL["visit_errors"] = """SELECT CAST(n_nationkey * 1000 + c.k AS BIGINT) AS doc_id, c.content, c.kind, c.message FROM nation, LATERAL (VALUES (0, n_name || chr(10), NULL, NULL), (1, NULL, 'Visitor', 'no images'),
+    (2, NULL, 'Visitor', 'no headings'), (3, n_name || chr(10), NULL, NULL)) c(k, content, kind, message)"""
+
 rules("text_visitor", {"visitor": {"text": {"action": "custom_template", "template": "<{text}>"}}}, [("<p>{n}</p>", "<{n}>")])
 
 extracted(
@@ -407,3 +458,27 @@ ORACLE_SQL["order_grids"] = """WITH o AS (SELECT o_custkey AS doc_id, row_number
     cells AS (SELECT doc_id, n, r, 0 AS col, a AS content, 1 AS span, false AS head FROM o UNION ALL SELECT doc_id, n, r, 1, b, CASE WHEN wide THEN 2 ELSE 1 END, false FROM o UNION ALL SELECT doc_id, n, r, 2, c, 1, false FROM o WHERE NOT wide
         UNION ALL SELECT doc_id, n, 0, c.col, c.content, 1, true FROM o, (VALUES (0, 'order'), (1, 'status'), (2, 'cents')) c(col, content) WHERE r = 1)
     SELECT doc_id, CAST(n AS INTEGER) AS n_rows, CAST(3 AS INTEGER) AS n_cols, content, CAST(r AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(1 AS INTEGER) AS row_span, CAST(span AS INTEGER) AS col_span, head AS is_header FROM cells"""
+
+
+def _json_ld_budget(spark, d: str) -> DataFrame:
+    """Blocks within the documents' budget of 30 bytes: one too large goes, smaller ones behind it still fit."""
+    page = '<script type="application/ld+json">{"a":"{n}"}</script><script type=" APPLICATION/LD+JSON ">{"bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb":1}</script><script type="application/ld+json">{"c":{k}}</script><script type="application/ld+json">{"d":"{n}"}</script>'
+    return extract.json_ld(parse_documents(_pages(spark, d, [(page,)])), most_bytes=30).select("doc_id", "raw_json")
+
+
+QUERIES["json_ld_budget"] = _json_ld_budget
+ORACLE_SQL["json_ld_budget"] = """WITH b AS (SELECT n_nationkey * 1000 AS id, 1 AS k, '{"a":"' || n_name || '"}' AS j FROM nation UNION ALL SELECT n_nationkey * 1000, 3, '{"c":' || n_nationkey || '}' FROM nation
+        UNION ALL SELECT n_nationkey * 1000, 4, '{"d":"' || n_name || '"}' FROM nation), s AS (SELECT *, sum(length(j)) OVER (PARTITION BY id ORDER BY k) AS used FROM b)
+    SELECT CAST(id AS BIGINT) AS doc_id, j AS raw_json FROM s WHERE used <= 30"""
+
+
+def _structure_ids(spark, d: str) -> DataFrame:
+    """Ids of the structure's nodes: each once, and the same in a second run."""
+    docs = parse_documents(_order_pages(spark, d))
+    first, again = (structure.document_tree(docs).select("doc_id", "position", "node_type", "id") for _ in range(2))
+    both = first.alias("a").join(again.alias("b"), ["doc_id", "position", "node_type"])
+    return both.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.countDistinct("a.id").alias("n_ids"), F.sum((F.col("a.id") == F.col("b.id")).cast("long")).alias("n_same"))
+
+
+QUERIES["structure_ids"] = _structure_ids
+ORACLE_SQL["structure_ids"] = """SELECT o_custkey AS doc_id, 5 + 3 * count(*) AS n_nodes, 5 + 3 * count(*) AS n_ids, CAST(5 + 3 * count(*) AS BIGINT) AS n_same FROM orders GROUP BY o_custkey"""
