@@ -73,6 +73,8 @@ BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th figcaption
 GROUPS = frozenset("ul ol dl table thead tbody tfoot tr figure hgroup".split())
 #: Deeper elements count as part of the one at this depth, but those that are barred by name stay so.
 DEEPEST = 120
+#: From this depth on plain elements within their like count as one.
+NESTED = 60
 
 #: Attributes up to the end of a tag. A quote counts right after the ``=`` behind a name; elsewhere it is a plain character.
 _ATTRS = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*+"""
@@ -170,6 +172,27 @@ def _name(x: list) -> str:
     return "#" if _is_text(x) else x[0]
 
 
+def _unnested(page: str) -> Iterator[Event]:
+    """The events of a page; from :data:`NESTED` levels on, elements without class or id that stand in one of the same name open nothing: (2, key) marks their borders.
+
+    So a page that is wrapped in any number of plain elements is read like one with few.
+    """
+    stack: list[tuple[str, bool]] = []
+    depth = 0
+    for kind, what in events(page):
+        if kind == 1:
+            opens = depth < NESTED or "." in what or what != stack[-1][0]
+            stack.append((what, opens))
+            depth += opens
+            yield (1, what) if opens else (2, what)
+        elif kind == -1:
+            key, opens = stack.pop()
+            depth -= opens
+            yield (-1, what) if opens else (2, key)
+        else:
+            yield (kind, what)
+
+
 class _Below:
     """Elements below :data:`DEEPEST`: how many are open, and since which of them all is barred."""
 
@@ -192,8 +215,10 @@ def expression(page: str) -> list:
     root: list = ["", False, False, []]
     path, deep = [root], _Below()
     own = zlib.crc32(page.encode("utf-8", "surrogatepass"))
-    for kind, what in events(page):
+    for kind, what in _unnested(page):
         parts = path[-1][3]
+        if kind == 2:
+            continue
         if kind == 0:
             text = " ".join(what.split())
             if not text or deep.barred:
@@ -422,12 +447,14 @@ def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
                 blocks.append((text, len(boxes) if box_depth else None, bool(path) and path[-1].split(".")[0] in BLOCKS))
             now.clear()
 
-    for kind, what in events(page or ""):
+    for kind, what in _unnested(page or ""):
         if kind == 0:
             if wanted and not deep.barred:
                 now.append(what)
             continue
         end_block()
+        if kind == 2:
+            continue
         if kind == 1:
             if len(path) >= DEEPEST - 1:
                 deep.enter(what)

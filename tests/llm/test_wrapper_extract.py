@@ -131,3 +131,16 @@ def test_barred_elements_at_any_depth():
     page = "<div>" * 130 + "<nav>MENU</nav><p>text</p><div class=sidebar>more<p>links</p></div>" + "</div>" * 130 + "<p>after</p>"
     paths = frozenset(X.main_paths(X.expression(page)))
     assert X.extract(page, paths) == "text after"
+
+
+def test_plain_wrappers_of_any_number():
+    """However many plain elements stand around a page, its text is the same."""
+    from pagequarry.llm import wrapper_extract as W
+
+    def page(n, k):
+        return "<html><body>" + "<div>" * n + f"<p>beside {k}</p><article><h1>Title {k}</h1><p>Text {k} of the article, long enough to count.</p><div><div>in {k}</div></div></article><div class=ad>buy</div>" + "</div>" * n + "</body></html>"
+
+    for n in (2, 59, 130, 5000):
+        wrapper = W.align(W.expression(page(n, 1)), W.expression(page(n, 2)))
+        paths = frozenset(W.main_paths(wrapper))
+        assert W.extract(page(n, 3), paths) == "Title 3 Text 3 of the article, long enough to count. in 3", n
