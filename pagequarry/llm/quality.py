@@ -92,35 +92,28 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return beta
 
 
-def _spread(text: Column, most: int, slices: int = 8) -> Column:
-    """A text of at most ``most`` characters, or as many in slices spread evenly from its start to its end."""
-    size = most // slices
-    step = (F.length(text) - size) / (slices - 1)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(parts, ""))
-
-
-def _dictionary(samples: list[str], size: int) -> bytes:
-    """A zstandard dictionary of texts, or where they are too few to train on, pieces from all over them."""
-    data = [s.encode("utf-8", "surrogatepass") for s in samples if s]
+def _dictionary(texts: list[str], size: int, block: int) -> bytes:
+    """A zstandard dictionary of whole texts, cut into the blocks that scoring compresses; or where they are too few to train on, pieces from all over them."""
+    whole = [t.encode("utf-8", "surrogatepass") for t in texts if t]
+    data = [t[k : k + block] for t in whole for k in range(0, len(t), block)]
     try:
         return zstandard.train_dictionary(size, data).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        joined = b"".join(data)
+        joined = b"".join(whole)
         piece = max(1, size // 64)
         if len(joined) > size:
             joined = b"".join(joined[k : k + piece] for k in np.linspace(0, len(joined) - piece, size // piece).astype(int).tolist())
         return joined or b" " * 64
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_bytes: int = 1 << 17, sample_chars: int = 1 << 14, level: int = 3, block: int = 1 << 11) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_bytes: int = 1 << 17, level: int = 3, block: int = 1 << 11) -> Model:
     """Learn from ``documents`` (``doc_id, text``) and ``labels`` (``doc_id, label``; other labels than 0 and 1 are left out).
 
     A bounded sample of labelled rows is enough here and only here: ``per_class``
     of each kind, chosen by hash of doc_id.  The ids are chosen before any text is
     read, so the documents are filtered by a broadcast of at most ``2 * per_class``
-    ids and never shuffled.  The odd half of the sample builds the dictionaries,
-    from at most ``sample_chars`` characters of a text, spread all over it.  The even
+    ids and only the chosen are shuffled.  The odd half of the sample builds the dictionaries
+    from its whole texts, those of a kind in one task.  The even
     half calibrates, by the sizes of its whole texts, worked out in tasks.  With a
     class missing every score is the other class's share.
     """
@@ -131,10 +124,15 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictiona
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    drawn = texts.where("odd").select("label", "h", "doc_id", _spread(F.col("text"), sample_chars).alias("text"))
-    drawn = drawn.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id is one sample
-    rows = sorted(((r["label"], r["h"], r["doc_id"], r["text"]) for r in drawn.collect()), key=lambda r: r[:3])
-    good, bad = (_dictionary([t for label, _, _, t in rows if label == k], dictionary_bytes) for k in (1, 0))
+    drawn = texts.where("odd").groupBy("label", "h", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id is one sample
+
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        made = _dictionary(group.column("text").to_pylist(), dictionary_bytes, block)
+        return pa.table({"label": group.column("label").slice(0, 1).cast(pa.int32()), "dictionary": pa.array([made], pa.binary())})
+
+    trained = {r["label"]: bytes(r["dictionary"]) for r in drawn.groupBy("label").applyInArrow(train, "label int, dictionary binary").collect()}
+    good, bad = (trained.get(k, b" " * 64) for k in (1, 0))
 
     def sizes(batches):
         sizer = _Sizer(good, bad, level, block)
