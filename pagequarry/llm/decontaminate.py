@@ -84,6 +84,36 @@ def _fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _block_of(prints: np.ndarray, b: int) -> np.ndarray:
+    return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
+
+
+class _Lookup:
+    """The items that have each value of a block of 16 bits."""
+
+    def __init__(self, blocks: np.ndarray):
+        self.order = np.argsort(blocks, kind="stable")
+        self.values, self.first = np.unique(blocks[self.order], return_index=True)
+        self.first = np.append(self.first, len(blocks))
+        self.place = np.full(1 << 16, -1, dtype=np.int64)
+        self.place[self.values] = np.arange(len(self.values))
+
+    def items(self, values: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of some values, item) for all items whose block differs from it by one of the masks.
+
+        Where fewer values are listed than there are masks, the listed ones are tried instead: the same pairs.
+        """
+        if len(self.values) < len(masks):
+            which, at = np.nonzero(np.isin(values[:, None] ^ self.values[None, :], masks))
+        else:
+            places = self.place[values[:, None] ^ masks[None, :]]
+            which, column = np.nonzero(places >= 0)
+            at = places[which, column]
+        n = np.diff(self.first)[at]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(which, n), self.order[np.repeat(self.first[at], n) + inner]
+
+
 class Index:
     """A bounded set of benchmark items."""
 
@@ -119,8 +149,9 @@ class Index:
         for (width, n), items in self.by_size.items():
             own = set(items)
             self.shingles[width, n] = np.array(sorted(h for h, having in hashes[width].items() if own.intersection(having)), dtype=np.uint64)
-            parts = [((self.prints[items] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32) for b in range(4)]
-            self.blocks[width, n] = [np.unique(part, return_inverse=True) for part in parts]
+            self.blocks[width, n] = [_Lookup(_block_of(self.prints[items], b)) for b in range(4)]
+        #: What two values of a block may differ by: of four blocks one has a quarter of the differing bits at most.
+        self.masks = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)) <= radius // 4).astype(np.uint32)
 
     def hits(self, h: np.ndarray, width: int) -> np.ndarray:
         """Places of the shingles that some item has."""
@@ -130,19 +161,32 @@ class Index:
         return at[own[k] == h[at]]
 
     def near(self, size: tuple[int, int], prints: np.ndarray) -> list[list[int]]:
-        """For each fingerprint, the items of a size within the radius, by the blocks' lookups."""
+        """For each fingerprint, the items of a size within the radius.
+
+        Each block of a fingerprint is looked up with every value that it may have in an
+        item; only the items listed there are compared whole.
+        """
         items = np.array(self.by_size[size])
-        found = np.zeros((len(prints), len(items)), dtype=bool)
-        for b, (values, inverse) in enumerate(self.blocks[size]):
-            part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-            close = np.bitwise_count(part[:, None] ^ values[None, :]) <= self.radius // 4
-            found |= close[:, inverse]
-        out: list[list[int]] = [[] for _ in prints]
-        rows, columns = np.nonzero(found)
-        fits = np.bitwise_count(prints[rows] ^ self.prints[items[columns]]) <= self.radius
-        for r, k in zip(rows[fits].tolist(), items[columns[fits]].tolist()):
-            out[r].append(k)
-        return out
+        own = self.prints[items]
+        different, place = np.unique(prints, return_inverse=True)
+        found = []
+        for b, lookup in enumerate(self.blocks[size]):
+            values, at = np.unique(_block_of(different, b), return_inverse=True)
+            by_value = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[by_value], np.arange(len(values) + 1))
+            for k in range(0, len(values), 64):
+                which, listed = lookup.items(values[k : k + 64], self.masks)
+                # Every fingerprint with the value, against every item listed for it.
+                n = np.diff(first)[which + k]
+                rows = by_value[np.repeat(first[which + k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                columns = np.repeat(listed, n)
+                fits = np.bitwise_count(different[rows] ^ own[columns]) <= self.radius
+                found.append(rows[fits] * len(items) + columns[fits])
+        pairs = np.unique(np.concatenate(found))
+        near: list[list[int]] = [[] for _ in different]
+        for r, c in zip((pairs // len(items)).tolist(), (pairs % len(items)).tolist()):
+            near[r].append(int(items[c]))
+        return [near[k] for k in place.tolist()]
 
     def matches(self, words: list[bytes], places: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, int]]:
         """Item -> (similarity, first word of the window), for a text with item shingles at ``places`` (by width: places, hashes)."""

@@ -65,3 +65,18 @@ def test_empty(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs(["a b c d e f"]), bench).count() == 0
     assert D.clean(docs(["a", None]), bench).count() == 2
+
+
+def test_lookup_by_blocks():
+    """Fingerprints meet all items within the radius, whether values or masks are tried, and no others."""
+    rng = np.random.default_rng(3)
+    for n in (5, 300, 20000):
+        prints = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        asked = prints[rng.integers(0, n, 60)]
+        for _ in range(20):
+            asked = np.where(rng.random(60) < 0.8, asked ^ (np.uint64(1) << rng.integers(0, 63, 60).astype(np.uint64)), asked)
+        index = D.Index([(1, "a b c d e f g")], 5, 0.8, 20)
+        index.prints, index.by_size = prints, {(5, 7): list(range(n))}
+        index.blocks = {(5, 7): [D._Lookup(D._block_of(prints, b)) for b in range(4)]}
+        near = np.bitwise_count(asked[:, None] ^ prints[None]) <= 20
+        assert [sorted(x) for x in index.near((5, 7), asked)] == [np.flatnonzero(row).tolist() for row in near]
