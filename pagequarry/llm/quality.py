@@ -92,10 +92,10 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return beta
 
 
-def _dictionary(texts: list[str], size: int, block: int) -> bytes:
-    """A zstandard dictionary of whole texts, cut into the blocks that scoring compresses; or where they are too few to train on, pieces from all over them."""
+def _dictionary(texts: list[str], size: int, piece: int = 1 << 10) -> bytes:
+    """A zstandard dictionary of whole texts, in pieces, each a sample; or where they are too few to train on, parts from all over them."""
     whole = [t.encode("utf-8", "surrogatepass") for t in texts if t]
-    data = [t[k : k + block] for t in whole for k in range(0, len(t), block)]
+    data = [t[k : k + piece] for t in whole for k in range(0, len(t), piece)]
     try:
         return zstandard.train_dictionary(size, data).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -128,7 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, dictiona
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-        made = _dictionary(group.column("text").to_pylist(), dictionary_bytes, block)
+        made = _dictionary(group.column("text").to_pylist(), dictionary_bytes)
         return pa.table({"label": group.column("label").slice(0, 1).cast(pa.int32()), "dictionary": pa.array([made], pa.binary())})
 
     trained = {r["label"]: bytes(r["dictionary"]) for r in drawn.groupBy("label").applyInArrow(train, "label int, dictionary binary").collect()}
