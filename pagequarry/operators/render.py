@@ -125,10 +125,13 @@ def _image(n: Column, options: Options) -> Column:
         return alt
     if options.skip_images:
         return F.lit("")
+    where = T.markdown_target(src)
+    if options.url_escape_style == "percent":
+        where = T.percent_encode(where)
     if options.link_style == "reference":
-        whole = F.concat(F.lit("!["), alt, F.lit(IMAGE), T.markdown_target(src), _quoted(_attr(n, "title"), True), F.lit(IMAGE_END))
+        whole = F.concat(F.lit("!["), alt, F.lit(IMAGE), where, _quoted(_attr(n, "title"), True), F.lit(IMAGE_END))
     else:
-        whole = F.concat(F.lit("!["), alt, F.lit("]("), T.markdown_target(src), _quoted(_attr(n, "title"), False), F.lit(")"))
+        whole = F.concat(F.lit("!["), alt, F.lit("]("), where, _quoted(_attr(n, "title"), False), F.lit(")"))
     bare = [h for h in HEADINGS if h not in options.keep_inline_images_in]
     if options.convert_as_inline:
         return alt

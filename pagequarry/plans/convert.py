@@ -101,7 +101,7 @@ def convert(pages: DataFrame, options: Options | None = None, doc_id: str = "doc
 def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
     """``doc_id, content, document, metadata, tables, images, warnings, error`` of every row of ``pages``.
 
-    ``document`` with ``include_document_structure``, ``metadata`` with
+    ``document`` and ``tables`` with ``include_document_structure``, ``metadata`` with
     ``extract_metadata``, and ``images`` with ``extract_images``, else null.
     ``warnings`` say what was left out: elements deeper than ``max_depth`` and
     images whose data can't be read.
@@ -132,7 +132,7 @@ def convert_result(pages: DataFrame, options: Options | None = None, doc_id: str
         _content(options).alias("content"),
         (F.when(parsed_, document) if options.include_document_structure else none).alias("document"),
         (F.when(parsed_, metadata) if options.extract_metadata else none).alias("metadata"),
-        F.coalesce(tables, F.array()).alias("tables"),
+        (F.coalesce(tables, F.array()) if options.include_document_structure else F.slice(F.coalesce(tables, F.array()), 1, 0)).alias("tables"),
         (F.coalesce(F.filter(pictures, lambda x: x["skipped"].isNull()), F.array()) if options.extract_images else none).alias("images"),
         F.concat(F.coalesce(deep, no), F.coalesce(unread, no)).alias("warnings"),
         _error(options).alias("error"),

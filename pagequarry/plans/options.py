@@ -135,6 +135,7 @@ class Options:
             object.__setattr__(self, name, tuple(getattr(self, name)))
         if isinstance(self.preprocessing, dict):
             object.__setattr__(self, "preprocessing", Preprocessing(**self.preprocessing))
+        object.__setattr__(self, "visitor", {c.removeprefix("visit_"): v for c, v in self.visitor.items()})
         unknown = set(self.visitor) - set(CALLBACKS)
         if unknown:
             raise ValueError(f"no such callbacks: {sorted(unknown)}")

@@ -224,7 +224,7 @@ rules("aggressive_preprocessing", {"preprocessing": {"preset": "aggressive"}}, [
 rules("standard_preprocessing", {}, [("<nav>a</nav><form>b</form><header class='nav'>c</header><footer>{n}</footer><aside class=toc>d</aside><div class=menu>{k}</div>", "{n}\n\n{k}")])
 rules("no_preprocessing", {"preprocessing": {"enabled": False}}, [("<nav>{n}</nav><form>{k}</form>", "{n}\n\n{k}")])
 rules("reference_links", {"link_style": "reference"}, [("<p><a href='/{k}'>{n}</a> <a href='/b' title=t>x</a> <a href='/{k}'>y</a></p>", "[{n}][1] [x][2] [y][1]\n\n[1]: /{k}\n[2]: /b \"t\""), ("<p><a href='/{k}'>{n}</a> <img src=/i alt='{n}' title=q> <a href=/i>x</a></p><video src=/v></video><audio src='/{k}'></audio><img src=/v alt=b>", "[{n}][1] ![{n}][2] [x][3]\n\n[/v][4]\n\n[/{k}][1]\n\n![b][4]\n\n[1]: /{k}\n[2]: /i \"q\"\n[3]: /i\n[4]: /v")])
-rules("percent_urls", {"url_escape_style": "percent"}, [("<a href='http://h/?q={k}'>{n}</a> <a href='/a b~c'>x</a>", "[{n}](http%3A//h/%3Fq%3D{k}) [x](/a%20b~c)")])
+rules("percent_urls", {"url_escape_style": "percent"}, [("<a href='http://h/?q={k}'>{n}</a> <a href='/a b~c'>x</a>", "[{n}](http%3A//h/%3Fq%3D{k}) [x](/a%20b~c)"), ("<img src='/i (1) <{k}>.png' alt='{n}'>", "![{n}](/i%20%281%29%20%3C{k}%3E.png)")])
 rules("wrapping", {"wrap": True, "wrap_width": 12}, [("<p>aaa bbb ccc ddd eee</p><h1>a heading of some length</h1><p>{k}</p>", "aaa bbb ccc\nddd eee\n\n# a heading of some length\n\n{k}"), ("<ul><li>aaaa bbbb cccc</ul><blockquote>aaaa bbbb cccc</blockquote><pre>a code line that is long</pre>", "- aaaa bbbb\n  cccc\n\n> aaaa bbbb\n> cccc\n\n```\na code line that is long\n```")])
 rules("inline_mode", {"convert_as_inline": True}, [("<h1>{n}</h1><p><b>{k}</b></p>", "{n} **{k}**")])
 rules(
@@ -448,7 +448,7 @@ ORACLE_SQL["order_tables"] = r"""WITH o AS (SELECT o_custkey AS doc_id, o_orderk
 
 def _order_grids(spark, d: str) -> DataFrame:
     """Every cell of the customers' tables, from the whole result."""
-    found = convert_result(_order_pages(spark, d), Options(extract_metadata=False))
+    found = convert_result(_order_pages(spark, d), Options(extract_metadata=False, include_document_structure=True))
     return found.select("doc_id", F.explode("tables").alias("t")).select("doc_id", F.col("t.grid.rows").alias("n_rows"), F.col("t.grid.cols").alias("n_cols"), F.inline("t.grid.cells"))
 
 

@@ -188,3 +188,15 @@ def test_cells_without_a_row(spark):
     pages = ["<table><td>a<td>b</table>", "<table><tr><td>a<td>b</tr></table>", "<table><tbody><td>a</td><td>b</td></tbody></table>"]
     rows = convert(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string"), Options(extract_metadata=False)).collect()
     assert {r.content for r in rows} == {"| a   | b   |\n| --- | --- |\n"}, rows
+
+
+def test_tables_are_asked_for(spark):
+    page = spark.createDataFrame([(1, "<table><tr><th>X</th></tr><tr><td>Y</td></tr></table>")], "doc_id long, html string")
+    assert convert_result(page).first().tables == []
+    assert len(convert_result(page, Options(include_document_structure=True)).first().tables) == 1
+
+
+def test_visitor_names():
+    assert Options(visitor={"visit_link": {"action": "skip"}}).visitor == {"link": {"action": "skip"}}
+    with pytest.raises(ValueError):
+        Options(visitor={"link": {"action": "nonsense"}})
