@@ -117,6 +117,8 @@ def _replaced(node: Column, options: Options) -> Column:
     out = node["tag"].isin("svg", "iframe", *options.preserve_tags)
     for c, v in _acts(options, "custom", "preserve_html", "custom_template"):
         no_text = v["action"] == "custom_template" and ((c in ("image", "audio", "video", "iframe", "input") and "{text}" not in v.get("template", "")) or c == "element_start")
+        if v["action"] == "preserve_html" and c in ("element_start", "element_end"):
+            continue  # goes on as usual
         if (v["action"] != "custom_template" or no_text) and (c == "element_end" or c == "element_start" or not c.endswith(("_start", "_end"))):
             out = out | asked(node, c, options)
     return out

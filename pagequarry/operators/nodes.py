@@ -163,6 +163,7 @@ def _built(html: str, keep_source: frozenset[str]) -> _Elements:
 
     the list of active formatting elements with its markers, and the adoption of
     blocks that a formatting element ends in.  Text in tables stays where it stands.
+    ``keep_source`` names the elements whose own HTML is kept, ``-`` all custom ones.
     """
     made = _Elements()
     tags, attributes, texts, kids, up = made.tags, made.attrs, made.texts, made.kids, made.up
@@ -172,6 +173,7 @@ def _built(html: str, keep_source: frozenset[str]) -> _Elements:
     #: Formatting elements that still apply; None is a marker.
     active: list[int | None] = []
     begin: dict[int, int] = {}
+    custom = "-" in keep_source  # all custom elements
 
     def new(tag: str, attrs: dict | None, text: str | None = None) -> int:
         tags.append(tag)
@@ -211,7 +213,7 @@ def _built(html: str, keep_source: frozenset[str]) -> _Elements:
         node = new(tag, attrs)
         put(node, stack[-1] if stack else None)
         hold(node)
-        if tag in keep_source and start >= 0:
+        if start >= 0 and (tag in keep_source or (custom and "-" in tag)):
             begin[node] = start
         return node
 
@@ -355,7 +357,7 @@ def _built(html: str, keep_source: frozenset[str]) -> _Elements:
         node = new(tag, attrs)
         put(node, stack[-1] if stack else None)
         made.whole.add(node)
-        if tag in keep_source:
+        if tag in keep_source or (custom and "-" in tag):
             made.sources[node] = html[start:at]
 
     def item(wanted: frozenset[str], end: int) -> None:

@@ -243,6 +243,8 @@ def _visitor_rules(n: Column, options: Options) -> list[tuple[Column, Column | N
         action = v.get("action")
         if callback in ("text", "element_end", "table_row", "table_start", "table_end") or action not in ("custom", "custom_template", "preserve_html"):
             continue
+        if callback == "element_start" and action == "preserve_html":
+            continue
         use = filters.asked(n, callback, options)
         if action == "preserve_html":
             out.append((use, _hard(n["source"]), F.lit("")))
@@ -274,7 +276,7 @@ def _ended(n: Column, opening: Column, closing: Column, options: Options) -> tup
 
 def keep_source(options: Options) -> frozenset[str]:
     """Tags whose own HTML rendering asks for."""
-    preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in (*CALLBACKS[c], *v.get("tags", ()))]
+    preserved = [t for c, v in options.visitor.items() if v.get("action") == "preserve_html" for t in (("-",) if c == "custom_element" else CALLBACKS[c])]
     return frozenset([*options.preserve_tags, *preserved])
 
 

@@ -283,6 +283,7 @@ QUERIES["visit_errors"] = _visit_errors
 ORACLE_SQL["visit_errors"] = """SELECT CAST(n_nationkey * 1000 + c.k AS BIGINT) AS doc_id, c.content, c.kind, c.message FROM nation, LATERAL (VALUES (0, n_name || chr(10), NULL, NULL), (1, NULL, 'Visitor', 'no images'),
     (2, NULL, 'Visitor', 'no headings'), (3, n_name || chr(10), NULL, NULL)) c(k, content, kind, message)"""
 
+rules("custom_element_visitor", {"visitor": {"custom_element": {"action": "preserve_html"}}}, [("<p>a</p><x-custom id='{k}'>in <b>{n}</b></x-custom><p>b <y-z/>c</p>", "a\n\n<x-custom id='{k}'>in <b>{n}</b></x-custom>\n\nb <y-z />c")])
 rules("text_visitor", {"visitor": {"text": {"action": "custom_template", "template": "<{text}>"}}}, [("<p>{n}</p>", "<{n}>")])
 
 extracted(
