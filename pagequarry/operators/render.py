@@ -496,8 +496,9 @@ def lines(pieces: Column, options: Options) -> Column:
         """Without a link that holds nothing in this run, but something in others."""
         of_link = lambda ids: F.exists(ids, lambda i: F.get("nodes", i)["tag"] == "a")
         blank = f"{OPEN['link']}[\\s{BREAK}\uE000-\uE013]*{HREF}[^{CLOSE['link']}]*{CLOSE['link']}"
-        out = F.when(of_link(r["around"]), F.regexp_replace(content, f"^([\uE000-\uE013]*?){blank}", "$1")).otherwise(content)
-        return F.when(F.contains(content, F.lit(HREF)), F.when(of_link(r["left"]), F.regexp_replace(out, f"{blank}([\uE000-\uE013]*)\\z", "$1")).otherwise(out)).otherwise(content)
+        first = lambda c: F.when(of_link(r["around"]), F.regexp_replace(c, f"^([\uE000-\uE013]*?){blank}", "$1")).otherwise(c)
+        last = lambda c: F.when(of_link(r["left"]), F.regexp_replace(c, f"{blank}([\uE000-\uE013]*)\\z", "$1")).otherwise(c)
+        return let(content, lambda c: F.when(F.contains(c, F.lit(HREF)), let(first(c), last)).otherwise(c))
 
     def line(r: Column) -> Column:
         owner = F.get("nodes", r["owner"])
