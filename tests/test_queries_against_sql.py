@@ -4,7 +4,7 @@ import pytest
 from pagequarry import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("nation", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
+TABLES = ("nation", "orders", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 def plain(v):
