@@ -151,13 +151,6 @@ def decode_named(c: Column) -> Column:
     return c
 
 
-def encode_basic(c: Column) -> Column:
-    """``&``, ``<`` and ``>`` as references."""
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        c = F.replace(c, F.lit(char), F.lit(name))
-    return c
-
-
 def collapse_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, "\n{3,}", "\n\n")
 

@@ -6,6 +6,8 @@ documents (see :func:`pagequarry.operators.nodes.parse_documents`) give a row ea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,8 +102,8 @@ def json_ld_of(most_bytes: int = 1_000_000) -> Column:
     return F.transform(F.aggregate(listed, start, take)["kept"], lambda x: x.withField("schema_type", T.json_ld_type(x["raw_json"])))
 
 
-def head_entries_of() -> Column:
-    """``node_id, key, value``: title, metas, canonical link and base."""
+def head_entries_of(title: Callable[[Column], Column] = label) -> Column:
+    """``node_id, key, value``: title, metas, canonical link and base; ``title`` says what is written of a title."""
 
     def entry(n: Column) -> Column:
         tag = n["tag"]
@@ -112,7 +114,7 @@ def head_entries_of() -> Column:
             .when(tag == "base", F.lit("base-href"))
             .when((tag == "title") & ~within(n, "svg"), F.lit("title"))
         )
-        value = F.when(tag == "meta", n["attrs"]["content"]).when(tag == "title", label(n)).otherwise(n["attrs"]["href"])
+        value = F.when(tag == "meta", n["attrs"]["content"]).when(tag == "title", title(n)).otherwise(n["attrs"]["href"])
         return F.struct(n["id"].alias("node_id"), key.alias("key"), value.alias("value"))
 
     said = F.transform(elements("meta", "link", "base", "title"), entry)
@@ -147,6 +149,13 @@ def head_map_of() -> Column:
     return _as_map(head_entries_of())
 
 
+@built_once
+def front_map_of() -> Column:
+    """The head's map for front matter, in which a title stays HTML source."""
+    written = lambda x: F.coalesce(x["source"], x["text"])
+    return _as_map(head_entries_of(lambda n: T.one_line(F.array_join(F.transform(F.filter(below(n), lambda x: x["kind"] == "text"), written), ""))))
+
+
 @built_once
 def document_of() -> Column:
     """Title, description, keywords, author, canonical URL, base, language, direction, and maps of the rest."""

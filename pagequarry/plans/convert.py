@@ -54,8 +54,7 @@ def _content(options: Options) -> Column:
     """Front matter and what is rendered, or what ``flat`` holds."""
     content = F.col("content")
     if options.extract_metadata and options.output_format != "plain" and not options.convert_as_inline:
-        # A title stays HTML source in front matter.
-        front = T.front_matter(F.transform_values(extract.head_map_of(), lambda k, v: F.when(k == "title", T.encode_basic(v)).otherwise(v)))
+        front = T.front_matter(extract.front_map_of())
         has_head = F.exists("nodes", lambda n: n["tag"].isin("meta", "link", "base", "title"))
         content = F.concat(F.when(has_head, front).otherwise(F.lit("")), content)
     visit = _visit_error(options)

@@ -200,3 +200,17 @@ def test_visitor_names():
     assert Options(visitor={"visit_link": {"action": "skip"}}).visitor == {"link": {"action": "skip"}}
     with pytest.raises(ValueError):
         Options(visitor={"link": {"action": "nonsense"}})
+
+
+def test_title_with_ampersands_that_are_no_reference(spark):
+    """Front matter has a title's HTML: a lone ``&`` and a reference cut short stay as they are."""
+    titles = {
+        "a&amp;b &": "a&amp;b &",
+        "x &am": "x &am",
+        "y &amp": "y &amp",
+        "&lt;i&gt; &#38; &quot;q&quot; &copy;": '&lt;i&gt; &amp; "q" ©',
+        "R&D &nosuch; <b": "R&D &nosuch; <b",
+    }
+    pages = [(k, f"<html><head><title>{t}</title></head><body><p>x</p></body></html>") for k, t in enumerate(titles)]
+    found = {r.doc_id: r.content for r in convert(spark.createDataFrame(pages, "doc_id long, html string")).collect()}
+    assert found == {k: f"---\ntitle: {t}\n---\n\nx\n" for k, t in enumerate(titles.values())}
