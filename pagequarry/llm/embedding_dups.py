@@ -13,9 +13,9 @@ which no pass brought within a window.  Two vectors at angle ``a`` share a
 code's first ``b`` bits with probability ``(1 - a / pi) ** b``, and meet at about
 ``b = log2(n / window)``; at cosine 0.9, 50 thousand vectors, 24 passes and a
 window of 64 that leaves less than one pair of a hundred.  More vectors, or a
-dense region of them, crowd a pair's neighbourhood: a sample says how much, and
-passes and window grow until the same holds for the densest vector in it.  (To
-subtract the mean of a region doesn't help: it widens the angles of links as well.)
+dense region of them, crowd a pair's neighbourhood: all vectors are counted around
+some out of the fullest cells of codes, and passes and window grow until the same
+holds for the densest of these.  (To subtract the mean of a region doesn't help: it widens the angles of links as well.)
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import connected_components, stage_table
@@ -99,36 +100,75 @@ def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _meeting(unit: np.ndarray, n: int, cosine: float, window: int, probes: int = 512) -> float:
-    """The least chance, over vectors of a sample ``unit`` of ``n``, that a pass brings a link within the window.
+#: Angles are counted in steps of a quarter of a degree.
+_STEPS = 720
 
-    A pair that shares ``b`` bits is among the vectors that share them, which is
-    ``n`` times the mean of ``(1 - angle / pi) ** b``; links aren't counted, as
-    they lead to each other.
+
+def _dense_vectors(entries: DataFrame, seed: int, each: int = 24) -> dict[int, np.ndarray]:
+    """For each length of vectors some hundred unit vectors at most, out of the fullest cells by counts over all ``entries``.
+
+    A cell holds the vectors that share the first bits of a pass's code, for several
+    numbers of bits in each of four passes; ``each`` cells of every kind are taken.
+    """
+    codes = _codes(entries, 4, seed).select("dim", "pass", "code", "rep")
+    depths = F.array(*(F.struct(F.lit(b).alias("bits"), F.shiftright("code", BITS - b).alias("cell")) for b in (4, 8, 12, 16, 20)))
+    cells = codes.select("dim", "pass", "rep", F.inline(depths)).groupBy("dim", "pass", "bits", "cell").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    place = F.row_number().over(W.partitionBy("dim", "pass", "bits").orderBy(F.desc("n"), "cell"))
+    fullest = cells.withColumn("place", place).where(F.col("place") <= each).select("rep").distinct()
+    vectors: dict[int, list] = {}
+    for r in entries.join(fullest, "rep", "left_semi").orderBy("rep").select("embedding").collect():
+        vectors.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    return {dim: _unit(np.array(v, dtype=np.float64)) for dim, v in vectors.items()}
+
+
+def _crowds(entries: DataFrame, probes: dict[int, np.ndarray], cosine: float) -> dict[int, np.ndarray]:
+    """For each of ``probes`` how many of all ``entries`` lie at each step of angle, links left out."""
+
+    def run(batches):
+        counts = {dim: np.zeros((len(p), _STEPS + 1), dtype=np.int64) for dim, p in probes.items()}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                rows = batch.column(0).slice(k, 1024)
+                sizes = np.asarray(rows.value_lengths())
+                for dim in np.unique(sizes).tolist():
+                    cos = np.clip(probes[dim] @ _unit(_matrix(rows.filter(pa.array(sizes == dim)))).T, -1, 1)
+                    at = np.floor(np.arccos(cos) / np.pi * _STEPS).astype(np.int64) + (np.arange(len(cos)) * (_STEPS + 1))[:, None]
+                    counts[dim] += np.bincount(at[cos < cosine], minlength=counts[dim].size).reshape(counts[dim].shape)
+        for dim, found in counts.items():
+            probe, step = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(probe), dim, dtype=np.int32)), pa.array(probe.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(found[probe, step])], names=["dim", "probe", "step", "n"]
+            )
+
+    out = {dim: np.zeros((len(p), _STEPS + 1)) for dim, p in probes.items()}
+    for r in entries.select("embedding").mapInArrow(run, "dim int, probe int, step int, n long").groupBy("dim", "probe", "step").agg(F.sum("n").alias("n")).collect():
+        out[r["dim"]][r["probe"], r["step"]] = r["n"]
+    return out
+
+
+def _meeting(crowd: np.ndarray, cosine: float, window: int) -> float:
+    """The least chance, over vectors around which others lie as ``crowd`` says, that a pass brings a link within the window.
+
+    A pair that shares ``b`` bits is among the vectors that share them: of those at
+    an angle a part of ``(1 - angle / pi) ** b``.  Links aren't counted, as they lead to each other.
     """
-    if n <= window:
-        return 1.0
-    cos = np.clip(unit[:probes] @ unit.T, -1, 1) if len(unit) >= 32 else np.zeros((1, 32))
-    same, stay = 1 - np.arccos(cos) / np.pi, 1 - np.arccos(cosine) / np.pi
-    left, best = np.where(cos < cosine, n / cos.shape[1], 0.0), np.zeros(len(cos))
+    same, stay = 1 - np.arange(_STEPS + 1) / _STEPS, 1 - np.arccos(cosine) / np.pi
+    best = np.zeros(len(crowd))
     for b in range(BITS + 1):
-        best = np.maximum(best, stay**b * np.minimum(1, window / np.maximum(left.sum(axis=1), 1)))
-        left *= same
+        best = np.maximum(best, stay**b * np.minimum(1, window / np.maximum(crowd @ same**b, 1)))
     return float(best.min())
 
 
-def effort(entries: DataFrame, cosine: float, passes: int, window: int, seed: int, sample: int = 2048, lost: float = 0.01) -> tuple[int, int]:
-    """Passes and window, the given ones at least, that by a sample lose no more than ``lost`` of the single links at ``cosine``."""
-    sizes = {r["dim"]: r["n"] for r in entries.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    drawn = entries.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(max(total, 1))) < sample).select("embedding").collect() if total else []
-    vectors: dict[int, list] = {dim: [] for dim in sizes}
-    for r in drawn:
-        vectors[len(r["embedding"])].append(r["embedding"])
-    units = {dim: _unit(np.array(v, dtype=np.float64)) if v else np.empty((0, dim)) for dim, v in vectors.items()}
+def effort(entries: DataFrame, cosine: float, passes: int, window: int, seed: int, lost: float = 0.01) -> tuple[int, int]:
+    """Passes and window, the given ones at least, that lose no more than ``lost`` of the single links at ``cosine``.
+
+    All vectors are counted, around those that stand where they lie densest.
+    """
+    probes = _dense_vectors(entries, seed)
+    crowds = _crowds(entries, probes, cosine) if probes else {}
     found = []
     for w in (window, 2 * window, 4 * window, 8 * window):
-        chance = min((_meeting(units[dim], n, cosine, w) for dim, n in sizes.items()), default=1.0)
+        chance = min((_meeting(crowd, cosine, w) for crowd in crowds.values()), default=1.0)
         turns = passes if chance >= 1 else max(passes, int(np.ceil(np.log(lost) / np.log1p(-chance))))
         found.append((turns * (1 + w / 256), turns, w))  # a row of a pass costs as much as some 256 comparisons
     return min(found)[1:]

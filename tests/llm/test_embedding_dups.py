@@ -127,3 +127,24 @@ def test_null_ids(spark):
 
 def test_no_rows(spark):
     assert E.components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_small_dense_cone_is_counted(spark):
+    """Crowds are counted over all vectors: a cone of one row in 60 is seen whole, and links aren't in it."""
+    rng = np.random.default_rng(8)
+    axis = rng.standard_normal(64)
+    axis /= np.linalg.norm(axis)
+    cone = rng.standard_normal((500, 64))
+    cone -= np.outer(cone @ axis, axis)
+    cone = np.sqrt(0.85) * axis + np.sqrt(0.15) * cone / np.linalg.norm(cone, axis=1, keepdims=True)
+    rows = np.concatenate([rng.standard_normal((29_500, 64)), cone]).astype(np.float32)
+    entries = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(rows)], "rep long, n long, embedding array<float>")
+    unit = E._unit(rows)
+    probes = E._dense_vectors(entries, 7)
+    crowd = E._crowds(entries, probes, 0.9)[64]
+    cos = probes[64] @ unit.T
+    assert (crowd.sum(axis=1) == (cos < 0.9).sum(axis=1)).all()
+    near = np.arccos(0.8)
+    assert crowd[:, : int(near / np.pi * E._STEPS)].sum(axis=1).max() >= 300  # some stand in the cone
+    alone = E._crowds(entries.where("rep < 29500"), probes, 0.9)[64]
+    assert E._meeting(crowd, 0.9, 8) < E._meeting(alone, 0.9, 8)
