@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators import filters
-from pagequarry.operators.nodes import CELLS, below, built_once, held, let, marked_places, scan, text_in, within
+from pagequarry.operators.nodes import CELLS, below, built_once, held, let, marked_places, scan, stretch, text_in, within
 from pagequarry.plans.options import CALLBACKS, Options
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -615,7 +615,7 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
     joiner = "<br>" if options.br_in_tables and not plain else " "
 
     def text_of(n: Column) -> Column:
-        own = F.transform(F.slice(texts, n["opens"] + 1, n["closes"] - n["opens"] + 1), lambda c: F.regexp_replace(c, f" *\\\\?[\n{LINE}]+", joiner))
+        own = F.transform(stretch(texts, n["opens"], n["closes"] - n["opens"] + 1), lambda c: F.regexp_replace(c, f" *\\\\?[\n{LINE}]+", joiner))
         return F.trim(F.array_join(F.filter(own, lambda x: x != ""), joiner))
 
     def cell(n: Column) -> Column:

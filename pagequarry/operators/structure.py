@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators.extract import above, label
-from pagequarry.operators.nodes import HEADINGS, below, built_once, let, scan, spread_out, text_in, within
+from pagequarry.operators.nodes import HEADINGS, below, built_once, let, scan, spread_out, stretch, text_in, within
 
 _TYPES = {"p": "paragraph", "ul": "list", "ol": "list", "li": "list_item", "table": "table", "img": "image", "pre": "code", "blockquote": "quote", "dl": "definition_list"} | {h: "heading" for h in sorted(HEADINGS)}
 #: What an inline element says of its text.
@@ -59,7 +59,7 @@ def _code(n: Column) -> Column:
 
 def _rendered(n: Column) -> Column:
     """An element's text as it stands in the document, from the ``lines`` and ``texts`` of its runs; of a list item, only its own."""
-    own = lambda name: F.slice(name, n["opens"] + 1, n["closes"] - n["opens"] + 1)
+    own = lambda name: stretch(F.col(name), n["opens"], n["closes"] - n["opens"] + 1)
     said = F.zip_with(own("lines"), own("texts"), lambda x, c: F.when(F.coalesce((n["tag"] != "li") | (x["item"] == n["id"]), F.lit(False)) & (c != ""), c))
     return F.array_join(F.array_compact(said), "\n")
 
