@@ -73,9 +73,11 @@ def decode_utf16(c: Column) -> Column:
     # Halves of characters outside the first plane would fail to decode one by one; texts with them stay as they are.
     whole = ~F.decode(data, "ISO-8859-1").rlike(r"[\xd8-\xdf]")
     nul = F.contains(c, F.lit("\u0000"))
+    # The first condition stands alone, so that without a NUL nothing else is worked out.
     return (
-        F.when(nul & many & whole & (second * 10 >= n * 9), F.decode(pairs, "UTF-16LE"))
-        .when(nul & many & whole & (first * 10 >= n * 9), F.decode(pairs, "UTF-16BE"))
+        F.when(~nul, c)
+        .when(many & whole & (second * 10 >= n * 9), F.decode(pairs, "UTF-16LE"))
+        .when(many & whole & (first * 10 >= n * 9), F.decode(pairs, "UTF-16BE"))
         .otherwise(c)
     )
 

@@ -168,7 +168,15 @@ def gone(options: Options) -> Column:
 
     found = F.transform("nodes", lambda n: F.struct((n["id"] + F.when(goes(n), 0).when(empties(n), 1)).alias("first"), n["last"].alias("last")))
     going = F.filter(found, lambda g: g["first"].isNotNull())
-    return let(let(let(going, outermost), spread), with_own)
+    whole = let(let(let(going, outermost), spread), with_own)
+    if options.visitor or options.exclude_selectors or options.max_depth is not None or options.preprocessing.preset == "aggressive":
+        return whole
+
+    def may_go(n: Column) -> Column:
+        named = n["tag"].isin(*unseen, "svg", "iframe", *options.preserve_tags, "form", "nav", "header", "footer", "aside")
+        return F.coalesce(named | F.map_contains_key(n["attrs"], F.lit("hidden")), n["kind"] == "comment")
+
+    return F.when(F.exists("nodes", may_go), whole).otherwise(F.transform("nodes", lambda n: F.lit(False)))
 
 
 def stays(node: Column, gone: Column) -> Column:

@@ -357,22 +357,29 @@ def pieces(gone: Column, options: Options) -> Column:
         if said.get("action") == "custom_template":
             before, _, after = said.get("template", "{text}").partition("{text}")
             text = F.concat(F.lit(before), text, F.lit(after))
-        opening = closing = F.lit("")
         ruled = n["tag"].isin(*_ruled(options))
         for callback in ("custom_element", "element_start"):
             if callback in options.visitor:
                 ruled = ruled | filters.asked(n, callback, options)
-        for use, a, b in reversed(_rules(n, options)):
-            opening = opening if a is None else F.when(use, a).otherwise(opening)
-            closing = closing if b is None else F.when(use, b).otherwise(closing)
-        if "element_end" in options.visitor:
-            own = F.when(ruled, opening).otherwise(""), F.when(ruled, closing).otherwise("")
-            opening, closing = _ended(n, *own, options)
-            ruled = F.lit(True)
-        is_text = n["kind"] == "text"
-        return F.when(~shows, F.struct(F.lit("").alias("open"), F.lit("").alias("close"))).otherwise(
-            F.struct(F.when(is_text, text).when(ruled, opening).otherwise("").alias("open"), F.when(ruled, closing).otherwise("").alias("close"))
-        )
+        rules = _rules(n, options)
+        two = lambda a, b: F.struct(a.alias("open"), b.alias("close"))
+        empty = two(F.lit(""), F.lit(""))
+        if "element_end" in options.visitor or any(a is None or b is None for _, a, b in rules):
+            opening = closing = F.lit("")
+            for use, a, b in reversed(rules):
+                opening = opening if a is None else F.when(use, a).otherwise(opening)
+                closing = closing if b is None else F.when(use, b).otherwise(closing)
+            if "element_end" in options.visitor:
+                own = F.when(ruled, opening).otherwise(""), F.when(ruled, closing).otherwise("")
+                opening, closing = _ended(n, *own, options)
+                ruled = F.lit(True)
+            said_of = F.when(ruled, two(F.when(n["kind"] == "text", text).otherwise(opening), closing)).when(n["kind"] == "text", two(text, F.lit(""))).otherwise(empty)
+        else:
+            of_rule = empty
+            for use, a, b in reversed(rules):
+                of_rule = F.when(use, two(a, b)).otherwise(of_rule)
+            said_of = F.when(n["kind"] == "text", two(text, F.lit(""))).when(ruled, of_rule).otherwise(empty)
+        return F.when(~shows, empty).otherwise(said_of)
 
     return F.transform("nodes", piece)
 
@@ -503,14 +510,16 @@ def lines(pieces: Column, options: Options) -> Column:
     def line(r: Column) -> Column:
         owner = F.get("nodes", r["owner"])
         tag = F.coalesce(owner["tag"], F.lit(""))
-        content = F.concat(carried(r["around"], "open"), F.array_join(F.transform(r["codes"], of_code), ""), carried(F.reverse(r["left"]), "close"))
+        own = F.array_join(F.transform(r["codes"], of_code), "")
+        whole = F.concat(carried(r["around"], "open"), own, carried(F.reverse(r["left"]), "close"))
+        content = F.when((F.size(r["around"]) == 0) & (F.size(r["left"]) == 0), own).otherwise(unlinked(r, whole))
         return F.struct(
             r["owner"].alias("owner"),
             tag.alias("tag"),
             *(owner[x].alias(x) for x in ("item", "cell", "table")),
             F.shiftright(F.get(r["codes"], F.lit(0)), 1).alias("first"),
             F.coalesce(F.get(r["codes"], F.lit(0)) == r["owner"] * 2, F.lit(False)).alias("opens"),
-            unlinked(r, content).alias("content"),
+            content.alias("content"),
             F.coalesce((tag == "pre") | within(owner, "pre"), F.lit(False)).alias("pre"),
         )
 
@@ -521,23 +530,29 @@ def written(options: Options) -> list[tuple[str, Column]]:
     """The steps from a document's ``lines`` to ``texts``, their contents as text."""
     has = lambda pattern: lambda c: c.rlike(pattern)
 
-    def step(texts: Column, change, only) -> Column:
-        return F.transform(texts, lambda c: F.when(only(c), change(c)).otherwise(c))
-
     def begun(x: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(x["content"], f"{HREF}[^{CLOSE['link']}]*{CLOSE['link']}", ""), ANY_MARK, "")
         return F.when(x["pre"], bare).otherwise(x["content"])
 
-    out = F.transform("lines", begun)
+    changes = []
     if options.output_format != "plain":
         # Marks around nothing; a link's end has its target.
-        out = step(out, lambda c: F.lit(""), lambda c: c.rlike(PAIR_MARK) & ~c.rlike(rf"[^\uE000-\uE013\s]") & ~F.contains(c, F.lit(HREF)))
+        changes.append((lambda c: F.lit(""), lambda c: c.rlike(PAIR_MARK) & ~c.rlike(rf"[^\uE000-\uE013\s]") & ~F.contains(c, F.lit(HREF))))
         blanks = r"[\uE000-\uE013](?=[ \n\uE000-\uE013])|[ \n\uE021](?=[\uE000-\uE013])"
-        out = step(out, lambda c: _tidied(c, options), has(blanks))
-        out = step(out, lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF)))
-        out = step(out, _links_escaped, lambda c: F.contains(c, F.lit(HREF)) & F.contains(c, F.lit("]")))
-        out = step(out, _code, lambda c: F.contains(c, F.lit("`")) & F.contains(c, F.lit(OPEN["code"])))
-        out = step(out, lambda c: _markup(c, options), has(PAIR_MARK))
+        changes.append((lambda c: _tidied(c, options), has(blanks)))
+        changes.append((lambda c: _links(c, options), lambda c: F.contains(c, F.lit(HREF))))
+        changes.append((_links_escaped, lambda c: F.contains(c, F.lit(HREF)) & F.contains(c, F.lit("]"))))
+        changes.append((_code, lambda c: F.contains(c, F.lit("`")) & F.contains(c, F.lit(OPEN["code"]))))
+        changes.append((lambda c: _markup(c, options), has(PAIR_MARK)))
+
+    def changed(c: Column) -> Column:
+        for change, only in changes:
+            c = let(c, lambda c: F.when(only(c), change(c)).otherwise(c))  # noqa: B023
+        return c
+
+    # All changes are about marks, which most lines don't have.
+    marked = has(f"[\uE000-\uE013{HREF}]")
+    out = F.transform("lines", lambda x: let(begun(x), lambda c: F.when(marked(c), changed(c)).otherwise(c)))
 
     def ends(c: Column) -> Column:
         found = c.startswith(" ") | c.endswith(" ")
@@ -615,7 +630,8 @@ def tables(texts: Column, gone: Column, options: Options) -> Column:
     joiner = "<br>" if options.br_in_tables and not plain else " "
 
     def text_of(n: Column) -> Column:
-        own = F.transform(stretch(texts, n["opens"], n["closes"] - n["opens"] + 1), lambda c: F.regexp_replace(c, f" *\\\\?[\n{LINE}]+", joiner))
+        broken = lambda c: F.contains(c, F.lit("\n")) | F.contains(c, F.lit(LINE))
+        own = F.transform(stretch(texts, n["opens"], n["closes"] - n["opens"] + 1), lambda c: F.when(broken(c), F.regexp_replace(c, f" *\\\\?[\n{LINE}]+", joiner)).otherwise(c))
         return F.trim(F.array_join(F.filter(own, lambda x: x != ""), joiner))
 
     def cell(n: Column) -> Column:
@@ -792,7 +808,7 @@ def _body(x: Column, options: Options) -> Column:
 def _placed(x: Column, opens_item: Column, body: Column, options: Options) -> Column:
     """A block with the marks of the lists and quotes around it."""
     plain = options.output_format == "plain"
-    start = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce(x["start"], F.lit("1")), r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int"), F.lit(1))
+    start = F.coalesce(F.regexp_extract(F.coalesce(x["start"], F.lit("1")), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(1))
     number = F.concat((start + x["nth"] - 1).cast("string"), F.lit(". "))
     bullets = F.array(*(F.lit("-" if plain else b) for b in options.bullets))
     bullet = F.when(x["list_tag"] == "menu", F.lit("-")).otherwise(F.element_at(bullets, (F.pmod(x["bullet_depth"] - 1, F.lit(len(options.bullets))) + 1).cast("int")))
